@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -24,22 +24,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     def star(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
-    def settled(pairs: DataFrame) -> DataFrame:
-        return settle(pairs.filter("u <> v").distinct(), "components")
+    def settled(pairs: DataFrame) -> tuple[DataFrame, Row]:
+        """The stored edges with their count and digest, which tell whether a round changed anything."""
+        stored = settle(pairs.filter("u <> v").distinct(), "components")
+        return stored, stored.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    current = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    current, before = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    before = None
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(star(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = settled(large)
-        # Every row of ``large`` points from a node to a smaller one.
-        small = large.join(star(large), "u")
-        current = settled(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        )
-        mark = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # Large star: every greater neighbour is moved to the smallest neighbour. All edges now point downwards.
+        large = both.join(star(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Small star: a node and its smaller neighbours are moved to the smallest of them.
+        small = large.join(star(large), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        current, mark = settled(small)
         if mark == before:
             roots = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

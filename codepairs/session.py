@@ -28,20 +28,24 @@ def build_session(app: str = "codepairs", master: str | None = None, shuffle_par
     return builder.getOrCreate()
 
 
+_local_scratch: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a temporary folder of its own; on a
     cluster such a folder would be private to one machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="codepairs-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_scratch:
+        _local_scratch[app] = tempfile.mkdtemp(prefix="codepairs-")
+    return _local_scratch[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

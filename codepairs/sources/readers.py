@@ -105,12 +105,19 @@ def read_nested_json(spark: SparkSession, root: str, schema: T.StructType = NEST
 def read_labelled_csv(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Headerless CSV: first column code, second label, any others ignored.
 
-    Fields may hold quotes and line breaks. A row without a label is an error
+    Fields may hold quotes and line breaks; all line breaks come out as ``\\n``. A row without a label is an error
     under ``strict`` and keeps a NULL label otherwise.
     """
     wide = T.StructType([*LABELLED_CODE.fields, T.StructField(CORRUPT, T.StringType())])
+    # The separator is fixed: guessing it would go by the first line break, which may lie inside a field.
     rows = spark.read.schema(wide).csv(
-        path, multiLine=True, escape='"', header=False, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
+        path, multiLine=True, escape='"', header=False, lineSep="\n", mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
+    )
+    rows = rows.withColumns(
+        {
+            "code": F.regexp_replace("code", "\r\n?", "\n"),
+            "label": F.regexp_replace(F.regexp_replace("label", "\r$", ""), "\r\n?", "\n"),
+        }
     )
     # An empty field reads as NULL; only a row of the wrong length is also marked corrupt.
     short = F.col("label").isNull() & F.col(CORRUPT).isNotNull()

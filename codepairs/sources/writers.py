@@ -8,6 +8,8 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codepairs.session import scratch_path
+
 JSONL_PARTITIONS = ("lang", "partition")
 PAIR_PARTITIONS = ("lang", "partition", "pruning_type")
 
@@ -32,12 +34,19 @@ def write_jsonl_tree(
 ) -> None:
     """The plain directory tree ``root/value/.../value.jsonl``, or ``.../value/{leaf}.jsonl`` with ``leaf``.
 
-    One write for each combination of the values named by the caller, for
-    consumers that do not read ``key=value`` directories; each ``.jsonl`` is a
-    directory of part files.
+    For consumers that do not read ``key=value`` directories; each ``.jsonl`` is
+    a directory of part files. The rows are first stored by directory in one
+    pass, so each of the named combinations then reads its own rows only.
     """
+    spark = df.sparkSession
+    wanted = df
+    for column, values in by.items():
+        wanted = wanted.filter(F.col(column).isin(list(values)))
+    staged = scratch_path(spark, "tree-stage")
+    _by_directory(wanted, list(by)).write.partitionBy(*by).parquet(staged)
+    rows = spark.read.schema(df.schema).parquet(staged)
     for values in product(*by.values()):
-        chosen = df
+        chosen = rows
         for column, value in zip(by, values, strict=True):
             chosen = chosen.filter(F.col(column) == value)
         path = "/".join([root, *values] + ([leaf] if leaf else [])) + ".jsonl"

@@ -1,0 +1,71 @@
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from codepairs.functions import labels as L
+
+
+def test_multi_hot(spark):
+    rows = spark.createDataFrame([(["if_statement"],), ([],), (None,), (["x", None],)], "t array<string>")
+    got = rows.select(*L.multi_hot(F.col("t"), ["if_statement", "for_statement"])).collect()
+    assert [tuple(r) for r in got] == [(1, 0), (0, 0), (0, 0), (0, 0)]
+
+
+def test_encode_and_judge(one):
+    assert one(L.label_encode(F.col("l")), "l string", "POSITIVE") == 1
+    assert one(L.label_encode(F.col("l")), "l string", "NEGATIVE") == 0
+    assert one(L.label_decode(F.col("l")), "l int", 1) == "POSITIVE"
+    for bad in ("positive", None):
+        with pytest.raises(PySparkException, match="unknown label"):
+            one(L.label_encode(F.col("l")), "l string", bad)
+    with pytest.raises(PySparkException, match="unknown code"):
+        one(L.label_decode(F.col("l")), "l int", 2)
+    assert one(L.judge(F.col("a"), F.col("b")), "a int, b int", 1, 1) == "CORRECT"
+    assert one(L.judge(F.col("a"), F.col("b")), "a int, b int", 1, 0) == "INCORRECT"
+    assert one(L.judge(F.col("a"), F.col("b"), "int"), "a int, b int", 0, 0) == 1
+
+
+@pytest.mark.parametrize(("n", "d", "expected"), [(10, 0, 0.0), (10, 1, -0.19), (10, 5, -0.75), (10, 10, -1.0)])
+def test_edit_similarity_label(one, n, d, expected):
+    assert one(L.edit_similarity_label(F.col("n"), F.col("d")), "n bigint, d bigint", n, d) == expected
+
+
+def test_edit_similarity_label_rounds_like_python(spark):
+    grid = [(n, d) for n in range(1, 60) for d in range(n + 1)]
+    rows = spark.createDataFrame(grid, "n bigint, d bigint").withColumn("x", L.edit_similarity_label(F.col("n"), F.col("d")))
+    for r in rows.collect():
+        share = 1 - r.d / r.n
+        assert r.x == round(share * share - 1, 3)
+
+
+def test_edit_similarity_label_of_nothing(one):
+    with pytest.raises(PySparkException):
+        one(L.edit_similarity_label(F.col("n"), F.col("d")), "n bigint, d bigint", 0, 0)
+    assert one(L.edit_similarity_label(F.col("n"), F.col("d"), strict=False), "n bigint, d bigint", 0, 0) is None
+
+
+def test_sym_diff(one):
+    schema = "a array<string>, b array<string>"
+    diff = L.sym_diff(F.col("a"), F.col("b"))
+    for a, b in ((["x", "y", "y"], ["y", "z"]), ([], ["z", "z"]), (["x"], ["x"])):
+        got = one(diff, schema, a, b)
+        assert sorted(got) == sorted(set(a) ^ set(b))
+        for v in "xyz":
+            assert one(L.in_sym_diff(F.lit(v), F.col("a"), F.col("b")), schema, a, b) == (v in set(a) ^ set(b))
+
+
+@pytest.mark.parametrize(
+    ("original", "edited", "deleted", "targets", "expected"),
+    [
+        (["a", "if_statement"], ["a"], "if_statement", ["if_statement"], "target"),
+        (["block"], [], "block", ["if_statement"], None),
+        (["block"], [], "block", ["block"], "target"),
+        (["call"], [], "call", ["if_statement"], "others"),
+        ([], ["call"], "call", ["if_statement"], "others"),
+        (["if_statement"], ["if_statement"], "if_statement", ["if_statement"], None),
+        (["a"], ["a"], "if_statement", ["if_statement"], None),
+    ],
+)
+def test_edit_bucket(one, original, edited, deleted, targets, expected):
+    bucket = L.edit_bucket(F.col("d"), F.col("o"), F.col("e"), targets)
+    assert one(bucket, "o array<string>, e array<string>, d string", original, edited, deleted) == expected

@@ -1,0 +1,88 @@
+import math
+
+import pytest
+from pyspark.errors import PySparkException
+
+from codepairs.operators import metrics
+from codepairs.operators.records import length_filter
+
+
+def long(spark, rows):
+    return spark.createDataFrame(rows, "node_type string, actual int, pred int")
+
+
+def test_confusion_and_metrics(spark):
+    rows = [("a", 1, 1), ("a", 1, 1), ("a", 0, 1), ("a", 0, 0), ("a", 1, 0)] + [("b", 1, 0)] * 2 + [("b", 0, 0)] * 3
+    got = {r.node_type: r for r in metrics.binary_metrics(metrics.confusion_counts(long(spark, rows))).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.true_negative, a.false_positive, a.false_negative, a.true_positive) == (1, 1, 1, 2)
+    assert (a.accuracy, a.precision, a.recall) == (0.6, 2 / 3, 2 / 3)
+    assert math.isclose(a.f1_score, 2 / 3)
+    # No prediction is positive: zero denominators give 0.
+    assert (b.accuracy, b.precision, b.recall, b.f1_score) == (0.6, 0.0, 0.0, 0.0)
+
+
+def test_one_class_alone_gives_zeros(spark):
+    r = metrics.confusion_counts(long(spark, [("a", 0, 0)] * 4)).first()
+    assert (r.true_negative, r.false_positive, r.false_negative, r.true_positive) == (4, 0, 0, 0)
+
+
+def test_counts_add_up(spark):
+    rows = [(t, i % 2, (i // 2) % 2) for i in range(37) for t in ("a", "b")]
+    for r in metrics.confusion_counts(long(spark, rows)).collect():
+        assert r.true_negative + r.false_positive + r.false_negative + r.true_positive == 37
+
+
+def test_class_counts_and_sizes(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 0), ("a", 0), ("b", 1), ("b", 7)], "node_type string, label int")
+    assert {tuple(r) for r in metrics.class_counts(rows).collect()} == {("a", 1, 2), ("b", 1, 0)}
+    assert {tuple(r) for r in metrics.dataset_sizes(rows, ["node_type"]).collect()} == {("a", 3), ("b", 2)}
+
+
+def test_latest_is_numeric(spark):
+    paths = [
+        "out/base_if_statement_2023/checkpoint-9/model.bin",
+        "out/base_if_statement_2023/checkpoint-10/model.bin",
+        "out/base_if_statement_2023/checkpoint-10/config.json",
+        "out/base_else_clause_2023/checkpoint-3/model.bin",
+        "out/base_else_clause_2023/log_tb/events",
+    ]
+    listing = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = {tuple(r) for r in metrics.latest_checkpoints(listing).collect()}
+    assert got == {
+        ("if_statement", "out/base_if_statement_2023/checkpoint-10", 10),
+        ("else_clause", "out/base_else_clause_2023/checkpoint-3", 3),
+    }
+
+
+def test_latest_per_key_breaks_ties(spark):
+    rows = spark.createDataFrame([("a", 1, 1, "x"), ("a", 1, 2, "y"), ("b", 0, 0, "z")], "k string, t int, i int, v string")
+    assert {r.v for r in metrics.latest_per_key(rows, ["k"], ["t", "i"]).collect()} == {"y", "z"}
+
+
+def test_longest_and_its_group(spark):
+    rows = spark.createDataFrame(
+        [("b", 0, "x" * 10, 5), ("b", 1, "second", 1), ("a", 0, "x", 5), ("c", 0, "x" * 900, 9), ("d", 0, "x", 511)],
+        "file string, line int, code string, token_count int",
+    )
+    first = metrics.first_record_per_group(rows, "file", "line")
+    best = metrics.longest_within_limit(length_filter(first))
+    assert tuple(best.first()) == ("a", 5)
+    shorter = metrics.longest_within_limit(length_filter(first).filter("file <> 'a'"))
+    assert sorted(r.line for r in metrics.fetch_selected_group(rows, shorter).collect()) == [0, 1]
+    with pytest.raises(PySparkException, match="no record"):
+        metrics.longest_within_limit(first.filter("false")).collect()
+    assert metrics.longest_within_limit(first.filter("false"), strict=False).count() == 0
+
+
+@pytest.mark.parametrize(("n", "batch", "epochs"), [(200, 2, 10), (7, 2, 3), (0, 4, 10), (1000, 32, 7)])
+def test_train_manifest(spark, n, batch, epochs):
+    r = metrics.train_manifest(spark.range(n), batch, epochs).first()
+    steps = math.ceil(n / batch)
+    assert (r.n_rows, r.steps, r.warmup_steps) == (n, steps, math.ceil(steps * epochs * 0.1))
+
+
+def test_align_columns(spark):
+    codes = spark.createDataFrame([(2, "b"), (1, "a")], "id int, code string")
+    vecs = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id int, vec array<double>")
+    assert {(r.code, r.vec[0]) for r in metrics.align_columns(codes, vecs).collect()} == {("a", 1.0), ("b", 2.0)}
