@@ -17,7 +17,7 @@ from codepairs.functions import labels as L
 from codepairs.functions import text as X
 from codepairs.operators import clustering, metrics, models, records, sampling, similarity, vectors
 from codepairs.plans import diff_metric, embedding, subtree
-from codepairs.session import scratch_path
+from codepairs.session import scratch_path, spread_scan
 from codepairs.sources import readers, schemas, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The text table, spread over the cores: most queries on it do costly work per row."""
+    return spread_scan(table(spark, sf, "documents"))
+
+
 def rounded(col: Column, digits: int = 6) -> Column:
     return F.round(col, digits)
 
@@ -55,7 +60,7 @@ def exploded(df: DataFrame, key: str, **arrays: str) -> DataFrame:
 
 
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    return documents(spark, sf).join(table(spark, sf, "labels"), "doc_id")
 
 
 def predicted_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,7 +108,7 @@ def model_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Text against stripped text, labelled by the share of characters kept."""
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     stripped = X.strip_comments(F.col("text"))
     share = F.round(F.length(stripped) / F.length("text"), 6)
     number = F.conv(F.substring(F.md5("source"), 1, 8), 16, 10).cast("bigint") % len(PRUNING_TYPES)
@@ -130,7 +135,7 @@ def nested_edits(spark: SparkSession, sf: str) -> DataFrame:
     """One edit per line of a document; edit number i deletes i + 1 of the nodes."""
     lines = F.split("text", "\n")
     edits = F.transform(lines, lambda line, i: F.struct(line.alias("code"), (i + 1).cast("bigint").alias("count")))
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("filename"),
         F.col("text").alias("original_code"),
         F.size(lines).cast("bigint").alias("num_of_nodes"),
@@ -151,7 +156,7 @@ DOCUMENT_HIVE = T.StructType([*DOCUMENT.fields, T.StructField("lang", T.StringTy
 
 def split_documents(spark: SparkSession, sf: str) -> DataFrame:
     part = F.when(F.col("n_chars") >= 1000, "train").otherwise("test")
-    return table(spark, sf, "documents").withColumn("partition", part)
+    return documents(spark, sf).withColumn("partition", part)
 
 
 @query
@@ -174,7 +179,7 @@ def read_pair_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def read_jsonl_dir(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").withColumns({"set": F.lit("corpus"), "partition": F.lit("test"), "part": F.col("lang")})
+    docs = documents(spark, sf).withColumns({"set": F.lit("corpus"), "partition": F.lit("test"), "part": F.col("lang")})
     root = scratch_path(spark, "dir")
     writers.write_jsonl_tree(docs, root, {"set": ["corpus"], "partition": ["test"], "part": languages(docs)})
     return readers.read_jsonl_dir(spark, root, "corpus", "test", T.StructType([*DOCUMENT.fields, T.StructField("lang", T.StringType())]))
@@ -182,7 +187,7 @@ def read_jsonl_dir(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def read_jsonl_file(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").withColumns({"set": F.lit("corpus"), "partition": F.lit("test")})
+    docs = documents(spark, sf).withColumns({"set": F.lit("corpus"), "partition": F.lit("test")})
     root = scratch_path(spark, "file")
     writers.write_jsonl_tree(docs, root, {"set": ["corpus"], "partition": ["test"]})
     return readers.read_jsonl_file(spark, root, "corpus", "test", T.StructType([*DOCUMENT.fields, T.StructField("lang", T.StringType())]))
@@ -208,7 +213,7 @@ def read_nested_json(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def read_labelled_csv(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(F.col("text").alias("code"), F.col("source").alias("label"), "lang")
+    docs = documents(spark, sf).select(F.col("text").alias("code"), F.col("source").alias("label"), "lang")
     path = writers.write_report_csv(docs, scratch_path(spark, "csv"), "run", "labelled.csv", header=False)
     return readers.read_labelled_csv(spark, path)
 
@@ -250,7 +255,7 @@ def write_report_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def project_rename(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(
+    docs = documents(spark, sf).select(
         F.col("source").alias("repo"), F.concat_ws("/", "source", "lang", "doc_id").alias("path"),
         F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("func_name"), F.col("lang").alias("language"), F.col("text").alias("code"),
     )
@@ -259,7 +264,7 @@ def project_rename(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def strip_comments(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.strip_comments(F.col("text")).alias("text"))
+    return documents(spark, sf).select("doc_id", X.strip_comments(F.col("text")).alias("text"))
 
 
 @query
@@ -274,7 +279,7 @@ def strip_comments_code(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def flatten_ws(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.flatten_ws(F.col("text")).alias("text"))
+    return documents(spark, sf).select("doc_id", X.flatten_ws(F.col("text")).alias("text"))
 
 
 @query
@@ -362,18 +367,18 @@ def split_by_label(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return models.token_counts(table(spark, sf, "documents")).select("doc_id", "token_count")
+    return models.token_counts(documents(spark, sf)).select("doc_id", "token_count")
 
 
 @query
 def token_truncate(spark: SparkSession, sf: str) -> DataFrame:
     kept = X.truncate_tokens(F.col("text"), 510)
-    return table(spark, sf, "documents").select("doc_id", F.size(kept).alias("n_tokens"), F.array_join(kept, " ").alias("tokens"))
+    return documents(spark, sf).select("doc_id", F.size(kept).alias("n_tokens"), F.array_join(kept, " ").alias("tokens"))
 
 
 @query
 def length_filter(spark: SparkSession, sf: str) -> DataFrame:
-    counted = models.token_counts(table(spark, sf, "documents"))
+    counted = models.token_counts(documents(spark, sf))
     return records.length_filter(counted, "text").select("doc_id", "token_count")
 
 
@@ -415,7 +420,7 @@ def fetch_selected_group(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def align_columns(spark: SparkSession, sf: str) -> DataFrame:
-    codes = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code"), F.col("lang").alias("label"))
+    codes = documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("text").alias("code"), F.col("lang").alias("label"))
     vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     both = metrics.align_columns(codes, vecs)
     return both.select("id", "code", "label", rounded(F.get("embedding", F.lit(0)).cast("double")).alias("first_value"))
@@ -431,7 +436,7 @@ def class_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dataset_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.dataset_sizes(table(spark, sf, "documents"), ["lang", "source"])
+    return metrics.dataset_sizes(documents(spark, sf), ["lang", "source"])
 
 
 def long_predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -473,7 +478,7 @@ def longest_within_limit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def train_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.train_manifest(table(spark, sf, "documents"), batch=32, epochs=7)
+    return metrics.train_manifest(documents(spark, sf), batch=32, epochs=7)
 
 
 # -- sampling -------------------------------------------------------------------
@@ -486,18 +491,18 @@ def balanced_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sample_n(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.sample_n(table(spark, sf, "documents"), 150, "doc_id").select("doc_id", "lang", "text")
+    return sampling.sample_n(documents(spark, sf), 150, "doc_id").select("doc_id", "lang", "text")
 
 
 @query
 def sample_per_group(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     return sampling.sample_per_group(docs, "lang", languages(docs), 15, "doc_id").select("doc_id", "lang", "text")
 
 
 @query
 def seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.seeded_shuffle(table(spark, sf, "documents"), "doc_id", batch=32).select("doc_id", "text", "position", "batch_id")
+    return sampling.seeded_shuffle(documents(spark, sf), "doc_id", batch=32).select("doc_id", "text", "position", "batch_id")
 
 
 # -- sets and reshaping ---------------------------------------------------------
@@ -506,7 +511,7 @@ def seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def union_sets(spark: SparkSession, sf: str) -> DataFrame:
     return records.union_sets(
-        table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"),
+        documents(spark, sf).select(F.col("doc_id").alias("id"), "text"),
         table(spark, sf, "benchmark").select("text", F.col("item_id").alias("id")),
         table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "text"),
     )
@@ -584,7 +589,7 @@ def embedding_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def batch_embed(spark: SparkSession, sf: str) -> DataFrame:
-    embedded = models.batch_embed(table(spark, sf, "documents").select("doc_id", "text"))
+    embedded = models.batch_embed(documents(spark, sf).select("doc_id", "text"))
     rows = embedded.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
     return rows.filter("value > 0").select("doc_id", "dim", F.col("value").cast("bigint").alias("n"))
 
@@ -592,7 +597,7 @@ def batch_embed(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def batch_classify(spark: SparkSession, sf: str) -> DataFrame:
     rules = {"quality": models.length_rule(500, 200), "toxic": models.length_rule(5000, 900)}
-    scored = models.batch_classify(table(spark, sf, "documents").select("doc_id", "text"), rules)
+    scored = models.batch_classify(documents(spark, sf).select("doc_id", "text"), rules)
     return scored.select(
         "doc_id", *[c for t in LABELS for c in (X.backticked(f"{t}-inference"), rounded(X.backticked(f"{t}-score")).alias(f"{t}-score"))]
     )

@@ -7,14 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white-space class of Python's ``re`` (29 code points), which
-# is wider than Java's \s.
-WHITESPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# White space as Python's ``re`` sees it: Java's Unicode class and the four
+# separators U+001C to U+001F that it leaves out.
+WHITESPACE = r"\s\x1c-\x1f"
 
 # One token is a run of letters, digits and underscores, or one other character
 # that is not white space: Python's ``\w+|[^\w\s]`` spelled out for Java.
-WORD = r"\p{L}\p{N}_"
-TOKEN = rf"[{WORD}]+|[^{WORD}{WHITESPACE}]"
+TOKEN = rf"(?U)[\p{{L}}\p{{N}}_]+|[^{WHITESPACE}]"
 
 # The pooling variants in the order their names are joined.
 POOLERS = ("cls", "max", "mean")
@@ -33,7 +32,7 @@ def strip_comments(code: Column) -> Column:
 
 def flatten_ws(code: Column) -> Column:
     """Each run of white space becomes one space; the ends are not trimmed."""
-    return F.regexp_replace(code, f"[{WHITESPACE}]+", " ")
+    return F.regexp_replace(code, f"(?U)[{WHITESPACE}]+", " ")
 
 
 def token_count(code: Column) -> Column:

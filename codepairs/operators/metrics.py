@@ -69,7 +69,7 @@ def latest_checkpoints(listing: DataFrame, path: str = "path") -> DataFrame:
         F.regexp_extract(path, "^(.*checkpoint-[0-9]+)", 1).alias("checkpoint"),
         F.regexp_extract(path, "^.*checkpoint-([0-9]+)", 1).alias("_n"),
     ).filter((F.col("node_type") != "") & (F.col("_n") != ""))
-    numbered = found.withColumn("step", F.col("_n").cast("bigint")).drop("_n").distinct()
+    numbered = found.withColumn("step", F.col("_n").cast("bigint")).drop("_n")
     return latest_per_key(numbered, ["node_type"], ["step", "checkpoint"])
 
 

@@ -11,12 +11,22 @@ from pyspark.sql import types as T
 from codepairs.functions.labels import label_encode
 from codepairs.functions.text import TOKEN, token_count
 from codepairs.operators.metrics import binary_metrics, confusion_counts
+from codepairs.operators.records import union_sets
 from codepairs.operators.sampling import balanced_sample
 
 
+# Training rows that one task may hold.
+ROWS_PER_TASK = 5000
+
+
+def _once(udf):
+    """Keeps Catalyst from repeating a costly call, e.g. inside a filter it derives from a later explode."""
+    return udf.asNondeterministic()
+
+
 def token_counts(df: DataFrame, text: str = "text", out: str = "token_count", tokenizer: Callable | None = None) -> DataFrame:
     """Adds the number of tokens; ``tokenizer`` maps a pandas Series of texts to one of counts."""
-    counter = F.pandas_udf(tokenizer, T.IntegerType())(F.col(text)) if tokenizer else token_count(F.col(text))
+    counter = _once(F.pandas_udf(tokenizer, T.IntegerType()))(F.col(text)) if tokenizer else token_count(F.col(text))
     return df.withColumn(out, counter)
 
 
@@ -26,24 +36,22 @@ def hashed_token_encoder(dim: int = 64) -> Callable:
     def make() -> Callable:
         import hashlib
         import re
+        from functools import lru_cache
 
         import numpy as np
 
         pattern = re.compile(r"\w+|[^\w\s]")
-        slots: dict[str, int] = {}
 
+        @lru_cache(maxsize=1_000_000)
         def slot(token: str) -> int:
-            found = slots.get(token)
-            if found is None:
-                found = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
-                # The cache is only for speed; it must not grow with the data.
-                if len(slots) < 1_000_000:
-                    slots[token] = found
-            return found
+            return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
 
         def encode(texts: np.ndarray) -> np.ndarray:
-            rows = [np.bincount([slot(t) for t in pattern.findall(text)], minlength=dim) for text in texts]
-            return np.asarray(rows, dtype=np.float32).reshape(len(texts), dim)
+            out = np.empty((len(texts), dim), dtype=np.float32)
+            for i, text in enumerate(texts):
+                slots = np.fromiter(map(slot, pattern.findall(text)), dtype=np.int64)
+                out[i] = np.bincount(slots, minlength=dim)
+            return out
 
         return encode
 
@@ -57,7 +65,7 @@ def batch_embed(
     from pyspark.ml.functions import predict_batch_udf
 
     encode = predict_batch_udf(make_fn or hashed_token_encoder(), return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
-    return df.withColumn(out, encode(F.col(text)))
+    return df.withColumn(out, _once(encode)(F.col(text)))
 
 
 def length_rule(centre: float, scale: float) -> Callable:
@@ -79,29 +87,40 @@ def length_rule(centre: float, scale: float) -> Callable:
     return make
 
 
-PREDICTION = T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
-
-
 def batch_classify(
     df: DataFrame, classifiers: dict[str, Callable], text: str = "text", batch_size: int = 64
 ) -> DataFrame:
     """Adds ``{T}-inference`` (1/0) and ``{T}-score`` (of the predicted class) for each node type.
 
     Each entry of ``classifiers`` loads its model once per Python worker. All
-    types are predicted in one pass over the rows.
+    types are predicted by one call, so a text crosses to Python once. Models
+    too large to be held together belong in separate calls.
     """
     from pyspark.ml.functions import predict_batch_udf
 
-    raw = {
-        f"_{t}": predict_batch_udf(make, return_type=PREDICTION, batch_size=batch_size)(F.col(text))
-        for t, make in classifiers.items()
-    }
-    predicted = df.withColumns(raw)
+    def make() -> Callable:
+        loaded = [load() for load in classifiers.values()]
+
+        def classify(texts):
+            out = {}
+            for i, predict in enumerate(loaded):
+                found = predict(texts)
+                out[f"label{i}"], out[f"score{i}"] = found["label"], found["score"]
+            return out
+
+        return classify
+
+    fields = [
+        field
+        for i in range(len(classifiers))
+        for field in (T.StructField(f"label{i}", T.StringType()), T.StructField(f"score{i}", T.DoubleType()))
+    ]
+    predict = _once(predict_batch_udf(make, return_type=T.StructType(fields), batch_size=batch_size))
     columns: dict[str, Column] = {}
-    for t in classifiers:
-        columns[f"{t}-inference"] = label_encode(F.col(f"`_{t}`.label"))
-        columns[f"{t}-score"] = F.col(f"`_{t}`.score")
-    return predicted.withColumns(columns).drop(*raw)
+    for i, t in enumerate(classifiers):
+        columns[f"{t}-inference"] = label_encode(F.col(f"_found.label{i}"))
+        columns[f"{t}-score"] = F.col(f"_found.score{i}")
+    return df.withColumn("_found", predict(F.col(text))).withColumns(columns).drop("_found")
 
 
 def _classifier(features: int, regularisation: float):
@@ -137,37 +156,46 @@ def train_classifiers(
     is kept and, given ``save_root``, stored at ``save_root/{type}``.
     """
     fit_rows = balanced_sample(train, node_types, use_size, id_col, text_col, seed).persist()
-    check_rows = balanced_sample(valid, node_types, use_size, id_col, text_col, seed + 1).persist()
-    models, reports = {}, []
-    try:
-        for node_type in node_types:
-            mine = F.col("node_type") == node_type
-            if fit_rows.filter(mine).isEmpty():
-                continue
-            best = (-1.0, None, None)
-            for regularisation in candidates:
-                model = _classifier(features, regularisation).fit(fit_rows.filter(mine).select("sentence", "label"))
-                checked = model.transform(check_rows.filter(mine)).select(
-                    "node_type", F.col("label").alias("actual"), F.col("prediction").cast("int").alias("pred")
-                )
-                # At most one row: the counts of one node type.
-                report = binary_metrics(confusion_counts(checked)).first()
-                accuracy = report["accuracy"] if report else 0.0
-                if accuracy > best[0]:
-                    best = (accuracy, model, (regularisation, *report) if report else None)
-            models[node_type] = best[1]
-            if best[2]:
-                reports.append(best[2])
-            if save_root:
-                best[1].write().overwrite().save(f"{save_root}/{node_type}")
-    finally:
-        fit_rows.unpersist()
-        check_rows.unpersist()
+    check_rows = balanced_sample(valid, node_types, use_size, id_col, text_col, seed + 1)
     schema = (
-        "reg_param double, node_type string, true_negative bigint, false_positive bigint, false_negative bigint,"
+        "node_type string, reg_param double, true_negative bigint, false_positive bigint, false_negative bigint,"
         " true_positive bigint, accuracy double, precision double, recall double, f1_score double"
     )
-    return models, train.sparkSession.createDataFrame(reports, schema)
+    # A sample has use_size rows per type at most, so its fit needs few tasks, and each of its many steps is short.
+    tasks = max(1, use_size // ROWS_PER_TASK)
+    # At most one row per node type.
+    present = {r["node_type"] for r in fit_rows.select("node_type").distinct().collect()}
+    fitted = {
+        (t, c): _classifier(features, c).fit(fit_rows.filter(F.col("node_type") == t).select("sentence", "label").coalesce(tasks))
+        for t in node_types
+        if t in present
+        for c in candidates
+    }
+    fit_rows.unpersist()
+    if not fitted:
+        return {}, train.sparkSession.createDataFrame([], schema)
+
+    check_rows = check_rows.persist()
+    checked = union_sets(
+        *[
+            model.transform(check_rows.filter(F.col("node_type") == t)).select(
+                "node_type", F.lit(c).alias("reg_param"), F.col("label").alias("actual"), F.col("prediction").cast("int").alias("pred")
+            )
+            for (t, c), model in fitted.items()
+        ]
+    )
+    # One row per node type and candidate.
+    reports = binary_metrics(confusion_counts(checked, ["node_type", "reg_param"])).collect()
+    check_rows.unpersist()
+    rank = {(r["node_type"], r["reg_param"]): (r["accuracy"], -candidates.index(r["reg_param"])) for r in reports}
+    models, kept = {}, []
+    for t in dict.fromkeys(t for t, _ in fitted):
+        best = max(candidates, key=lambda c: rank.get((t, c), (0.0, -candidates.index(c))))
+        models[t] = fitted[t, best]
+        kept.extend(r for r in reports if (r["node_type"], r["reg_param"]) == (t, best))
+        if save_root:
+            models[t].write().overwrite().save(f"{save_root}/{t}")
+    return models, train.sparkSession.createDataFrame([tuple(r) for r in kept], schema)
 
 
 def classify_with(models: dict, df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from codepairs.functions.text import backticked
@@ -64,7 +65,8 @@ def sample_per_group(
         F.max(F.when(F.col("_start") < k, F.col("_bucket"))).alias("_cut"), F.sum("_count").alias("_n")
     )
     if strict:
-        every = df.sparkSession.createDataFrame([(g,) for g in groups], df.select(group).schema)
+        names = F.array(*[F.lit(g) for g in groups]).cast(T.ArrayType(df.schema[group].dataType))
+        every = df.sparkSession.range(1).select(F.explode(names).alias(group))
         short = F.raise_error(F.concat(F.lit("too few rows to sample in group "), backticked(group).cast("string")))
         enough = F.coalesce(F.col("_n"), F.lit(0)) >= k
         cut = every.join(cut, group, "left").select(group, F.when(enough, F.col("_cut")).otherwise(short).alias("_cut"))
