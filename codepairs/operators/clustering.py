@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from codepairs.operators.blocks import BLOCK_ROWS, Block, block_pairs, per_block
+from codepairs.operators.blocks import BLOCK_ROWS, Block, block_pairs, in_cells, per_block
+from codepairs.operators.records import union_sets
 from codepairs.session import bounded_broadcast, settle
 
 
@@ -136,8 +137,8 @@ def density_cluster(
     point joins the lowest cluster among its cores. Clusters are numbered by
     their smallest core.
 
-    Copies of a vector are folded into one weighted point first. Blocks then
-    return degrees, a spanning forest of the cores, and the fewer than
+    Copies of a vector are folded into one weighted point first, and dense balls
+    of near copies are linked through their pivot. Blocks then return degrees, a spanning forest of the cores, and the fewer than
     ``min_pts`` links that a point which is no core can have, so the number of
     links stays linear however dense the data is. A zero vector has cosine 0 with
     everything and is noise.
@@ -155,17 +156,24 @@ def density_cluster(
     )
     id_type = df.schema[id_col].dataType.simpleString()
 
-    plain = points.select("_id", "_vec", "_weight")
-    partial = per_block(block_pairs(plain, "_id", "_vec", threshold, block_rows), _degrees(threshold), f"_id {id_type}, _near bigint")
+    n_points = points.count()
+    celled, cells = in_cells(points, "_id", "_vec", threshold, block_rows, "_weight", min_pts)
+    partial = per_block(
+        block_pairs(celled.drop("_digest"), "_id", n_points, block_rows), _degrees(threshold), f"_id {id_type}, _near bigint"
+    )
     near = partial.groupBy("_id").agg(F.sum("_near").alias("_near"))
-    is_core = (F.col("_weight") + F.coalesce("_near", F.lit(0))) >= min_pts
-    marked = settle(points.join(near, "_id", "left").select("_id", "_digest", "_vec", is_core.alias("_core")), "cores")
+    is_core = F.col("_ball").isNotNull() | ((F.col("_weight") + F.coalesce("_near", F.lit(0))) >= min_pts)
+    marked = settle(celled.join(near, "_id", "left").withColumn("_core", is_core).drop("_weight", "_near"), "cores")
 
     links = per_block(
-        block_pairs(marked.select("_id", "_vec", "_core"), "_id", "_vec", threshold, block_rows),
-        _links(threshold),
-        f"u {id_type}, v {id_type}, core boolean",
+        block_pairs(marked.drop("_digest"), "_id", n_points, block_rows), _links(threshold), f"u {id_type}, v {id_type}, core boolean"
     )
+    if cells is not None and cells.dense.any():
+        balls = marked.filter("_ball IS NOT NULL").select(F.col("_id").alias("u"), F.col("_ball").alias("v"), F.lit(True).alias("core"))
+        # A forest over the pivots, so fewer edges than there are pivots.
+        i, j = _forest(cells.close())
+        bridges = [(cells.ids[a], cells.ids[b], True) for a, b in zip(i, j, strict=True)]
+        links = union_sets(links, balls, df.sparkSession.createDataFrame(bridges, links.schema))
     links = settle(links, "links")
     own = marked.filter("_core").select(F.col("_id").alias("u"), F.col("_id").alias("v"))
     roots = settle(connected_components(links.filter("core").select("u", "v").unionByName(own)), "roots")

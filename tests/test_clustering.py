@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_similarity import clouds, cosines, frame
 
 from codepairs.operators import blocks
 from codepairs.operators.clustering import connected_components, dense_rank_ids, density_cluster
+from codepairs.session import settle
 
 
 def brute_components(edges):
@@ -75,6 +77,27 @@ def test_density_cluster(spark, monkeypatch, block_rows, min_rows, seed, thresho
     assert got == brute_density(m, threshold, min_pts)
 
 
+def test_near_copies_cost_no_pairs(spark, monkeypatch):
+    """Most points crowd into a few small balls: they are never compared with one another."""
+    monkeypatch.setattr(blocks, "MIN_BLOCK_ROWS", 1)
+    rng = np.random.default_rng(5)
+    middles = np.array([[1, 0, 0], [0.995, 0.0998, 0], [0, 1, 0]])
+    crowd = np.concatenate([middles[i % 3] + 1e-3 * rng.normal(size=3) for i in range(300)]).reshape(-1, 3)
+    rest = rng.normal(size=(40, 3))
+    m = np.concatenate([crowd, rest]).astype(np.float32)
+    threshold, min_pts = 0.99, 5
+    weighted = settle(frame(spark, m).withColumn("_weight", F.lit(1).cast("bigint")), "weighted")
+    celled, cells = blocks.in_cells(weighted, "id", "vec", threshold, 8, "_weight", min_pts)
+    assert cells.dense.sum() >= 3
+    groups: dict = {}
+    for r in blocks.block_pairs(celled, "id", 340, 8).collect():
+        groups.setdefault((r._cell, r._a, r._b), []).append(r._k)
+    work = sum(g.count(a) * g.count(b) for (_, a, b), g in groups.items())
+    assert work < 340 * 340 / 4
+    got = {r.id: (r.is_core, r.cluster) for r in density_cluster(frame(spark, m), "id", "vec", threshold, min_pts, 8).collect()}
+    assert got == brute_density(m, threshold, min_pts)
+
+
 def test_density_cluster_under_other_partitionings(spark, partitions):
     m = clouds(9, 200, copies=70)
     run = lambda: sorted(tuple(r) for r in density_cluster(frame(spark, m), "id", "vec", 0.98, 4).collect())
