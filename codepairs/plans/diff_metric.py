@@ -13,6 +13,7 @@ from codepairs.operators.models import batch_embed, token_counts
 from codepairs.operators.records import length_filter, make_pairs
 from codepairs.operators.sampling import sample_per_group, seeded_shuffle
 from codepairs.operators.vectors import cosine_pairwise
+from codepairs.session import settle
 from codepairs.sources.readers import read_pair_tree
 from codepairs.sources.schemas import AST_PAIR, CHAR_PAIR
 from codepairs.sources.writers import write_pairs
@@ -36,6 +37,9 @@ def training_set(
 ) -> DataFrame:
     """A sample of each pruning type, shuffled together and cut into batches."""
     sampled = sample_per_group(pairs, "pruning_type", pruning_types, per_type, id_col, seed, strict)
+    if per_type:
+        # A bounded sample is stored, so that the shuffle does not draw it twice.
+        sampled = settle(sampled, "sampled")
     return seeded_shuffle(sampled, id_col, batch, seed, epoch)
 
 

@@ -19,7 +19,10 @@ from codepairs.sources.writers import write_jsonl
 
 
 def prepare(spark, input_root: str, output_root: str, node_types: Sequence[str] = L.NODE_TYPES) -> None:
-    """Corpus tree to labelled records, one scan for all languages and partitions."""
+    """Corpus tree to labelled records, one scan for all languages and partitions.
+
+    ``lang`` is the directory a record lies in, which is also where it is written.
+    """
     raw = read_jsonl_partitions(spark, input_root, SUBTREE_ELEMENT)
     labelled = label_records(raw.withColumn("language", F.col("lang")), node_types, keep=["partition"])
     write_jsonl(labelled, output_root)
