@@ -7,7 +7,7 @@ Spark; ``FIXTURES.md`` lists the stand-ins.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,7 +156,7 @@ DOCUMENT_HIVE = T.StructType([*DOCUMENT.fields, T.StructField("lang", T.StringTy
 
 def split_documents(spark: SparkSession, sf: str) -> DataFrame:
     part = F.when(F.col("n_chars") >= 1000, "train").otherwise("test")
-    return documents(spark, sf).withColumn("partition", part)
+    return table(spark, sf, "documents").withColumn("partition", part)
 
 
 @query
@@ -179,7 +179,7 @@ def read_pair_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def read_jsonl_dir(spark: SparkSession, sf: str) -> DataFrame:
-    docs = documents(spark, sf).withColumns({"set": F.lit("corpus"), "partition": F.lit("test"), "part": F.col("lang")})
+    docs = table(spark, sf, "documents").withColumns({"set": F.lit("corpus"), "partition": F.lit("test"), "part": F.col("lang")})
     root = scratch_path(spark, "dir")
     writers.write_jsonl_tree(docs, root, {"set": ["corpus"], "partition": ["test"], "part": languages(docs)})
     return readers.read_jsonl_dir(spark, root, "corpus", "test", T.StructType([*DOCUMENT.fields, T.StructField("lang", T.StringType())]))
@@ -187,7 +187,7 @@ def read_jsonl_dir(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def read_jsonl_file(spark: SparkSession, sf: str) -> DataFrame:
-    docs = documents(spark, sf).withColumns({"set": F.lit("corpus"), "partition": F.lit("test")})
+    docs = table(spark, sf, "documents").withColumns({"set": F.lit("corpus"), "partition": F.lit("test")})
     root = scratch_path(spark, "file")
     writers.write_jsonl_tree(docs, root, {"set": ["corpus"], "partition": ["test"]})
     return readers.read_jsonl_file(spark, root, "corpus", "test", T.StructType([*DOCUMENT.fields, T.StructField("lang", T.StringType())]))
@@ -213,7 +213,7 @@ def read_nested_json(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def read_labelled_csv(spark: SparkSession, sf: str) -> DataFrame:
-    docs = documents(spark, sf).select(F.col("text").alias("code"), F.col("source").alias("label"), "lang")
+    docs = table(spark, sf, "documents").select(F.col("text").alias("code"), F.col("source").alias("label"), "lang")
     path = writers.write_report_csv(docs, scratch_path(spark, "csv"), "run", "labelled.csv", header=False)
     return readers.read_labelled_csv(spark, path)
 
@@ -255,7 +255,7 @@ def write_report_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def project_rename(spark: SparkSession, sf: str) -> DataFrame:
-    docs = documents(spark, sf).select(
+    docs = table(spark, sf, "documents").select(
         F.col("source").alias("repo"), F.concat_ws("/", "source", "lang", "doc_id").alias("path"),
         F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("func_name"), F.col("lang").alias("language"), F.col("text").alias("code"),
     )
@@ -420,7 +420,7 @@ def fetch_selected_group(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def align_columns(spark: SparkSession, sf: str) -> DataFrame:
-    codes = documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("text").alias("code"), F.col("lang").alias("label"))
+    codes = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code"), F.col("lang").alias("label"))
     vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     both = metrics.align_columns(codes, vecs)
     return both.select("id", "code", "label", rounded(F.get("embedding", F.lit(0)).cast("double")).alias("first_value"))
@@ -436,7 +436,7 @@ def class_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dataset_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.dataset_sizes(documents(spark, sf), ["lang", "source"])
+    return metrics.dataset_sizes(table(spark, sf, "documents"), ["lang", "source"])
 
 
 def long_predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -478,7 +478,7 @@ def longest_within_limit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def train_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.train_manifest(documents(spark, sf), batch=32, epochs=7)
+    return metrics.train_manifest(table(spark, sf, "documents"), batch=32, epochs=7)
 
 
 # -- sampling -------------------------------------------------------------------
@@ -491,18 +491,18 @@ def balanced_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sample_n(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.sample_n(documents(spark, sf), 150, "doc_id").select("doc_id", "lang", "text")
+    return sampling.sample_n(table(spark, sf, "documents"), 150, "doc_id").select("doc_id", "lang", "text")
 
 
 @query
 def sample_per_group(spark: SparkSession, sf: str) -> DataFrame:
-    docs = documents(spark, sf)
+    docs = table(spark, sf, "documents")
     return sampling.sample_per_group(docs, "lang", languages(docs), 15, "doc_id").select("doc_id", "lang", "text")
 
 
 @query
 def seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.seeded_shuffle(documents(spark, sf), "doc_id", batch=32).select("doc_id", "text", "position", "batch_id")
+    return sampling.seeded_shuffle(table(spark, sf, "documents"), "doc_id", batch=32).select("doc_id", "text", "position", "batch_id")
 
 
 # -- sets and reshaping ---------------------------------------------------------
@@ -511,7 +511,7 @@ def seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def union_sets(spark: SparkSession, sf: str) -> DataFrame:
     return records.union_sets(
-        documents(spark, sf).select(F.col("doc_id").alias("id"), "text"),
+        table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"),
         table(spark, sf, "benchmark").select("text", F.col("item_id").alias("id")),
         table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "text"),
     )
@@ -554,6 +554,14 @@ def pool_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return exploded(pooled(spark, sf), "doc", cls="cls", max="max", mean="mean")
 
 
+@query
+def pool_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Each embedding read as 8 tokens of 8 features, held in one row."""
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
+    rows = table(spark, sf, "embeddings").select("vec_id", *[c.alias(n) for n, c in vectors.pool_matrix(tokens).items()])
+    return exploded(rows, "vec_id", cls="cls", max="max", mean="mean")
+
+
 @query
 def pool_concat(spark: SparkSession, sf: str) -> DataFrame:
     joined = pooled(spark, sf).select("doc", vectors.pool_concat(["mean", "cls"]).alias("vec"))
@@ -594,6 +602,26 @@ def batch_embed(spark: SparkSession, sf: str) -> DataFrame:
     return rows.filter("value > 0").select("doc_id", "dim", F.col("value").cast("bigint").alias("n"))
 
 
+@query
+def batch_encode_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Token matrices of the conversation turns, pooled."""
+    chats = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    encoded = models.batch_encode_tokens(chats)
+    pooled_rows = encoded.select("id", *[c.alias(n) for n, c in vectors.pool_matrix(F.col("tokens")).items()])
+    return exploded(pooled_rows, "id", cls="cls", max="max", mean="mean")
+
+
+@query
+def inference_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide table behind the subtree report."""
+    docs = labelled_documents(spark, sf).withColumn("text", X.strip_comments(F.col("text")))
+    rules = {"quality": models.length_rule(500, 200), "toxic": models.length_rule(5000, 900)}
+    wide = subtree.inference_table(docs, rules, "doc_id", sample_size=60)
+    return wide.select(
+        "doc_id", *[c for t in LABELS for c in (X.backticked(f"{t}-inference"), rounded(X.backticked(f"{t}-score")).alias(f"{t}-score"), X.backticked(f"{t}-judge"))]
+    )
+
+
 @query
 def batch_classify(spark: SparkSession, sf: str) -> DataFrame:
     rules = {"quality": models.length_rule(500, 200), "toxic": models.length_rule(5000, 900)}
@@ -651,11 +679,14 @@ def training_set(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def embedding_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Embed, reduce and cluster the benchmark texts."""
+    """Encode, pool, reduce and cluster the benchmark texts."""
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("code"), F.md5("text").alias("label"))
-    report = embedding.analyse(items, "item_id", threshold=0.9, min_pts=2)
+    report = embedding.analyse(embedding.embed(items, pooling="mean"), "item_id", threshold=0.9, min_pts=2)
     return report.withColumns({c: rounded(F.col(c)) for c in ("pc0", "pc1")})
 
 
-def headline(names: Sequence[str]) -> dict[str, Query]:
-    return {n: QUERIES[n] for n in names}
+@query
+def embedding_cosines(spark: SparkSession, sf: str) -> DataFrame:
+    """The cosine matrix of the pooled benchmark texts."""
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("code"), F.col("item_id").alias("label"))
+    return embedding.cosine_matrix(embedding.embed(items, pooling="max"), "item_id")

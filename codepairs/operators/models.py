@@ -68,6 +68,61 @@ def batch_embed(
     return df.withColumn(out, _once(encode)(F.col(text)))
 
 
+def digest_token_encoder(dim: int = 8) -> Callable:
+    """Default token encoder: the first bytes of a token's md5, scaled to -1..1, between a start and an end marker."""
+
+    def make() -> Callable:
+        import hashlib
+        import re
+        from functools import lru_cache
+
+        import numpy as np
+
+        pattern = re.compile(r"\w+|[^\w\s]")
+
+        @lru_cache(maxsize=100_000)
+        def row(token: str) -> np.ndarray:
+            return (np.frombuffer(hashlib.md5(token.encode()).digest()[:dim], dtype=np.uint8) - 127.5).astype(np.float32) / 127.5
+
+        def encode(texts: list[str]) -> list[np.ndarray]:
+            return [np.stack([row(t) for t in ("<s>", *pattern.findall(text), "</s>")]) for text in texts]
+
+        return encode
+
+    return make
+
+
+def batch_encode_tokens(
+    df: DataFrame, text: str = "text", out: str = "tokens", make_fn: Callable | None = None, batch_size: int = 64
+) -> DataFrame:
+    """Adds the token matrix of each text, one row per token, whole text.
+
+    ``make_fn`` loads the encoder once per task; it maps a list of texts to a
+    list of matrices. Results leave Python ``batch_size`` rows at a time, since a
+    matrix is far larger than its text.
+    """
+    load = make_fn or digest_token_encoder()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        encode = load()
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                matrices = [np.asarray(m, dtype=np.float32) for m in encode(part.column(text).to_pylist())]
+                rows = np.cumsum([0] + [len(m) for m in matrices]).astype(np.int32)
+                widths = [m.shape[1] for m in matrices for _ in range(len(m))]
+                cells = np.cumsum([0, *widths]).astype(np.int32)
+                flat = np.concatenate([m.ravel() for m in matrices])
+                tokens = pa.ListArray.from_arrays(pa.array(rows), pa.ListArray.from_arrays(pa.array(cells), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays([*part.columns, tokens], names=[*part.schema.names, out])
+
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.ArrayType(T.FloatType())))])
+    return df.mapInArrow(run, schema)
+
+
 def length_rule(centre: float, scale: float) -> Callable:
     """Default classifier: logistic in the length of the text."""
 

@@ -159,6 +159,21 @@ def shuffled(rows: str, key: str, batch: int) -> str:
       SELECT *, row_number() OVER (ORDER BY md5('42:0:' || {key}), {key}) - 1 AS position FROM ({rows}))"""
 
 
+def digest_tokens(rows: str, text: str, key: str, dim: int) -> str:
+    """(key, dim, cls, max, mean) of the md5 token matrix between its markers."""
+    return f"""
+    SELECT {key}, d::INTEGER AS dim, any_value(first) AS cls, max(v) AS max_, avg(v) AS mean
+    FROM (SELECT {key}, d, {byte("'<s>'", "d")} AS first, CASE WHEN tok IS NOT NULL THEN {byte("tok", "d")} END AS v
+          FROM (SELECT r.{key}, t.tok FROM ({rows}) r LEFT JOIN
+                  (SELECT {key}, unnest(regexp_extract_all({text}, '{TOKEN}')) AS tok FROM ({rows})) t USING ({key})),
+               (SELECT unnest(range({dim})) AS d))
+    GROUP BY {key}, d"""
+
+
+def byte(token: str, d: str) -> str:
+    return f"((('0x' || substr(md5({token}), (2 * {d} + 1)::BIGINT, 2))::INTEGER - 127.5)::FLOAT / 127.5::FLOAT)::FLOAT::DOUBLE"
+
+
 EDIT_LINES = """
     SELECT 'doc' || doc_id AS filename, (pos - 1)::INTEGER AS num, 'doc' || doc_id || '-' || (pos - 1) AS guid,
       md5(text) AS source, line AS target,
@@ -183,8 +198,11 @@ def _edit_predictions() -> str:
     return " UNION ALL ".join(parts)
 
 
+SAMPLE_ROWS = f"SELECT doc_id, {strip('text')} AS text, quality, toxic FROM documents JOIN labels USING (doc_id)"
+
+
 def _sample_predictions() -> str:
-    rows = sampled(f"SELECT doc_id, {strip('text')} AS text, quality, toxic FROM documents JOIN labels USING (doc_id)", "doc_id", 60)
+    rows = sampled(SAMPLE_ROWS, "doc_id", 60)
     return " UNION ALL ".join(
         f"SELECT '{t}' AS node_type, {t} AS actual, ({rule(c, s)} >= 0.5)::INTEGER AS pred FROM ({rows})"
         for t, c, s in (("quality", "500", "200"), ("toxic", "5000", "900"))
@@ -313,6 +331,10 @@ ORACLES: dict[str, str] = {
         {rnd("sum(label)", 3)} AS label_sum FROM ({EDIT_LINES}) GROUP BY filename""",
     # vectors
     "pool_vectors": f"""SELECT doc, dim, {rnd("cls")} AS cls, {rnd("max_")} AS "max", {rnd("mean")} AS mean FROM ({POOLED})""",
+    "pool_matrix": f"""SELECT vec_id, d::INTEGER AS dim, {rnd("embedding[d + 1]::DOUBLE")} AS cls,
+        {rnd("list_max([embedding[i * 8 + d + 1]::DOUBLE for i in range(1, 7)])")} AS "max",
+        {rnd("list_avg([embedding[i * 8 + d + 1]::DOUBLE for i in range(1, 7)])")} AS mean
+        FROM embeddings, (SELECT unnest(range(8)) AS d)""",
     "pool_concat": f"""SELECT doc, dim, {rnd("cls")} AS value FROM ({POOLED})
         UNION ALL SELECT doc, dim + (SELECT max(len(embedding)) FROM embeddings)::INTEGER, {rnd("mean")} FROM ({POOLED})""",
     "cosine_pairwise": f"""SELECT a.vec_id, {rnd("list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")} AS inspect_mean
@@ -320,6 +342,21 @@ ORACLES: dict[str, str] = {
     "density_cluster": CLUSTERS,
     # models
     "batch_embed": hashed("SELECT doc_id, text FROM documents", "text", "doc_id", 64),
+    "batch_encode_tokens": f"""SELECT id, dim, {rnd("cls")} AS cls, {rnd("max_")} AS "max", {rnd("mean")} AS mean
+        FROM ({digest_tokens("SELECT conv_id * 1000 + turn AS id, text FROM conversations", "text", "id", 8)})""",
+    "inference_table": "SELECT doc_id, "
+    + ", ".join(
+        f"""({rule(c, s)} >= 0.5)::INTEGER AS "{t}-inference", {rnd(f"greatest({rule(c, s)}, 1 - {rule(c, s)})")} AS "{t}-score",
+        CASE WHEN ({rule(c, s)} >= 0.5)::INTEGER = {t} THEN 'CORRECT' ELSE 'INCORRECT' END AS "{t}-judge" """
+        for t, c, s in (("quality", "500", "200"), ("toxic", "5000", "900"))
+    )
+    + f" FROM ({sampled(SAMPLE_ROWS, 'doc_id', 60)})",
+    "embedding_cosines": f"""
+        WITH pooled AS MATERIALIZED (
+          SELECT item_id, list(max_::FLOAT::DOUBLE ORDER BY dim) AS v
+          FROM ({digest_tokens("SELECT item_id, text FROM benchmark", "text", "item_id", 8)}) GROUP BY item_id)
+        SELECT a.item_id || '_' || b.item_id AS "index", a.item_id AS source, b.item_id AS target,
+          {rnd("list_cosine_similarity(a.v, b.v)")} AS "cosSim" FROM pooled a, pooled b""",
     "batch_classify": "SELECT doc_id, "
     + ", ".join(
         f"""({rule(c, s)} >= 0.5)::INTEGER AS "{t}-inference", {rnd(f"greatest({rule(c, s)}, 1 - {rule(c, s)})")} AS "{t}-score" """

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codepairs.functions.text import flatten_ws
+from codepairs.functions.text import flatten_ws, report_name
 from codepairs.operators.metrics import fetch_selected_group, first_record_per_group, longest_within_limit
 from codepairs.operators.models import batch_embed, token_counts
 from codepairs.operators.records import length_filter, make_pairs
@@ -16,7 +16,7 @@ from codepairs.operators.vectors import cosine_pairwise
 from codepairs.session import settle
 from codepairs.sources.readers import read_pair_tree
 from codepairs.sources.schemas import AST_PAIR, CHAR_PAIR
-from codepairs.sources.writers import write_pairs
+from codepairs.sources.writers import write_pairs, write_report_csv
 
 
 def prepare(spark, input_root: str, output_root: str, flavour: str = "char") -> None:
@@ -65,3 +65,11 @@ def inspect_longest(
         flat = batch_embed(flat, "flattened_edited_code", f"_target_{pooler}", make_fn)
         sides[pooler] = (f"_source_{pooler}", f"_target_{pooler}")
     return cosine_pairwise(flat, sides).drop(*[c for pair in sides.values() for c in pair])
+
+
+def write_inspection(report: DataFrame, root: str, run_label: str, set_names: Sequence[str], poolers: Sequence[str]) -> str:
+    """Writes an inspection below ``root``, in a file named after the run, the sets and the poolers."""
+    name = report_name(F.lit(run_label), F.array(*map(F.lit, set_names)), F.array(*map(F.lit, poolers)))
+    # One row: the name itself.
+    file = report.sparkSession.range(1).select(name.alias("name")).first()["name"]
+    return write_report_csv(report, root, run_label, file)

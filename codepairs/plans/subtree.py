@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codepairs.functions import labels as L
 from codepairs.functions.text import backticked
@@ -13,9 +14,10 @@ from codepairs.operators.metrics import binary_metrics, confusion_counts
 from codepairs.operators.models import batch_classify
 from codepairs.operators.records import label_records, melt_by_type, route_edits
 from codepairs.operators.sampling import sample_n
-from codepairs.sources.schemas import SUBTREE_ELEMENT
+from codepairs.session import settle
 from codepairs.sources.readers import read_jsonl_partitions
-from codepairs.sources.writers import write_jsonl
+from codepairs.sources.schemas import SUBTREE_ELEMENT
+from codepairs.sources.writers import write_jsonl, write_report_csv
 
 
 def prepare(spark, input_root: str, output_root: str, node_types: Sequence[str] = L.NODE_TYPES) -> None:
@@ -40,15 +42,40 @@ def score(scored: DataFrame, node_types: Sequence[str], by: Sequence[str] = ())
     return binary_metrics(confusion_counts(long, [*by, "node_type"]))
 
 
+def inference_table(
+    labelled: DataFrame, classifiers: dict[str, Callable], id_col: str, sample_size: int = 2500, text: str = "text", seed: int = 42
+) -> DataFrame:
+    """A sample of labelled records with inference, score and judgement per node type."""
+    rows = sample_n(labelled, sample_size, id_col, seed)
+    return with_judgements(batch_classify(rows, classifiers, text), list(classifiers), "text")
+
+
 def evaluate_sample(
     labelled: DataFrame, classifiers: dict[str, Callable], id_col: str, sample_size: int = 2500, text: str = "text", seed: int = 42
 ) -> DataFrame:
     """Metrics per node type on a sample of labelled records."""
-    rows = sample_n(labelled, sample_size, id_col, seed)
-    return score(batch_classify(rows, classifiers, text), list(classifiers))
+    return score(inference_table(labelled, classifiers, id_col, sample_size, text, seed), list(classifiers))
+
+
+def edit_table(
+    edits: DataFrame, classifiers: dict[str, Callable], stops: Sequence[str] = L.STOP_TYPES, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Routed edits with inference, score and 1/0 judgement per node type; ``bucket`` tells target from others."""
+    targets = list(classifiers)
+    return with_judgements(batch_classify(route_edits(edits, targets, stops, keep), classifiers), targets, "int")
 
 
 def evaluate_edits(edits: DataFrame, classifiers: dict[str, Callable], stops: Sequence[str] = L.STOP_TYPES) -> DataFrame:
     """Metrics per node type on edited records, target and other deletions apart, in one pass."""
-    targets = list(classifiers)
-    return score(batch_classify(route_edits(edits, targets, stops), classifiers), targets, ["bucket"])
+    return score(edit_table(edits, classifiers, stops), list(classifiers), ["bucket"])
+
+
+def write_reports(table: DataFrame, node_types: Sequence[str], root: str, run_label: str, by: Sequence[str] = ()) -> tuple[str, str]:
+    """Stores an inference table once and writes it and its metrics as CSV; arrays become JSON text."""
+    stored = settle(table, "inference")
+    texts = {
+        f.name: F.to_json(f.name) for f in stored.schema.fields if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))
+    }
+    flat = stored.withColumns(texts) if texts else stored
+    inference = write_report_csv(flat, root, run_label, "inference.csv")
+    return inference, write_report_csv(score(stored, node_types, by), root, run_label, "evaluate.csv")

@@ -24,6 +24,14 @@ def test_batch_embed(spark):
         np.testing.assert_array_equal(r.embedding, embed(texts[r.id], 64))
 
 
+def test_a_model_is_called_once_per_row(spark):
+    rows = spark.createDataFrame([(0, "a")], "id int, text string")
+    embedded = models.batch_embed(rows).select("id", F.posexplode("embedding").alias("dim", "value")).filter("value > 0")
+    assert embedded._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    classified = models.batch_classify(rows, {t: models.length_rule(1, 1) for t in "abc"})
+    assert classified._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_plugged_tokenizer(spark):
     import pandas as pd
 
@@ -92,8 +100,34 @@ def test_analyse(spark):
     rows = spark.createDataFrame(
         [(i, code, f"l{i}") for i, code in enumerate(["if a: b", "if a: b", "if a: c", "while x", "while x", "z"])], "id int, code string, label string"
     )
-    got = {r.id: r for r in embedding.analyse(rows, "id", threshold=0.9, min_pts=2).collect()}
+    embedded = embedding.embed(rows, pooling="mean")
+    got = {r.id: r for r in embedding.analyse(embedded, "id", threshold=0.999, min_pts=2).collect()}
     assert got[0].label_type == got[1].label_type == "cluster-0"
     assert got[3].label_type == got[4].label_type == "cluster-1"
     assert got[5].label_type == "noise"
     assert {"pc0", "pc1", "code", "label"} <= set(got[0].asDict())
+    matrix = embedding.cosine_matrix(embedded, "id").collect()
+    assert len(matrix) == 36
+    assert {r.cosSim for r in matrix if r.source == r.target} == {1.0}
+
+
+def test_batch_encode_tokens(spark):
+    texts = ["a b", "", "x" * 10, *[f"t{i} = {i}" for i in range(200)]]
+    rows = models.batch_encode_tokens(spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1), batch_size=7).collect()
+    assert [r.text for r in rows] == texts
+    for r in rows:
+        tokens = ["<s>", *re.findall(r"\w+|[^\w\s]", r.text), "</s>"]
+        want = [[(b - 127.5) / 127.5 for b in hashlib.md5(t.encode()).digest()[:8]] for t in tokens]
+        np.testing.assert_allclose(r.tokens, want, rtol=1e-6)
+
+
+def test_reports_are_written(spark, tmp_path):
+    schema = "original_code string, edited_code string, delete_target_node string, original_ast_node_types array<string>, edited_ast_node_types array<string>"
+    rows = spark.createDataFrame([("o", "x" * 9, "if_statement", ["if_statement"], []), ("o", "x", "call", ["call"], [])], schema)
+    wide = subtree.edit_table(rows, {"if_statement": models.length_rule(5, 1)})
+    inference, evaluate = subtree.write_reports(wide, ["if_statement"], str(tmp_path), "run", ["bucket"])
+    back = spark.read.option("header", True).csv(inference)
+    assert {(r.bucket, r["if_statement-judge"]) for r in back.collect()} == {("target", "0"), ("others", "1")}
+    assert spark.read.option("header", True).csv(evaluate).count() == 2
+    path = diff_metric.write_inspection(rows.select("original_code"), str(tmp_path), "run", ["all_point"], ["cls", "max"])
+    assert path.endswith("run/run_all-point_cls-max.csv") and spark.read.option("header", True).csv(path).count() == 2

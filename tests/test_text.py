@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -29,6 +30,20 @@ def test_strip_comments_on_a_long_docstring(one):
     assert one(X.strip_comments(F.col("c")), "c string", code) == "\nx = 1"
 
 
+def test_patterns_agree_with_python_on_random_text(spark):
+    rng = random.Random(11)
+    pieces = ['"""', "'''", '"', "'", "#", "\n", "\r", "\t", " ", "a", "é", "\u2028", "\x1d", "=1"]
+    codes = ["".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(600)]
+    rows = spark.createDataFrame(list(enumerate(codes)), "i int, c string")
+    got = rows.select("i", X.strip_comments(F.col("c")).alias("s"), X.flatten_ws(F.col("c")).alias("f"), X.token_count(F.col("c")).alias("n")).collect()
+    for r in got:
+        code = codes[r.i]
+        stripped = re.sub("#.*", "", re.sub("(?s)'''.*?'''", "", re.sub('(?s)""".*?"""', "", code)))
+        assert r.s == stripped
+        assert r.f == re.sub(r"\s+", " ", code)
+        assert r.n == len(re.findall(r"\w+|[^\w\s]", code))
+
+
 def test_no_hash_survives(one):
     for code in ("#" * 50, "a#b\nc##d", '"""#"""#'):
         assert "#" not in one(X.strip_comments(F.col("c")), "c string", code)
