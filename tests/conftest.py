@@ -10,7 +10,7 @@ from codepairs.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("codepairs-tests", "local[4]", 4)
+    session = build_session("codepairs-tests", "local[4]", 2)
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

@@ -67,8 +67,10 @@ def brute_density(m, threshold, min_pts):
     return out
 
 
-@pytest.mark.parametrize(("block_rows", "min_rows"), [(16, 1), (64, 1), (1024, 64)])
-@pytest.mark.parametrize(("seed", "threshold", "min_pts", "copies"), [(1, 0.97, 5, 0), (2, 0.995, 4, 40), (3, 0.999, 3, 2), (4, 0.9, 8, 0)])
+@pytest.mark.parametrize(
+    ("block_rows", "min_rows", "seed", "threshold", "min_pts", "copies"),
+    [(16, 1, 1, 0.97, 5, 0), (16, 1, 2, 0.995, 4, 40), (64, 1, 3, 0.999, 3, 2), (64, 1, 4, 0.9, 8, 0), (1024, 64, 2, 0.995, 4, 40), (16, 1, 5, 0.6, 30, 90)],
+)
 def test_density_cluster(spark, monkeypatch, block_rows, min_rows, seed, threshold, min_pts, copies):
     monkeypatch.setattr(blocks, "MIN_BLOCK_ROWS", min_rows)
     m = clouds(seed, 260, spread=0.12, copies=copies)
