@@ -103,7 +103,8 @@ def model_paths(spark: SparkSession, sf: str) -> DataFrame:
     """A model path per labelled document, its poolers switched on by the row's own values."""
     rows = labelled_documents(spark, sf)
     name = X.pooler_name(F.col("quality") == 1, F.col("toxic") == 1, F.col("n_chars") > 1000)
-    return rows.select("doc_id", "lang", "source", name.alias("pooler"), F.concat_ws("_", F.lit("output/base"), name, "source", "doc_id").alias("path"))
+    path = F.concat_ws("_", F.lit("output/base"), name, "source", "doc_id")
+    return rows.select("doc_id", "lang", "source", name.alias("pooler"), path.alias("path"))
 
 
 def document_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -462,7 +463,9 @@ def latest_per_key(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def latest_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
     """Paths of a training run built from events: the event id is the step."""
-    path = F.concat(F.lit("output/base_"), F.col("event_type"), F.lit("_statement_"), F.col("user_id").cast("string"), F.lit("/checkpoint-"), F.col("event_id").cast("string"), F.lit("/model.bin"))
+    user, step = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    folder = F.concat(F.lit("output/base_"), F.col("event_type"), F.lit("_statement_"), user)
+    path = F.concat(folder, F.lit("/checkpoint-"), step, F.lit("/model.bin"))
     return metrics.latest_checkpoints(table(spark, sf, "events").select(path.alias("path")))
 
 
@@ -617,9 +620,8 @@ def inference_table(spark: SparkSession, sf: str) -> DataFrame:
     docs = labelled_documents(spark, sf).withColumn("text", X.strip_comments(F.col("text")))
     rules = {"quality": models.length_rule(500, 200), "toxic": models.length_rule(5000, 900)}
     wide = subtree.inference_table(docs, rules, "doc_id", sample_size=60)
-    return wide.select(
-        "doc_id", *[c for t in LABELS for c in (X.backticked(f"{t}-inference"), rounded(X.backticked(f"{t}-score")).alias(f"{t}-score"), X.backticked(f"{t}-judge"))]
-    )
+    scored = wide.withColumns({f"{t}-score": rounded(X.backticked(f"{t}-score")) for t in LABELS})
+    return scored.select("doc_id", *X.columns([f"{t}-{part}" for t in LABELS for part in ("inference", "score", "judge")]))
 
 
 @query

@@ -157,7 +157,7 @@ def density_cluster(
     id_type = df.schema[id_col].dataType.simpleString()
 
     n_points = points.count()
-    celled, cells = in_cells(points, "_id", "_vec", threshold, block_rows, "_weight", min_pts)
+    celled, cells = in_cells(points, "_id", "_vec", n_points, threshold, block_rows, "_weight", min_pts)
     partial = per_block(
         block_pairs(celled.drop("_digest"), "_id", n_points, block_rows), _degrees(threshold), f"_id {id_type}, _near bigint"
     )

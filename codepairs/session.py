@@ -15,6 +15,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 def build_session(app: str = "codepairs", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+    """Cluster settings are left to the cluster; ``master`` is for local runs."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -22,7 +23,8 @@ def build_session(app: str = "codepairs", master: str | None = None, shuffle_par
         .config("spark.sql.session.timeZone", "UTC")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g")
+        local = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"}
+        builder = builder.master(master).config(map=local)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

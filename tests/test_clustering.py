@@ -89,7 +89,7 @@ def test_near_copies_cost_no_pairs(spark, monkeypatch):
     m = np.concatenate([crowd, rest]).astype(np.float32)
     threshold, min_pts = 0.99, 5
     weighted = settle(frame(spark, m).withColumn("_weight", F.lit(1).cast("bigint")), "weighted")
-    celled, cells = blocks.in_cells(weighted, "id", "vec", threshold, 8, "_weight", min_pts)
+    celled, cells = blocks.in_cells(weighted, "id", "vec", 340, threshold, 8, "_weight", min_pts)
     assert cells.dense.sum() >= 3
     groups: dict = {}
     for r in blocks.block_pairs(celled, "id", 340, 8).collect():

@@ -68,7 +68,7 @@ def test_pairs_meet_once_and_pruning_prunes(spark, monkeypatch):
     m = clouds(3, 400, dim=3, centres=12, spread=0.02)
     stored = settle(frame(spark, m), "test-vectors")
     for threshold in (None, 0.99):
-        rows = block_pairs(in_cells(stored, "id", "vec", threshold, 16)[0], "id", 400, 16).collect()
+        rows = block_pairs(in_cells(stored, "id", "vec", 400, threshold, 16)[0], "id", 400, 16).collect()
         seen, total = set(), 0
         groups: dict = {}
         for r in rows:
