@@ -1,0 +1,107 @@
+"""Packing: ids against whole-text encoding, gapless sequences, and the number of sequences."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from codepairs.llm.packing import CAPACITY, WordEncoder, best_fit, op8_packing, pack, pack_documents, pieces, tokenizer_file
+
+SCHEMA = "doc_id long, text string, lang string, sequence_id string, length string"
+
+
+def test_words_encode_as_whole_texts():
+    encoder = WordEncoder(tokenizer_file())
+    rng = random.Random(3)
+    alphabet = "abcÄéßñ'stré  \x1c\x85 \n\t0129#%­Σİ<|endoftext|>中文🎉"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(800)]
+    texts += ["", " ", "it's  THEY'LL\n\n x", "a<|endoftext|>b <|startoftext|>", "Ouvivi de enviment éoué on", "é ́"]
+    whole = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [list(ids) for ids in encoder.encode(texts)] == whole
+
+
+def first_bins(lengths, capacity):
+    """Best-fit decreasing one piece at a time."""
+    gaps = []
+    for length in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= length]
+        if fits:
+            gaps.remove(min(fits))
+            gaps.append(min(fits) - length)
+        else:
+            gaps.append(capacity - length)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_rounds_equal_best_fit_piece_by_piece(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([7, 64, 100])
+    lengths = [rng.choice([rng.randint(1, capacity), capacity, 1, capacity // 2]) for _ in range(rng.choice([1, 40, 400]))]
+    counts = {n: lengths.count(n) for n in lengths}
+    plan = best_fit(counts, capacity)
+    taken = {}
+    for (length, rank, first, per, offset), after in zip(plan, [*plan[1:], None], strict=True):
+        end = after[1] if after and after[0] == length else counts[length]
+        for r in range(rank, end):
+            taken.setdefault(first + (r - rank) // per, []).append((offset + (r - rank) % per * length, length))
+    for spans in taken.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert sorted(n for spans in taken.values() for _, n in spans) == sorted(lengths)
+    assert len(taken) == first_bins(lengths, capacity)
+
+
+def check(docs, rows):
+    encoder = WordEncoder(tokenizer_file())
+    want = []
+    for doc_id, text in docs:
+        ids = np.array([*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        for i, s in enumerate(range(0, len(ids), CAPACITY)):
+            part = ids[s : s + CAPACITY]
+            want.append((doc_id, i, s, len(part), zlib.crc32(part.tobytes())))
+    got = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in sequences.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= CAPACITY
+    assert len(sequences) == first_bins([r.length for r in rows], CAPACITY)
+
+
+def test_edge_rows(spark):
+    long = "Word and other " * 3000
+    docs = [(1, long), (2, None), (3, ""), (4, "a"), (4, "a"), (None, "b c"), (5, "x" * 20000), *[(n, "same text here") for n in range(10, 400)]]
+    df = spark.createDataFrame([(i, t, None, "clash", "clash") for i, t in docs], SCHEMA)
+    check(docs, pack_documents(df, tokenizer_file()).collect())
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    assert pack_documents(df, tokenizer_file()).collect() == []
+
+
+def test_pack_keeps_other_columns(spark):
+    df = spark.createDataFrame([("a", 3), ("b", 7), ("c", 7)], "name string, length long")
+    rows = pack(df, 10).collect()
+    assert sorted(r.name for r in rows) == ["a", "b", "c"] and len({r.sequence_id for r in rows}) == 2
+
+
+def test_query_equals_one_by_one(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    check(docs, op8_packing(spark, sf).collect())
+
+
+def test_pieces_of_long_documents(spark):
+    df = spark.createDataFrame([(1, "a " * 10)], "doc_id long, text string")
+    assert [(r.start, r.length) for r in pieces(df, tokenizer_file(), 4).collect()] == [(0, 4), (4, 4), (8, 3)]
