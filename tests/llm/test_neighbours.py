@@ -1,0 +1,53 @@
+"""Nearest neighbours against brute force."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from codepairs.llm.neighbours import nearest, op7_nearest
+
+SCHEMA = "vec_id long, embedding array<double>, score string, rank string"
+
+
+def brute(rows, k=10, every=100):
+    good = [(i, np.array(v, dtype=float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    out = set()
+    for q, a in good:
+        if q % every == 0:
+            near = sorted((float(np.sqrt(((a - b) ** 2).sum())), i) for i, b in good if i != q and len(b) == len(a))[:k]
+            out |= {(q, r, i, round(d, 9)) for r, (d, i) in enumerate(near, 1)}
+    return sorted(out)
+
+
+def got(df):
+    return sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in df.collect())
+
+
+def test_random_ties_copies_and_tiles(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 6))
+    rows = [(i, (base[rng.integers(40)] + (rng.normal(size=6) * 1e-3 if i % 3 else 0)).tolist()) for i in range(600)]
+    rows += [(700 + i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(150)]
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], SCHEMA)
+    for tile_rows in (8192, 100):
+        assert got(nearest(df, F.col("vec_id") % 100 == 0, tile_rows=tile_rows)) == brute(rows)
+
+
+def test_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [1.0, inf]), (6, [None, 1.0])]
+    rows += [(7, [1.0, 2.5]), (8, [-0.0, 3.0]), (None, [1.0, 2.0]), (100, [1.0, 2.0, 3.0]), (9, [1e-300, 1e300])]
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], SCHEMA)
+    want = brute([r for r in rows if r[0] != 9])
+    assert [r for r in got(nearest(df.filter("vec_id is null or vec_id <> 9"), F.col("vec_id") % 100 == 0))] == want
+    assert {r[0] for r in want} == {0}
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    assert nearest(df, F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    assert got(op7_nearest(spark, sf)) == brute(rows)
