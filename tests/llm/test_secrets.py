@@ -1,0 +1,64 @@
+"""Secret scans against the re module."""
+
+import hashlib
+import random
+import re
+
+from codepairs.llm.secrets import WINDOW, linked, scan
+
+SCHEMA = "doc_id long, text string, kind string, spans string"
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base(text):
+    found = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [f"{k}:{s}:{e}" for s, _, k, e in sorted(found)]
+
+
+def check(spark, texts):
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA)
+    for r in scan(df).collect():
+        want = base(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), texts[r.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex"))
+        spans = r.spans.split(",") if r.spans else []
+        assert [s for s in spans if s.split(":")[0] in ("assign", "access", "hex")] == want
+
+
+def test_random_texts(spark):
+    rng = random.Random(4)
+    words = ["password", "PassWD", "token", "api_key", "ApiKey", "secret", "=", ":", " = ", "'", '"', "abcdef12", "AKIA", "AKIA" + "Z9" * 6]
+    words += ["0123456789abcdef" * 2, "f" * 31, " ", "\n", "é🎉", "x", "secret:token:abcdefghij", "=short", "AKIAAKIA0000AAAA", "user: bob", "https://h/x"]
+    check(spark, ["".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(500)])
+
+
+def test_odd_texts(spark):
+    check(spark, [None, "", "🎉password=abcdefgh", "x" * 200_000 + " token=abcdefgh1", "token=abcdefgh " * 3000, "AKIA" * 9, "a" * 32 + "g" + "b" * 40])
+
+
+def test_rows_that_repeat_and_empty(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh", None, None)] * 3 + [(None, "AKIA" + "A" * 12, None, None)], SCHEMA)
+    assert sorted((str(r.doc_id), r.spans) for r in scan(df).collect()) == [("1", "assign:0:14")] * 3 + [("None", "access:0:16")]
+    assert scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_weak_parts_need_company(spark):
+    token = "Ab1" + "cD" * 18 + "e"
+    key = "AKIA" + "B2" * 6
+    texts = [token, f"{key} {token}", f"{key} {'x ' * 150}{token}", "https://h.example/x", f"https://h.example/x {key} {token}", f"https://h.example/x {key}"]
+    df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA)
+    kinds = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",") if s] for r in scan(df).collect()}
+    assert kinds == {0: [], 1: ["access", "weak"], 2: ["access"], 3: [], 4: ["endpoint", "access", "weak"], 5: ["access"]}
+
+
+def test_linking_equals_all_pairs(spark):
+    rng = random.Random(9)
+    kinds = ["assign", "access", "hex", "ident", "weak", "endpoint"]
+    spans = sorted({(rng.randrange(4), (k := rng.randrange(6)), kinds[k], rng.randrange(6000)) for _ in range(150)})
+    df = spark.createDataFrame([(*s, s[3] + 5) for s in spans], "_row long, order int, kind string, start long, end long")
+    group = {"assign": "s", "hex": "s", "weak": "s", "access": "i", "ident": "i", "endpoint": "p"}
+    needs = {"ident": "s", "weak": "i", "endpoint": "is"}
+    want = {s for s in spans if s[2] in needs and all(any(t[0] == s[0] and group[t[2]] == c and abs(t[3] - s[3]) <= WINDOW for t in spans) for c in needs[s[2]])}
+    assert {(r._row, r.order, r.kind, r.start) for r in linked(df).collect()} == want
