@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,17 @@ def components(edges: DataFrame) -> DataFrame:
         turn += 1
     least = settle(labels.groupBy("label").agg(F.min("node").alias("component")), "cc-least")
     return labels.join(least, "label").select("node", "component")
+
+
+def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a symmetric matrix of links, each node that is not the first of its component, with that first node."""
+    root = np.full(len(near), -1)
+    for start in np.flatnonzero(near.any(axis=1)):
+        if root[start] < 0:
+            root[start] = start
+            front = np.array([start])
+            while len(front):
+                front = np.flatnonzero(near[front].any(axis=0) & (root < 0))
+                root[front] = start
+    node = np.flatnonzero((root >= 0) & (root != np.arange(len(near))))
+    return node, root[node]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codepairs.llm.components import components
+from codepairs.llm.components import components, spanning
 from codepairs.llm.registry import query, table
 from codepairs.llm.vectors import doubles, is_valid, matrix
 from codepairs.session import settle
@@ -70,20 +70,6 @@ def _assign(shared, reach: float):
     return assign
 
 
-def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For a symmetric matrix of links, each node that is not the first of its component, with that first node."""
-    root = np.full(len(near), -1)
-    for start in np.flatnonzero(near.any(axis=1)):
-        if root[start] < 0:
-            root[start] = start
-            front = np.array([start])
-            while len(front):
-                front = np.flatnonzero(near[front].any(axis=0) & (root < 0))
-                root[front] = start
-    node = np.flatnonzero((root >= 0) & (root != np.arange(len(near))))
-    return node, root[node]
-
-
 def _compare(cosine: float):
     def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """Links between two blocks of a cell, as counts per vector and the edges of a spanning forest."""
