@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codepairs.llm import mixing, neighbours, packing, vector_dedup, warc  # noqa: F401
+from codepairs.llm import minhash, mixing, neighbours, packing, secrets, vector_dedup, warc  # noqa: F401
 from codepairs.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
