@@ -34,17 +34,19 @@ from codepairs.session import settle
 CAPACITY = 4096
 END_ID = 1
 # Words whose ids a worker remembers, and the rows of one bucket of ranks.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 BUCKET_ROWS = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Encodes texts word by word with a memory of words.
+    """Encodes texts word by word with a memory of words, as little-endian 32-bit ids.
 
-    Holds for tokenizers that never join characters across white space, as those
-    that split on it before they merge do: the ids of a text are then the ids of its words in turn.
+    Holds for tokenizers that never join characters across white space or
+    between letters and other signs, ignore case, and mark word ends, as those
+    do that split before they merge: the ids of a text are then the ids of its
+    words in turn, and a word with a mark after it is the ids of both.
     """
 
     def __init__(self, path: str):
@@ -52,24 +54,70 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        ends = {i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")}
+        self.ends = np.isin(np.arange(self.tokenizer.get_vocab_size()), list(ends))
+        # Words used since the memory was last full, and those of the time before.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         # Python also splits at the four separators below, which tokenizers do not take for white space.
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
         return [w for w in re.split(r"[ \t-\r]+", text) if w] if odd else text.split()
 
+    def _whole(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _letters(self, stems: list[str]) -> list[bytes]:
+        """Words of letters alone, joined for one call and parted at the ids that end a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(stems):
+            return self._whole(stems)
+        data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _learn(self, words: set[str]) -> None:
+        stems: dict[str, None] = {}
+        odd: list[str] = []
+        made: list[tuple[str, str, str]] = []
+        for word in words:
+            if (ids := self.older.get(word)) is not None:
+                self.known[word] = ids
+                continue
+            mark = word[-1] if word[-1] in ".,;:!?" else ""
+            stem = (word[:-1] if mark else word).lower()
+            if stem.isalpha() and "\u03c3" not in stem and "\u03c2" not in stem:  # but for sigma, letters have one small form
+                made.append((word, stem, mark))
+                for part in (stem, mark):
+                    if part and part not in self.known:
+                        if part in self.older:
+                            self.known[part] = self.older[part]
+                        elif part is mark:
+                            odd.append(part)
+                        else:
+                            stems[part] = None
+            else:
+                odd.append(word)
+        if stems:
+            self.known.update(zip(stems, self._letters(list(stems)), strict=True))
+        if odd:
+            self.known.update(zip(odd, self._whole(odd), strict=True))
+        for word, stem, mark in made:
+            self.known[word] = self.known[stem] + self.known[mark] if mark else self.known[stem]
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            words = self.words(text)
-            fresh = list(set(words).difference(self.known))
+        split = [self.words(text) for text in texts]
+        for at in range(0, len(split), 64):
+            part = split[at : at + 64]
+            fresh = set(chain.from_iterable(part)).difference(self.known)
             if fresh:
-                if len(self.known) + len(fresh) > REMEMBERED:
-                    self.known.clear()
-                    fresh = list(set(words))
-                found = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
-                self.known.update((w, e.ids) for w, e in zip(fresh, found, strict=True))
-            yield np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), dtype="<u4")
+                if len(self.known) > REMEMBERED:
+                    self.known, self.older = {}, self.known
+                    fresh = set(chain.from_iterable(part))
+                self._learn(fresh)
+            for words in part:
+                yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
 
 
 _encoders: dict[str, WordEncoder] = {}

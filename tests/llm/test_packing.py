@@ -14,8 +14,10 @@ SCHEMA = "doc_id long, text string, lang string, sequence_id string, length stri
 def test_words_encode_as_whole_texts():
     encoder = WordEncoder(tokenizer_file())
     rng = random.Random(3)
+    words = "WORD, Éa. ΑΣ; Σ! İz ǅa: ﬁx Ålso K9 don't".split()
     alphabet = "abcÄéßñ'stré  \x1c\x85 \n\t0129#%­Σİ<|endoftext|>中文🎉"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(800)]
+    texts += [" ".join(rng.choice(words) for _ in range(9)) for _ in range(50)]
     texts += ["", " ", "it's  THEY'LL\n\n x", "a<|endoftext|>b <|startoftext|>", "Ouvivi de enviment éoué on", "é ́"]
     whole = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [list(ids) for ids in encoder.encode(texts)] == whole
