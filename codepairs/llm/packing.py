@@ -14,6 +14,7 @@ and rank.
 from __future__ import annotations
 
 import bisect
+import math
 import os
 import re
 import zlib
@@ -33,9 +34,9 @@ from codepairs.session import settle
 # The sequence length and the id that ends a document.
 CAPACITY = 4096
 END_ID = 1
-# Words whose ids a worker remembers, and the rows of one bucket of ranks.
+# Words whose ids a worker remembers, and the least rows of a bucket of ranks.
 REMEMBERED = 600_000
-BUCKET_ROWS = 1_000_000
+BUCKET_ROWS = 500
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -188,21 +189,23 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return plan
 
 
-def _ranked(stored: DataFrame) -> DataFrame:
+def _ranked(stored: DataFrame, counts: dict[int, int]) -> DataFrame:
     """``stored`` with ``_rank``, the place of a piece among those of its length, from 0.
 
-    Rows are salted into buckets by a number they were stored with; ranks run
-    inside buckets and start where the smaller buckets of the same length end.
+    A length is cut into buckets of about the root of all rows, so that neither
+    the rows of a bucket nor the buckets of a length become many. Ranks run inside buckets
+    and start where the smaller buckets of the same length end.
     """
-    spark = stored.sparkSession
-    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored.count() // BUCKET_ROWS))
-    salted = stored.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(n_buckets)))
+    each = max(BUCKET_ROWS, math.isqrt(sum(counts.values())))
+    cuts = stored.sparkSession.createDataFrame([(n, -(-many // each)) for n, many in counts.items()], "length long, _buckets long")
+    # One row per length on the right, of which there are at most as many as the capacity.
+    salted = stored.join(F.broadcast(cuts), "length").withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.col("_buckets")))
     inside = W.partitionBy("length", "_bucket").orderBy("_row")
     before = W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     sizes = salted.groupBy("length", "_bucket").agg(F.count("*").alias("_many"))
-    starts = settle(sizes.withColumn("_first", F.coalesce(F.sum("_many").over(before), F.lit(0))), "pack-starts")
-    ranked = salted.withColumn("_inside", F.row_number().over(inside) - 1).join(starts, ["length", "_bucket"])
-    return ranked.withColumn("_rank", F.col("_inside") + F.col("_first")).drop("_bucket", "_inside", "_first", "_many", "_row")
+    starts = sizes.select("length", "_bucket", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_first"))
+    ranked = salted.withColumn("_inside", F.row_number().over(inside) - 1).join(settle(starts, "pack-starts"), ["length", "_bucket"])
+    return ranked.withColumn("_rank", F.col("_inside") + F.col("_first")).drop("_buckets", "_bucket", "_inside", "_first", "_row")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -215,8 +218,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in stored.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan = sorted(best_fit(counts, capacity))
     columns = [np.array(c, dtype=np.int64) for c in zip(*plan, strict=True)] or [np.zeros(0, dtype=np.int64)] * 5
+    if not plan:
+        return stored.drop("_row").withColumns({c: F.lit(0).cast("long") for c in ("sequence_id", "offset")})
     shared = stored.sparkSession.sparkContext.broadcast(columns)
-    ranked = _ranked(stored)
+    ranked = _ranked(stored, counts)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, ranks, firsts, pers, offsets = shared.value
