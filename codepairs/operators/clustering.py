@@ -1,51 +1,19 @@
-"""Density clustering at a fixed cosine, and connected components."""
+"""Density clustering at a fixed cosine."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from codepairs.operators.blocks import BLOCK_ROWS, Block, block_pairs, in_cells, per_block
+from codepairs.operators.components import connected_components
 from codepairs.operators.records import union_sets
 from codepairs.session import bounded_broadcast, settle
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``(node, root)`` with the smallest node of each component as its root, for every node of an edge.
-
-    Alternates the large-star and small-star steps of Kiveris et al., "Connected
-    Components in MapReduce and Beyond" (SoCC 2014). Minimums are aggregates and
-    neighbours are joined back, so the edges of a hub are never gathered. Each
-    round is written to the shared scratch folder.
-    """
-
-    def star(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-
-    def settled(pairs: DataFrame) -> tuple[DataFrame, Row]:
-        """The stored edges with their count and digest, which tell whether a round changed anything."""
-        stored = settle(pairs.filter("u <> v").distinct(), "components")
-        return stored, stored.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    current, before = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    for _ in range(max_rounds):
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Large star: every greater neighbour is moved to the smallest neighbour. All edges now point downwards.
-        large = both.join(star(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: a node and its smaller neighbours are moved to the smallest of them.
-        small = large.join(star(large), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        current, mark = settled(small)
-        if mark == before:
-            roots = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        before = mark
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
 def _degrees(threshold: float):
     def count(group: pa.Table) -> pa.Table:
         block = Block(group, "_vec")

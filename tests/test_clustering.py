@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from test_similarity import clouds, cosines, frame
 
 from codepairs.operators import blocks
-from codepairs.operators.clustering import connected_components, dense_rank_ids, density_cluster
+from codepairs.operators.clustering import dense_rank_ids, density_cluster
+from codepairs.operators.components import connected_components
 from codepairs.session import settle
 
 
@@ -37,10 +38,10 @@ def test_connected_components(spark, edges):
     assert {r.node: r.root for r in connected_components(df).collect()} == brute_components(edges)
 
 
-def test_components_refuse_to_stop_early(spark):
-    path = spark.createDataFrame([(i, i + 1) for i in range(200)], "u bigint, v bigint")
-    with pytest.raises(RuntimeError, match="did not settle"):
-        connected_components(path, max_rounds=1)
+def test_long_paths_settle(spark):
+    edges = [(i, i + 1) for i in range(400)]
+    found = connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
+    assert {r.node: r.root for r in found} == {i: 0 for i in range(401)}
 
 
 def test_dense_rank_ids(spark):
