@@ -88,7 +88,8 @@ def _texts(docs: DataFrame, lines: DataFrame, active: DataFrame) -> DataFrame:
     wanted = places.select(((F.col("first") - pos) / size).cast("long").alias("doc_id"), pos.cast("int").alias("pos"), "digest")
     held = settle(_held(wanted), "lines-wanted")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    own = _lines(rows.join(held, F.col("doc_id") == F.col("_doc")), "_gone").filter(_is_gone(F.col("pos"), F.col("digest")))
+    # The lists grow with the documents, so they are not broadcast while they happen to be small.
+    own = _lines(rows.join(held.hint("merge"), F.col("doc_id") == F.col("_doc")), "_gone").filter(_is_gone(F.col("pos"), F.col("digest")))
     own = own.select("digest", "norm", _order(F.col("doc_id"), F.col("pos")).alias("at"))
     found = own.distinct().join(active.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"))
     return settle(found.drop("_digest"), "lines-texts")
@@ -194,7 +195,7 @@ def line_report(docs: DataFrame) -> DataFrame:
     held = settle(_held(removed_lines(docs)), "lines-held")
     digests = F.transform(F.split(docs["text"], "\n"), lambda line: line_digest(normal(line)))
     rows = docs.select(docs["doc_id"].alias("doc_id"), digests.alias("_lines"))
-    told = rows.join(held, F.col("doc_id") == F.col("_doc"), "left")
+    told = rows.join(held.hint("merge"), F.col("doc_id") == F.col("_doc"), "left")
     marks = F.transform("_lines", lambda d, pos: F.when(F.col("_gone").isNotNull() & _is_gone(pos, d), pos))
     told = told.withColumn("_removed", F.coalesce(F.filter(marks, lambda m: m.isNotNull()), F.array().cast("array<int>")))
     numbers = F.array_join(F.transform("_removed", lambda m: m.cast("string")), ",")
@@ -210,7 +211,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     held = settle(_held(removed_lines(docs)), "lines-held")
     fresh = {c: docs[c].alias(c) for c in docs.columns}
     row = docs.select(F.struct(*fresh.values()).alias("_row"))
-    told = row.join(held, F.col("_row.doc_id") == F.col("_doc"), "left")
+    told = row.join(held.hint("merge"), F.col("_row.doc_id") == F.col("_doc"), "left")
     lines = F.split(F.col("_row.text"), "\n")
     left = F.array_join(F.filter(lines, lambda line, pos: ~_is_gone(pos, line_digest(normal(line)))), "\n")
     told = told.withColumn("_text", F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(left))

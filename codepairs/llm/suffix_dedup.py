@@ -325,7 +325,8 @@ def repeated_runs(rows: DataFrame, n_bytes: int, only: DataFrame, folded_ids: Da
     def of_documents(found: DataFrame) -> DataFrame:
         """The texts with what was found in them under ``_doc``."""
         told = found.join(only, F.col("_doc") == F.col("_id"), "left").drop("_id")
-        return rows.join(told, F.col("doc_id") == F.col("_doc")).drop("_doc")
+        # It grows with the documents, so it is not broadcast while it happens to be small.
+        return rows.join(told.hint("merge"), F.col("doc_id") == F.col("_doc")).drop("_doc")
 
     wanted = named.join(folded_ids, F.col("doc_id") == F.col("_copy"), "left_anti").groupBy(F.col("doc_id").alias("_doc"))
     held = of_documents(wanted.agg(F.collect_list("names").alias("names")))
@@ -424,7 +425,7 @@ def suffix_report(docs: DataFrame) -> DataFrame:
     by_doc = runs.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("low", "high")).alias("runs"))  # as the document is long, at most
     by_doc = settle(by_doc.join(only, F.col("_doc") == F.col("_id"), "left").drop("_id"), "suffix-by-document")
     _release(docs.sparkSession)
-    cut = usable.join(by_doc, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "only", "runs").mapInArrow(_cut, REPORT)
+    cut = usable.join(by_doc.hint("merge"), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "only", "runs").mapInArrow(_cut, REPORT)
 
     # What is not cut is told by its size and digest alone.
     flags = by_doc.select(F.col("_doc").alias("_flag"))
