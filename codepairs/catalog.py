@@ -17,7 +17,7 @@ from codepairs.functions import labels as L
 from codepairs.functions import text as X
 from codepairs.operators import clustering, metrics, models, records, sampling, similarity, vectors
 from codepairs.plans import diff_metric, embedding, subtree
-from codepairs.session import scratch_path, spread_scan
+from codepairs.session import scratch_path
 from codepairs.sources import readers, schemas, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The text table, spread over the cores: most queries on it do costly work per row."""
-    return spread_scan(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 def rounded(col: Column, digits: int = 6) -> Column:
@@ -413,6 +412,12 @@ def cosine_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.cosine_all_pairs(table(spark, sf, "embeddings"), "vec_id", "label", "embedding", top_k=5)
 
 
+@query
+def cosine_top_k_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    """The best partners among those above a cosine."""
+    return similarity.cosine_all_pairs(table(spark, sf, "embeddings"), "vec_id", "label", "embedding", threshold=0.4, top_k=3)
+
+
 @query
 def fetch_selected_group(spark: SparkSession, sf: str) -> DataFrame:
     rows = turns(spark, sf)

@@ -291,8 +291,11 @@ ORACLES: dict[str, str] = {
     "cosine_all_pairs": f"""SELECT source_id, target_id, "index", source, target, {rnd("c")} AS "cosSim" FROM ({COSINES})""",
     "cosine_above_threshold": f"""SELECT source_id, target_id, "index", source, target, {rnd("c")} AS "cosSim" FROM ({COSINES}) WHERE c >= 0.3""",
     "cosine_top_k": f"""SELECT source_id, target_id, "index", source, target, {rnd("c")} AS "cosSim",
-        row_number() OVER (PARTITION BY source_id ORDER BY {rnd("c")} DESC, target_id)::INTEGER AS rank
+        row_number() OVER (PARTITION BY source_id ORDER BY {rnd("c", 12)} DESC, target_id)::INTEGER AS rank
         FROM ({COSINES}) WHERE source_id <> target_id QUALIFY rank <= 5""",
+    "cosine_top_k_threshold": f"""SELECT source_id, target_id, "index", source, target, {rnd("c")} AS "cosSim",
+        row_number() OVER (PARTITION BY source_id ORDER BY {rnd("c", 12)} DESC, target_id)::INTEGER AS rank
+        FROM ({COSINES}) WHERE source_id <> target_id AND c >= 0.4 QUALIFY rank <= 3""",
     "fetch_selected_group": f"SELECT * FROM ({TURNS}) WHERE file = (SELECT file FROM ({longest(200)}))",
     "align_columns": f"""SELECT doc_id AS id, text AS code, lang AS label, {rnd("embedding[1]::DOUBLE")} AS first_value
         FROM documents JOIN embeddings ON doc_id = vec_id""",

@@ -23,7 +23,7 @@ def build_session(app: str = "codepairs", master: str | None = None, shuffle_par
         .config("spark.sql.session.timeZone", "UTC")
     )
     if master:
-        local = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"}
+        local = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
         builder = builder.master(master).config(map=local)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -69,14 +69,3 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint for a side of at most ``max_rows`` rows, a bound the caller
     has proved; beyond the limit the join strategy stays with Catalyst and AQE."""
     return F.broadcast(df) if max_rows <= BROADCAST_ROWS else df
-
-
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """Deals out the rows of a plain scan that has fewer splits than there are cores.
-
-    A file of one row group is one task however large the cluster is; costly
-    row work on it would then run on one core. Tables with enough splits, which
-    is every large table, are left alone.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

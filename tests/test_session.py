@@ -32,11 +32,3 @@ def test_broadcast_only_below_the_bound(spark):
     plan = lambda n: spark.range(9).join(session.bounded_broadcast(small, n), "id")._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(3).lower()
     assert "broadcast" not in plan(session.BROADCAST_ROWS + 1).lower()
-
-
-def test_spread_only_scans_with_few_splits(spark, tmp_path):
-    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "one"))
-    scan = spark.read.parquet(str(tmp_path / "one"))
-    assert session.spread_scan(scan).rdd.getNumPartitions() == 4
-    many = spark.range(100).repartition(9)
-    assert session.spread_scan(many) is many

@@ -91,7 +91,7 @@ def test_pairs_meet_once_and_pruning_prunes(spark, monkeypatch):
 @pytest.mark.parametrize("block_rows", [64, 1024])
 def test_top_k(spark, block_rows):
     m = clouds(4, 200, copies=15)
-    want = np.round(cosines(m), 6)
+    want = np.round(cosines(m), 12)
     got = cosine_all_pairs(frame(spark, m), "id", "label", "vec", top_k=4, block_rows=block_rows).collect()
     best: dict = {}
     for r in sorted(got, key=lambda r: r["rank"]):
@@ -99,3 +99,25 @@ def test_top_k(spark, block_rows):
     for i in range(200):
         order = sorted((j for j in range(200) if j != i), key=lambda j: (-want[i, j], j))[:4]
         assert best[i] == order
+
+
+def test_top_k_within_a_threshold(spark):
+    m = clouds(6, 150, copies=5)
+    want = cosines(m)
+    got = cosine_all_pairs(frame(spark, m), "id", "label", "vec", threshold=0.97, top_k=3, block_rows=64).collect()
+    best: dict = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        best.setdefault(r.source_id, []).append(r.target_id)
+    for i in range(150):
+        order = sorted((j for j in range(150) if j != i and want[i, j] >= 0.97), key=lambda j: (-round(want[i, j], 12), j))[:3]
+        assert best.get(i, []) == order
+
+
+def test_the_exact_cosine_decides(spark):
+    """Shown with six digits, all of these are alike."""
+    angles = [0.0, 3e-4, 2e-4, 1e-4]
+    df = spark.createDataFrame([(i, "l", [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angles)], "id int, label string, vec array<double>")
+    got = {(r.source_id, r["rank"]): r.target_id for r in cosine_all_pairs(df, "id", "label", "vec", top_k=3).collect()}
+    assert [got[0, k] for k in (1, 2, 3)] == [3, 2, 1]
+    half = spark.createDataFrame([(0, "l", [1.0, 0.0]), (1, "l", [0.4999996, float(np.sqrt(1 - 0.4999996**2))])], df.schema)
+    assert cosine_all_pairs(half, "id", "label", "vec", threshold=0.5, top_k=1).collect() == []
