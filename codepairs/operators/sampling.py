@@ -53,31 +53,40 @@ def sample_per_group(
 ) -> DataFrame:
     """``k`` rows without replacement from each of ``groups``; all their rows if ``k`` is None or 0.
 
-    Only the leading buckets that hold the first ``k`` rows reach the sort, not
-    ``k`` rows from every map task. ``strict`` makes a short group an error.
+    The buckets before the one in which row ``k`` falls belong to the sample
+    whole; only that one is ranked, on ids alone, so no task sorts ``k`` rows
+    however large ``k`` is. ``strict`` makes a short group an error.
     """
     wanted = df.filter(backticked(group).isin(list(groups)))
     if not k:
         return wanted
     keyed = _with_key(wanted, random_key(seed, backticked(id_col)), digits)
     starts = _bucket_starts(_with_key(wanted.select(group, id_col), random_key(seed, backticked(id_col)), digits), [group])
-    cut = starts.groupBy(group).agg(
-        F.max(F.when(F.col("_start") < k, F.col("_bucket"))).alias("_cut"), F.sum("_count").alias("_n")
-    )
+    last = F.struct("_bucket", "_start")
+    cut = starts.groupBy(group).agg(F.max(F.when(F.col("_start") < k, last)).alias("_cut"), F.sum("_count").alias("_n"))
     if strict:
         names = F.array(*[F.lit(g) for g in groups]).cast(T.ArrayType(df.schema[group].dataType))
         every = df.sparkSession.range(1).select(F.explode(names).alias(group))
         short = F.raise_error(F.concat(F.lit("too few rows to sample in group "), backticked(group).cast("string")))
         enough = F.coalesce(F.col("_n"), F.lit(0)) >= k
         cut = every.join(cut, group, "left").select(group, F.when(enough, F.col("_cut")).otherwise(short).alias("_cut"))
-    near = keyed.join(bounded_broadcast(cut.select(group, "_cut"), len(groups)), group).filter("_bucket <= _cut")
-    rank = F.row_number().over(W.partitionBy(group).orderBy("_key", id_col))
-    return near.withColumn("_rank", rank).filter(F.col("_rank") <= k).select(*df.columns)
+    cut = bounded_broadcast(cut.select(group, "_cut"), len(groups))
+    near = keyed.join(cut, group).filter(F.col("_bucket") <= F.col("_cut._bucket"))
+    # The rank inside the cut bucket, told by the key of the last row that is taken.
+    ranked = _with_key(wanted.select(group, id_col), random_key(seed, backticked(id_col)), digits)
+    ranked = ranked.join(cut, group).filter(F.col("_bucket") == F.col("_cut._bucket"))
+    rank = F.row_number().over(W.partitionBy(group, "_bucket").orderBy("_key", id_col))
+    taken = ranked.withColumn("_rank", rank).filter(F.col("_rank") <= k - F.col("_cut._start"))
+    last = taken.groupBy(group).agg(F.max(F.struct("_key", id_col)).alias("_last"))
+    near = near.join(bounded_broadcast(last, len(groups)), group, "left")
+    inside = (F.col("_bucket") < F.col("_cut._bucket")) | (F.struct("_key", id_col) <= F.col("_last"))
+    return near.filter(inside).select(*df.columns)
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42, strict: bool = True, digits: int = BUCKET_DIGITS) -> DataFrame:
     """``n`` rows without replacement; under ``strict`` it is an error if there are fewer."""
-    whole = df.withColumn("_all", F.lit(0))
+    # One group, under a key that the optimizer can not fold into a join without one.
+    whole = df.withColumn("_all", F.pmod(F.xxhash64(backticked(id_col)), F.lit(1).cast("bigint")))
     return sample_per_group(whole, "_all", [0], n, id_col, seed, strict, digits).drop("_all")
 
 
