@@ -51,15 +51,29 @@ def binary_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
+def _one_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str], latest: bool) -> DataFrame:
+    """The row at one end of ``order`` for each key.
+
+    The first order column is reduced alone, which takes no sort, and whole rows
+    are then compared only where they share its best value.
+    """
+    keys, first = X.columns(key), X.columns(order)[0]
+    best = df.groupBy(*keys).agg((F.max if latest else F.min)(first).alias("_best"))
+    best = best.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(best.columns[:-1])], "_best")
+    same = [k.eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    ties = df.join(best, [*same, first.eqNullSafe(F.col("_best"))]).select(*[df[c] for c in df.columns])
+    pick = F.max_by if latest else F.min_by
+    return ties.groupBy(*keys).agg(pick(F.struct("*"), F.struct(*X.columns(order))).alias("_row")).select("_row.*")
+
+
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The whole row with the greatest ``order`` tuple of each key."""
-    best = F.max_by(F.struct("*"), F.struct(*X.columns(order)))
-    return df.groupBy(*X.columns(key)).agg(best.alias("_row")).select("_row.*")
+    return _one_per_key(df, key, order, True)
 
 
 def first_record_per_group(df: DataFrame, group: str, order: str) -> DataFrame:
     """The row with the smallest ``order`` of each group."""
-    return df.groupBy(group).agg(F.min_by(F.struct("*"), F.col(order)).alias("_row")).select("_row.*")
+    return _one_per_key(df, [group], [order], False)
 
 
 def latest_checkpoints(listing: DataFrame, path: str = "path") -> DataFrame:
@@ -98,6 +112,15 @@ def train_manifest(df: DataFrame, batch: int, epochs: int) -> DataFrame:
     return sized.withColumn("warmup_steps", F.ceil(F.col("steps") * epochs * F.lit(0.1)))
 
 
-def align_columns(codes: DataFrame, vectors: DataFrame, key: str = "id") -> DataFrame:
-    """Codes, labels and vectors that belong together, matched by key rather than by position."""
-    return codes.join(vectors, key)
+def align_columns(codes: DataFrame, vectors: DataFrame, key: str = "id", strict: bool = False) -> DataFrame:
+    """Codes, labels and vectors that belong together, matched by key rather than by position.
+
+    Under ``strict`` a key on one side only is an error; otherwise such rows are left out.
+    """
+    if not strict:
+        return codes.join(vectors, key)
+    left, right = codes.withColumn("_code", F.lit(True)), vectors.withColumn("_vector", F.lit(True))
+    both = left.join(right, key, "full")
+    alone = F.raise_error(F.concat(F.lit("no partner for "), F.col(key).cast("string")))
+    checked = both.withColumn("_code", F.when(F.col("_code") & F.col("_vector"), F.lit(True)).otherwise(alone))
+    return checked.filter("_code").drop("_code", "_vector")

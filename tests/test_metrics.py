@@ -86,3 +86,19 @@ def test_align_columns(spark):
     codes = spark.createDataFrame([(2, "b"), (1, "a")], "id int, code string")
     vecs = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id int, vec array<double>")
     assert {(r.code, r.vec[0]) for r in metrics.align_columns(codes, vecs).collect()} == {("a", 1.0), ("b", 2.0)}
+
+
+def test_align_columns_tells_of_rows_without_partner(spark):
+    codes = spark.createDataFrame([(1, "a"), (2, "b")], "id int, code string")
+    vecs = spark.createDataFrame([(2, [2.0]), (1, [1.0])], "id int, vec array<double>")
+    assert metrics.align_columns(codes, vecs, strict=True).count() == 2
+    for left, right in ((codes.filter("id = 1"), vecs), (codes, vecs.filter("id = 1"))):
+        with pytest.raises(Exception, match="no partner for 2"):
+            metrics.align_columns(left, right, strict=True).collect()
+
+
+def test_latest_per_key_sorts_nothing_but_ties(spark):
+    rows = spark.range(1000).selectExpr("id % 5 AS k", "id AS t", "cast(id AS string) AS v")
+    plan = metrics.latest_per_key(rows, ["k"], ["t"])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[k" in plan or "HashAggregate(keys=[" in plan
+    assert {(r.k, r.t) for r in metrics.latest_per_key(rows, ["k"], ["t"]).collect()} == {(i, 995 + i) for i in range(5)}
