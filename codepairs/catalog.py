@@ -62,6 +62,12 @@ def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).join(table(spark, sf, "labels"), "doc_id")
 
 
+def disjoint_halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Three quarters for training and the rest for validation, by a digest of the id."""
+    part = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1)
+    return rows.filter(part < "c"), rows.filter(part >= "c")
+
+
 def predicted_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Both labels predicted by one rule: the stripped text is longer than 500 characters."""
     rows = labelled_documents(spark, sf)
@@ -148,6 +154,14 @@ def languages(docs: DataFrame) -> list[str]:
     return sorted(r[0] for r in docs.select("lang").distinct().collect())
 
 
+def store_nested(items: DataFrame, root: str, per_file: int = 500) -> None:
+    """Objects as JSON arrays, some hundred to a file."""
+    files = max(1, -(-items.count() // per_file))
+    bunches = items.groupBy(F.pmod(F.xxhash64("filename"), F.lit(files)).alias("bunch"))
+    arrays = bunches.agg(F.to_json(F.collect_list(F.struct(*items.columns))).alias("value")).select("value")
+    arrays.write.option("maxRecordsPerFile", 1).text(f"{root}/programs.json")
+
+
 # -- sources and sinks ----------------------------------------------------------
 
 DOCUMENT = schemas.fields(doc_id=T.LongType(), text=T.StringType(), source=T.StringType(), n_chars=T.LongType())
@@ -203,7 +217,7 @@ def read_nested_json(spark: SparkSession, sf: str) -> DataFrame:
         F.transform(lines, lambda line: F.struct(line.alias("code"), F.length(line).cast("bigint").alias("count"))).alias("edited_code"),
     )
     root = scratch_path(spark, "nested")
-    items.write.option("maxRecordsPerFile", 1).json(root)
+    store_nested(items, root)
     rows = readers.read_nested_json(spark, root)
     return rows.select(
         "filename", "original_code", "num_of_nodes", F.size("edited_code").cast("bigint").alias("n_edits"),
@@ -211,6 +225,25 @@ def read_nested_json(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def read_jsonl_partitions_some(spark: SparkSession, sf: str) -> DataFrame:
+    """Of all languages and partitions on disk, two languages and one partition."""
+    docs = split_documents(spark, sf)
+    root = scratch_path(spark, "tree")
+    writers.write_jsonl_tree(docs, root, {"lang": languages(docs), "partition": ["train", "test"]})
+    return readers.read_jsonl_partitions(spark, root, DOCUMENT, langs=["en", "fr"], partitions=["train"])
+
+
+@query
+def first_record_per_file_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The first line of every file: documents stored one file per language and source, in the order of their ids."""
+    root = scratch_path(spark, "files")
+    docs = table(spark, sf, "documents").repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id")
+    docs.select("doc_id", "n_chars", "text", "lang", "source").write.partitionBy("lang", "source").json(root)
+    schema = schemas.fields(doc_id=T.LongType(), n_chars=T.LongType(), text=T.StringType())
+    return readers.first_record_per_file(spark, f"{root}/*/*/*", schema).drop("file")
+
+
 @query
 def read_labelled_csv(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("text").alias("code"), F.col("source").alias("label"), "lang")
@@ -227,6 +260,25 @@ def read_pair_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_pair_dataset(spark, root, "python", "train", PRUNING_TYPES)
 
 
+@query
+def read_pair_dataset_some(spark: SparkSession, sf: str) -> DataFrame:
+    """Of all languages, partitions and pruning types on disk, one language, one partition and two types."""
+    pairs = records.make_pairs(document_pairs(spark, sf), "char", keep=["lang", "pruning_type", "doc_id"], guid_cols=["doc_id"])
+    part = F.when(F.col("doc_id") % 2 == 0, "train").otherwise("test")
+    root = scratch_path(spark, "pairs")
+    writers.write_pairs(pairs.withColumn("partition", part).drop("doc_id"), root)
+    return readers.read_pair_dataset(spark, root, "en", "train", PRUNING_TYPES[:2])
+
+
+@query
+def nested_edit_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested edits stored as JSON, read, exploded and stored as pairs."""
+    edits, pairs = scratch_path(spark, "nested"), scratch_path(spark, "nested-pairs")
+    store_nested(nested_edits(spark, sf), edits)
+    diff_metric.prepare_nested(spark, edits, pairs)
+    return spark.read.parquet(pairs).withColumn("source", F.md5("source"))
+
+
 @query
 def write_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "jsonl")
@@ -640,8 +692,8 @@ def batch_classify(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def train_classifiers(spark: SparkSession, sf: str) -> DataFrame:
-    docs = labelled_documents(spark, sf)
-    _, report = models.train_classifiers(docs, docs, LABELS, 200, "doc_id")
+    train, valid = disjoint_halves(labelled_documents(spark, sf))
+    _, report = models.train_classifiers(train, valid, LABELS, 200, "doc_id")
     return report
 
 
@@ -657,6 +709,19 @@ def subtree_report(spark: SparkSession, sf: str) -> DataFrame:
     return report.withColumns({c: rounded(F.col(c)) for c in ("accuracy", "precision", "recall", "f1_score")})
 
 
+@query
+def trained_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Train, store, find the newest checkpoint in the listing, load, classify held-out documents, and score."""
+    train, valid = disjoint_halves(labelled_documents(spark, sf))
+    root = scratch_path(spark, "models")
+    for step, size in ((1, 20), (2, 200)):
+        fitted, _ = models.train_classifiers(train, valid, LABELS, size, "doc_id", candidates=(0.1,))
+        subtree.store_models({f"{t}_statement": m for t, m in fitted.items()}, root, "run", step)
+    held = valid.select("doc_id", "text", *[F.col(t).alias(f"{t}_statement") for t in LABELS])
+    report = subtree.report_with_newest(held, root, "doc_id")
+    return report.withColumns({c: rounded(F.col(c)) for c in ("accuracy", "precision", "recall", "f1_score")})
+
+
 @query
 def edit_report(spark: SparkSession, sf: str) -> DataFrame:
     """Route edits, classify what is left, and score target and other deletions apart."""

@@ -238,6 +238,13 @@ ORACLES: dict[str, str] = {
     # sources and sinks: what was written must come back
     "read_jsonl_partitions": """SELECT doc_id, text, source, n_chars, lang,
         CASE WHEN n_chars >= 1000 THEN 'train' ELSE 'test' END AS "partition" FROM documents""",
+    "read_jsonl_partitions_some": """SELECT doc_id, text, source, n_chars, lang, 'train' AS "partition" FROM documents
+        WHERE n_chars >= 1000 AND lang IN ('en', 'fr')""",
+    "first_record_per_file_read": """SELECT doc_id, n_chars, text FROM documents
+        QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) = 1""",
+    "read_pair_dataset_some": f"""SELECT sha256(doc_id::VARCHAR) AS guid, {flat("cleaned_code")} AS source, {flat("edited_code")} AS target,
+        kept AS label, lang, 'train' AS "partition", pruning_type FROM ({DOCUMENT_PAIRS})
+        WHERE lang = 'en' AND doc_id % 2 = 0 AND pruning_type IN ('rule_point', 'back_seq')""",
     "read_pair_tree": f"""SELECT doc_id, cleaned_code, edited_code, kept AS cos_sim_diff_char, lang, 'train' AS "partition",
         pruning_type, 'programs.jsonl' AS file FROM ({DOCUMENT_PAIRS})""",
     "read_jsonl_dir": "SELECT doc_id, text, source, n_chars, lang FROM documents",
@@ -330,6 +337,7 @@ ORACLES: dict[str, str] = {
     )
     + f" FROM ({PREDICTED})",
     "explode_edits": f"SELECT filename, num, guid, source, target, label + 0.0 AS label FROM ({EDIT_LINES})",
+    "nested_edit_chain": f"SELECT filename, num, guid, source, target, label + 0.0 AS label FROM ({EDIT_LINES})",
     "explode_edits_nested": f"""SELECT filename, count(*)::BIGINT AS n_pairs, string_agg(guid || '|' || target, chr(10) ORDER BY num) AS targets,
         {rnd("sum(label)", 3)} AS label_sum FROM ({EDIT_LINES}) GROUP BY filename""",
     # vectors

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from codepairs.functions.text import flatten_ws, report_name
 from codepairs.operators.metrics import fetch_selected_group, first_record_per_group, longest_within_limit
 from codepairs.operators.models import batch_embed, token_counts
-from codepairs.operators.records import length_filter, make_pairs
+from codepairs.operators.records import explode_edits, length_filter, make_pairs
 from codepairs.operators.sampling import sample_per_group, seeded_shuffle
 from codepairs.operators.vectors import cosine_pairwise
 from codepairs.session import settle
-from codepairs.sources.readers import read_pair_tree
+from codepairs.sources.readers import read_nested_json, read_pair_tree
 from codepairs.sources.schemas import AST_PAIR, CHAR_PAIR
 from codepairs.sources.writers import write_pairs, write_report_csv
 
@@ -25,6 +25,12 @@ def prepare(spark, input_root: str, output_root: str, flavour: str = "char") ->
     write_pairs(make_pairs(raw, flavour, keep=["lang", "partition", "pruning_type"]), output_root)
 
 
+def prepare_nested(spark, input_root: str, output_root: str, nested: bool = False) -> None:
+    """Nested edits to stored pairs, one row per pair, or one per program with its pairs as an array."""
+    edits = explode_edits(read_nested_json(spark, input_root), nested=nested)
+    edits.write.parquet(output_root)
+
+
 def training_set(
     pairs: DataFrame,
     pruning_types: Sequence[str],

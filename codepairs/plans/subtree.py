@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codepairs.functions import labels as L
 from codepairs.functions.text import backticked
-from codepairs.operators.metrics import binary_metrics, confusion_counts
-from codepairs.operators.models import batch_classify
+from codepairs.operators.metrics import binary_metrics, confusion_counts, latest_checkpoints
+from codepairs.operators.models import batch_classify, classify_with
 from codepairs.operators.records import label_records, melt_by_type, route_edits
 from codepairs.operators.sampling import sample_n
 from codepairs.session import settle
-from codepairs.sources.readers import read_jsonl_partitions
+from codepairs.sources.readers import list_paths, read_jsonl_partitions
 from codepairs.sources.schemas import SUBTREE_ELEMENT
 from codepairs.sources.writers import write_jsonl, write_report_csv
 
@@ -30,6 +31,25 @@ def prepare(spark, input_root: str, output_root: str, node_types: Sequence[str]
     write_jsonl(labelled, output_root)
 
 
+def store_models(models: dict, root: str, run_label: str, step: int) -> None:
+    """One directory per node type, named like those of training runs: ``base_{type}_{run}/checkpoint-{step}``."""
+    for node_type, model in models.items():
+        model.write().overwrite().save(f"{root}/base_{node_type}_{run_label}/checkpoint-{step}")
+
+
+def newest_models(spark: SparkSession, root: str) -> dict:
+    """The model of the newest checkpoint below ``root`` for each node type, found by listing the files."""
+    newest = latest_checkpoints(list_paths(spark, root))
+    # One row per node type.
+    return {r["node_type"]: PipelineModel.load(r["checkpoint"]) for r in newest.orderBy("node_type").collect()}
+
+
+def report_with_newest(labelled: DataFrame, root: str, id_col: str, sample_size: int = 2500, text: str = "text", seed: int = 42) -> DataFrame:
+    """Metrics per node type of the models that ``newest_models`` finds, on a sample of labelled records."""
+    models = newest_models(labelled.sparkSession, root)
+    return score(classify_with(models, sample_n(labelled, sample_size, id_col, seed, strict=False), text), list(models))
+
+
 def with_judgements(scored: DataFrame, node_types: Sequence[str], style: str) -> DataFrame:
     """Adds ``{T}-judge`` for each node type: the wide inference table."""
     return scored.withColumns(
