@@ -221,7 +221,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if not plan:
         return stored.drop("_row").withColumns({c: F.lit(0).cast("long") for c in ("sequence_id", "offset")})
     shared = stored.sparkSession.sparkContext.broadcast(columns)
-    ranked = _ranked(stored, counts)
+    ranked = _ranked(stored, counts).select(*pieces.columns, "_rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, ranks, firsts, pers, offsets = shared.value

@@ -1,0 +1,71 @@
+"""The pipeline against its stages by hand, and the registration of all queries."""
+
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+from test_line_dedup import brute as brute_lines
+from test_minhash import brute as brute_near
+from test_mixing import WORD, order, targets
+from test_packing import check as check_packing
+
+import __spark_entry__ as driver
+import corpus_pipeline
+from codepairs.llm.quality import quality
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_every_operator_is_registered():
+    numbers = sorted(int(m[1]) for m in (re.match(r"op(\d+)_", n) for n in driver.queries()) if m)
+    assert numbers == list(range(1, 11)) and "pipeline" in driver.queries()
+
+
+def test_stages_return_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, SF).columns == docs.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, SF).collect() == []
+
+
+def mixed_by_hand(rows):
+    sizes, by_source = Counter(), {}
+    for i, t, s in rows:
+        n = len(WORD.findall(t or ""))
+        sizes[s] += n
+        by_source.setdefault(s, []).append((order(i, t), n, i, t))
+    want, out = targets(dict(sizes)), []
+    for s, docs in by_source.items():
+        whole = int(want[s] // sizes[s]) if sizes[s] else 0
+        rest = want[s] - whole * sizes[s]
+        used, done = 0, False
+        for _, n, i, t in sorted(docs):
+            more = 0
+            if whole * sizes[s] < want[s] and not done:
+                more = int(used + n <= rest or (n > 0 and 2 * (rest - used) >= n))
+                done = used + n > rest
+                used += n
+            out += [(i, t)] * (whole + more)
+    return out
+
+
+def test_run_equals_the_stages_by_hand(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    judged = quality(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    good = {r.doc_id for r in judged.filter("kept").collect()}
+    rows = {r.doc_id: (r.text, r.source) for r in docs.collect() if r.doc_id in good}
+
+    left = {}
+    for i, _, _, gone in brute_lines([(i, t) for i, (t, _) in rows.items()]):
+        out = set(map(int, gone.split(","))) if gone else set()
+        text = "\n".join(x for n, x in enumerate(rows[i][0].split("\n")) if n not in out)
+        if not out or text.split() or not rows[i][0].split():
+            left[i] = text
+    kept = {i for i, _, _, k in brute_near(sorted(left.items()), 5, 80) if k}
+    want = mixed_by_hand([(i, left[i], rows[i][1]) for i in kept])
+
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert Counter(r.doc_id for r in got.filter(F.col("piece") == 0).collect()) == Counter(i for i, _ in want)
+    check_packing(want, got.collect())
