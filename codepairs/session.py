@@ -50,8 +50,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return os.path.join(scratch_dir(spark), "codepairs", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(scratch_dir(spark), "codepairs", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(_scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this application has stored in the scratch folder; results not yet computed are lost with it."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

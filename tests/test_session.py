@@ -1,3 +1,4 @@
+import os
 import types
 
 import pytest
@@ -32,3 +33,10 @@ def test_broadcast_only_below_the_bound(spark):
     plan = lambda n: spark.range(9).join(session.bounded_broadcast(small, n), "id")._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(3).lower()
     assert "broadcast" not in plan(session.BROADCAST_ROWS + 1).lower()
+
+
+def test_scratch_of_this_application_can_be_cleared(spark):
+    stored = session.settle(spark.range(3), "gone")
+    assert stored.count() == 3
+    session.clear_scratch(spark)
+    assert not os.path.exists(stored.inputFiles()[0].removeprefix("file://"))
