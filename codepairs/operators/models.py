@@ -92,14 +92,34 @@ def digest_token_encoder(dim: int = 8) -> Callable:
     return make
 
 
+TOKEN_CELLS = 4_000_000  # numbers that leave Python in one batch of token matrices
+
+
+def _matrices(texts, encode, batch_size: int):
+    """The token matrices of some texts at a time, in order, as ``(first text, matrices)`` of bounded size."""
+    import numpy as np
+
+    for start in range(0, len(texts), batch_size):
+        first, held, cells = start, [], 0
+        for i, matrix in enumerate(encode(texts[start : start + batch_size]), start):
+            matrix = np.asarray(matrix, dtype=np.float32)
+            if held and cells + matrix.size > TOKEN_CELLS:
+                yield first, held
+                first, held, cells = i, [], 0
+            held.append(matrix)
+            cells += matrix.size
+        if held:
+            yield first, held
+
+
 def batch_encode_tokens(
     df: DataFrame, text: str = "text", out: str = "tokens", make_fn: Callable | None = None, batch_size: int = 64
 ) -> DataFrame:
     """Adds the token matrix of each text, one row per token, whole text.
 
     ``make_fn`` loads the encoder once per task; it maps a list of texts to a
-    list of matrices. Results leave Python ``batch_size`` rows at a time, since a
-    matrix is far larger than its text.
+    list of matrices. Results leave Python in batches cut by the numbers they
+    hold, since a matrix is far larger than its text; one text is always one row.
     """
     load = make_fn or digest_token_encoder()
 
@@ -109,20 +129,56 @@ def batch_encode_tokens(
 
         encode = load()
         for batch in batches:
-            for start in range(0, batch.num_rows, batch_size):
-                part = batch.slice(start, batch_size)
-                matrices = [np.asarray(m, dtype=np.float32) for m in encode(part.column(text).to_pylist())]
+            for start, matrices in _matrices(batch.column(text).to_pylist(), encode, batch_size):
+                part = batch.slice(start, len(matrices))
                 rows = np.cumsum([0] + [len(m) for m in matrices]).astype(np.int32)
                 widths = [m.shape[1] for m in matrices for _ in range(len(m))]
-                cells = np.cumsum([0, *widths]).astype(np.int32)
+                cells = np.cumsum([0, *widths])
+                if cells[-1] >= 1 << 31:
+                    raise ValueError("the token matrix of one text has more numbers than a batch can hold")
                 flat = np.concatenate([m.ravel() for m in matrices])
-                tokens = pa.ListArray.from_arrays(pa.array(rows), pa.ListArray.from_arrays(pa.array(cells), pa.array(flat)))
+                tokens = pa.ListArray.from_arrays(pa.array(rows), pa.ListArray.from_arrays(pa.array(cells.astype(np.int32)), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays([*part.columns, tokens], names=[*part.schema.names, out])
 
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.ArrayType(T.FloatType())))])
     return df.mapInArrow(run, schema)
 
 
+def batch_encode_pooled(
+    df: DataFrame, text: str = "text", out: str = "embedding", pooling: str = "cls", make_fn: Callable | None = None, batch_size: int = 64
+) -> DataFrame:
+    """Adds one vector per text, pooled from its token matrix inside the batch, so no matrix leaves Python.
+
+    ``cls`` is the first row; ``mean`` and ``max`` leave out the first and last
+    row and are NULL for fewer than 3 rows.
+    """
+    if pooling not in ("cls", "max", "mean"):
+        raise ValueError(f"unknown pooling: {pooling}")
+    load = make_fn or digest_token_encoder()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def pool(matrix):
+            if pooling == "cls":
+                return matrix[0] if len(matrix) else None
+            inner = matrix[1:-1]
+            if not len(inner):
+                return None
+            return inner.max(axis=0) if pooling == "max" else inner.mean(axis=0, dtype=np.float64)
+
+        encode = load()
+        for batch in batches:
+            for start, matrices in _matrices(batch.column(text).to_pylist(), encode, batch_size):
+                part = batch.slice(start, len(matrices))
+                vectors = pa.array([pool(m) for m in matrices], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors], names=[*part.schema.names, out])
+
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
+    return df.mapInArrow(run, schema)
+
+
 def length_rule(centre: float, scale: float) -> Callable:
     """Default classifier: logistic in the length of the text."""
 

@@ -5,20 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from codepairs.operators.clustering import density_cluster
-from codepairs.operators.models import batch_encode_tokens
+from codepairs.operators.models import batch_encode_pooled
 from codepairs.operators.similarity import cosine_all_pairs
-from codepairs.operators.vectors import embedding_table, pca_reduce, pool_matrix
+from codepairs.operators.vectors import embedding_table, pca_reduce
 from codepairs.session import settle
 
 
 def embed(snippets: DataFrame, code: str = "code", pooling: str = "cls", make_fn: Callable | None = None) -> DataFrame:
     """Adds ``embedding``, the pooled token matrix of each snippet; stored, so that the encoder runs once."""
-    encoded = batch_encode_tokens(snippets, code, "_tokens", make_fn)
-    vector = pool_matrix(F.col("_tokens"))[pooling].cast("array<float>")
-    return settle(encoded.withColumn("embedding", vector).drop("_tokens"), "embedded")
+    return settle(batch_encode_pooled(snippets, code, "embedding", pooling, make_fn), "embedded")
 
 
 def analyse(
