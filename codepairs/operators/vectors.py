@@ -147,11 +147,14 @@ def pca_reduce(df: DataFrame, vec_col: str, k: int = 2, prefix: str = "pc") -> D
 
 
 def embedding_table(coords: DataFrame, clusters: DataFrame | None, key: str, keep: Sequence[str]) -> DataFrame:
-    """Coordinates with code, label and, if given, the cluster name: the table behind the plots."""
+    """Coordinates with code, label and, if given, the cluster name: the table behind the plots.
+
+    A row without a cluster keeps its coordinates, with a NULL name.
+    """
     from codepairs.functions.text import cluster_name
 
     table = coords.select(key, *keep, *[c for c in coords.columns if c.startswith("pc")])
     if clusters is None:
         return table
     named = clusters.select(key, cluster_name(F.col("cluster")).alias("label_type"))
-    return table.join(named, key)
+    return table.join(named, key, "left")

@@ -1,7 +1,7 @@
 """The same results in DuckDB SQL, one string per query of ``catalog``.
 
-Queries without an entry have no SQL equivalent: principal components, trained
-models, and what is built from them.
+Queries without an entry have no SQL equivalent: trained models and what is
+built from them.
 """
 
 WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -126,6 +126,31 @@ CLUSTERS = """
     FROM embeddings e LEFT JOIN joined j ON e.vec_id = j.u LEFT JOIN ranked ON j.root = ranked.root"""
 
 
+def axis(name: str, matrix: str, squarings: int = 16) -> str:
+    """The leading axis of a symmetric matrix ``(i, j, v)`` by repeated squaring, turned so that its largest loading is positive."""
+    steps = [f"{name}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {matrix} WHERE i = j) AS v FROM {matrix})"]
+    for n in range(squarings):
+        square = f"SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {name}_{n} a JOIN {name}_{n} b ON a.j = b.i GROUP BY a.i, b.j"
+        steps.append(f"{name}_{n + 1} AS MATERIALIZED (SELECT i, j, v / sum(v) FILTER (i = j) OVER () AS v FROM ({square}))")
+    last = f"{name}_{squarings}"
+    column = f"SELECT i, v FROM {last} WHERE j = (SELECT i FROM {last} WHERE i = j ORDER BY v DESC, i LIMIT 1)"
+    turned = f"SELECT i, v / sqrt(sum(v * v) OVER ()) * sign(arg_max(v, abs(v)) OVER ()) AS v FROM ({column})"
+    return ",\n    ".join([*steps, f"{name} AS MATERIALIZED ({turned})"])
+
+
+PRINCIPAL = f"""
+    WITH dims AS MATERIALIZED (
+      SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    centred AS MATERIALIZED (SELECT vec_id, label, i, x - avg(x) OVER (PARTITION BY i) AS v FROM dims),
+    spread AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM centred a JOIN centred b USING (vec_id) GROUP BY a.i, b.i),
+    {axis("first", "spread")},
+    strength AS (SELECT sum(a.v * s.v * b.v) AS v FROM spread s JOIN first a ON s.i = a.i JOIN first b ON s.j = b.i),
+    remains AS MATERIALIZED (SELECT s.i, s.j, s.v - (SELECT v FROM strength) * a.v * b.v AS v FROM spread s JOIN first a ON s.i = a.i JOIN first b ON s.j = b.i),
+    {axis("second", "remains")}
+    SELECT vec_id, label, (round(sum(c.v * f.v), 6) + 0.0) AS pc0, (round(sum(c.v * s.v), 6) + 0.0) AS pc1
+    FROM centred c JOIN first f ON c.i = f.i JOIN second s ON c.i = s.i GROUP BY vec_id, label"""
+
+
 def hashed(rows: str, text: str, key: str, dim: int) -> str:
     """(key, dim, n): how often each md5 bucket of a token occurs."""
     return f"""
@@ -351,6 +376,9 @@ ORACLES: dict[str, str] = {
     "cosine_pairwise": f"""SELECT a.vec_id, {rnd("list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")} AS inspect_mean
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "density_cluster": CLUSTERS,
+    "pca_reduce": PRINCIPAL,
+    "embedding_table": f"""SELECT vec_id, label, pc0, pc1, CASE WHEN cluster < 0 THEN 'noise' ELSE 'cluster-' || cluster END AS label_type
+        FROM ({PRINCIPAL}) JOIN ({CLUSTERS}) USING (vec_id)""",
     # models
     "batch_embed": hashed("SELECT doc_id, text FROM documents", "text", "doc_id", 64),
     "batch_encode_tokens": f"""SELECT id, dim, {rnd("cls")} AS cls, {rnd("max_")} AS "max", {rnd("mean")} AS mean
