@@ -174,6 +174,17 @@ def _links(points: DataFrame, dim: int, n: int, cosine: float, deviations: float
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_compare(cosine), "p long, links long, root long")
 
 
-@query()
+SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+near AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS w FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(u, w) AS (SELECT u, w FROM near UNION SELECT r.u, n.w FROM reach r JOIN near n ON r.w = n.u),
+least AS (SELECT u, least(u, min(w)) AS c FROM reach GROUP BY u),
+links AS (SELECT u, count(*) AS n FROM near GROUP BY u)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN links l ON vec_id = l.u LEFT JOIN least m ON vec_id = m.u"""
+
+
+@query(SQL)
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))

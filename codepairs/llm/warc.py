@@ -288,7 +288,15 @@ def shared_uri(spark: SparkSession, name: str) -> str:
     return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
-@query()
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+heads AS (SELECT h, max(page_id) AS head FROM p WHERE strlen(h) >= 1000 GROUP BY h HAVING count(*) > 1),
+told AS (SELECT page_id, h, CASE WHEN head IS DISTINCT FROM page_id THEN head END AS refers_to FROM p LEFT JOIN heads USING (h))
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM told"""
+
+
+@query(SQL)
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages as packages and reads the records back."""
     packages = write_packages(table(spark, sf_dir, "pages"), shared_uri(spark, "warc"))
