@@ -1,46 +1,16 @@
-"""Connected components by contraction in random order."""
+"""Connected components of links, and spanning forests of small blocks of them."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from codepairs.session import settle
+from codepairs.operators.components import connected_components
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, component)`` for the nodes (``u`` and ``v``, long) of ``edges``; the component is its smallest node.
-
-    In each round every node joins the neighbour, or itself, that comes first
-    in an order drawn anew from a hash, and edges are carried over to the nodes
-    joined. A constant share of the nodes that still have edges goes in each
-    round, whatever the shape, so the rounds grow with the logarithm. All tables
-    are written, so that no join reuses the partitioning of an aggregate and
-    Spark can split the rows of a hub.
-    """
-    pairs = settle(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc-edges")
-    labels = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("label", F.col("node"))
-    turn = 0
-    while not pairs.isEmpty():
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        order = F.xxhash64("v", F.lit(turn))
-        first = both.groupBy("u").agg(F.min_by("v", order).alias("v"), F.min(order).alias("_order"))
-        joins = F.when(F.col("_order") < F.xxhash64("u", F.lit(turn)), F.col("v")).otherwise(F.col("u"))
-        hooks = settle(first.select(F.col("u").alias("_from"), joins.alias("_to")).filter("_from <> _to"), "cc-hooks")
-
-        def carried(df: DataFrame, name: str, hooks: DataFrame = hooks) -> DataFrame:
-            moved = df.join(hooks, F.col(name) == F.col("_from"), "left")
-            return moved.withColumn(name, F.coalesce("_to", name)).drop("_from", "_to")
-
-        labels = settle(carried(labels, "label"), "cc-labels")
-        # The table between the two joins keeps both free for splitting.
-        half = settle(carried(pairs, "u"), "cc-half")
-        ahead = carried(half, "v").filter("u <> v")
-        pairs = settle(ahead.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc-edges")
-        turn += 1
-    least = settle(labels.groupBy("label").agg(F.min("node").alias("component")), "cc-least")
-    return labels.join(least, "label").select("node", "component")
+    """``(node, component)`` for the nodes (``u`` and ``v``) of ``edges``; the component is its smallest node."""
+    return connected_components(edges.filter("u <> v")).withColumnRenamed("root", "component")
 
 
 def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
