@@ -239,7 +239,8 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     candidates = settle(components(met).withColumnRenamed("component", "group"), "mh-candidates")
 
     of = candidates.join(nodes, "node").select("node", "group", F.col("least").alias("_id"), "digest")
-    found = pair.join(settle(of, "mh-wanted"), F.col("doc_id") == F.col("_id")).select("node", "group", "digest", "text")
+    # Candidates grow with the documents, so their list is not broadcast while it happens to be small.
+    found = pair.join(settle(of, "mh-wanted").hint("merge"), F.col("doc_id") == F.col("_id")).select("node", "group", "digest", "text")
     sets = settle(found.mapInArrow(_wanted(size), "node long, group long, shingles binary"), "mh-sets")
     joined = components(_links(sets, percent))
 
@@ -259,6 +260,22 @@ def drop_near_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Da
     return row.join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
-@query()
+SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 3 THEN [array_to_string(l, ' ')]
+    ELSE list_transform(range(1, len(l) - 1), lambda i: array_to_string(l[i:i + 2], ' ')) END) AS x FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+near AS MATERIALIZED (
+  SELECT u, v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS met FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2)
+  JOIN n p ON p.doc_id = u JOIN n q ON q.doc_id = v WHERE 100 * met >= 85 * (p.n + q.n - met)),
+reach(u, v) AS (SELECT u, v FROM near UNION SELECT r.u, e.v FROM reach r JOIN near e ON r.v = e.u),
+least AS (SELECT u, least(u, min(v)) AS c FROM reach GROUP BY u)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON u = d.doc_id"""
+
+
+@query(SQL)
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents(table(spark, sf_dir, "documents"), size=3, percent=85)
