@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +34,7 @@ SYMBOLS = 256  # least size of the alphabet over which the lowest order is evene
 # Signs that no word holds: the start of a word after the end of a sentence and elsewhere, and the end of a word.
 AFTER_STOP, AFTER_WORD, END = "\n", "\t", " "
 STOPS = ".!?:"
-REMEMBERED, LONG_WORD = 400_000, 64  # words whose cost a worker remembers, and their most bytes
+REMEMBERED, LONG_WORD = 150_000, 64  # words whose cost a worker remembers, and their most bytes
 
 
 def signed_words(text: Column) -> Column:
@@ -109,34 +108,39 @@ def kneser_ney(trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataF
 
 
 class Reader:
-    """Scores texts of one language; words are scored once and remembered."""
+    """Scores texts of one language by the costs (negative logarithms) of n-grams and of backing off.
 
-    def __init__(self, p: dict[str, float], backoff: dict[str, float], order: int):
-        self.p, self.backoff, self.order = p, backoff, order
+    Words are scored once and remembered.
+    """
+
+    def __init__(self, grams: dict[str, float], contexts: dict[str, float], order: int):
+        self.grams, self.contexts, self.order = grams, contexts, order
+        self.forget()
+
+    def forget(self) -> None:
         self.after_stop: dict[bytes, tuple[float, int]] = {}
         self.after_word: dict[bytes, tuple[float, int]] = {}
         self.again = (self.cost(AFTER_STOP + END), self.cost(AFTER_WORD + END))
 
+    def remembered(self) -> int:
+        return len(self.after_stop) + len(self.after_word)
+
     def cost(self, token: str) -> float:
-        """The negative logarithm of a word with its signs."""
-        total = 0.0
+        """Of a word with its signs."""
+        grams, contexts, total = self.grams, self.contexts, 0.0
         for at in range(1, len(token)):
-            weight = 1.0
             for start in range(max(0, at - self.order + 1), at + 1):
-                gram = token[start : at + 1]
-                p = self.p.get(gram)
-                if p is not None:
+                found = grams.get(token[start : at + 1])
+                if found is not None:
+                    total += found
                     break
-                weight *= self.backoff.get(gram[:-1], 1.0)
+                total += contexts.get(token[start:at], 0.0)
             else:
-                p = self.p[""]
-            total -= np.log(weight * p)
-        return float(total)
+                total += grams[""]
+        return total
 
     def text(self, text: bytes) -> tuple[float, int]:
         """Cost and number of symbols."""
-        if len(self.after_stop) + len(self.after_word) > REMEMBERED:
-            self.after_stop, self.after_word = {}, {}
         stop, word = self.after_stop, self.after_word
         total, symbols, before, known, start = 0.0, 0, b"", stop, AFTER_STOP
         for w in text.split():
@@ -164,16 +168,21 @@ class Scorer:
         self.grams, self.contexts, self.order = grams, contexts, order
         self.readers: dict[str, Reader] = {}
 
-    def reader(self, lang: str) -> Reader | None:
-        if lang not in self.readers and lang in self.grams:
+    def score(self, lang: str, text: bytes) -> tuple[float | None, int]:
+        if lang not in self.grams:
+            return None, 0
+        if lang not in self.readers:
             self.readers[lang] = Reader(self.grams[lang], self.contexts[lang], self.order)
-        return self.readers.get(lang)
+        if sum(r.remembered() for r in self.readers.values()) > REMEMBERED:
+            for reader in self.readers.values():
+                reader.forget()
+        return self.readers[lang].text(text)
 
 
 def _by_lang(rows: DataFrame, key: str, value: str) -> dict[str, dict[str, float]]:
-    """Collected: as many rows as the bounded sample has n-grams."""
+    """The costs of a table of shares, collected: as many rows as the bounded sample has n-grams."""
     out: dict[str, dict[str, float]] = {}
-    read = rows.select("lang", key, value).toArrow()
+    read = rows.select("lang", key, (-F.log(value)).alias(value)).toArrow()
     for lang, k, v in zip(*(read.column(c).to_pylist() for c in ("lang", key, value)), strict=True):
         out.setdefault(lang, {})[k] = v
     return out
@@ -207,10 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float
     @F.pandas_udf("cost double, symbols long")
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for langs, texts in batches:
-            rows = []
-            for lang, text in zip(langs, texts, strict=True):
-                reader = scorer.value.reader(lang)
-                rows.append(reader.text(text) if reader else (None, 0))
+            model = scorer.value
+            rows = [model.score(lang, text) for lang, text in zip(langs, texts, strict=True)]
             yield pd.DataFrame(rows, columns=["cost", "symbols"])
 
     def scored(rows: DataFrame, lang: Column, text: Column) -> DataFrame:

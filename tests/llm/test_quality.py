@@ -77,7 +77,7 @@ def test_model_equals_plain_recursion(spark, order):
     texts = texts_of(2, 50)
     df = spark.createDataFrame([("", t) for t in texts], "lang string, text string")
     grams, contexts = kneser_ney(df, order)
-    reader = Reader({r.gram: r.p for r in grams.collect()}, {r.context: r.backoff for r in contexts.collect()}, order)
+    reader = Reader({r.gram: -math.log(r.p) for r in grams.collect()}, {r.context: -math.log(r.backoff) for r in contexts.collect()}, order)
     cost = plain(texts, order)
     for text in [*texts_of(3, 20), "unseen wörds here here", "ЖЖ"]:
         total, symbols = reader.text((text or "").encode())
