@@ -160,8 +160,22 @@ def _sample(bits: int, shards: int, most: int):
     return sample
 
 
-def _name(rows: pa.Table) -> pa.Table:
-    """The repeated names of a shard, by document."""
+def _bytes_of(bits: int) -> int:
+    return -(-bits // 8)
+
+
+def _short(values: np.ndarray, width: int) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _long(data: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    wide[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+    return wide.view("<u8").ravel()
+
+
+def _name(rows: pa.Table, width: int) -> pa.Table:
+    """The repeated names of a shard, by document, in ``width`` bytes each."""
     shard = rows.column("shard")[0].as_py()
     parts = [_shard_of(row) for row in rows.to_pylist()]
     value, doc = (np.concatenate([part[k] for part in parts]) for k in (0, 1))
@@ -178,7 +192,7 @@ def _name(rows: pa.Table) -> pa.Table:
     cuts = np.flatnonzero(np.diff(doc)) + 1
     parts = np.split(value, cuts) if len(value) else []
     ids = doc[np.concatenate([[0], cuts])] if len(value) else doc
-    return pa.table([pa.array(ids, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "names"])
+    return pa.table([pa.array(ids, pa.int64()), pa.array([_short(p, width) for p in parts], pa.binary())], names=["doc_id", "names"])
 
 
 # -- contexts ---------------------------------------------------------------------
@@ -209,7 +223,7 @@ def _members(bits: int):
                 data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
                 places = sampled(len(data))
                 value = names(data, places)
-                here = np.isin(value >> shift, np.frombuffer(b"".join(wanted), "<u8"))
+                here = np.isin(value >> shift, _long(b"".join(wanted), _bytes_of(bits)))
                 places, value = places[here], value[here]
                 low, high = reach(places, len(data))
                 context = hashes(data, low, high, CONTEXTS) ^ ((places - low).astype(np.uint64) << np.uint64(1))
@@ -318,7 +332,7 @@ def repeated_runs(rows: DataFrame, n_bytes: int, only: DataFrame, folded_ids: Da
     bits = min(64, math.ceil(math.log2(tuples + 1)) + 14)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tuples // SHARD))
     sharded = rows.mapInArrow(_sample(bits, shards, FLUSH), SHARDS)
-    named = settle(sharded.groupBy("shard").applyInArrow(_name, "doc_id long, names binary"), "suffix-names")
+    named = settle(sharded.groupBy("shard").applyInArrow(lambda t: _name(t, _bytes_of(bits)), "doc_id long, names binary"), "suffix-names")
     del sharded
     _release(spark)
 
@@ -328,8 +342,8 @@ def repeated_runs(rows: DataFrame, n_bytes: int, only: DataFrame, folded_ids: Da
         # It grows with the documents, so it is not broadcast while it happens to be small.
         return rows.join(told.hint("merge"), F.col("doc_id") == F.col("_doc")).drop("_doc")
 
-    wanted = named.join(folded_ids, F.col("doc_id") == F.col("_copy"), "left_anti").groupBy(F.col("doc_id").alias("_doc"))
-    held = of_documents(wanted.agg(F.collect_list("names").alias("names")))
+    wanted = named.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("names").alias("names"))
+    held = of_documents(wanted.join(folded_ids, F.col("_doc") == F.col("_copy"), "left_anti"))
     members = settle(held.mapInArrow(_members(bits), MEMBERS), "suffix-members")
     del held
     _release(spark)
