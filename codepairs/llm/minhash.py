@@ -158,8 +158,8 @@ def _verify(percent: int):
     return verify
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges that connect what is linked, ``sets`` being ``(node, group, shingles)``.
+def _joined(sets: DataFrame, percent: int) -> DataFrame:
+    """``node, component`` of all that is linked, ``sets`` being ``(node, group, shingles)``.
 
     A group of up to a block is compared whole, many groups in a call. Of a
     larger one every document first meets one block of pivots. What that has
@@ -187,16 +187,17 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     keys = ["bunch", "i", "j"]
     edges = "u long, v long"
     first = settle(small.unionByName(pivots).unionByName(others).groupBy(*keys).applyInArrow(verify, edges), "mh-links")
-    if sizes.filter("blocks > 1").isEmpty():
-        return first
     joined = components(first)
+    if sizes.filter("blocks > 1").isEmpty():
+        return joined
+    joined = settle(joined, "mh-joined")
     labels = large.select("node", "group", "blocks").join(joined, "node", "left").withColumn("label", F.coalesce("component", "node"))
     labels = settle(labels.select("node", "group", "label"), "mh-labels")
     counts = labels.groupBy("group", "label").agg(F.count("*").alias("n"))
     main = settle(counts.groupBy("group").agg(F.max_by("label", "n").alias("main")), "mh-main")
     rest = settle(labels.join(main, "group").filter("label <> main").select(F.col("node").alias("_rest")), "mh-rest")
     if rest.isEmpty():
-        return first
+        return joined
     outside = settle(large.join(rest, F.col("node") == F.col("_rest"), "left_semi"), "mh-outside")
     left_blocks = outside.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("lefts"))
     left_blocks = settle(left_blocks, "mh-lefts")
@@ -205,7 +206,10 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     right = large.join(left_blocks, "group").withColumn("_i", F.explode(F.sequence(zero.cast("long"), F.col("lefts") - 1)))
     second = shaped(left, F.col("group"), F.col("_i"), F.col("_j"), yes, no)
     second = second.unionByName(shaped(right, F.col("group"), F.col("_i"), F.col("block"), no, yes))
-    return first.unionByName(second.groupBy(*keys).applyInArrow(verify, edges))
+    more = settle(second.groupBy(*keys).applyInArrow(verify, edges), "mh-links")
+    # A component is by now as good as its edges.
+    held = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return joined if more.isEmpty() else components(held.unionByName(more))
 
 
 def near_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -242,7 +246,7 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     # Candidates grow with the documents, so their list is not broadcast while it happens to be small.
     found = pair.join(settle(of, "mh-wanted").hint("merge"), F.col("doc_id") == F.col("_id")).select("node", "group", "digest", "text")
     sets = settle(found.mapInArrow(_wanted(size), "node long, group long, shingles binary"), "mh-sets")
-    joined = components(_links(sets, percent))
+    joined = _joined(sets, percent)
 
     labels = nodes.join(joined.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     labels = settle(labels.select("digest", "least", F.coalesce("component", "node").alias("label")), "mh-labels")
