@@ -19,14 +19,18 @@ from codepairs.session import settle
 
 MIN_WORDS = 5  # of which one word is a fifth: lines within the bound are alike to 0.8 at least
 LINE_BITS = 4294967296  # lines of a document have numbers below this
+USUAL_WORDS = 2048  # of a line whose variants are made within its row
 POSITIONS = 512  # places of removed lines held together
 
 SPACES = r"[\x20\x09-\x0D]+"
 
 
 def normal(line: Column) -> Column:
-    """Words parted by one space, without space at the ends."""
-    return F.trim(F.regexp_replace(line, SPACES, " "))
+    """Words parted by one space, without space at the ends; most lines are so but for their ends."""
+    odd = F.lit(False)
+    for mark in ("  ", "\t", "\r", "\x0b", "\x0c", "\n"):
+        odd = odd | F.contains(line, F.lit(mark))
+    return F.when(odd, F.trim(F.regexp_replace(line, SPACES, " "))).otherwise(F.trim(line))
 
 
 def _words(norm: Column) -> Column:
@@ -65,10 +69,26 @@ def _ends(norm: Column, n: Column) -> list[Column]:
     return [end(own, False), end(own, True), F.when(own != other, end(other, False)), F.when(own != other, end(other, True))]
 
 
-def _active(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _told(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, n_lines, pos, digest, k0..k3``, stored: the lines with enough words, and the first line of every row.
+
+    All that later steps ask of a line but its words is here, so the texts are gone through once.
+    """
+    split = F.split(docs["text"], "\n")
+    n_lines = F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), n_lines, split.alias("_lines"))
+    rows = rows.select("row", "doc_id", "n_lines", F.posexplode_outer("_lines").alias("pos", "line"))
+    rows = rows.withColumn("norm", normal(F.col("line")))
+    rows = rows.withColumn("digest", F.when(F.col("doc_id").isNotNull(), line_digest(F.col("norm"))))
+    rows = rows.filter("digest is not null or pos = 0 or pos is null")
+    long = F.col("digest").isNotNull()
+    ends = [F.when(long, k).alias(f"k{i}") for i, k in enumerate(_ends(F.col("norm"), _words(F.col("norm"))))]
+    return settle(rows.select("row", "doc_id", "n_lines", "pos", "digest", *ends), "lines-told")
+
+
+def _active(told: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``digest, first, many`` of every distinct line, and ``digest, by_first, by_last`` of those that share an end."""
-    ends = [k.alias(f"k{i}") for i, k in enumerate(_ends(F.col("norm"), _words(F.col("norm"))))]
-    lines = _lines(docs).select("digest", _order(F.col("doc_id"), F.col("pos")).alias("at"), *ends)
+    lines = told.filter("digest is not null").withColumn("at", _order(F.col("doc_id"), F.col("pos")))
     # The keys are those of the line, whichever row tells them.
     folded = lines.groupBy("digest").agg(F.min("at").alias("first"), F.count("*").alias("many"), *[F.min(f"k{k}").alias(f"k{k}") for k in range(4)])
     folded = settle(folded, "lines")
@@ -95,15 +115,32 @@ def _texts(docs: DataFrame, lines: DataFrame, active: DataFrame) -> DataFrame:
     return settle(found.drop("_digest"), "lines-texts")
 
 
-def _variants(texts: DataFrame) -> DataFrame:
-    """``digest, at, place, key``: a hash of every line without the word at ``place``, and of the whole line at place 0.
+def _word_hashes(words: Column, shift: int) -> Column:
+    """40 bits per word and number, so that sums stay in range."""
+    return F.transform(words, lambda word, p: F.shiftrightunsigned(F.xxhash64(word, p - shift), 24))
 
-    Words are hashed with their number, so a variant is a sum of running sums,
-    and a line of any length takes as much work as it has words.
-    """
-    n = _words(F.col("norm"))
-    rows = texts.select("digest", "at", "by_first", "by_last", n.alias("n"), F.posexplode(F.split("norm", " ")).alias("p", "word"))
-    # 40 bits each, so that sums stay in range.
+
+def _short_variants(texts: DataFrame) -> DataFrame:
+    """Of lines of usual length: the running sums are arrays of the row."""
+
+    def sums(values: Column) -> Column:
+        last = lambda acc: F.element_at(acc, -1)
+        return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(last(acc) + x)))
+
+    words = F.split("norm", " ")
+    rows = texts.withColumns({"stays": sums(_word_hashes(words, 0)), "moves": sums(_word_hashes(words, 1))})
+    total = F.element_at("moves", -1)
+    # Sums stand at one place more than the word they end with, as they begin with nothing.
+    one = lambda p: F.get("stays", p - 1) + total - F.get("moves", p)
+    key = lambda p: F.when(p == 0, F.element_at("stays", -1)).otherwise(one(p))
+    places = F.filter(F.sequence(F.lit(0), F.col("n")), lambda p: (p == 0) | _open(p))
+    given = F.transform(places, lambda p: F.struct(p.alias("place"), key(p).alias("key")))
+    return rows.select("digest", "at", F.explode(given).alias("v")).select("digest", "at", "v.place", "v.key")
+
+
+def _long_variants(texts: DataFrame) -> DataFrame:
+    """Of lines of any length: a row per word, and sums over windows."""
+    rows = texts.select("digest", "at", "by_first", "by_last", "n", F.posexplode(F.split("norm", " ")).alias("p", "word"))
     hashed = [F.shiftrightunsigned(F.xxhash64("word", F.col("p") - shift), 24) for shift in (0, 1)]
     rows = rows.withColumns({"stays": hashed[0], "moves": hashed[1], "place": F.col("p") + 1})
     line = W.partitionBy("digest", "at")
@@ -111,14 +148,27 @@ def _variants(texts: DataFrame) -> DataFrame:
     left = F.sum("stays").over(upto) - F.col("stays")
     right = F.sum("moves").over(line) - F.sum("moves").over(upto)
     rows = rows.withColumns({"left": left, "right": right})
-    half = _half(F.col("n") - 1)
-    # A shared beginning leaves the edit behind it, a shared end before it.
-    open_ = (F.col("by_first") & (F.col("place") > half)) | (F.col("by_last") & (F.col("place") <= F.col("n") - half))
     one = F.struct(F.col("place").alias("place"), (F.col("left") + F.col("right")).alias("key"))
     whole = F.struct(F.lit(0).alias("place"), (F.col("left") + F.col("stays")).alias("key"))
-    given = F.array(F.when(open_, one), F.when(F.col("place") == F.col("n"), whole))
-    given = F.explode(F.filter(given, lambda v: v.isNotNull()))
-    return rows.select("digest", "at", given.alias("v")).select("digest", "at", "v.place", F.xxhash64("v.key").alias("key"))
+    given = F.filter(F.array(F.when(_open(F.col("place")), one), F.when(F.col("place") == F.col("n"), whole)), lambda v: v.isNotNull())
+    return rows.select("digest", "at", F.explode(given).alias("v")).select("digest", "at", "v.place", "v.key")
+
+
+def _open(place: Column) -> Column:
+    """Where the edit may be: a shared beginning leaves it behind, a shared end ahead."""
+    half = _half(F.col("n") - 1)
+    return (F.col("by_first") & (place > half)) | (F.col("by_last") & (place <= F.col("n") - half))
+
+
+def _variants(texts: DataFrame) -> DataFrame:
+    """``digest, at, place, key``: a hash of every line without the word at ``place``, and of the whole line at place 0.
+
+    Words are hashed with their number, so a variant is a sum of two running
+    sums, the same whichever way they are made.
+    """
+    sized = texts.withColumn("n", _words(F.col("norm")).cast("int"))
+    made = _short_variants(sized.filter(F.col("n") <= USUAL_WORDS)).unionByName(_long_variants(sized.filter(F.col("n") > USUAL_WORDS)))
+    return made.withColumn("key", F.xxhash64("key"))
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -136,9 +186,9 @@ def _within_one(a: Column, b: Column) -> Column:
     return (first == 0) | changed | longer | shorter
 
 
-def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_lines(docs: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All distinct lines (``digest, first, many``) and those (``digest``) near a line that stands earlier."""
-    lines, active = _active(docs)
+    lines, active = _active(told)
     texts = _texts(docs, lines, active)
     variants = settle(_variants(texts), "lines-variants")
     whole = F.min(F.when(F.col("place") == 0, F.col("at")))
@@ -155,19 +205,19 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = settle(pairs, "lines-pairs")
     own = texts.select(F.col("digest").alias("_digest"), F.split("norm", " ").alias("words"))
     other = texts.select(F.col("at").alias("_at"), F.split("norm", " ").alias("others"))
-    told = settle(pairs.join(own, F.col("digest") == F.col("_digest")).drop("_digest"), "lines-told")
-    told = told.join(other, F.col("earlier") == F.col("_at")).filter(_within_one(F.col("words"), F.col("others")))
-    return lines, settle(told.select("digest").distinct(), "lines-near")
+    both = settle(pairs.join(own, F.col("digest") == F.col("_digest")).drop("_digest"), "lines-both")
+    both = both.join(other, F.col("earlier") == F.col("_at")).filter(_within_one(F.col("words"), F.col("others")))
+    return lines, settle(both.select("digest").distinct(), "lines-near")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, pos, digest`` of every line that goes, stored."""
-    lines, near = near_lines(docs)
+def removed_lines(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """``row, doc_id, pos, digest`` of every line that goes, stored."""
+    lines, near = near_lines(docs, told)
     marked = lines.join(near.withColumn("near", F.lit(True)), "digest", "left").withColumn("near", F.coalesce("near", F.lit(False)))
     marked = settle(marked.filter("many > 1 or near").select(F.col("digest").alias("_digest"), "first", "near"), "lines-marked")
-    every = _lines(docs).select("doc_id", "pos", "digest")
+    every = told.filter("digest is not null").select("row", "doc_id", "pos", "digest")
     gone = every.join(marked, F.col("digest") == F.col("_digest")).filter(F.col("near") | (_order(F.col("doc_id"), F.col("pos")) > F.col("first")))
-    return settle(gone.select("doc_id", "pos", "digest").distinct(), "lines-gone")
+    return settle(gone.select("row", "doc_id", "pos", "digest"), "lines-gone")
 
 
 def _held(gone: DataFrame) -> DataFrame:
@@ -192,15 +242,12 @@ def line_report(docs: DataFrame) -> DataFrame:
     places: a line at the same place is not earlier. Null text has no lines, an empty one has one. Extra columns are
     ignored; an empty table gives an empty one.
     """
-    held = settle(_held(removed_lines(docs)), "lines-held")
-    digests = F.transform(F.split(docs["text"], "\n"), lambda line: line_digest(normal(line)))
-    rows = docs.select(docs["doc_id"].alias("doc_id"), digests.alias("_lines"))
-    told = rows.join(held.hint("merge"), F.col("doc_id") == F.col("_doc"), "left")
-    marks = F.transform("_lines", lambda d, pos: F.when(F.col("_gone").isNotNull() & _is_gone(pos, d), pos))
-    told = told.withColumn("_removed", F.coalesce(F.filter(marks, lambda m: m.isNotNull()), F.array().cast("array<int>")))
-    numbers = F.array_join(F.transform("_removed", lambda m: m.cast("string")), ",")
-    n_lines = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
-    return told.select("doc_id", n_lines.alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), numbers.alias("removed"))
+    told = _told(docs)
+    gone = removed_lines(docs, told).groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_list("pos")).alias("_gone"))
+    rows = told.filter("pos = 0 or pos is null").select("row", "doc_id", "n_lines").join(settle(gone, "lines-held"), F.col("row") == F.col("_row"), "left")
+    numbers = F.array_join(F.transform("_gone", lambda p: p.cast("string")), ",")
+    n_removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
+    return rows.select("doc_id", "n_lines", n_removed.alias("n_removed"), F.coalesce(numbers, F.lit("")).alias("removed"))
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
@@ -208,7 +255,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, where there is such a column, is the length of the new text.
     """
-    held = settle(_held(removed_lines(docs)), "lines-held")
+    held = settle(_held(removed_lines(docs, _told(docs)).select("doc_id", "pos", "digest").distinct()), "lines-held")
     fresh = {c: docs[c].alias(c) for c in docs.columns}
     row = docs.select(F.struct(*fresh.values()).alias("_row"))
     told = row.join(held.hint("merge"), F.col("_row.doc_id") == F.col("_doc"), "left")

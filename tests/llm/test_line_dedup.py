@@ -64,6 +64,14 @@ def test_random_lines(spark, seed):
     assert got(line_report(data(spark, rows))) == brute(rows)
 
 
+def test_both_ways_to_variants(spark, monkeypatch):
+    from codepairs.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "USUAL_WORDS", 11)
+    rows = random_docs(7, 60, ["a", "b", "c", "d"])
+    assert got(line_report(data(spark, rows))) == brute(rows)
+
+
 def test_odd_rows(spark):
     long = " ".join(f"z{i}" for i in range(20_000))
     rows = [(1, "a b c d e"), (2, "a b c d"), (3, None), (4, ""), (5, "\n \n"), (6, "  a  b c\td e \nx"), (7, "a b c d e f\na b c d f f"), (None, "a b c d e"), (None, "q r s t u")]
