@@ -6,16 +6,22 @@ the one before is the end sign alone, so running repetition costs one unlikely
 symbol each time instead of many likely ones. N-grams reach back to the start sign at most.
 
 Counts, continuation counts, discounts and back-off weights are aggregates and
-joins over shards of the n-grams of a bounded sample of trusted documents, order
-by order. Their number is bounded by that sample, so the finished model is handed
-to all tasks; every document is then scored where it lies, without a shuffle.
+joins over shards of the n-grams of all trusted documents but those held out for
+the quantile, order by order. A text is told as the words it holds, by chunks of
+neighbouring documents; the distinct words of the corpus meet the sharded n-grams
+through their distinct windows, and their costs are added up by document. Neither
+model nor texts pass through the driver, and no number of documents is bounded.
 """
 
 from __future__ import annotations
 
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -24,8 +30,7 @@ from codepairs.llm.registry import query, table
 from codepairs.session import settle
 
 ORDER = 5
-# Trusted documents per language that the model is fitted on, and others that the quantile is taken from.
-FIT_DOCS, CALIBRATION_DOCS = 1000, 2000
+CALIBRATION_DOCS = 2000  # bounds nothing any more; a test of a small corpus measures by it
 LEAST_CALIBRATION = 10  # a language with fewer is not judged
 QUANTILE = 0.998
 PRIOR = 100  # symbols at the language's mean that every document is given, as short ones vary more
@@ -34,7 +39,10 @@ SYMBOLS = 256  # least size of the alphabet over which the lowest order is evene
 # Signs that no word holds: the start of a word after the end of a sentence and elsewhere, and the end of a word.
 AFTER_STOP, AFTER_WORD, END = "\n", "\t", " "
 STOPS = ".!?:"
-REMEMBERED, LONG_WORD = 150_000, 64  # words whose cost a worker remembers, and their most bytes
+STOP_BYTES = frozenset(STOPS.encode())
+CHUNK_BYTES = 4 << 20  # of neighbouring texts whose words are told together
+WINDOW_ROWS = 50_000  # of a batch of windows
+BUCKETS = 65536  # of the logarithm of a perplexity, for each e-fold
 
 
 def signed_words(text: Column) -> Column:
@@ -108,22 +116,10 @@ def kneser_ney(trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataF
 
 
 class Reader:
-    """Scores texts of one language by the costs (negative logarithms) of n-grams and of backing off.
-
-    Words are scored once and remembered.
-    """
+    """Scores texts by the costs (negative logarithms) of n-grams and of backing off, held in memory; what the joins add up to."""
 
     def __init__(self, grams: dict[str, float], contexts: dict[str, float], order: int):
         self.grams, self.contexts, self.order = grams, contexts, order
-        self.forget()
-
-    def forget(self) -> None:
-        self.after_stop: dict[bytes, tuple[float, int]] = {}
-        self.after_word: dict[bytes, tuple[float, int]] = {}
-        self.again = (self.cost(AFTER_STOP + END), self.cost(AFTER_WORD + END))
-
-    def remembered(self) -> int:
-        return len(self.after_stop) + len(self.after_word)
 
     def cost(self, token: str) -> float:
         """Of a word with its signs."""
@@ -141,104 +137,199 @@ class Reader:
 
     def text(self, text: bytes) -> tuple[float, int]:
         """Cost and number of symbols."""
-        stop, word = self.after_stop, self.after_word
-        total, symbols, before, known, start = 0.0, 0, b"", stop, AFTER_STOP
-        for w in text.split():
-            if w == before:
-                total += self.again[known is word]
-                symbols += 1
-                continue
-            told = known.get(w)
-            if told is None:
-                token = start + w.decode("utf-8", "replace") + END
-                told = (self.cost(token), len(token) - 1)
-                if len(w) <= LONG_WORD:
-                    known[w] = told
-            total += told[0]
-            symbols += told[1]
-            before = w
-            known, start = (stop, AFTER_STOP) if w[-1:] in (b".", b"!", b"?", b":") else (word, AFTER_WORD)
-        return total, symbols
-
-
-class Scorer:
-    """The finished model as tasks hold it: one reader per language, made when first asked for."""
-
-    def __init__(self, grams: dict[str, dict[str, float]], contexts: dict[str, dict[str, float]], order: int):
-        self.grams, self.contexts, self.order = grams, contexts, order
-        self.readers: dict[str, Reader] = {}
+        counts = word_counts(text)
+        tokens = [(as_token(w, stop), n) for (w, stop), n in counts.items()]
+        return sum(self.cost(t) * n for t, n in tokens), sum((len(t) - 1) * n for t, n in tokens)
 
-    def score(self, lang: str, text: bytes) -> tuple[float | None, int]:
-        if lang not in self.grams:
-            return None, 0
-        if lang not in self.readers:
-            self.readers[lang] = Reader(self.grams[lang], self.contexts[lang], self.order)
-        if sum(r.remembered() for r in self.readers.values()) > REMEMBERED:
-            for reader in self.readers.values():
-                reader.forget()
-        return self.readers[lang].text(text)
 
+def word_counts(text: bytes) -> Counter:
+    """How often each word, by whether it begins a sentence, stands in a text; empty for one that repeats the one before."""
+    words = text.split()
+    before = [b".", *words[:-1]]
+    stops = [w[-1] in STOP_BYTES for w in before]
+    if words:
+        before[0] = b""  # the first word repeats nothing
+    return Counter(zip([b"" if w == x else w for w, x in zip(words, before, strict=False)], stops, strict=False))
 
-def _by_lang(rows: DataFrame, key: str, value: str) -> dict[str, dict[str, float]]:
-    """The costs of a table of shares, collected: as many rows as the bounded sample has n-grams."""
-    out: dict[str, dict[str, float]] = {}
-    read = rows.select("lang", key, (-F.log(value)).alias(value)).toArrow()
-    for lang, k, v in zip(*(read.column(c).to_pylist() for c in ("lang", key, value)), strict=True):
-        out.setdefault(lang, {})[k] = v
-    return out
+
+def as_token(word: bytes, stop: bool) -> str:
+    return (AFTER_STOP if stop else AFTER_WORD) + word.decode("utf-8", "replace") + END
+
+
+def _trusted_ids(labels: DataFrame) -> DataFrame:
+    """``_id, fit``: the documents labelled good, parted by a digest of their ids."""
+    good = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("_worst")).filter("_worst = 1 and _id is not null")
+    return good.select("_id", (F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(2)) == 0).alias("fit"))
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``lang, text, fit``: bounded samples of the documents labelled good, drawn by a digest of their ids.
+    """``lang, text, fit``: all documents labelled good; about one in two, by a digest of its id, is fitted on, the others are held out.
 
     Ids with contradicting labels, or a null one, are not trusted. A null
-    language is a language of its own. Documents alternate between fitting and calibration.
+    language is a language of its own.
+    """
+    pair = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["lang"], F.lit("")).alias("lang"), docs["text"].alias("text"))
+    return pair.join(_trusted_ids(labels), F.col("doc_id") == F.col("_id")).select("lang", "text", "fit")
+
+
+def _key(lang: Column, text: Column) -> Column:
+    """A digest of language and text, of which a verdict is a function."""
+    lang = F.coalesce(lang, F.lit(""))
+    return F.unhex(F.md5(F.concat(F.length(lang).cast("string"), F.lit(":"), lang, F.coalesce(text, F.lit("")))))
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a chunk: for each of its words the numbers of documents and counts, and, without a word, the keys of its documents."""
+    task, serial, size = TaskContext.get().partitionId(), 0, 0
+    keys: dict[str, list[bytes]] = {}
+    held: dict[str, dict[tuple[bytes, bool], list[int]]] = {}
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        nonlocal serial, size
+        for lang, of in keys.items():
+            words = list(held[lang].items())
+            tokens = [as_token(*w) for w, _ in words] + [None]
+            told = [array("i", v).tobytes() for _, v in words] + [b"".join(of)]
+            n = len(tokens)
+            columns = [pa.array([(task << 32) + serial] * n, pa.int64()), pa.array([lang] * n, pa.string()), pa.array(tokens, pa.string()), pa.array(told, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "lang", "token", "told"])
+            serial += 1
+        keys.clear()
+        held.clear()
+        size = 0
+
+    for batch in batches:
+        for key, lang, text in zip(*(batch.column(c).to_pylist() for c in ("key", "lang", "text")), strict=True):
+            of, words = keys.setdefault(lang, []), held.setdefault(lang, {})
+            at = len(of)
+            of.append(key)
+            for w, n in word_counts(text).items():
+                words.setdefault(w, []).extend((at, n))
+            size += len(text) + 64
+            if size >= CHUNK_BYTES:
+                yield from flushed()
+    yield from flushed()
+
+
+def _windows(order: int):
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For every word the longest n-grams that end in its symbols."""
+        out: list[tuple[int, str, str, int]] = []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "lang", "window", "n"])
+
+        for batch in batches:
+            for i, lang, token in zip(*(batch.column(c).to_pylist() for c in ("id", "lang", "token")), strict=True):
+                found = Counter(token[max(0, at - order + 1) : at + 1] for at in range(1, len(token)))
+                out += [(i, lang, window, n) for window, n in found.items()]
+                if len(out) >= WINDOW_ROWS:
+                    yield batch_of(out)
+                    out = []
+        if out:
+            yield batch_of(out)
+
+    return windows
+
+
+def _window_costs(windows: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``lang, window, cost``: of the last symbol of each distinct window; none where the language has no model.
+
+    An n-gram that was seen has its shorter endings seen too, so those not seen are the ones backed off from.
+    """
+    base = grams.filter("gram = ''").select(F.col("lang").alias("_of"), (-F.log("p")).alias("base"))
+    none = contexts.filter("context = ''").select(F.col("lang").alias("_on"), (-F.log("backoff")).alias("none"))
+    base = settle(base.join(none, F.col("_of") == F.col("_on")).select("_of", (F.col("base") + F.col("none")).alias("base")), "kn-base")
+    distinct = settle(windows.select("lang", "window").distinct(), "kn-distinct")
+    n = F.length("window")
+    parts = distinct.withColumn("s", F.explode(F.sequence(F.lit(1), n)))
+    parts = parts.select("lang", "window", "s", F.substr("window", F.col("s")).alias("gram"), F.substr("window", F.col("s"), n - F.col("s")).alias("context"))
+    seen = grams.filter("gram <> ''").select(F.col("lang").alias("_lang"), F.col("gram").alias("_gram"), "p")
+    met = settle(parts.join(seen, (F.col("lang") == F.col("_lang")) & (F.col("gram") == F.col("_gram")), "left").select("lang", "window", "s", "context", "p"), "kn-met")
+    known = met.filter("p is not null").groupBy("lang", "window").agg((-F.log(F.min_by("p", "s"))).alias("cost"))
+    weights = contexts.filter("context <> ''").select(F.col("lang").alias("_lang"), F.col("context").alias("_context"), "backoff")
+    unseen = met.filter("p is null and context <> ''").join(weights, (F.col("lang") == F.col("_lang")) & (F.col("context") == F.col("_context")))
+    unseen = unseen.select("lang", "window", (-F.log("backoff")).alias("cost"))
+    # A symbol never seen: a row per language.
+    never = met.filter("p is null and context = ''").join(F.broadcast(base), F.col("lang") == F.col("_of")).select("lang", "window", F.col("base").alias("cost"))
+    return settle(known.unionByName(unseen).unionByName(never).groupBy("lang", "window").agg(F.sum("cost").alias("cost")), "kn-window-costs")
+
+
+def _added(key: tuple, rows: pa.Table) -> pa.Table:
+    """Costs and symbols of the documents of a chunk."""
+    told, costs, symbols = rows.column("told").to_pylist(), rows.column("cost").to_numpy(), rows.column("symbols").to_numpy()
+    head = int(np.flatnonzero(symbols < 0)[0])
+    keys = [told[head][i : i + 16] for i in range(0, len(told[head]), 16)]
+    words = [i for i in range(len(told)) if i != head]
+    pairs = np.frombuffer(b"".join(told[i] for i in words), dtype=np.int32).reshape(-1, 2)
+    many = np.array([len(told[i]) // 8 for i in words], dtype=np.int64)
+    at, n = pairs[:, 0], pairs[:, 1].astype(np.float64)
+    cost = np.bincount(at, n * np.repeat(costs[words], many), len(keys))
+    length = np.bincount(at, n * np.repeat(symbols[words], many), len(keys))
+    lang = rows.column("lang")[head].as_py()
+    return pa.table([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.binary()), pa.array(cost, from_pandas=True), pa.array(length.astype(np.int64))], ["lang", "key", "cost", "symbols"])
+
+
+def _scores(docs: DataFrame, grams: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
+    """``lang, key, cost, symbols`` of every distinct text of a language."""
+    lang = F.coalesce(docs["lang"], F.lit(""))
+    texts = docs.select(_key(docs["lang"], docs["text"]).alias("key"), lang.alias("lang"), F.coalesce(docs["text"].cast("binary"), F.lit(b"")).alias("text"))
+    chunks = settle(texts.mapInArrow(_chunked, "chunk long, lang string, token string, told binary"), "kn-chunks")
+    words = settle(chunks.filter("token is not null").select("lang", "token").distinct().withColumn("id", F.monotonically_increasing_id()), "kn-words")
+    windows = settle(words.mapInArrow(_windows(order), "id long, lang string, window string, n long"), "kn-windows")
+    costs = _window_costs(windows, grams, contexts).select(F.col("lang").alias("_lang"), F.col("window").alias("_window"), "cost")
+    priced = windows.join(costs, (F.col("lang") == F.col("_lang")) & (F.col("window") == F.col("_window")))
+    priced = priced.groupBy(F.col("id").alias("_id")).agg(F.sum(F.col("cost") * F.col("n")).alias("cost"))
+    priced = words.join(priced, F.col("id") == F.col("_id"), "left")
+    priced = settle(priced.select(F.col("lang").alias("_lang"), F.col("token").alias("_token"), "cost", (F.length("token") - 1).cast("long").alias("symbols")), "kn-priced")
+    told = chunks.filter("token is not null").join(priced, (F.col("lang") == F.col("_lang")) & (F.col("token") == F.col("_token")))
+    heads = chunks.filter("token is null").select("chunk", "lang", "told", F.lit(None).cast("double").alias("cost"), F.lit(-1).cast("long").alias("symbols"))
+    told = told.select("chunk", "lang", "told", "cost", "symbols").unionByName(heads)
+    added = told.groupBy("chunk").applyInArrow(_added, "lang string, key binary, cost double, symbols long")
+    return settle(added.groupBy("lang", "key").agg(F.min("cost").alias("cost"), F.min("symbols").alias("symbols")), "kn-scores")
+
+
+def _quantiles(held: DataFrame, quantile: float) -> DataFrame:
+    """``_of, threshold``: the interpolated quantile of ``value`` by ``lang``, exact.
+
+    Equal values are folded; buckets are counted, and only those in which the quantile lies are ranked.
     """
-    good = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("_worst")).filter("_worst = 1")
-    lang = F.coalesce(docs["lang"], F.lit("")).alias("lang")
-    named = docs.select(docs["doc_id"].alias("doc_id"), lang).join(good, F.col("doc_id") == F.col("_id")).select("doc_id", "lang").distinct()
-    drawn = named.withColumn("_turn", F.row_number().over(W.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")))
-    drawn = drawn.filter(F.col("_turn") <= 2 * CALIBRATION_DOCS).withColumn("fit", F.col("_turn") % 2 == 1)
-    drawn = drawn.filter(~F.col("fit") | (F.col("_turn") <= 2 * FIT_DOCS))
-    drawn = settle(drawn.select(F.col("doc_id").alias("_drawn"), F.col("lang").alias("_lang"), "fit"), "kn-drawn")
-    pair = docs.select(docs["doc_id"].alias("doc_id"), lang, docs["text"].alias("text"))
-    # A few thousand ids per language.
-    return settle(pair.join(F.broadcast(drawn), (F.col("doc_id") == F.col("_drawn")) & (F.col("lang") == F.col("_lang"))).select("lang", "text", "fit"), "kn-trusted")
-
-
-def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE):
-    """A function that gives a table with ``lang`` and ``text`` the columns of ``judge``."""
-    spark = docs.sparkSession
-    trusted = trusted_documents(docs, labels)
-    grams, contexts = kneser_ney(trusted.filter("fit"), order)
-    scorer = spark.sparkContext.broadcast(Scorer(_by_lang(grams, "gram", "p"), _by_lang(contexts, "context", "backoff"), order))
-
-    @F.pandas_udf("cost double, symbols long")
-    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for langs, texts in batches:
-            model = scorer.value
-            rows = [model.score(lang, text) for lang, text in zip(langs, texts, strict=True)]
-            yield pd.DataFrame(rows, columns=["cost", "symbols"])
-
-    def scored(rows: DataFrame, lang: Column, text: Column) -> DataFrame:
-        return rows.withColumn("_read", read(F.coalesce(lang, F.lit("")), F.coalesce(text.cast("binary"), F.lit(b""))))
-
-    held = scored(trusted.filter("not fit"), F.col("lang"), F.col("text")).select("lang", "_read.cost", "_read.symbols").filter("cost is not null")
-    held = settle(held, "kn-calibration")
+    folded = held.groupBy("lang", "value").agg(F.count("*").alias("n")).withColumn("bucket", F.floor(F.log("value") * BUCKETS))
+    folded = settle(folded, "kn-values")
+    buckets = folded.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # As many rows as perplexities have buckets.
+    buckets = buckets.withColumn("before", F.sum("n").over(W.partitionBy("lang").orderBy("bucket")) - F.col("n"))
+    buckets = buckets.withColumn("at", F.lit(quantile) * (F.sum("n").over(W.partitionBy("lang")) - 1))
+    low = F.floor("at")
+    for_low, for_high = low, F.ceil("at")
+
+    def holds(rank: Column) -> Column:
+        return (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
+
+    wanted = buckets.filter(holds(for_low) | holds(for_high)).select(F.col("lang").alias("_of"), F.col("bucket").alias("_bucket"), F.col("before").alias("_start"), "at")
+    near = folded.join(wanted, (F.col("lang") == F.col("_of")) & (F.col("bucket") == F.col("_bucket")))
+    near = near.withColumn("before", F.col("_start") + F.sum("n").over(W.partitionBy("lang", "bucket").orderBy("value")) - F.col("n"))
+    ends = near.groupBy("_of", "at").agg(F.max(F.when(holds(for_low), F.col("value"))).alias("lower"), F.max(F.when(holds(for_high), F.col("value"))).alias("upper"))
+    return ends.select("_of", (F.col("lower") + (F.col("at") - low) * (F.col("upper") - F.col("lower"))).alias("threshold"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> tuple[DataFrame, DataFrame]:
+    """``lang, key, cost, symbols`` of every distinct text of a language, and ``_of, mean, threshold`` of the languages that are judged."""
+    grams, contexts = kneser_ney(trusted_documents(docs, labels).filter("fit"), order)
+    scores = _scores(docs, grams, contexts, order)
+    ids = docs.select(docs["doc_id"].alias("doc_id"), _key(docs["lang"], docs["text"]).alias("_key"))
+    held = ids.join(_trusted_ids(labels).filter("not fit"), F.col("doc_id") == F.col("_id")).select("_key")
+    held = settle(held.join(scores, F.col("_key") == F.col("key")).filter("cost is not null").select("lang", "cost", "symbols"), "kn-calibration")
     means = held.groupBy("lang").agg((F.sum("cost") / F.nullif(F.sum("symbols"), F.lit(0))).alias("mean"), F.count("*").alias("n"))
-    means = means.filter(F.col("mean").isNotNull() & (F.col("n") >= LEAST_CALIBRATION)).select(F.col("lang").alias("_of"), "mean")
-    smooth = F.exp((F.col("cost") + PRIOR * F.col("mean")) / (F.col("symbols") + PRIOR))
-    limits = held.join(means, F.col("lang") == F.col("_of")).groupBy("_of", "mean").agg(F.percentile(smooth, F.lit(quantile)).alias("threshold"))
-    limits = settle(limits, "kn-limits")
+    means = settle(means.filter(F.col("mean").isNotNull() & (F.col("n") >= LEAST_CALIBRATION)).select(F.col("lang").alias("_in"), "mean"), "kn-means")
+    values = held.join(F.broadcast(means), F.col("lang") == F.col("_in")).select("lang", _smooth().alias("value"))  # a row per language
+    limits = _quantiles(values, quantile).join(means, F.col("_of") == F.col("_in")).select("_of", "mean", "threshold")
+    return scores, settle(limits, "kn-limits")
 
-    def judge(rows: DataFrame, lang: Column, text: Column) -> DataFrame:
-        """``rows`` with ``perplexity``, ``threshold`` and ``kept``; the first two are null where the language is not judged."""
-        told = scored(rows.withColumn("_lang", F.coalesce(lang, F.lit(""))), lang, text).join(F.broadcast(limits), F.col("_lang") == F.col("_of"), "left")
-        cost, symbols = F.col("_read.cost"), F.col("_read.symbols")
-        told = told.withColumn("perplexity", F.exp((cost + PRIOR * F.col("mean")) / (symbols + PRIOR)))
-        return told.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).drop("_lang", "_read", "_of", "mean")
 
-    return judge
+def _smooth() -> Column:
+    return F.exp((F.col("cost") + PRIOR * F.col("mean")) / (F.col("symbols") + PRIOR))
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -250,15 +341,20 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> D
     language with too few trusted ones. Rows that repeat are judged each; extra
     columns are ignored; without labels everything is kept; an empty table gives an empty one.
     """
-    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["lang"].alias("lang"), docs["text"].alias("text"))
-    return fit(docs, labels, quantile=quantile)(rows, F.col("lang"), F.col("text")).select("doc_id", "lang", "perplexity", "threshold", "kept")
+    scores, limits = fit(docs, labels, quantile=quantile)
+    told = scores.join(F.broadcast(limits), F.col("lang") == F.col("_of"), "left")  # a row per language
+    told = told.select(F.col("key").alias("_scored"), _smooth().alias("perplexity"), "threshold")
+    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["lang"].alias("lang"), _key(docs["lang"], docs["text"]).alias("_key"))
+    told = rows.join(told, F.col("_key") == F.col("_scored"), "left")
+    return told.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``docs`` without those rejected; all columns are kept."""
+    scores, limits = fit(docs, labels, quantile=quantile)
+    bad = scores.join(F.broadcast(limits), F.col("lang") == F.col("_of")).filter(_smooth() > F.col("threshold")).select(F.col("key").alias("_bad"))
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    judged = fit(docs, labels, quantile=quantile)(row, F.col("_row.lang"), F.col("_row.text"))
-    return judged.filter("kept").select("_row.*")
+    return row.join(settle(bad, "kn-bad"), _key(F.col("_row.lang"), F.col("_row.text")) == F.col("_bad"), "left_anti").select("_row.*")
 
 
 @query()

@@ -160,3 +160,22 @@ def test_held_out_accuracy(spark):
     told = op10_quality(spark, sf).join(labels, "doc_id")
     good, bad = (told.filter(F.col("quality") == q).agg(F.avg(F.col("kept").cast("double"))).first()[0] for q in (1, 0))
     assert good >= 0.98 and bad <= 0.1
+
+
+def test_all_trusted_documents_count(spark):
+    """More trusted documents than any cap: all are fitted on or held out, and the quantile is that of all held out."""
+    texts = texts_of(8, 5000)
+    docs = spark.createDataFrame([(i, t, "en", "x", "y") for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], LABELS)
+    parts = {True: [], False: []}
+    for r in trusted_documents(docs, labels).collect():
+        parts[r.fit].append(r.text)
+    assert sorted(parts[True] + parts[False]) == sorted(texts) and min(map(len, parts.values())) > CALIBRATION_DOCS
+    cost = plain(parts[True])
+    told = [(sum(map(cost, tokens(t))), sum(len(w) - 1 for w in tokens(t))) for t in parts[False]]
+    mean = sum(c for c, _ in told) / sum(n for _, n in told)
+    scores = sorted(math.exp((c + PRIOR * mean) / (n + PRIOR)) for c, n in told)
+    at = quality.QUANTILE * (len(scores) - 1)
+    limit = scores[int(at)] + (at - int(at)) * (scores[int(at) + 1] - scores[int(at)])
+    rows = quality.quality(docs, labels).select("threshold").distinct().collect()
+    assert [r.threshold for r in rows] == [pytest.approx(limit, rel=1e-9)]
