@@ -3,8 +3,8 @@
 Centres are fitted on a bounded sample; every vector is assigned. Each vector
 lives in the cell of its nearest centre and visits those cells of higher number
 whose dividing plane is within reach, so a linked pair that a plane parts still
-meets once. Cells are cut into blocks of bounded size, and only blocks of one
-cell are multiplied.
+meets once. Cells are cut into blocks of bounded size, and blocks of those that
+live in a cell are multiplied with one another and with blocks of its visitors.
 """
 
 from __future__ import annotations
@@ -23,12 +23,15 @@ from codepairs.llm.vectors import doubles, is_valid, matrix
 from codepairs.session import settle
 
 COSINE = 0.95
-# Vectors per cell of the sample that centres are fitted on, passes over it, and rows of a block.
+# Vectors per cell of the sample that centres are fitted on, passes over it, rows of a block, and of what is multiplied at once.
 SAMPLE_PER_CELL = 16
 PASSES = 6
-BLOCK_ROWS = 1024
-# Standard deviations of the step to a linked vector, across a plane, that a visit allows for.
-DEVIATIONS = 4.0
+BLOCK_ROWS = 4096
+STRIP = 512
+# Standard deviations of the step to a linked vector, across a plane, that a visit allows for: any step.
+DEVIATIONS = math.inf
+# Below this distance of two centres the place of their plane is lost in rounding.
+LEAST_APART = 1e-4
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -59,7 +62,7 @@ def _assign(shared, reach: float):
                 products = units(matrix(part.column("vec"))) @ centres.T
                 home = products.argmax(axis=1)
                 ahead = (products[np.arange(len(home)), home][:, None] - products) / apart[home]
-                visits = (ahead <= reach) & (np.arange(len(centres))[None, :] > home[:, None])
+                visits = ((ahead <= reach) | (apart[home] < LEAST_APART)) & (np.arange(len(centres))[None, :] > home[:, None])
                 row, cell = np.nonzero(visits)
                 rows = np.concatenate([np.arange(len(home)), row])
                 cells = np.concatenate([home, cell])
@@ -77,13 +80,14 @@ def _compare(cosine: float):
         if len(left) and len(right):
             same = key[1].as_py() == key[2].as_py()
             a, b = units(matrix(left.column("vec"))), units(matrix(right.column("vec")))
-            home_a, home_b = (t.column("resident").to_numpy() for t in (left, right))
-            near = (a @ b.T >= cosine) & (home_a[:, None] | home_b[None, :])
+            near = np.concatenate([a[i : i + STRIP] @ b.T >= cosine for i in range(0, len(a), STRIP)])
             if same:
                 np.fill_diagonal(near, False)
             p_a, p_b = (t.column("p").to_numpy() for t in (left, right))
             w_a, w_b = (t.column("weight").to_numpy() for t in (left, right))
-            sides = [(p_a, near @ w_b)] if same else [(p_a, near @ w_b), (p_b, near.T @ w_a)]
+            links_a = np.concatenate([near[i : i + STRIP] @ w_b for i in range(0, len(a), STRIP)])
+            links_b = sum(w_a[i : i + STRIP] @ near[i : i + STRIP] for i in range(0, len(a), STRIP))
+            sides = [(p_a, links_a)] if same else [(p_a, links_a), (p_b, links_b)]
             for p, links in sides:
                 out["p"].append(p[links > 0])
                 out["links"].append(links[links > 0])
@@ -111,10 +115,10 @@ def _compare(cosine: float):
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, deviations: float = DEVIATIONS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row: links of cosine ``>= cosine``, in double precision.
 
-    No link is reported below the threshold. One can be missed only between two
-    cells, if its step across their plane is longer than ``deviations`` standard
-    deviations of a step of that length in a random direction; with
-    ``math.inf`` every step that is possible is allowed for, and none is missed.
+    No link is reported below the threshold, and none is missed: every step across
+    a plane that is possible is allowed for. Only with a finite ``deviations`` one
+    can be missed between two cells, if its step across their plane is longer than
+    so many standard deviations of a step of that length in a random direction.
 
     Equal vectors are folded before and counted after. A vector that is null,
     empty, zero or holds a null or non-finite component links with nothing, as
@@ -154,23 +158,28 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, deviations: float =
 
 def _links(points: DataFrame, dim: int, n: int, cosine: float, deviations: float, block_rows: int) -> DataFrame:
     spark = points.sparkSession
-    cells = max(1, math.isqrt(n))
+    # No smaller than a block: where next to no plane is out of reach, a vector visits about half of them.
+    cells = max(1, min(math.isqrt(n), math.ceil(n / block_rows)))
     sample = points.orderBy(F.xxhash64("vec")).limit(cells * SAMPLE_PER_CELL).select("vec").toArrow()
     centres = spherical_kmeans(units(matrix(sample.column("vec"))), cells)
     step = math.sqrt(2 - 2 * cosine)
-    reach = min(step, deviations * step / math.sqrt(dim)) + 1e-9
+    # The planes go through the origin, so what lies beyond one is as far as the sine of the angle at least.
+    farthest = math.sqrt(max(0.0, 1 - cosine * cosine)) if cosine > 0 else 1.0
+    reach = min(farthest, deviations * step / math.sqrt(dim) if step > 0 else 0.0) + 1e-6
     kept = points.select("p", "vec", "weight")
     placed = kept.mapInArrow(_assign(spark.sparkContext.broadcast(centres), reach), "p long, vec array<double>, weight long, cell long, resident boolean")
     placed = settle(placed, "vec-cells")
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
-    placed = placed.join(F.broadcast(sizes), "cell")  # one row per cell, of which there are as many as the root of the rows
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("p"), F.col("blocks")))
-    # A pair of blocks (block, other) of a cell has the rows of the lower block on the left.
-    left = placed.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
-    right = placed.withColumn("other", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other"))))
+    sizes = placed.groupBy("cell").agg(*[F.ceil(F.count(F.when(own, 1)) / block_rows).alias(c) for c, own in (("own", F.col("resident")), ("guests", ~F.col("resident")))])
+    placed = placed.join(F.broadcast(sizes), "cell")  # one row per cell, of which there are as many as the root of the rows at most
+    share = F.pmod(F.xxhash64("p"), F.when(F.col("resident"), F.col("own")).otherwise(F.col("guests")))
+    placed = placed.withColumn("block", F.when(F.col("resident"), share).otherwise(F.col("own") + share))
+    # Of a pair of blocks (block, other) of a cell the first is of residents; blocks of visitors have the higher numbers.
+    left = placed.filter("resident").withColumn("other", F.explode(F.sequence(F.col("block"), F.col("own") + F.col("guests") - 1)))
+    last = F.least(F.col("other"), F.col("own") - 1)
+    right = placed.filter("own > 0").withColumn("other", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     keys = ["cell", "block", "other"]
-    left = left.select(*keys, "p", "vec", "weight", "resident")
-    right = right.select(*[F.col(c).alias(c) for c in (*keys, "p", "vec", "weight", "resident")])  # columns of their own
+    left = left.select(*keys, "p", "vec", "weight")
+    right = right.select(*[F.col(c).alias(c) for c in (*keys, "p", "vec", "weight")])  # columns of their own
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_compare(cosine), "p long, links long, root long")
 
 

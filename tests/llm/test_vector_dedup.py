@@ -95,3 +95,17 @@ def test_components(spark, shape):
     want = union({i for p in pairs for i in p}, pairs)
     want = {n: c for n, c in want.items() if any(n in p and p[0] != p[1] for p in pairs)}
     assert {r.node: r.component for r in components(df).collect()} == want
+
+
+@pytest.mark.parametrize("rank, dim, noise", [(4, 64, 0.0), (6, 768, 0.001)])
+def test_vectors_that_vary_in_few_directions(spark, rank, dim, noise):
+    """The query's defaults on clustered vectors of low rank: no link is lost between cells."""
+    rng = np.random.default_rng(3)
+    few = rng.normal(size=(60, rank))[rng.integers(60, size=1500)] + 0.3 * rng.normal(size=(1500, rank))
+    x = few @ rng.normal(size=(rank, dim)) + noise * rng.normal(size=(1500, dim))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    want = {i: int(n) - 1 for i, n in enumerate(near.sum(axis=1))}
+    group = union(range(len(x)), zip(*(p.tolist() for p in np.nonzero(np.triu(near, 1))), strict=True))
+    rows = near_vectors(data(spark, [(i, v) for i, v in enumerate(x.tolist())]), block_rows=64).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in rows} == {i: (want[i], group[i]) for i in want}
