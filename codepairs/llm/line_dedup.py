@@ -115,9 +115,12 @@ def _texts(docs: DataFrame, lines: DataFrame, active: DataFrame) -> DataFrame:
     return settle(found.drop("_digest"), "lines-texts")
 
 
-def _word_hashes(words: Column, shift: int) -> Column:
-    """40 bits per word and number, so that sums stay in range."""
-    return F.transform(words, lambda word, p: F.shiftrightunsigned(F.xxhash64(word, p - shift), 24))
+SUMS = {"key": (), "more": ("more",)}  # what is hashed besides the word: two sums that do not depend on each other
+
+
+def _word_hash(sum_: str, word: Column, place: Column) -> Column:
+    """40 bits per word and number, so that sums stay in range; a key of two sums has above 80."""
+    return F.shiftrightunsigned(F.xxhash64(word, place, *[F.lit(x) for x in SUMS[sum_]]), 24)
 
 
 def _short_variants(texts: DataFrame) -> DataFrame:
@@ -128,30 +131,36 @@ def _short_variants(texts: DataFrame) -> DataFrame:
         return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(last(acc) + x)))
 
     words = F.split("norm", " ")
-    rows = texts.withColumns({"stays": sums(_word_hashes(words, 0)), "moves": sums(_word_hashes(words, 1))})
-    total = F.element_at("moves", -1)
-    # Sums stand at one place more than the word they end with, as they begin with nothing.
-    one = lambda p: F.get("stays", p - 1) + total - F.get("moves", p)
-    key = lambda p: F.when(p == 0, F.element_at("stays", -1)).otherwise(one(p))
+
+    def hashes(sum_: str, shift: int) -> Column:
+        return sums(F.transform(words, lambda word, p: _word_hash(sum_, word, p - shift)))
+
+    rows = texts.withColumns({f"{name}_{x}": hashes(x, shift) for x in SUMS for name, shift in (("stays", 0), ("moves", 1))})
+
+    def key(x: str, p: Column) -> Column:
+        # Sums stand at one place more than the word they end with, as they begin with nothing.
+        one = F.get(f"stays_{x}", p - 1) + F.element_at(f"moves_{x}", -1) - F.get(f"moves_{x}", p)
+        return F.when(p == 0, F.element_at(f"stays_{x}", -1)).otherwise(one).alias(x)
+
     places = F.filter(F.sequence(F.lit(0), F.col("n")), lambda p: (p == 0) | _open(p))
-    given = F.transform(places, lambda p: F.struct(p.alias("place"), key(p).alias("key")))
-    return rows.select("digest", "at", F.explode(given).alias("v")).select("digest", "at", "v.place", "v.key")
+    given = F.transform(places, lambda p: F.struct(p.alias("place"), *[key(x, p) for x in SUMS]))
+    return rows.select("digest", "at", F.explode(given).alias("v")).select("digest", "at", "v.place", *[f"v.{x}" for x in SUMS])
 
 
 def _long_variants(texts: DataFrame) -> DataFrame:
     """Of lines of any length: a row per word, and sums over windows."""
     rows = texts.select("digest", "at", "by_first", "by_last", "n", F.posexplode(F.split("norm", " ")).alias("p", "word"))
-    hashed = [F.shiftrightunsigned(F.xxhash64("word", F.col("p") - shift), 24) for shift in (0, 1)]
-    rows = rows.withColumns({"stays": hashed[0], "moves": hashed[1], "place": F.col("p") + 1})
+    hashed = {f"{name}_{x}": _word_hash(x, F.col("word"), F.col("p") - shift) for x in SUMS for name, shift in (("stays", 0), ("moves", 1))}
+    rows = rows.withColumns(hashed | {"place": F.col("p") + 1})
     line = W.partitionBy("digest", "at")
     upto = line.orderBy("p").rowsBetween(W.unboundedPreceding, W.currentRow)
-    left = F.sum("stays").over(upto) - F.col("stays")
-    right = F.sum("moves").over(line) - F.sum("moves").over(upto)
-    rows = rows.withColumns({"left": left, "right": right})
-    one = F.struct(F.col("place").alias("place"), (F.col("left") + F.col("right")).alias("key"))
-    whole = F.struct(F.lit(0).alias("place"), (F.col("left") + F.col("stays")).alias("key"))
+    left = {f"left_{x}": F.sum(f"stays_{x}").over(upto) - F.col(f"stays_{x}") for x in SUMS}
+    right = {f"right_{x}": F.sum(f"moves_{x}").over(line) - F.sum(f"moves_{x}").over(upto) for x in SUMS}
+    rows = rows.withColumns(left | right)
+    one = F.struct(F.col("place").alias("place"), *[(F.col(f"left_{x}") + F.col(f"right_{x}")).alias(x) for x in SUMS])
+    whole = F.struct(F.lit(0).alias("place"), *[(F.col(f"left_{x}") + F.col(f"stays_{x}")).alias(x) for x in SUMS])
     given = F.filter(F.array(F.when(_open(F.col("place")), one), F.when(F.col("place") == F.col("n"), whole)), lambda v: v.isNotNull())
-    return rows.select("digest", "at", F.explode(given).alias("v")).select("digest", "at", "v.place", "v.key")
+    return rows.select("digest", "at", F.explode(given).alias("v")).select("digest", "at", "v.place", *[f"v.{x}" for x in SUMS])
 
 
 def _open(place: Column) -> Column:
@@ -161,14 +170,14 @@ def _open(place: Column) -> Column:
 
 
 def _variants(texts: DataFrame) -> DataFrame:
-    """``digest, at, place, key``: a hash of every line without the word at ``place``, and of the whole line at place 0.
+    """``digest, at, place, key, more``: two hashes of every line without the word at ``place``, and of the whole line at place 0.
 
-    Words are hashed with their number, so a variant is a sum of two running
-    sums, the same whichever way they are made.
+    Words are hashed with their number, so a variant's hash is a sum of two running
+    sums, the same whichever way they are made. A key keeps one line alone, so
+    lines that are not alike may not share it: both hashes together are the key.
     """
     sized = texts.withColumn("n", _words(F.col("norm")).cast("int"))
-    made = _short_variants(sized.filter(F.col("n") <= USUAL_WORDS)).unionByName(_long_variants(sized.filter(F.col("n") > USUAL_WORDS)))
-    return made.withColumn("key", F.xxhash64("key"))
+    return _short_variants(sized.filter(F.col("n") <= USUAL_WORDS)).unionByName(_long_variants(sized.filter(F.col("n") > USUAL_WORDS)))
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -193,13 +202,14 @@ def near_lines(docs: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame]:
     variants = settle(_variants(texts), "lines-variants")
     whole = F.min(F.when(F.col("place") == 0, F.col("at")))
     less = F.min(F.when(F.col("place") > 0, F.col("at")))
-    shared = variants.groupBy("key").agg(F.count("*").alias("n"), whole.alias("whole"), less.alias("less")).filter("n > 1")
-    shared = settle(shared.select(F.col("key").alias("_key"), "whole", "less"), "lines-shared")
-    met = settle(variants.join(shared, F.col("key") == F.col("_key")).drop("_key"), "lines-met")
+    shared = variants.groupBy(*SUMS).agg(F.count("*").alias("n"), whole.alias("whole"), less.alias("less")).filter("n > 1")
+    shared = settle(shared.select(*[F.col(x).alias(f"_{x}") for x in SUMS], "whole", "less"), "lines-shared")
+    same = (F.col("key") == F.col("_key")) & (F.col("more") == F.col("_more"))
+    met = settle(variants.join(shared, same).drop("_key", "_more"), "lines-met")
     # Of equal length and with the same word left out: one word changed.
-    changed = settle(met.filter("place > 0").groupBy("key", "place").agg(F.min("at").alias("changed")), "lines-changed")
-    changed = changed.select(F.col("key").alias("_key"), F.col("place").alias("_place"), "changed")
-    met = met.join(changed, (F.col("key") == F.col("_key")) & (F.col("place") == F.col("_place")), "left")
+    changed = settle(met.filter("place > 0").groupBy(*SUMS, "place").agg(F.min("at").alias("changed")), "lines-changed")
+    changed = changed.select(*[F.col(x).alias(f"_{x}") for x in SUMS], F.col("place").alias("_place"), "changed")
+    met = met.join(changed, same & (F.col("place") == F.col("_place")), "left")
     partners = F.when(F.col("place") == 0, F.array("less")).otherwise(F.array("whole", "changed"))
     pairs = met.select("digest", "at", F.explode(partners).alias("earlier")).filter("earlier < at").distinct()
     pairs = settle(pairs, "lines-pairs")

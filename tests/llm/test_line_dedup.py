@@ -89,3 +89,11 @@ def test_documents_without_their_lines(spark):
     kept = drop_lines(data(spark, rows))
     assert kept.columns == ["doc_id", "text", "n_chars", "digest", "pos"]
     assert {r.doc_id: (r.text, r.n_chars) for r in kept.collect()} == {1: (rows[0][1], 19), 2: ("other", 5), 4: (None, 0), 5: (" ", 1), 6: ("end", 3)}
+
+
+def test_unrelated_line_of_equal_first_sum(spark):
+    """Four words whose sum of word hashes is that of four others: the earlier line of that sum may not hide the near one."""
+    other, mine = (" ".join(f"v{i}" for i in w) for w in ([18, 1, 46, 6], [23, 67, 41, 16]))
+    rows = [(1, f"{other} x"), (2, "v18 v1 p q r"), (3, f"{mine} y"), (4, f"{mine} z")]
+    assert brute(rows)[3] == (4, 1, 1, "0")
+    assert got(line_report(data(spark, rows))) == brute(rows)
