@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from codepairs.functions import labels as L
 from codepairs.functions import text as X
-from codepairs.operators import clustering, metrics, models, records, sampling, similarity, vectors
+from codepairs.operators import clustering, hierarchy, metrics, models, records, sampling, similarity, vectors
 from codepairs.plans import diff_metric, embedding, subtree
 from codepairs.session import scratch_path
 from codepairs.sources import readers, schemas, writers
@@ -647,6 +647,21 @@ def density_cluster(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.density_cluster(table(spark, sf, "embeddings"), "vec_id", "embedding", CLUSTER_COSINE, CLUSTER_MIN_PTS)
 
 
+@query
+def reachability_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The spanning tree behind hierarchical clusters, as the number of its edges by weight: the same for every such tree."""
+    tree = hierarchy.reachability_tree(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return tree.groupBy(rounded(F.col("weight")).alias("weight")).agg(F.count("*").alias("n_edges"))
+
+
+@query
+def hierarchical_cluster(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of varying density in the plane of the first two principal components."""
+    coords = vectors.pca_reduce(table(spark, sf, "embeddings"), "embedding", 2)
+    found = hierarchy.hierarchical_cluster(coords.select("vec_id", F.array("pc0", "pc1").alias("vec")), "vec_id", "vec")
+    return found.select("vec_id", "cluster", X.cluster_name(F.col("cluster")).alias("label_type"))
+
+
 @query
 def embedding_table(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.embedding_table(pca_reduce(spark, sf), density_cluster(spark, sf), "vec_id", ["label"])

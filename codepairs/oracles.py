@@ -259,6 +259,23 @@ TRAINING = f"""
     SELECT doc_id, pruning_type, {flat("cleaned_code")} AS source, {flat("edited_code")} AS target, kept AS label
     FROM ({DOCUMENT_PAIRS})"""
 
+# Rounds in which every component takes its first edge outward; twelve are enough for 4 096 vectors.
+_TREE_ROUND = """
+f{i} AS MATERIALIZED (SELECT a.c AS c, min({{'w': s.w, 'u': s.u, 'v': s.v, 'o': b.c}}) AS e FROM s JOIN l{i} a ON a.p = s.x JOIN l{i} b ON b.p = s.y WHERE a.c <> b.c GROUP BY a.c),
+r{i}(a, b) AS (SELECT c, c FROM f{i} UNION SELECT r{i}.a, g.y FROM r{i} JOIN (SELECT c AS x, e.o AS y FROM f{i} UNION SELECT e.o, c FROM f{i}) g ON r{i}.b = g.x),
+l{n} AS MATERIALIZED (SELECT l{i}.p, m.c FROM l{i} JOIN (SELECT a, min(b) AS c FROM r{i} GROUP BY a) m ON l{i}.c = m.a)"""
+REACHABILITY = (
+    """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id AS p, embedding::DOUBLE[] AS x FROM embeddings),
+d AS MATERIALIZED (SELECT a.p AS u, b.p AS v, list_distance(a.x, b.x) AS d FROM v a, v b),
+k AS MATERIALIZED (SELECT u AS p, d AS k FROM d QUALIFY row_number() OVER (PARTITION BY u ORDER BY d) = 5),
+e AS MATERIALIZED (SELECT u, v, greatest(d, a.k, b.k) AS w FROM d JOIN k a ON a.p = u JOIN k b ON b.p = v WHERE u < v),
+s AS MATERIALIZED (SELECT u, v, w, u AS x, v AS y FROM e UNION ALL SELECT u, v, w, v, u FROM e),
+l0 AS (SELECT p, p AS c FROM v),"""
+    + ",".join(_TREE_ROUND.format(i=i, n=i + 1) for i in range(12))
+    + f"""
+SELECT {rnd("e.w")} AS weight, count(*)::BIGINT AS n_edges FROM ({" UNION ".join(f"SELECT e.w AS w, e.u AS u, e.v AS v FROM f{i}" for i in range(12))}) e GROUP BY ALL"""
+)
+
 ORACLES: dict[str, str] = {
     # sources and sinks: what was written must come back
     "read_jsonl_partitions": """SELECT doc_id, text, source, n_chars, lang,
@@ -376,6 +393,7 @@ ORACLES: dict[str, str] = {
     "cosine_pairwise": f"""SELECT a.vec_id, {rnd("list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")} AS inspect_mean
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "density_cluster": CLUSTERS,
+    "reachability_tree": REACHABILITY,
     "pca_reduce": PRINCIPAL,
     "embedding_table": f"""SELECT vec_id, label, pc0, pc1, CASE WHEN cluster < 0 THEN 'noise' ELSE 'cluster-' || cluster END AS label_type
         FROM ({PRINCIPAL}) JOIN ({CLUSTERS}) USING (vec_id)""",
