@@ -1,8 +1,8 @@
 """Readers. Directory names become columns in the one scan that reads all files.
 
-A ``*.jsonl`` entry may be a single file or a directory of part files. JSON Lines
-files are split among tasks; whole-document JSON and multi-line CSV are not, so
-convert those to Parquet once.
+A ``*.jsonl`` entry may be a single file or a directory of part files. All files
+are split among tasks: JSON Lines at line breaks, whole-document JSON and CSV with
+line breaks inside quotes by the automata of ``ranges``.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codepairs.functions.text import decoded_uri
+from codepairs.sources.ranges import SPLIT_BYTES, CsvAutomaton, JsonAutomaton, ranged_records
 from codepairs.sources.schemas import LABELLED_CODE, NESTED_EDIT, PAIR_SET, require
 
 CORRUPT = "_corrupt_record"
@@ -97,22 +98,33 @@ def read_jsonl_file(
     return _json(spark, f"{root}/{lang}/{partition}.jsonl", schema, strict, {})
 
 
-def read_nested_json(spark: SparkSession, root: str, schema: T.StructType = NESTED_EDIT, strict: bool = True) -> DataFrame:
-    """``root/*.json``, one object per file."""
-    return _json(spark, f"{root}/*.json", schema, strict, {}, multiLine=True)
+def read_nested_json(
+    spark: SparkSession, root: str, schema: T.StructType = NESTED_EDIT, strict: bool = True, split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
+    """``root/*.json``, an object or an array of objects per file.
+
+    An array is read by as many tasks as its file has ranges of ``split_bytes``; an object by one. A faulty element or a file that
+    ends too early is an error under ``strict``; otherwise the element's text is kept in ``_corrupt_record``.
+    """
+    records = ranged_records(spark, f"{root}/*.json", JsonAutomaton, split_bytes, balanced=strict)
+    if strict:
+        rows = records.select(F.from_json("record", schema, {"mode": "FAILFAST"}).alias("_json"))
+        return require(rows.select("_json.*"), schema.names)
+    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json("record", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return records.select(parsed.alias("_json")).select("_json.*")
 
 
-def read_labelled_csv(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_labelled_csv(spark: SparkSession, path: str, strict: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Headerless CSV: first column code, second label, any others ignored.
 
     Fields may hold quotes and line breaks; all line breaks come out as ``\\n``. A row without a label is an error
-    under ``strict`` and keeps a NULL label otherwise.
+    under ``strict`` and keeps a NULL label otherwise. A file is read by as many tasks as it has ranges of ``split_bytes``.
     """
-    wide = T.StructType([*LABELLED_CODE.fields, T.StructField(CORRUPT, T.StringType())])
-    # The separator is fixed: guessing it would go by the first line break, which may lie inside a field.
-    rows = spark.read.schema(wide).csv(
-        path, multiLine=True, escape='"', header=False, lineSep="\n", mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
-    )
+    wide = f"{LABELLED_CODE.toDDL()}, {CORRUPT} STRING"
+    options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "maxCharsPerColumn": "-1"}
+    records = ranged_records(spark, path, CsvAutomaton, split_bytes)
+    rows = records.select(F.from_csv("record", wide, options).alias("_row")).select("_row.*")
     rows = rows.withColumns(
         {
             "code": F.regexp_replace("code", "\r\n?", "\n"),
