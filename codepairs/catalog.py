@@ -18,7 +18,7 @@ from codepairs.functions import text as X
 from codepairs.operators import clustering, hierarchy, metrics, models, records, sampling, similarity, vectors
 from codepairs.plans import diff_metric, embedding, subtree
 from codepairs.session import scratch_path
-from codepairs.sources import readers, schemas, writers
+from codepairs.sources import readers, schemas, tree, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -150,8 +150,16 @@ def nested_edits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def languages(docs: DataFrame) -> list[str]:
-    """Language names, to name the directories of a plain tree."""
-    return sorted(r[0] for r in docs.select("lang").distinct().collect())
+    """Language names; null is none."""
+    return sorted(r[0] for r in docs.select("lang").distinct().collect() if r[0] is not None)
+
+
+def store_by_source(spark: SparkSession, sf: str) -> str:
+    """Documents as one file per language and source, in the order of their ids."""
+    root = scratch_path(spark, "files")
+    docs = table(spark, sf, "documents").repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id")
+    docs.select("doc_id", "n_chars", "text", "lang", "source").write.partitionBy("lang", "source").json(root)
+    return root
 
 
 def store_nested(items: DataFrame, root: str, per_file: int = 500) -> None:
@@ -177,7 +185,7 @@ def split_documents(spark: SparkSession, sf: str) -> DataFrame:
 def read_jsonl_partitions(spark: SparkSession, sf: str) -> DataFrame:
     docs = split_documents(spark, sf)
     root = scratch_path(spark, "tree")
-    writers.write_jsonl_tree(docs, root, {"lang": languages(docs), "partition": ["train", "test"]})
+    tree.write_jsonl_files(docs, root)
     return readers.read_jsonl_partitions(spark, root, DOCUMENT)
 
 
@@ -185,8 +193,7 @@ def read_jsonl_partitions(spark: SparkSession, sf: str) -> DataFrame:
 def read_pair_tree(spark: SparkSession, sf: str) -> DataFrame:
     pairs = document_pairs(spark, sf).withColumn("partition", F.lit("train"))
     root = scratch_path(spark, "pair-tree")
-    by = {"lang": languages(pairs), "partition": ["train"], "pruning_type": PRUNING_TYPES}
-    writers.write_jsonl_tree(pairs.drop("source", "cos_sim_diff_node"), root, by, leaf="programs")
+    tree.write_jsonl_files(pairs.drop("source", "cos_sim_diff_node"), root, ("lang", "partition", "pruning_type"), leaf="programs")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *schemas.CHAR_PAIR.fields])
     return readers.read_pair_tree(spark, root, schema)
 
@@ -195,7 +202,7 @@ def read_pair_tree(spark: SparkSession, sf: str) -> DataFrame:
 def read_jsonl_dir(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumns({"set": F.lit("corpus"), "partition": F.lit("test"), "part": F.col("lang")})
     root = scratch_path(spark, "dir")
-    writers.write_jsonl_tree(docs, root, {"set": ["corpus"], "partition": ["test"], "part": languages(docs)})
+    tree.write_jsonl_files(docs, root, ("set", "partition", "part"))
     return readers.read_jsonl_dir(spark, root, "corpus", "test", T.StructType([*DOCUMENT.fields, T.StructField("lang", T.StringType())]))
 
 
@@ -203,7 +210,7 @@ def read_jsonl_dir(spark: SparkSession, sf: str) -> DataFrame:
 def read_jsonl_file(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumns({"set": F.lit("corpus"), "partition": F.lit("test")})
     root = scratch_path(spark, "file")
-    writers.write_jsonl_tree(docs, root, {"set": ["corpus"], "partition": ["test"]})
+    tree.write_jsonl_files(docs, root, ("set", "partition"))
     return readers.read_jsonl_file(spark, root, "corpus", "test", T.StructType([*DOCUMENT.fields, T.StructField("lang", T.StringType())]))
 
 
@@ -230,20 +237,63 @@ def read_jsonl_partitions_some(spark: SparkSession, sf: str) -> DataFrame:
     """Of all languages and partitions on disk, two languages and one partition."""
     docs = split_documents(spark, sf)
     root = scratch_path(spark, "tree")
-    writers.write_jsonl_tree(docs, root, {"lang": languages(docs), "partition": ["train", "test"]})
+    tree.write_jsonl_files(docs, root)
     return readers.read_jsonl_partitions(spark, root, DOCUMENT, langs=["en", "fr"], partitions=["train"])
 
 
+@query
+def read_jsonl_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole tree by its data source, null names among the others."""
+    root = scratch_path(spark, "tree")
+    tree.write_jsonl_files(split_documents(spark, sf), root)
+    return tree.read_jsonl_tree(spark, root, DOCUMENT)
+
+
+@query
+def read_jsonl_tree_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """Filters on the path columns decide which files are opened."""
+    root = scratch_path(spark, "tree")
+    tree.write_jsonl_files(split_documents(spark, sf), root)
+    rows = tree.read_jsonl_tree(spark, root, DOCUMENT)
+    return rows.filter("lang IN ('en', 'fr') AND partition = 'train' AND n_chars > 2000")
+
+
+@query
+def read_pair_tree_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """One language and the pruning types that run over sequences, of a tree of three levels."""
+    pairs = document_pairs(spark, sf).withColumn("partition", F.lit("train"))
+    root, levels = scratch_path(spark, "pair-tree"), ("lang", "partition", "pruning_type")
+    tree.write_jsonl_files(pairs.select("doc_id", "cleaned_code", "edited_code", "cos_sim_diff_char", *levels), root, levels)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *schemas.CHAR_PAIR.fields])
+    return tree.read_jsonl_tree(spark, root, schema, levels).filter("lang = 'en' AND pruning_type LIKE '%_seq'")
+
+
+@query
+def tree_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows per directory as the write counted them."""
+    root = scratch_path(spark, "tree")
+    tree.write_jsonl_files(split_documents(spark, sf), root)
+    return tree.tree_sizes(spark, root).select("lang", "partition", F.col("rows").alias("n"))
+
+
 @query
 def first_record_per_file_read(spark: SparkSession, sf: str) -> DataFrame:
     """The first line of every file: documents stored one file per language and source, in the order of their ids."""
-    root = scratch_path(spark, "files")
-    docs = table(spark, sf, "documents").repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id")
-    docs.select("doc_id", "n_chars", "text", "lang", "source").write.partitionBy("lang", "source").json(root)
+    root = store_by_source(spark, sf)
     schema = schemas.fields(doc_id=T.LongType(), n_chars=T.LongType(), text=T.StringType())
     return readers.first_record_per_file(spark, f"{root}/*/*/*", schema).drop("file")
 
 
+@query
+def read_selected_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the files whose first record fits the limits that with most tokens, read alone."""
+    root = store_by_source(spark, sf)
+    schema = schemas.fields(doc_id=T.LongType(), n_chars=T.LongType(), text=T.StringType())
+    first = models.token_counts(readers.first_record_per_file(spark, f"{root}/*/*/*", schema).withColumnRenamed("text", "code"), "code")
+    longest = metrics.longest_within_limit(records.length_filter(first, max_chars=20_000, max_tokens=5_000))
+    return readers.read_selected_file(spark, longest, schema)
+
+
 @query
 def read_labelled_csv(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("text").alias("code"), F.col("source").alias("label"), "lang")
@@ -295,6 +345,15 @@ def write_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(schemas.PAIR_SET).parquet(root)
 
 
+@query
+def write_pairs_counted(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of the directories of a stored set, counted by the write."""
+    pairs = records.make_pairs(document_pairs(spark, sf), "ast", keep=["pruning_type"], guid_cols=["doc_id"])
+    pairs = pairs.withColumns({"lang": F.lit("python"), "partition": F.lit("train")})
+    by = {"lang": ["python"], "partition": ["train"], "pruning_type": PRUNING_TYPES}
+    return writers.write_pairs_counted(pairs, scratch_path(spark, "pairs"), by).filter("n_rows > 0")
+
+
 @query
 def write_report_csv(spark: SparkSession, sf: str) -> DataFrame:
     report = dataset_sizes(spark, sf)

@@ -289,6 +289,21 @@ ORACLES: dict[str, str] = {
         WHERE lang = 'en' AND doc_id % 2 = 0 AND pruning_type IN ('rule_point', 'back_seq')""",
     "read_pair_tree": f"""SELECT doc_id, cleaned_code, edited_code, kept AS cos_sim_diff_char, lang, 'train' AS "partition",
         pruning_type, 'programs.jsonl' AS file FROM ({DOCUMENT_PAIRS})""",
+    "read_jsonl_tree": """SELECT doc_id, text, source, n_chars, lang,
+        CASE WHEN n_chars >= 1000 THEN 'train' ELSE 'test' END AS "partition" FROM documents""",
+    "read_jsonl_tree_filtered": """SELECT doc_id, text, source, n_chars, lang, 'train' AS "partition" FROM documents
+        WHERE n_chars > 2000 AND lang IN ('en', 'fr')""",
+    "read_pair_tree_filtered": f"""SELECT doc_id, cleaned_code, edited_code, kept AS cos_sim_diff_char, lang, 'train' AS "partition", pruning_type
+        FROM ({DOCUMENT_PAIRS}) WHERE lang = 'en' AND pruning_type LIKE '%\\_seq' ESCAPE '\\'""",
+    "tree_sizes": """SELECT lang, CASE WHEN n_chars >= 1000 THEN 'train' ELSE 'test' END AS "partition", count(*)::BIGINT AS n
+        FROM documents GROUP BY ALL""",
+    "read_selected_file": f"""
+        WITH firsts AS (SELECT lang, source, {tokens("text")} AS n, length(text) AS c FROM documents
+          QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) = 1)
+        SELECT doc_id, n_chars, text FROM documents JOIN (SELECT lang, source FROM firsts WHERE c <= 20000 AND n <= 5000
+          ORDER BY n DESC, 'lang=' || lang || '/source=' || source LIMIT 1) USING (lang, source)""",
+    "write_pairs_counted": f"""SELECT 'python' AS lang, 'train' AS "partition", pruning_type, count(*)::BIGINT AS n_rows
+        FROM ({DOCUMENT_PAIRS}) GROUP BY pruning_type""",
     "read_jsonl_dir": "SELECT doc_id, text, source, n_chars, lang FROM documents",
     "read_jsonl_file": "SELECT doc_id, text, source, n_chars, lang FROM documents",
     "read_nested_json": """SELECT item_id::VARCHAR AS filename, text AS original_code, length(text)::BIGINT AS num_of_nodes,

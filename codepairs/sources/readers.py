@@ -7,17 +7,27 @@ line breaks inside quotes by the automata of ``ranges``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codepairs.functions.text import decoded_uri
-from codepairs.sources.ranges import SPLIT_BYTES, CsvAutomaton, JsonAutomaton, ranged_records
+from codepairs.session import settle
+from codepairs.sources.ranges import SPLIT_BYTES, CsvAutomaton, JsonAutomaton, chunks, list_files, ranged_records
 from codepairs.sources.schemas import LABELLED_CODE, NESTED_EDIT, PAIR_SET, require
 
+# The directory that stands for null.
+NULL_NAME = "__HIVE_DEFAULT_PARTITION__"
 CORRUPT = "_corrupt_record"
+# Bytes read at a time for a first line, and files of a task that reads first lines.
+FIRST_BYTES = 64 << 10
+FILES_PER_TASK = 200
+# What a path pattern takes for more than itself.
+GLOB = re.compile(r"[\[\]{}*?\\]")
 
 
 def _one_of(names: Sequence[str] | None) -> str:
@@ -41,7 +51,7 @@ def _json(spark: SparkSession, paths: str | list[str], schema: T.StructType, str
 
 
 def _part(pattern: str) -> Column:
-    return F.regexp_extract(_file_path(), pattern, 1)
+    return F.nullif(F.regexp_extract(_file_path(), pattern, 1), F.lit(NULL_NAME))
 
 
 def read_jsonl_partitions(
@@ -140,25 +150,49 @@ def read_labelled_csv(spark: SparkSession, path: str, strict: bool = True, split
     )
 
 
-def first_record_per_file(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def first_line(path: str, chunk_bytes: int = FIRST_BYTES) -> str:
+    """The first line of a file, without its end; reads up to the chunk that holds the line break and no further."""
+    held = []
+    for data in chunks(path, 0, chunk_bytes):
+        line, end, _ = data.partition(b"\n")
+        held.append(line)
+        if end:
+            break
+    return b"".join(held).decode("utf-8", "replace").removesuffix("\r")
+
+
+def _first_lines(chunk_bytes: int):
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = pa.array([first_line(f, chunk_bytes) for f in batch.column("file").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("file"), lines], names=["file", "_line"])
+
+    return first_lines
+
+
+def first_record_per_file(spark: SparkSession, path: str, schema: T.StructType, chunk_bytes: int = FIRST_BYTES) -> DataFrame:
     """The first line of each file as ``(file, fields...)``; a file whose first line is no JSON object is skipped.
 
-    Rows of a file's first block carry rising row numbers, so the first line is a
-    minimum: an aggregate with one row per file and task, and no file is ever
-    held whole.
+    Files are listed and dealt out in bunches; of each as much is read as its first line needs, whatever its size.
     """
-    lines = (
-        spark.read.text(path)
-        .filter(F.col("_metadata.file_block_start") == 0)
-        .select(_file_path().alias("file"), F.monotonically_increasing_id().alias("_n"), "value")
-    )
-    first = lines.groupBy("file").agg(F.min_by("value", "_n").alias("_line"))
+    files = settle(list_files(spark, path).filter("size > 0").select("file"), "files")
+    bunches = max(1, -(-files.count() // FILES_PER_TASK))
+    first = files.repartitionByRange(bunches, "file").mapInArrow(_first_lines(chunk_bytes), "file string, _line string")
+    first = first.withColumn("file", F.regexp_replace("file", "^file:/+", "file:///"))
     marked = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = first.withColumn("_json", F.from_json("_line", marked, {"columnNameOfCorruptRecord": CORRUPT}))
     good = parsed.filter(F.col("_json").isNotNull() & F.col(f"_json.{CORRUPT}").isNull())
     return good.select("file", *[F.col("_json")[n].alias(n) for n in schema.names])
 
 
+def read_selected_file(spark: SparkSession, selected: DataFrame, schema: T.StructType, strict: bool = True) -> DataFrame:
+    """All lines of the one file that ``selected`` names in its column ``file``; no other file is listed or read. No row: no lines."""
+    row = selected.select("file").first()
+    if row is None:
+        return spark.createDataFrame([], schema)
+    return _json(spark, GLOB.sub(r"\\\g<0>", row["file"]), schema, strict, {})
+
+
 def read_pair_dataset(
     spark: SparkSession, root: str, lang: str, partition: str, pruning_types: Sequence[str], schema: T.StructType = PAIR_SET
 ) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import product
+from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codepairs.session import scratch_path
 
@@ -29,6 +32,24 @@ def write_pairs(df: DataFrame, root: str, partition_by: Sequence[str] = PAIR_PAR
     _by_directory(df, partition_by).write.mode(mode).partitionBy(*partition_by).parquet(root)
 
 
+def write_pairs_counted(df: DataFrame, root: str, by: Mapping[str, Sequence[str | None]], mode: str = "errorifexists") -> DataFrame:
+    """Pair sets as Parquet, and ``n_rows`` for each of the named directories, counted while they are written.
+
+    ``by`` gives the values of each partition column; a row with others is an error, and nothing is written. The counts are
+    observed behind the last shuffle, so that a repeated task counts once.
+    """
+    places = list(product(*by.values()))
+    hits = [reduce(and_, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, place, strict=True)]) for place in places]
+    known = reduce(or_, hits, F.lit(False))
+    checked = df.withColumn(next(iter(by)), F.when(known, F.col(next(iter(by)))).otherwise(F.raise_error(F.lit("a directory that was not named"))))
+    seen = Observation()
+    counted = _by_directory(checked, list(by)).observe(seen, *[F.count_if(hit).alias(f"n{i}") for i, hit in enumerate(hits)])
+    counted.write.mode(mode).partitionBy(*by).parquet(root)
+    rows = [(*place, seen.get[f"n{i}"]) for i, place in enumerate(places)]
+    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in by], T.StructField("n_rows", T.LongType())])
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def write_jsonl_tree(
     df: DataFrame, root: str, by: Mapping[str, Sequence[str]], leaf: str | None = None, mode: str = "errorifexists"
 ) -> None:

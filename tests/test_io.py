@@ -106,14 +106,55 @@ def test_first_record_per_file(spark, tmp_path):
     put(tmp_path / "c.jsonl", "", line("second"))
     put(tmp_path / "d e.jsonl", line("only"))
     (tmp_path / "empty.jsonl").write_text("")
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        for size in ("128MB", "1KB"):
-            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-            rows = readers.first_record_per_file(spark, f"{tmp_path}/*.jsonl", schemas.fields(cleaned_code=T.StringType())).collect()
-            assert sorted((r.file.rsplit("/", 1)[-1], r.cleaned_code) for r in rows) == [("a.jsonl", "first"), ("d e.jsonl", "only")]
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for size in (1 << 16, 5):
+        rows = readers.first_record_per_file(spark, f"{tmp_path}/*.jsonl", schemas.fields(cleaned_code=T.StringType()), size).collect()
+        assert sorted((r.file.rsplit("/", 1)[-1], r.cleaned_code) for r in rows) == [("a.jsonl", "first"), ("d e.jsonl", "only")]
+
+
+def test_first_lines_of_large_files_read_little(spark, tmp_path, monkeypatch):
+    """Files of 100 MB, most of it holes; bytes read are bounded by the first lines."""
+    for i, text in enumerate(("{\"n\": 1}", "{\"n\": 2}\r", "{" + " " * 200_000 + "\"n\": 3}", "no json")):
+        with (tmp_path / f"f{i}.jsonl").open("wb") as file:
+            file.write(text.encode() + b"\n{\"n\": 9}\n")
+            file.truncate(100 << 20)
+    read = []
+    plain = readers.chunks
+    monkeypatch.setattr(readers, "chunks", lambda *a: (read.append(len(d)) or d for d in plain(*a)))
+    lines = [readers.first_line(str(tmp_path / f"f{i}.jsonl")) for i in range(4)]
+    assert [len(x) for x in lines] == [8, 8, 200_008, 7] and sum(read) <= 200_008 + 4 * readers.FIRST_BYTES
+    monkeypatch.undo()
+    got = readers.first_record_per_file(spark, str(tmp_path), schemas.fields(n=T.LongType()))
+    assert sorted(r.n for r in got.collect()) == [1, 2, 3]
+
+
+def test_selected_file_alone_is_read(spark, tmp_path):
+    schema = schemas.fields(code=T.StringType())
+    for name, n in (("a[1].jsonl", 2), ("b.jsonl", 3), ("c{x}.jsonl", 4)):
+        put(tmp_path / name, *[{"code": f"{name} {i}"} for i in range(n)])
+    files = readers.first_record_per_file(spark, str(tmp_path), schema)
+    for name, n in (("a[1].jsonl", 2), ("c{x}.jsonl", 4)):
+        got = readers.read_selected_file(spark, files.filter(F.col("file").endswith(name)), schema)
+        assert len(got.inputFiles()) == 1 and sorted(r.code for r in got.collect()) == [f"{name} {i}" for i in range(n)]
+    assert readers.read_selected_file(spark, files.filter("code = 'none'"), schema).collect() == []
+
+
+def test_sizes_are_counted_by_the_write(spark, tmp_path):
+    rows = spark.range(100).select("id", F.lit("python").alias("lang"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("t"), (F.col("id") % 4).cast("string"))).alias("kind"))
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    source = rows.mapInArrow(counted, rows.schema)
+    by = {"lang": ["python", "go"], "kind": ["t1", "t2", "t3", None]}
+    sizes = writers.write_pairs_counted(source, str(tmp_path / "p"), by).collect()
+    assert {(r.lang, r.kind): r.n_rows for r in sizes} == {(x, k): 25 if x == "python" else 0 for x in ("python", "go") for k in by["kind"]}
+    assert reads.value == 100  # one scan
+    with pytest.raises((PySparkException, Py4JJavaError), match="not named"):
+        writers.write_pairs_counted(rows, str(tmp_path / "q"), by | {"kind": ["t1"]})
+    assert not (tmp_path / "q" / "_SUCCESS").exists()
 
 
 def test_writers_partition_and_keep_text(spark, tmp_path):
