@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from codepairs.functions import labels as L
 from codepairs.functions import text as X
-from codepairs.operators import clustering, hierarchy, metrics, models, records, sampling, similarity, vectors
+from codepairs.operators import clustering, hierarchy, metrics, models, records, reduction, sampling, similarity, training, vectors, windowed
 from codepairs.plans import diff_metric, embedding, subtree
 from codepairs.session import scratch_path
 from codepairs.sources import readers, schemas, tree, writers
@@ -701,6 +701,13 @@ def pca_reduce(spark: SparkSession, sf: str) -> DataFrame:
     return coords.select("vec_id", "label", rounded(F.col("pc0")).alias("pc0"), rounded(F.col("pc1")).alias("pc1"))
 
 
+@query
+def pca_reduce_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The same coordinates by passes with a thin matrix."""
+    coords = reduction.pca_reduce_wide(table(spark, sf, "embeddings"), "embedding", 2)
+    return coords.select("vec_id", "label", rounded(F.col("pc0")).alias("pc0"), rounded(F.col("pc1")).alias("pc1"))
+
+
 @query
 def density_cluster(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.density_cluster(table(spark, sf, "embeddings"), "vec_id", "embedding", CLUSTER_COSINE, CLUSTER_MIN_PTS)
@@ -745,6 +752,14 @@ def batch_encode_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return exploded(pooled_rows, "id", cls="cls", max="max", mean="mean")
 
 
+@query
+def embed_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents through an encoder of 128 tokens whose vectors depend on two neighbours on either side, pooled."""
+    encoder = windowed.hashed_context_encoder(4, 2)
+    found = windowed.embed_long_pooled(documents(spark, sf).select("doc_id", "text"), "doc_id", "text", encoder, window=128, overlap=8)
+    return exploded(found, "doc_id", cls="cls", max="max", mean="mean")
+
+
 @query
 def inference_table(spark: SparkSession, sf: str) -> DataFrame:
     """The wide table behind the subtree report."""
@@ -771,6 +786,13 @@ def train_classifiers(spark: SparkSession, sf: str) -> DataFrame:
     return report
 
 
+@query
+def train_by_epoch(spark: SparkSession, sf: str) -> DataFrame:
+    """Validation metrics of every epoch, both labels trained together."""
+    train, valid = disjoint_halves(labelled_documents(spark, sf))
+    return training.train_by_epoch(train, valid, LABELS, 200, "doc_id", epochs=3, steps=5).history
+
+
 # -- the three chains -----------------------------------------------------------
 
 

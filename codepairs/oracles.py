@@ -410,12 +410,20 @@ ORACLES: dict[str, str] = {
     "density_cluster": CLUSTERS,
     "reachability_tree": REACHABILITY,
     "pca_reduce": PRINCIPAL,
+    "pca_reduce_wide": PRINCIPAL,
     "embedding_table": f"""SELECT vec_id, label, pc0, pc1, CASE WHEN cluster < 0 THEN 'noise' ELSE 'cluster-' || cluster END AS label_type
         FROM ({PRINCIPAL}) JOIN ({CLUSTERS}) USING (vec_id)""",
     # models
     "batch_embed": hashed("SELECT doc_id, text FROM documents", "text", "doc_id", 64),
     "batch_encode_tokens": f"""SELECT id, dim, {rnd("cls")} AS cls, {rnd("max_")} AS "max", {rnd("mean")} AS mean
         FROM ({digest_tokens("SELECT conv_id * 1000 + turn AS id, text FROM conversations", "text", "id", 8)})""",
+    "embed_long": f"""
+        WITH t AS (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos, len(toks) AS n
+            FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS toks FROM documents)),
+          b AS (SELECT doc_id, pos, n, d, (('0x' || substr(md5(tok), (2 * d + 1)::BIGINT, 2))::INTEGER - 127.5) / 127.5 AS x FROM t, (SELECT unnest(range(4)) AS d)),
+          c AS (SELECT doc_id, pos, n, d, sum(x) OVER (PARTITION BY doc_id, d ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM b)
+        SELECT doc_id, d::INTEGER AS dim, {rnd("max(v) FILTER (pos = 1)")} AS cls, {rnd("max(v) FILTER (pos > 1 AND pos < n)")} AS "max",
+          {rnd("avg(v) FILTER (pos > 1 AND pos < n)")} AS mean FROM c GROUP BY doc_id, d, n HAVING n > 2""",
     "inference_table": "SELECT doc_id, "
     + ", ".join(
         f"""({rule(c, s)} >= 0.5)::INTEGER AS "{t}-inference", {rnd(f"greatest({rule(c, s)}, 1 - {rule(c, s)})")} AS "{t}-score",
