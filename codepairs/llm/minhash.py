@@ -258,10 +258,24 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
 
 
 def drop_near_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without those that are not the first of their component; all columns are kept."""
-    gone = settle(near_documents(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "mh-gone")
+    """``docs`` without those that are not the first of their component; all columns are kept.
+
+    Of rows that share an id and a text one is kept; of those that share an id alone, each is judged by its own text, in the
+    order of the texts' digests. Rows with a null id stay.
+    """
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    return row.join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti").select("_row.*")
+    own = F.col("_row.doc_id")
+    if docs.filter(docs["doc_id"].isNotNull()).groupBy(docs["doc_id"]).count().filter("count > 1").isEmpty():
+        gone = settle(near_documents(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "mh-gone")
+        return row.join(gone, own == F.col("_gone"), "left_anti").select("_row.*")
+    # Ids repeat: places in the order of id and text stand for them.
+    named = row.filter(own.isNotNull()).select("_row", own.cast("long").alias("_id"), F.col("_row.text").alias("text"))
+    named = named.withColumn("_key", F.concat(F.col("text").isNull().cast("string"), F.md5(F.coalesce("text", F.lit(""))))).dropDuplicates(["_id", "_key"])
+    placed = named.repartitionByRange("_id", "_key").sortWithinPartitions("_id", "_key")
+    placed = settle(placed.select("_row", "text", F.monotonically_increasing_id().alias("doc_id")), "mh-placed")
+    gone = near_documents(placed.select("doc_id", "text"), size, percent).filter("not kept").select(F.col("doc_id").alias("_gone"))
+    left = placed.join(settle(gone, "mh-gone"), F.col("doc_id") == F.col("_gone"), "left_anti").select("_row")
+    return left.unionByName(row.filter(own.isNull())).select("_row.*")
 
 
 SQL = r"""

@@ -7,6 +7,10 @@ rounding errors turns them into a lower and an upper bound of each distance. A
 candidate whose lower bound lies above the k-th smallest upper bound cannot be
 among the nearest; the others are computed again from the original doubles. Each
 tile passes on its k nearest per query, and the tiles are merged by heaps.
+
+A tile is first scaled by a power of two, so that no square overflows; what then
+vanishes only widens the bounds. Distances are scaled likewise where the plain sum
+of squares would overflow or vanish.
 """
 
 from __future__ import annotations
@@ -30,15 +34,29 @@ SLICE = 256
 HITS = "query_id long, vec_id long, score double"
 
 
+# Sums of squares outside these have lost digits, or all.
+LEAST_SQUARE, MOST_SQUARE = 1e-280, 1e300
+# Products of signed bytes add up exactly in single precision up to so many dimensions.
+SINGLE_DIMS = 1000
+
+
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows as signed bytes (held as float32, whose products of bytes are exact), their scales, and the norms of the errors."""
+    """Rows as signed bytes (held as floats, whose products of bytes are exact), their scales, and the norms of the errors."""
     scale = np.abs(x).max(axis=1) / 127.0
+    scale[scale == 0] = 1.0  # a row that vanished beside the others: all of it is error
     codes = np.rint(x / scale[:, None])
-    return codes.astype(np.float32), scale, np.linalg.norm(x - codes * scale[:, None], axis=1) * (1 + 1e-9)
+    kind = np.float32 if x.shape[1] <= SINGLE_DIMS else np.float64
+    return codes.astype(kind), scale, np.linalg.norm(x - codes * scale[:, None], axis=1) * (1 + 1e-9)
 
 
 def tile(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, only: np.ndarray, k: int):
     """For each query the numbers of the rows that may be among its ``k`` nearest; a row that stands for the query's own id ``only`` is none."""
+    _, power = np.frexp(max(np.abs(queries).max(initial=0.0), np.abs(rows).max(initial=0.0)))
+    # In two steps, as a power of two may itself be out of range.
+    half = int(power) // 2
+    # From here on distances are infinite, so none is farther than another.
+    farthest = np.ldexp(1 - 1e-6, 2 * (1024 - int(power))) if 2 * (1024 - int(power)) < 1024 else np.inf
+    queries, rows = (np.ldexp(np.ldexp(x, -half), half - int(power)) for x in (queries, rows))
     q_codes, q_scale, q_error = quantise(queries)
     r_codes, r_scale, r_error = quantise(rows)
     q_norm, r_norm = np.linalg.norm(queries, axis=1), np.linalg.norm(rows, axis=1)
@@ -47,10 +65,27 @@ def tile(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, only: np.ndarra
         inner = q_codes[at : at + SLICE] @ r_codes.T
         for i, dots in enumerate(inner, at):
             square = q_norm[i] ** 2 + r_norm**2 - 2 * dots.astype(np.float64) * (r_scale * q_scale[i])
-            slack = 2 * (q_error[i] * r_near + r_error * (q_norm[i] + 2 * q_error[i])) + 1e-9 * (q_norm[i] ** 2 + r_norm**2)
+            slack = 2 * (q_error[i] * r_near + r_error * (q_norm[i] + 2 * q_error[i])) + 1e-9 * (q_norm[i] ** 2 + r_norm**2) + 1e-300
             upper = np.where(only == own[i], np.inf, square + slack)
             bound = np.partition(upper, k - 1)[k - 1] if len(rows) > k else np.inf
-            yield i, np.flatnonzero((square - slack <= bound) & (only != own[i]))
+            yield i, np.flatnonzero((np.minimum(square - slack, farthest) <= bound) & (only != own[i]))
+
+
+def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; one beyond the largest double is infinite."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        step = rows - query
+        squares = (step**2).sum(axis=1)
+        out = np.sqrt(squares)
+        for i in np.flatnonzero(~((squares >= LEAST_SQUARE) & (squares <= MOST_SQUARE))).tolist():
+            top = np.abs(step[i]).max()
+            if top == 0 or np.isinf(top):
+                out[i] = top
+            else:
+                power = int(np.frexp(top)[1])
+                near = np.ldexp(np.ldexp(step[i], -(power // 2)), power // 2 - power)
+                out[i] = np.ldexp(np.ldexp(np.sqrt((near**2).sum()), power // 2), power - power // 2)
+    return out
 
 
 def _search(k: int):
@@ -62,7 +97,7 @@ def _search(k: int):
             several = np.iinfo(np.int64).min
             only = np.array([i[0] if len(i) == 1 else several for i in ids])
             for i, near in tile(queries, rows, own, only, k):
-                exact = np.sqrt(((rows[near] - queries[i]) ** 2).sum(axis=1))
+                exact = distances(rows[near], queries[i])
                 hits = ((d, v) for d, r in zip(exact.tolist(), near.tolist(), strict=True) for v in ids[r] if v != own[i])
                 out += [(int(own[i]), v, d) for d, v in heapq.nsmallest(k, hits)]
         columns = list(zip(*out, strict=True)) or [[], [], []]
@@ -93,7 +128,7 @@ def _merge(k: int):
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest other vectors of each query by Euclidean distance, exactly.
 
-    Ties go to the smaller id. Vectors that are null, empty, zero or hold null
+    Ties go to the smaller id; distances beyond the largest double are infinite, and tie. Vectors that are null, empty, zero or hold null
     or non-finite components take no part, nor do rows with a null id; vectors
     meet only those of their own length. Each row is a candidate, rows that
     repeat too, but no row of the query's id answers it; equal queries are

@@ -99,6 +99,16 @@ def test_kept_documents_keep_their_columns(spark):
     assert kept.columns == ["doc_id", "text", "digest", "node"] and sorted(r.doc_id for r in kept.collect()) == [3, 8, 9]
 
 
+def test_rows_that_share_ids(spark):
+    """A clean text that shares its id with a near copy stays; of equal rows one stays."""
+    first, other = "a b c d e f g", "p q r s t u v"
+    rows = [(1, first), (2, first.upper()), (2, other), (3, other), (3, other), (4, "x y z x y z"), (4, "x y z x y z"), (5, None), (5, None), (5, ""), (None, first), (None, first)]
+    kept = drop_near_documents(data(spark, rows))
+    assert kept.columns == ["doc_id", "text", "digest", "node"]
+    want = [(1, first), (2, other), (4, "x y z x y z"), (5, ""), (5, None), (None, first), (None, first)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

@@ -1,5 +1,7 @@
 """Nearest neighbours against brute force."""
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -13,13 +15,13 @@ def brute(rows, k=10, every=100):
     out = set()
     for q, a in good:
         if q % every == 0:
-            near = sorted((float(np.sqrt(((a - b) ** 2).sum())), i) for i, b in good if i != q and len(b) == len(a))[:k]
-            out |= {(q, r, i, round(d, 9)) for r, (d, i) in enumerate(near, 1)}
+            near = sorted((math.dist(a, b), i) for i, b in good if i != q and len(b) == len(a))[:k]
+            out |= {(q, r, i, f"{d:.9e}") for r, (d, i) in enumerate(near, 1)}
     return sorted(out)
 
 
 def got(df):
-    return sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in df.collect())
+    return sorted((r.query_id, r.rank, r.vec_id, f"{r.score:.9e}") for r in df.collect())
 
 
 def test_random_ties_copies_and_tiles(spark):
@@ -37,11 +39,31 @@ def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [1.0, inf]), (6, [None, 1.0])]
     rows += [(7, [1.0, 2.5]), (8, [-0.0, 3.0]), (None, [1.0, 2.0]), (100, [1.0, 2.0, 3.0]), (9, [1e-300, 1e300])]
     df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], SCHEMA)
-    want = brute([r for r in rows if r[0] != 9])
-    assert [r for r in got(nearest(df.filter("vec_id is null or vec_id <> 9"), F.col("vec_id") % 100 == 0))] == want
+    want = brute(rows)
+    assert [r for r in got(nearest(df, F.col("vec_id") % 100 == 0))] == want
     assert {r[0] for r in want} == {0}
 
 
+def test_sizes_of_all_kinds(spark):
+    """From the smallest doubles to the largest, in one tile and in many."""
+    rng = np.random.default_rng(9)
+    powers = [1e-320, 1e-200, 1e-155, 1e-3, 1.0, 1e100, 1e155, 1e160, 1e300]
+    rows = [(i, (rng.normal(size=3) * powers[i % len(powers)]).tolist()) for i in range(300)]
+    rows += [(1000, [1.7e308, 1.7e308, 1.0]), (1001, [-1.7e308, 1.0, 1.0]), (1100, [5e-324, 0.0, 0.0]), (1101, [0.0, 5e-324, 0.0]), (1200, [1e160, 1e160, 0.0])]
+    rows += [(1201, [1e160, 1.5e160, 0.0]), (1202, [2e160, 1e160, 0.0])]
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], SCHEMA)
+    for k, tile_rows in ((10, 8192), (3, 40)):
+        assert got(nearest(df, F.col("vec_id") % 100 == 0, k, tile_rows)) == brute(rows, k)
+
+
+def test_many_dimensions(spark):
+    """More than single precision adds up exactly."""
+    rng = np.random.default_rng(10)
+    rows = [(i, (rng.choice([-1.0, 1.0], size=1500) + rng.normal(size=1500) * 1e-4).tolist()) for i in range(40)]
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], SCHEMA)
+    assert got(nearest(df, F.col("vec_id") % 10 == 0, 5)) == brute(rows, 5, 10)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert nearest(df, F.col("vec_id") % 100 == 0).collect() == []
