@@ -17,7 +17,7 @@ from pyspark.sql.window import Window as W
 from codepairs.llm.registry import query, table
 from codepairs.session import settle
 
-MIN_WORDS = 5  # of which one word is a fifth: lines within the bound are alike to 0.8 at least
+MIN_WORDS = 5  # of a line that is compared by edits, of which one word is a fifth: such lines are alike to 0.8 at least
 LINE_BITS = 4294967296  # lines of a document have numbers below this
 USUAL_WORDS = 2048  # of a line whose variants are made within its row
 POSITIONS = 512  # places of removed lines held together
@@ -38,7 +38,8 @@ def _words(norm: Column) -> Column:
 
 
 def line_digest(norm: Column) -> Column:
-    return F.when(_words(norm) >= MIN_WORDS, F.unhex(F.md5(norm)))
+    """Null for a blank line."""
+    return F.when(norm != "", F.unhex(F.md5(norm)))
 
 
 def _order(doc_id: Column, pos: Column) -> Column:
@@ -47,7 +48,7 @@ def _order(doc_id: Column, pos: Column) -> Column:
 
 
 def _lines(docs: DataFrame, *more: str) -> DataFrame:
-    """``doc_id, pos, norm, digest`` of every line with enough words, in documents with an id."""
+    """``doc_id, pos, norm, digest`` of every line that is not blank, in documents with an id."""
     lines = F.posexplode(F.split(docs["text"], "\n")).alias("pos", "line")
     rows = docs.filter(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), *more, lines)
     rows = rows.select("doc_id", "pos", *more, normal(F.col("line")).alias("norm"))
@@ -70,9 +71,9 @@ def _ends(norm: Column, n: Column) -> list[Column]:
 
 
 def _told(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, n_lines, pos, digest, k0..k3``, stored: the lines with enough words, and the first line of every row.
+    """``row, doc_id, n_lines, pos, digest, k0..k3``, stored: the lines that are not blank, and the first line of every row.
 
-    All that later steps ask of a line but its words is here, so the texts are gone through once.
+    Short lines have no ends: they are told apart by their digests alone. All that later steps ask of a line but its words is here, so the texts are gone through once.
     """
     split = F.split(docs["text"], "\n")
     n_lines = F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines")
@@ -81,7 +82,7 @@ def _told(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("norm", normal(F.col("line")))
     rows = rows.withColumn("digest", F.when(F.col("doc_id").isNotNull(), line_digest(F.col("norm"))))
     rows = rows.filter("digest is not null or pos = 0 or pos is null")
-    long = F.col("digest").isNotNull()
+    long = F.col("digest").isNotNull() & (_words(F.col("norm")) >= MIN_WORDS)
     ends = [F.when(long, k).alias(f"k{i}") for i, k in enumerate(_ends(F.col("norm"), _words(F.col("norm"))))]
     return settle(rows.select("row", "doc_id", "n_lines", "pos", "digest", *ends), "lines-told")
 
@@ -244,10 +245,10 @@ def _is_gone(pos: Column, digest: Column) -> Column:
 def line_report(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_removed, removed`` for every row; ``removed`` lists the numbers of its lines that go, from 0.
 
-    A line of five words or more goes if an equal line, or one that differs by
-    one word, stands earlier: in a document of smaller id, or before it in its own. Lines are
+    A line goes if an equal line stands earlier, or, where both have five words or more, one that differs by
+    one word: in a document of smaller id, or before it in its own. Lines are
     judged as they came, not by what is left. White space within a line does
-    not count. Shorter lines stay, as does all in rows with a null id, which
+    not count. Blank lines stay, as does all in rows with a null id, which
     other lines are not compared with either. Rows that share an id share their
     places: a line at the same place is not earlier. Null text has no lines, an empty one has one. Extra columns are
     ignored; an empty table gives an empty one.
@@ -283,14 +284,15 @@ def drop_lines(docs: DataFrame) -> DataFrame:
 SQL = r"""
 WITH raw AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 norm AS (SELECT doc_id, pos, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS t FROM raw),
-long AS (SELECT doc_id, pos, t, string_split(t, ' ') AS w FROM norm WHERE length(t) - length(replace(t, ' ', '')) >= 4),
-firsts AS (SELECT t, any_value(w) AS w, min((doc_id, pos)) AS o FROM long GROUP BY t),
-variants AS (SELECT t, o, len(w) AS n, i, array_to_string(w[1:i - 1] || w[i + 1:], ' ') AS v FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM firsts)),
+lines AS (SELECT doc_id, pos, t, string_split(t, ' ') AS w FROM norm WHERE t <> ''),
+firsts AS (SELECT t, any_value(w) AS w, min((doc_id, pos)) AS o FROM lines GROUP BY t),
+long AS (SELECT * FROM firsts WHERE len(w) >= 5),
+variants AS (SELECT t, o, len(w) AS n, i, array_to_string(w[1:i - 1] || w[i + 1:], ' ') AS v FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM long)),
 changed AS (SELECT t, o, min(o) OVER (PARTITION BY v, i) AS e FROM variants),
-longer AS (SELECT v.t AS t, v.o AS o, f.o AS e FROM variants v JOIN firsts f ON v.v = f.t),
+longer AS (SELECT v.t AS t, v.o AS o, f.o AS e FROM variants v JOIN long f ON v.v = f.t),
 near AS (SELECT DISTINCT t FROM (SELECT * FROM changed UNION ALL SELECT * FROM longer UNION ALL
-  SELECT f.t, f.o, v.o FROM variants v JOIN firsts f ON v.v = f.t) WHERE e < o),
-gone AS (SELECT doc_id, pos FROM long JOIN firsts USING (t) LEFT JOIN near n USING (t) WHERE n.t IS NOT NULL OR (doc_id, pos) > o)
+  SELECT f.t, f.o, v.o FROM variants v JOIN long f ON v.v = f.t) WHERE e < o),
+gone AS (SELECT doc_id, pos FROM lines JOIN firsts USING (t) LEFT JOIN near n USING (t) WHERE n.t IS NOT NULL OR (doc_id, pos) > o)
 SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, count(g.pos)::BIGINT AS n_removed,
   coalesce(string_agg(g.pos::VARCHAR, ',' ORDER BY g.pos), '') AS removed
 FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id GROUP BY d.doc_id, d.text"""

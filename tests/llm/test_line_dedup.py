@@ -24,13 +24,13 @@ def split(line):
 
 def brute(rows):
     lines = [(i, p, split(x)) for i, t in rows if t is not None and i is not None for p, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= 5]
+    lines = [x for x in lines if x[2]]
     out = []
     for i, t in rows:
         gone = []
         for p, x in enumerate(t.split("\n") if t is not None else []):
             w = split(x)
-            if i is not None and len(w) >= 5 and any((j, q) < (i, p) and near(w, v) for j, q, v in lines):
+            if i is not None and w and any((j, q) < (i, p) and (v == w or (min(len(v), len(w)) >= 5 and near(w, v))) for j, q, v in lines):
                 gone.append(p)
         out.append((i, 0 if t is None else len(t.split("\n")), len(gone), ",".join(map(str, gone))))
     return sorted(out, key=str)
@@ -79,6 +79,13 @@ def test_odd_rows(spark):
     assert got(line_report(data(spark, rows))) == brute(rows)
 
 
+def test_short_lines(spark):
+    """Equal ones go, whatever their length; near ones are compared from five words on."""
+    rows = [(1, "All rights reserved.\nx\n\na b c d"), (2, " All  rights reserved.\r\ny\n\na b c e\na b c d"), (3, "x"), (4, "a b c d z"), (None, "x")]
+    assert brute(rows)[1] == (2, 5, 2, "0,4")
+    assert got(line_report(data(spark, rows))) == brute(rows)
+
+
 def test_empty(spark):
     assert line_report(data(spark, [])).collect() == []
     assert drop_lines(data(spark, [])).collect() == []
