@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     numbers = sorted(int(m[1]) for m in (re.match(r"op(\d+)_", n) for n in driver.queries()) if m)
-    assert numbers == list(range(1, 11)) and "pipeline" in driver.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in driver.queries()
 
 
 def test_stages_return_documents(spark):
