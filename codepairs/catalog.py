@@ -539,7 +539,8 @@ def fetch_selected_group(spark: SparkSession, sf: str) -> DataFrame:
 def align_columns(spark: SparkSession, sf: str) -> DataFrame:
     codes = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code"), F.col("lang").alias("label"))
     vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    both = metrics.align_columns(codes, vecs)
+    # Both tables have ids that the other lacks, so the match is asked for without an error.
+    both = metrics.align_columns(codes, vecs, strict=False)
     return both.select("id", "code", "label", rounded(F.get("embedding", F.lit(0)).cast("double")).alias("first_value"))
 
 

@@ -112,7 +112,7 @@ def train_manifest(df: DataFrame, batch: int, epochs: int) -> DataFrame:
     return sized.withColumn("warmup_steps", F.ceil(F.col("steps") * epochs * F.lit(0.1)))
 
 
-def align_columns(codes: DataFrame, vectors: DataFrame, key: str = "id", strict: bool = False) -> DataFrame:
+def align_columns(codes: DataFrame, vectors: DataFrame, key: str = "id", strict: bool = True) -> DataFrame:
     """Codes, labels and vectors that belong together, matched by key rather than by position.
 
     Under ``strict`` a key on one side only is an error; otherwise such rows are left out.

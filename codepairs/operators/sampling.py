@@ -55,7 +55,8 @@ def sample_per_group(
 
     The buckets before the one in which row ``k`` falls belong to the sample
     whole; only that one is ranked, on ids alone, so no task sorts ``k`` rows
-    however large ``k`` is. ``strict`` makes a short group an error.
+    however large ``k`` is. ``strict`` makes a short group an error. Rows that
+    share an id are rows of their own; of those the cut falls among, some are taken by a digest of the whole row.
     """
     wanted = df.filter(backticked(group).isin(list(groups)))
     if not k:
@@ -75,12 +76,23 @@ def sample_per_group(
     # The rank inside the cut bucket, told by the key of the last row that is taken.
     ranked = _with_key(wanted.select(group, id_col), random_key(seed, backticked(id_col)), digits)
     ranked = ranked.join(cut, group).filter(F.col("_bucket") == F.col("_cut._bucket"))
-    rank = F.row_number().over(W.partitionBy(group, "_bucket").orderBy("_key", id_col))
-    taken = ranked.withColumn("_rank", rank).filter(F.col("_rank") <= k - F.col("_cut._start"))
-    last = taken.groupBy(group).agg(F.max(F.struct("_key", id_col)).alias("_last"))
+    order = W.partitionBy(group, "_bucket").orderBy("_key", id_col)
+    equal = F.count("*").over(W.partitionBy(group, "_bucket", "_key", id_col))
+    ranked = ranked.withColumns({"_rank": F.row_number().over(order), "_first": F.rank().over(order), "_equal": equal})
+    taken = ranked.filter(F.col("_rank") <= k - F.col("_cut._start"))
+    told = F.struct((k - F.col("_cut._start") - F.col("_first") + 1).alias("due"), F.col("_equal").alias("equal"))
+    last = taken.groupBy(group).agg(F.max(F.struct("_key", id_col)).alias("_last"), F.max_by(told, F.struct("_key", id_col)).alias("_told"))
+    last = settle(last, "sample-last")  # a row per group
     near = near.join(bounded_broadcast(last, len(groups)), group, "left")
-    inside = (F.col("_bucket") < F.col("_cut._bucket")) | (F.struct("_key", id_col) <= F.col("_last"))
-    return near.filter(inside).select(*df.columns)
+    here = F.struct("_key", id_col)
+    whole = F.col("_bucket") < F.col("_cut._bucket")
+    if last.filter("_told.equal > _told.due").isEmpty():
+        return near.filter(whole | (here <= F.col("_last"))).select(*df.columns)
+    # Rows share the last id: some of them, by the digest of the whole row.
+    tied = near.filter(~whole & (here == F.col("_last")))
+    nth = F.row_number().over(W.partitionBy(group).orderBy(F.xxhash64(*[backticked(c) for c in df.columns])))
+    tied = tied.withColumn("_nth", nth).filter(F.col("_nth") <= F.col("_told.due"))
+    return near.filter(whole | (here < F.col("_last"))).select(*df.columns).unionByName(tied.select(*df.columns))
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42, strict: bool = True, digits: int = BUCKET_DIGITS) -> DataFrame:

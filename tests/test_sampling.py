@@ -83,3 +83,14 @@ def test_balanced_sample_drops_other_labels(spark):
     rows = spark.createDataFrame([(1, "p", 1), (2, "n", 0), (3, "x", 2), (4, "y", None)], "id int, text string, a int")
     got = sampling.balanced_sample(rows, ["a"], 10, "id").collect()
     assert sorted((r.idx, r.sentence, r.label) for r in got) == [(0, "n", 0), (0, "p", 1)]
+
+
+def test_repeated_ids_give_exactly_as_many_rows(spark, partitions):
+    rows = [(7, f"t{i}", "a") for i in range(9)] + [(i, "u", "b") for i in range(5)] + [(3, "same", "c")] * 6
+    df = spark.createDataFrame(rows, "id long, text string, grp string")
+    for n in (1, 4, 9, 12, 20):
+        got = partitions(lambda n=n: sorted(map(tuple, sampling.sample_n(df, n, "id").collect())))
+        assert len(got[0]) == n and got[0] == got[1]
+        assert all(got[0].count(r) <= rows.count(r) for r in got[0])
+    per = sampling.sample_per_group(df, "grp", ["a", "b", "c"], 4, "id").collect()
+    assert sorted(r.grp for r in per) == list("aaaabbbbcccc") and len({r.text for r in per if r.grp == "a"}) == 4
