@@ -60,9 +60,8 @@ def _half(n: Column) -> Column:
     return F.pow(F.lit(2.0), F.length(F.bin(n)) - 2).cast("int")
 
 
-def _ends(norm: Column, n: Column) -> list[Column]:
+def _ends(norm: Column, own: Column, other: Column) -> list[Column]:
     """Hashes of the first and of the last words, of as many as a half; of two halves, where a line one word shorter has another."""
-    own, other = _half(n), _half(n - 1)
 
     def end(half: Column, last: bool) -> Column:
         return F.xxhash64(F.lit(last), half, F.call_function("substring_index", norm, F.lit(" "), -half if last else half))
@@ -82,8 +81,11 @@ def _told(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("norm", normal(F.col("line")))
     rows = rows.withColumn("digest", F.when(F.col("doc_id").isNotNull(), line_digest(F.col("norm"))))
     rows = rows.filter("digest is not null or pos = 0 or pos is null")
-    long = F.col("digest").isNotNull() & (_words(F.col("norm")) >= MIN_WORDS)
-    ends = [F.when(long, k).alias(f"k{i}") for i, k in enumerate(_ends(F.col("norm"), _words(F.col("norm"))))]
+    # Halves are columns of their own, so that each is worked out once a line; null for short lines, whose ends then are none.
+    rows = rows.withColumn("_n", F.when(F.col("digest").isNotNull(), _words(F.col("norm"))))
+    long = F.col("_n") >= MIN_WORDS
+    rows = rows.withColumns({"_own": F.when(long, _half(F.col("_n"))), "_other": F.when(long, _half(F.col("_n") - 1))})
+    ends = [F.when(F.col("_own").isNotNull(), k).alias(f"k{i}") for i, k in enumerate(_ends(F.col("norm"), F.col("_own"), F.col("_other")))]
     return settle(rows.select("row", "doc_id", "n_lines", "pos", "digest", *ends), "lines-told")
 
 
