@@ -7,31 +7,38 @@ symbol each time instead of many likely ones. N-grams reach back to the start si
 
 Counts, continuation counts, discounts and back-off weights are aggregates and
 joins over shards of the n-grams of all trusted documents but those held out for
-the quantile, order by order. A text is told as the words it holds, by chunks of
-neighbouring documents; the distinct words of the corpus meet the sharded n-grams
-through their distinct windows, and their costs are added up by document. Neither
-model nor texts pass through the driver, and no number of documents is bounded.
+the quantile, order by order. The distinct windows of the corpus (a symbol and those
+before it) meet the sharded n-grams and become a stored table of costs. Texts are
+neither stored nor shuffled: they are read a second time, and a task that holds a
+bounded bunch of texts as numbers of windows goes through the costs of their
+languages batch by batch and adds them up. Neither model nor texts pass through the
+driver, and no number of documents is bounded.
+
+A language with fewer than ten held-out documents, or none to fit on, is judged by the model
+and the quantile of the trusted documents of all languages together.
 """
 
 from __future__ import annotations
 
-from array import array
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.dataset
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from codepairs.llm.registry import query, table
+from codepairs.llm.warc import open_uri, shared_uri
 from codepairs.session import settle
 
 ORDER = 5
 CALIBRATION_DOCS = 2000  # bounds nothing any more; a test of a small corpus measures by it
-LEAST_CALIBRATION = 10  # a language with fewer is not judged
+LEAST_CALIBRATION = 10  # held-out documents; a language with fewer is judged by all languages together
 QUANTILE = 0.998
 PRIOR = 100  # symbols at the language's mean that every document is given, as short ones vary more
 SYMBOLS = 256  # least size of the alphabet over which the lowest order is evened out
@@ -40,8 +47,12 @@ SYMBOLS = 256  # least size of the alphabet over which the lowest order is evene
 AFTER_STOP, AFTER_WORD, END = "\n", "\t", " "
 STOPS = ".!?:"
 STOP_BYTES = frozenset(STOPS.encode())
-CHUNK_BYTES = 4 << 20  # of neighbouring texts whose words are told together
-WINDOW_ROWS = 50_000  # of a batch of windows
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+POOL = "*"  # the model of all languages together; that of a language is named by "=" and the language
+BLOCK_BYTES = 1 << 20  # of text worked on at once
+HELD_BYTES = 32 << 20  # of text whose symbols a task holds as numbers of windows, four bytes each
+HELD_WINDOWS = 1_000_000  # distinct windows that a task remembers, give or take a block
+BATCH_ROWS = 65_536
 BUCKETS = 65536  # of the logarithm of a perplexity, for each e-fold
 
 
@@ -101,7 +112,7 @@ def kneser_ney(trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataF
     lower = settle(levels[1].groupBy("lang").agg((1 / kinds).alias("p")).select("lang", F.lit("").alias("gram"), "p"), "kn-level")
     grams, contexts = lower, None
     for n in range(1, order + 1):
-        counted = levels[n].join(F.broadcast(_discounts(levels[n])), "lang")  # a row per language
+        counted = levels[n].join(settle(_discounts(levels[n]), "kn-discounts"), "lang")
         cut = F.when(F.col("count") == 1, F.col("d1")).when(F.col("count") == 2, F.col("d2")).otherwise(F.col("d3"))
         counted = counted.select("lang", "gram", "count", cut.alias("cut"), F.substr("gram", F.lit(1), F.lit(n - 1)).alias("context"), F.substr("gram", F.lit(2)).alias("tail"))
         sums = settle(counted.groupBy("lang", "context").agg(F.sum("count").alias("total"), F.sum("cut").alias("taken")), "kn-contexts")
@@ -178,59 +189,170 @@ def _key(lang: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.length(lang).cast("string"), F.lit(":"), lang, F.coalesce(text, F.lit("")))))
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a chunk: for each of its words the numbers of documents and counts, and, without a word, the keys of its documents."""
-    task, serial, size = TaskContext.get().partitionId(), 0, 0
-    keys: dict[str, list[bytes]] = {}
-    held: dict[str, dict[tuple[bytes, bool], list[int]]] = {}
-
-    def flushed() -> Iterator[pa.RecordBatch]:
-        nonlocal serial, size
-        for lang, of in keys.items():
-            words = list(held[lang].items())
-            tokens = [as_token(*w) for w, _ in words] + [None]
-            told = [array("i", v).tobytes() for _, v in words] + [b"".join(of)]
-            n = len(tokens)
-            columns = [pa.array([(task << 32) + serial] * n, pa.int64()), pa.array([lang] * n, pa.string()), pa.array(tokens, pa.string()), pa.array(told, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["chunk", "lang", "token", "told"])
-            serial += 1
-        keys.clear()
-        held.clear()
-        size = 0
-
+def _parts(text: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """A text in runs of whole words of about a block, each with the word before it (empty at the start)."""
+    at, lead = 0, b""
+    while len(text) - at > BLOCK_BYTES and (cut := SPACE.search(text, at + BLOCK_BYTES)):
+        part = text[at : cut.start()]
+        yield lead, part
+        lead = (part.rsplit(None, 1) or [lead])[-1]
+        at = cut.start()
+    yield lead, text[at:]
+
+
+def _symbols(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All signed words of some parts one after another: the symbols, the place of each in its word, and the number of its part."""
+    texts = [(lead + b" " + part).decode("utf-8", "replace") for lead, part in parts]
+    joined = "\n".join(texts)
+    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    inside = ~((chars == 32) | ((chars >= 9) & (chars <= 13)))
+    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+    low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    part = np.searchsorted(np.cumsum([0] + [len(t) + 1 for t in texts]), low, side="right") - 1
+    size = high - low
+    fresh = np.ones(len(low), dtype=bool)
+    fresh[1:] = part[1:] != part[:-1]
+    stop = fresh.copy()
+    stop[1:] |= np.isin(chars[high[:-1] - 1], [ord(c) for c in STOPS])
+    again = ~fresh
+    again[1:] &= (size[1:] == size[:-1]) & (chars[low[1:]] == chars[low[:-1]]) & (chars[high[1:] - 1] == chars[high[:-1] - 1])
+    for i in np.flatnonzero(again).tolist():
+        again[i] = joined[low[i] : high[i]] == joined[low[i - 1] : high[i - 1]]
+    # The word before a part is told in the part it belongs to.
+    own = ~(fresh & np.array([lead != b"" for lead, _ in parts], dtype=bool)[part])
+    low, stop, part, size = low[own], stop[own], part[own], np.where(again, 0, size)[own]
+    many = size + 2
+    start = np.cumsum(many) - many
+    signed = np.empty(int(many.sum()), dtype=np.uint32)
+    signed[start] = np.where(stop, ord(AFTER_STOP), ord(AFTER_WORD))
+    signed[start + many - 1] = ord(END)
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    signed[np.repeat(start + 1, size) + step] = chars[np.repeat(low, size) + step]
+    return signed, np.arange(len(signed)) - np.repeat(start, many), np.repeat(part, many)
+
+
+def _windows(signed: np.ndarray, place: np.ndarray, order: int, skip: int = 0) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Distinct windows, and the number of the window of each symbol that is no start sign, from ``skip`` on.
+
+    Symbols are numbered and a window is one whole number; where they are too many for that, each half is done alone.
+    """
+    seen = np.zeros(int(signed.max()) + 1 if len(signed) else 1, dtype=bool)
+    seen[signed] = True
+    alphabet = np.flatnonzero(seen).astype(np.uint32)
+    bits = len(alphabet).bit_length()
+    if bits * order > 63:
+        middle = (skip + len(signed)) // 2
+        yield from _windows(signed[:middle], place[:middle], order, skip)
+        ahead = max(0, middle - order + 1)
+        yield from _windows(signed[ahead:], place[ahead:], order, middle - ahead)
+        return
+    number = np.cumsum(seen)[signed]
+    code = number.copy()
+    for back in range(1, order):
+        before = np.zeros_like(number)
+        before[back:] = number[:-back]
+        before[place < back] = 0
+        code |= before << (bits * back)
+    which, codes = pd.factorize(code[skip:][place[skip:] > 0])
+    digits = (codes[:, None] >> (bits * np.arange(order - 1, -1, -1))) & ((1 << bits) - 1)
+    told = np.empty(len(codes), dtype=object)
+    lengths = (digits > 0).sum(axis=1)
+    for n in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == n)
+        run = alphabet[digits[rows, order - n :] - 1].tobytes().decode("utf-32-le", "surrogatepass")
+        told[rows] = [run[i : i + n] for i in range(0, len(run), n)]
+    yield told.tolist(), which
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple[bytes, int, bytes, bytes]]]]:
+    """Bunches of parts of texts of one language, of about a block, each with the key of its text and its number there."""
+    held: dict[str, list] = {}
+    sizes: Counter = Counter()
     for batch in batches:
         for key, lang, text in zip(*(batch.column(c).to_pylist() for c in ("key", "lang", "text")), strict=True):
-            of, words = keys.setdefault(lang, []), held.setdefault(lang, {})
-            at = len(of)
-            of.append(key)
-            for w, n in word_counts(text).items():
-                words.setdefault(w, []).extend((at, n))
-            size += len(text) + 64
-            if size >= CHUNK_BYTES:
-                yield from flushed()
-    yield from flushed()
-
-
-def _windows(order: int):
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For every word the longest n-grams that end in its symbols."""
-        out: list[tuple[int, str, str, int]] = []
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "lang", "window", "n"])
-
+            for serial, (lead, part) in enumerate(_parts(text)):
+                held.setdefault(lang, []).append((key, serial, lead, part))
+                sizes[lang] += len(part) + 64
+                if sizes[lang] >= BLOCK_BYTES:
+                    sizes[lang] = 0
+                    yield lang, held.pop(lang)
+    yield from held.items()
+
+
+def _distinct(order: int):
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``lang, window`` of all symbols; a task repeats a window only if it has met very many others."""
+        met: dict[str, set[str]] = {}
+        for lang, block in _blocks(batches):
+            signed, place, _ = _symbols([(lead, part) for _, _, lead, part in block])
+            for told, _ in _windows(signed, place, order):
+                if sum(map(len, met.values())) >= HELD_WINDOWS:
+                    met.clear()
+                seen = met.setdefault(lang, set())
+                new = [w for w in told if w not in seen]
+                seen.update(new)
+                for at in range(0, len(new), BATCH_ROWS):
+                    some = new[at : at + BATCH_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.string())], ["lang", "window"])
+
+    return distinct
+
+
+class _Held:
+    """Texts of a task as numbers of windows, until their costs are known."""
+
+    def __init__(self):
+        self.numbers: dict[str, dict[str, int]] = {}
+        self.blocks: list[tuple[str, list[tuple[bytes, int]], np.ndarray, np.ndarray]] = []
+        self.bytes = 0
+
+    def add(self, lang: str, block: list[tuple[bytes, int, bytes, bytes]], order: int) -> None:
+        signed, place, part = _symbols([(lead, text) for _, _, lead, text in block])
+        numbers, found = self.numbers.setdefault(lang, {}), []
+        for told, which in _windows(signed, place, order):
+            found.append(np.array([numbers.setdefault(w, len(numbers)) for w in told], dtype=np.int32)[which])
+        many = np.bincount(part[place > 0], minlength=len(block))
+        self.blocks.append((lang, [(key, serial) for key, serial, _, _ in block], many, np.concatenate(found)))
+        self.bytes += sum(len(text) for _, _, _, text in block)
+
+    def full(self) -> bool:
+        return self.bytes >= HELD_BYTES or sum(map(len, self.numbers.values())) >= HELD_WINDOWS
+
+    def priced(self, folder: str) -> Iterator[pa.RecordBatch]:
+        """``lang, key, part, cost, symbols`` of the parts held."""
+        costs = {lang: np.full(len(numbers), np.nan) for lang, numbers in self.numbers.items()}
+        store, name = open_uri(folder)
+        table_of = pa.dataset.dataset(name, filesystem=store, format="parquet")
+        batches = table_of.to_batches(
+            columns=["lang", "window", "cost"], filter=pa.dataset.field("lang").isin(list(costs)), batch_size=BATCH_ROWS, batch_readahead=1, fragment_readahead=1, use_threads=False
+        )
         for batch in batches:
-            for i, lang, token in zip(*(batch.column(c).to_pylist() for c in ("id", "lang", "token")), strict=True):
-                found = Counter(token[max(0, at - order + 1) : at + 1] for at in range(1, len(token)))
-                out += [(i, lang, window, n) for window, n in found.items()]
-                if len(out) >= WINDOW_ROWS:
-                    yield batch_of(out)
-                    out = []
-        if out:
-            yield batch_of(out)
-
-    return windows
+            found = batch.column("cost").to_numpy(zero_copy_only=False)
+            langs = batch.column("lang").dictionary_encode()
+            for at, lang in enumerate(langs.dictionary.to_pylist()):
+                rows = np.flatnonzero(langs.indices.to_numpy() == at)
+                numbers = self.numbers[lang]
+                which = np.array([numbers.get(w, -1) for w in batch.column("window").take(pa.array(rows)).to_pylist()], dtype=np.int64)
+                costs[lang][which[which >= 0]] = found[rows[which >= 0]]
+        for lang, keys, many, numbers in self.blocks:
+            cost = np.bincount(np.repeat(np.arange(len(keys)), many), costs[lang][numbers], len(keys))
+            columns = [pa.array([lang] * len(keys), pa.string()), pa.array([k for k, _ in keys], pa.binary()), pa.array([n for _, n in keys], pa.int64()), pa.array(cost, pa.float64(), from_pandas=True), pa.array(many.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "key", "part", "cost", "symbols"])
+
+
+def _priced(folder: str, order: int):
+    def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Costs and symbols of texts, or of their parts, by the table of costs in ``folder``."""
+        held = _Held()
+        for lang, block in _blocks(batches):
+            held.add(lang, block, order)
+            if held.full():
+                yield from held.priced(folder)
+                held = _Held()
+        if held.blocks:
+            yield from held.priced(folder)
+
+    return priced
 
 
 def _window_costs(windows: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -251,43 +373,22 @@ def _window_costs(windows: DataFrame, grams: DataFrame, contexts: DataFrame) ->
     weights = contexts.filter("context <> ''").select(F.col("lang").alias("_lang"), F.col("context").alias("_context"), "backoff")
     unseen = met.filter("p is null and context <> ''").join(weights, (F.col("lang") == F.col("_lang")) & (F.col("context") == F.col("_context")))
     unseen = unseen.select("lang", "window", (-F.log("backoff")).alias("cost"))
-    # A symbol never seen: a row per language.
-    never = met.filter("p is null and context = ''").join(F.broadcast(base), F.col("lang") == F.col("_of")).select("lang", "window", F.col("base").alias("cost"))
-    return settle(known.unionByName(unseen).unionByName(never).groupBy("lang", "window").agg(F.sum("cost").alias("cost")), "kn-window-costs")
-
-
-def _added(key: tuple, rows: pa.Table) -> pa.Table:
-    """Costs and symbols of the documents of a chunk."""
-    told, costs, symbols = rows.column("told").to_pylist(), rows.column("cost").to_numpy(), rows.column("symbols").to_numpy()
-    head = int(np.flatnonzero(symbols < 0)[0])
-    keys = [told[head][i : i + 16] for i in range(0, len(told[head]), 16)]
-    words = [i for i in range(len(told)) if i != head]
-    pairs = np.frombuffer(b"".join(told[i] for i in words), dtype=np.int32).reshape(-1, 2)
-    many = np.array([len(told[i]) // 8 for i in words], dtype=np.int64)
-    at, n = pairs[:, 0], pairs[:, 1].astype(np.float64)
-    cost = np.bincount(at, n * np.repeat(costs[words], many), len(keys))
-    length = np.bincount(at, n * np.repeat(symbols[words], many), len(keys))
-    lang = rows.column("lang")[head].as_py()
-    return pa.table([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.binary()), pa.array(cost, from_pandas=True), pa.array(length.astype(np.int64))], ["lang", "key", "cost", "symbols"])
+    # A symbol never seen.
+    never = met.filter("p is null and context = ''").join(base, F.col("lang") == F.col("_of")).select("lang", "window", F.col("base").alias("cost"))
+    return known.unionByName(unseen).unionByName(never).groupBy("lang", "window").agg(F.sum("cost").alias("cost"))
 
 
 def _scores(docs: DataFrame, grams: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
-    """``lang, key, cost, symbols`` of every distinct text of a language."""
-    lang = F.coalesce(docs["lang"], F.lit(""))
-    texts = docs.select(_key(docs["lang"], docs["text"]).alias("key"), lang.alias("lang"), F.coalesce(docs["text"].cast("binary"), F.lit(b"")).alias("text"))
-    chunks = settle(texts.mapInArrow(_chunked, "chunk long, lang string, token string, told binary"), "kn-chunks")
-    words = settle(chunks.filter("token is not null").select("lang", "token").distinct().withColumn("id", F.monotonically_increasing_id()), "kn-words")
-    windows = settle(words.mapInArrow(_windows(order), "id long, lang string, window string, n long"), "kn-windows")
-    costs = _window_costs(windows, grams, contexts).select(F.col("lang").alias("_lang"), F.col("window").alias("_window"), "cost")
-    priced = windows.join(costs, (F.col("lang") == F.col("_lang")) & (F.col("window") == F.col("_window")))
-    priced = priced.groupBy(F.col("id").alias("_id")).agg(F.sum(F.col("cost") * F.col("n")).alias("cost"))
-    priced = words.join(priced, F.col("id") == F.col("_id"), "left")
-    priced = settle(priced.select(F.col("lang").alias("_lang"), F.col("token").alias("_token"), "cost", (F.length("token") - 1).cast("long").alias("symbols")), "kn-priced")
-    told = chunks.filter("token is not null").join(priced, (F.col("lang") == F.col("_lang")) & (F.col("token") == F.col("_token")))
-    heads = chunks.filter("token is null").select("chunk", "lang", "told", F.lit(None).cast("double").alias("cost"), F.lit(-1).cast("long").alias("symbols"))
-    told = told.select("chunk", "lang", "told", "cost", "symbols").unionByName(heads)
-    added = told.groupBy("chunk").applyInArrow(_added, "lang string, key binary, cost double, symbols long")
-    return settle(added.groupBy("lang", "key").agg(F.min("cost").alias("cost"), F.min("symbols").alias("symbols")), "kn-scores")
+    """``lang, key, cost, symbols`` of every distinct text of a model; ``docs`` has ``lang`` (the model), ``key`` and ``text``."""
+    if not 1 <= order <= 8:
+        raise ValueError("windows are whole numbers of at most 8 symbols")
+    windows = docs.mapInArrow(_distinct(order), "lang string, window string")
+    folder = shared_uri(docs.sparkSession, "kn-costs")
+    _window_costs(windows, grams, contexts).sortWithinPartitions("lang").write.parquet(folder)
+    parts = docs.mapInArrow(_priced(folder, order), "lang string, key binary, part long, cost double, symbols long")
+    # Copies of a text have the same parts.
+    parts = parts.groupBy("lang", "key", "part").agg(F.min("cost").alias("cost"), F.min("symbols").alias("symbols"))
+    return settle(parts.groupBy("lang", "key").agg(F.sum("cost").alias("cost"), F.sum("symbols").alias("symbols")), "kn-scores")
 
 
 def _quantiles(held: DataFrame, quantile: float) -> DataFrame:
@@ -314,47 +415,84 @@ def _quantiles(held: DataFrame, quantile: float) -> DataFrame:
     return ends.select("_of", (F.col("lower") + (F.col("at") - low) * (F.col("upper") - F.col("lower"))).alias("threshold"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> tuple[DataFrame, DataFrame]:
-    """``lang, key, cost, symbols`` of every distinct text of a language, and ``_of, mean, threshold`` of the languages that are judged."""
-    grams, contexts = kneser_ney(trusted_documents(docs, labels).filter("fit"), order)
-    scores = _scores(docs, grams, contexts, order)
-    ids = docs.select(docs["doc_id"].alias("doc_id"), _key(docs["lang"], docs["text"]).alias("_key"))
-    held = ids.join(_trusted_ids(labels).filter("not fit"), F.col("doc_id") == F.col("_id")).select("_key")
-    held = settle(held.join(scores, F.col("_key") == F.col("key")).filter("cost is not null").select("lang", "cost", "symbols"), "kn-calibration")
-    means = held.groupBy("lang").agg((F.sum("cost") / F.nullif(F.sum("symbols"), F.lit(0))).alias("mean"), F.count("*").alias("n"))
-    means = settle(means.filter(F.col("mean").isNotNull() & (F.col("n") >= LEAST_CALIBRATION)).select(F.col("lang").alias("_in"), "mean"), "kn-means")
-    values = held.join(F.broadcast(means), F.col("lang") == F.col("_in")).select("lang", _smooth().alias("value"))  # a row per language
+def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``_judged``, stored: the languages that have a model and a quantile of their own."""
+    parts = trusted_documents(docs, labels).groupBy("lang").agg(F.count(F.when(F.col("fit"), 1)).alias("fit"), F.count(F.when(~F.col("fit"), 1)).alias("held"))
+    return settle(parts.filter((F.col("fit") > 0) & (F.col("held") >= LEAST_CALIBRATION)).select(F.col("lang").alias("_judged")), "kn-judged")
+
+
+def _modelled(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """``rows`` with ``lang`` turned into the name of the model by which they are judged."""
+    model = F.when(F.col("_judged").isNotNull(), F.concat(F.lit("="), F.col("_judged"))).otherwise(F.lit(POOL))
+    return rows.join(judged, F.coalesce(F.col("lang"), F.lit("")) == F.col("_judged"), "left").withColumn("lang", model).drop("_judged")
+
+
+def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The judged languages, ``lang, key, cost, symbols`` of every distinct text by model, and ``_of, mean, threshold`` of the models.
+
+    Where any document needs the model of all languages, that is fitted on all
+    documents to fit on, and all that are held out are scored by it as well.
+    """
+    judged = _judged(docs, labels)
+    texts = docs.select(_key(docs["lang"], docs["text"]).alias("key"), docs["lang"].alias("lang"), F.coalesce(docs["text"].cast("binary"), F.lit(b"")).alias("text"))
+    by_model = _modelled(texts, judged)
+    pooled = not by_model.filter(F.col("lang") == POOL).isEmpty()
+    trusted = trusted_documents(docs, labels)
+    ids = docs.select(docs["doc_id"].alias("doc_id"), docs["lang"].alias("lang"), docs["text"].alias("text"))
+    held = ids.join(_trusted_ids(labels).filter("not fit"), F.col("doc_id") == F.col("_id")).select("lang", "text", _key(F.col("lang"), F.col("text")).alias("key"))
+    own = _modelled(held, judged).filter(F.col("lang") != POOL).select("lang", "key")
+    to_fit, to_score, keys = _modelled(trusted, judged).filter((F.col("lang") != POOL) & F.col("fit")), by_model, own
+    if pooled:
+        everywhere = held.withColumn("lang", F.lit(POOL))
+        to_fit = to_fit.unionByName(trusted.filter("fit").withColumn("lang", F.lit(POOL)))
+        to_score = to_score.unionByName(everywhere.select("key", "lang", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")))
+        keys = keys.unionByName(everywhere.select("lang", "key"))
+    grams, contexts = kneser_ney(to_fit, order)
+    scores = _scores(to_score, grams, contexts, order)
+    keys = keys.select(F.col("lang").alias("_lang"), F.col("key").alias("_key"))
+    held = keys.join(scores, (F.col("_key") == F.col("key")) & (F.col("_lang") == F.col("lang"))).filter("cost is not null")
+    held = settle(held.select("lang", "cost", "symbols"), "kn-calibration")
+    means = held.groupBy("lang").agg((F.sum("cost") / F.nullif(F.sum("symbols"), F.lit(0))).alias("mean"))
+    means = settle(means.filter(F.col("mean").isNotNull()).select(F.col("lang").alias("_in"), "mean"), "kn-means")
+    values = held.join(means, F.col("lang") == F.col("_in")).select("lang", _smooth().alias("value"))
     limits = _quantiles(values, quantile).join(means, F.col("_of") == F.col("_in")).select("_of", "mean", "threshold")
-    return scores, settle(limits, "kn-limits")
+    return judged, scores, settle(limits, "kn-limits")
 
 
 def _smooth() -> Column:
     return F.exp((F.col("cost") + PRIOR * F.col("mean")) / (F.col("symbols") + PRIOR))
 
 
+def _verdicts(scores: DataFrame, limits: DataFrame) -> DataFrame:
+    """``_model, _scored, perplexity, threshold`` of the texts scored."""
+    told = scores.join(limits, F.col("lang") == F.col("_of"), "left")
+    return told.select(F.col("lang").alias("_model"), F.col("key").alias("_scored"), _smooth().alias("perplexity"), "threshold")
+
+
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``doc_id, lang, perplexity, threshold, kept`` for every row.
 
     A document is rejected if its perplexity per symbol exceeds the quantile of
-    trusted documents of its language that the model was not fitted on. Null and
-    blank texts have the language's mean and are kept, as are documents of a
-    language with too few trusted ones. Rows that repeat are judged each; extra
-    columns are ignored; without labels everything is kept; an empty table gives an empty one.
+    the trusted documents of its language that the model was not fitted on; in a
+    language with few of these, that of the trusted documents of all languages, by
+    a model of them all. Null and blank texts have the mean and are kept. Rows that
+    repeat are judged each; extra columns are ignored; an empty table gives an empty
+    one. Where no trusted document with words is fitted on, or none held out, everything is kept.
     """
-    scores, limits = fit(docs, labels, quantile=quantile)
-    told = scores.join(F.broadcast(limits), F.col("lang") == F.col("_of"), "left")  # a row per language
-    told = told.select(F.col("key").alias("_scored"), _smooth().alias("perplexity"), "threshold")
-    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["lang"].alias("lang"), _key(docs["lang"], docs["text"]).alias("_key"))
-    told = rows.join(told, F.col("_key") == F.col("_scored"), "left")
-    return told.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+    judged, scores, limits = fit(docs, labels, quantile=quantile)
+    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["lang"].alias("_lang"), docs["lang"].alias("lang"), _key(docs["lang"], docs["text"]).alias("_key"))
+    told = _modelled(rows, judged).join(_verdicts(scores, limits), (F.col("_key") == F.col("_scored")) & (F.col("lang") == F.col("_model")), "left")
+    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    return told.select("doc_id", F.col("_lang").alias("lang"), "perplexity", "threshold", kept.alias("kept"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``docs`` without those rejected; all columns are kept."""
-    scores, limits = fit(docs, labels, quantile=quantile)
-    bad = scores.join(F.broadcast(limits), F.col("lang") == F.col("_of")).filter(_smooth() > F.col("threshold")).select(F.col("key").alias("_bad"))
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    return row.join(settle(bad, "kn-bad"), _key(F.col("_row.lang"), F.col("_row.text")) == F.col("_bad"), "left_anti").select("_row.*")
+    judged, scores, limits = fit(docs, labels, quantile=quantile)
+    bad = settle(_verdicts(scores, limits).filter("perplexity > threshold").select("_model", F.col("_scored").alias("_bad")), "kn-bad")
+    row = docs.select(docs["lang"].alias("lang"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    told = _modelled(row, judged)
+    return told.join(bad, (_key(F.col("_row.lang"), F.col("_row.text")) == F.col("_bad")) & (F.col("lang") == F.col("_model")), "left_anti").select("_row.*")
 
 
 @query()
