@@ -179,8 +179,12 @@ def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Ids with contradicting labels, or a null one, are not trusted. A null
     language is a language of its own.
     """
+    return _trusted(docs, _trusted_ids(labels))
+
+
+def _trusted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     pair = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["lang"], F.lit("")).alias("lang"), docs["text"].alias("text"))
-    return pair.join(_trusted_ids(labels), F.col("doc_id") == F.col("_id")).select("lang", "text", "fit")
+    return pair.join(ids, F.col("doc_id") == F.col("_id")).select("lang", "text", "fit")
 
 
 def _key(lang: Column, text: Column) -> Column:
@@ -226,13 +230,15 @@ def _symbols(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray,
     signed = np.empty(int(many.sum()), dtype=np.uint32)
     signed[start] = np.where(stop, ord(AFTER_STOP), ord(AFTER_WORD))
     signed[start + many - 1] = ord(END)
-    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    signed[np.repeat(start + 1, size) + step] = chars[np.repeat(low, size) + step]
-    return signed, np.arange(len(signed)) - np.repeat(start, many), np.repeat(part, many)
+    # Symbols of words stand in the order of their characters.
+    moved = np.arange(int(size.sum())) + np.repeat(start + 1 - (np.cumsum(size) - size), size)
+    signed[moved] = chars[moved + np.repeat(low - start - 1, size)]
+    place = np.arange(len(signed), dtype=np.int32) - np.repeat(start.astype(np.int32), many)
+    return signed, place, np.repeat(part.astype(np.int32), many)
 
 
-def _windows(signed: np.ndarray, place: np.ndarray, order: int, skip: int = 0) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Distinct windows, and the number of the window of each symbol that is no start sign, from ``skip`` on.
+def _windows(signed: np.ndarray, place: np.ndarray, order: int, skip: int = 0, numbered: bool = True) -> Iterator[tuple[list[str], np.ndarray | None]]:
+    """Distinct windows, and, if ``numbered``, the number of the window of each symbol that is no start sign, from ``skip`` on.
 
     Symbols are numbered and a window is one whole number; where they are too many for that, each half is done alone.
     """
@@ -242,9 +248,9 @@ def _windows(signed: np.ndarray, place: np.ndarray, order: int, skip: int = 0) -
     bits = len(alphabet).bit_length()
     if bits * order > 63:
         middle = (skip + len(signed)) // 2
-        yield from _windows(signed[:middle], place[:middle], order, skip)
+        yield from _windows(signed[:middle], place[:middle], order, skip, numbered)
         ahead = max(0, middle - order + 1)
-        yield from _windows(signed[ahead:], place[ahead:], order, middle - ahead)
+        yield from _windows(signed[ahead:], place[ahead:], order, middle - ahead, numbered)
         return
     number = np.cumsum(seen)[signed]
     code = number.copy()
@@ -253,7 +259,8 @@ def _windows(signed: np.ndarray, place: np.ndarray, order: int, skip: int = 0) -
         before[back:] = number[:-back]
         before[place < back] = 0
         code |= before << (bits * back)
-    which, codes = pd.factorize(code[skip:][place[skip:] > 0])
+    code = code[skip:][place[skip:] > 0]
+    which, codes = pd.factorize(code) if numbered else (None, np.unique(code))
     digits = (codes[:, None] >> (bits * np.arange(order - 1, -1, -1))) & ((1 << bits) - 1)
     told = np.empty(len(codes), dtype=object)
     lengths = (digits > 0).sum(axis=1)
@@ -285,7 +292,7 @@ def _distinct(order: int):
         met: dict[str, set[str]] = {}
         for lang, block in _blocks(batches):
             signed, place, _ = _symbols([(lead, part) for _, _, lead, part in block])
-            for told, _ in _windows(signed, place, order):
+            for told, _ in _windows(signed, place, order, numbered=False):
                 if sum(map(len, met.values())) >= HELD_WINDOWS:
                     met.clear()
                 seen = met.setdefault(lang, set())
@@ -415,9 +422,9 @@ def _quantiles(held: DataFrame, quantile: float) -> DataFrame:
     return ends.select("_of", (F.col("lower") + (F.col("at") - low) * (F.col("upper") - F.col("lower"))).alias("threshold"))
 
 
-def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def _judged(trusted: DataFrame) -> DataFrame:
     """``_judged``, stored: the languages that have a model and a quantile of their own."""
-    parts = trusted_documents(docs, labels).groupBy("lang").agg(F.count(F.when(F.col("fit"), 1)).alias("fit"), F.count(F.when(~F.col("fit"), 1)).alias("held"))
+    parts = trusted.groupBy("lang").agg(F.count(F.when(F.col("fit"), 1)).alias("fit"), F.count(F.when(~F.col("fit"), 1)).alias("held"))
     return settle(parts.filter((F.col("fit") > 0) & (F.col("held") >= LEAST_CALIBRATION)).select(F.col("lang").alias("_judged")), "kn-judged")
 
 
@@ -433,20 +440,24 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float
     Where any document needs the model of all languages, that is fitted on all
     documents to fit on, and all that are held out are scored by it as well.
     """
-    judged = _judged(docs, labels)
+    # Stored, so that Spark knows their size before it would shuffle texts to them.
+    good = settle(_trusted_ids(labels), "kn-trusted")
+    trusted = _trusted(docs, good)
+    judged = _judged(trusted)
     texts = docs.select(_key(docs["lang"], docs["text"]).alias("key"), docs["lang"].alias("lang"), F.coalesce(docs["text"].cast("binary"), F.lit(b"")).alias("text"))
     by_model = _modelled(texts, judged)
-    pooled = not by_model.filter(F.col("lang") == POOL).isEmpty()
-    trusted = trusted_documents(docs, labels)
-    ids = docs.select(docs["doc_id"].alias("doc_id"), docs["lang"].alias("lang"), docs["text"].alias("text"))
-    held = ids.join(_trusted_ids(labels).filter("not fit"), F.col("doc_id") == F.col("_id")).select("lang", "text", _key(F.col("lang"), F.col("text")).alias("key"))
+    pooled = not _modelled(docs.select(docs["lang"].alias("lang")), judged).filter(F.col("lang") == POOL).isEmpty()
+    ids = docs.select(docs["doc_id"].alias("doc_id"), docs["lang"].alias("lang"), _key(docs["lang"], docs["text"]).alias("key"))
+    out = good.filter("not fit")
+    held = ids.join(out, F.col("doc_id") == F.col("_id")).select("lang", "key")
     own = _modelled(held, judged).filter(F.col("lang") != POOL).select("lang", "key")
     to_fit, to_score, keys = _modelled(trusted, judged).filter((F.col("lang") != POOL) & F.col("fit")), by_model, own
     if pooled:
-        everywhere = held.withColumn("lang", F.lit(POOL))
+        told = docs.select(docs["doc_id"].alias("doc_id"), docs["lang"].alias("lang"), docs["text"].alias("text")).join(out, F.col("doc_id") == F.col("_id"))
         to_fit = to_fit.unionByName(trusted.filter("fit").withColumn("lang", F.lit(POOL)))
-        to_score = to_score.unionByName(everywhere.select("key", "lang", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")))
-        keys = keys.unionByName(everywhere.select("lang", "key"))
+        told = told.select(_key(F.col("lang"), F.col("text")).alias("key"), F.lit(POOL).alias("lang"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+        to_score = to_score.unionByName(told)
+        keys = keys.unionByName(held.select(F.lit(POOL).alias("lang"), "key"))
     grams, contexts = kneser_ney(to_fit, order)
     scores = _scores(to_score, grams, contexts, order)
     keys = keys.select(F.col("lang").alias("_lang"), F.col("key").alias("_key"))
