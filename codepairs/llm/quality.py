@@ -440,8 +440,8 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float
     Where any document needs the model of all languages, that is fitted on all
     documents to fit on, and all that are held out are scored by it as well.
     """
-    # Stored, so that Spark knows their size before it would shuffle texts to them.
-    good = settle(_trusted_ids(labels), "kn-trusted")
+    # Not stored: Spark then knows that ``fit`` is a function of the id, and shuffles no text that is not fitted on.
+    good = _trusted_ids(labels)
     trusted = _trusted(docs, good)
     judged = _judged(trusted)
     texts = docs.select(_key(docs["lang"], docs["text"]).alias("key"), docs["lang"].alias("lang"), F.coalesce(docs["text"].cast("binary"), F.lit(b"")).alias("text"))
