@@ -13,6 +13,7 @@ from codepairs.functions.text import TOKEN, token_count
 from codepairs.operators.metrics import binary_metrics, confusion_counts
 from codepairs.operators.records import union_sets
 from codepairs.operators.sampling import balanced_sample
+from codepairs.session import scratch_path
 
 
 # Training rows that one task may hold.
@@ -248,6 +249,19 @@ def _classifier(features: int, regularisation: float):
     )
 
 
+def _stored(model, path: str):
+    """The fitted pipeline with its classifier stored and loaded again, which leaves the training summary behind.
+
+    The summary holds the session, and a session that has observed metrics cannot be sent to tasks.
+    """
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    *stages, classifier = model.stages
+    classifier.write().save(path)
+    return PipelineModel([*stages, LogisticRegressionModel.load(path)])
+
+
 def train_classifiers(
     train: DataFrame,
     valid: DataFrame,
@@ -276,8 +290,13 @@ def train_classifiers(
     tasks = max(1, use_size // ROWS_PER_TASK)
     # At most one row per node type.
     present = {r["node_type"] for r in fit_rows.select("node_type").distinct().collect()}
+
+    def fit(node_type: str, regularisation: float):
+        rows = fit_rows.filter(F.col("node_type") == node_type).select("sentence", "label").coalesce(tasks)
+        return _stored(_classifier(features, regularisation).fit(rows), scratch_path(train.sparkSession, "classifier"))
+
     fitted = {
-        (t, c): _classifier(features, c).fit(fit_rows.filter(F.col("node_type") == t).select("sentence", "label").coalesce(tasks))
+        (t, c): fit(t, c)
         for t in node_types
         if t in present
         for c in candidates

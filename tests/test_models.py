@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from codepairs.operators import models
@@ -68,6 +69,15 @@ def test_train_classifiers(spark, tmp_path):
     assert judged.select("`if_statement-judge`").distinct().first()[0] == "CORRECT"
 
 
+def test_train_classifiers_in_a_session_that_has_observed(spark):
+    spark.range(3).observe(Observation(), F.count("*").alias("n")).collect()
+    rows = spark.createDataFrame([(i, "if x" if i % 2 else "while y", i % 2) for i in range(40)], "id int, text string, if_statement int")
+    trained, report = models.train_classifiers(rows, rows, ["if_statement"], 20, "id")
+    assert report.first().accuracy == 1.0
+    scored = models.classify_with(trained, rows)
+    assert scored.filter(F.col("`if_statement-inference`") != F.col("if_statement")).isEmpty()
+
+
 def test_evaluate_edits(spark):
     schema = "original_code string, edited_code string, delete_target_node string, original_ast_node_types array<string>, edited_ast_node_types array<string>"
     rows = spark.createDataFrame([("o", "x" * 9, "if_statement", ["if_statement"], []), ("o", "x", "call", ["call", "if_statement"], ["if_statement"])], schema)
