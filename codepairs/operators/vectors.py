@@ -98,11 +98,15 @@ def pool_vectors(df: DataFrame, id_col: str, pos_col: str, vec_col: str, run: in
 
 
 def pool_concat(names: Sequence[str]) -> Column:
-    """Concatenation of the chosen pooled vectors, always in the order of ``POOLERS``."""
+    """Concatenation of the chosen pooled vectors, always in the order of ``POOLERS``.
+
+    In place of a NULL vector stand as many NULLs as the others have numbers; NULL if all are.
+    """
     chosen = [F.col(p) for p in POOLERS if p in names]
     if not chosen or set(names) - set(POOLERS):
         raise ValueError(f"choose from {POOLERS}: {names}")
-    return F.concat(*chosen)
+    width = F.coalesce(*[F.when(c.isNotNull(), F.size(c)) for c in chosen])
+    return F.concat(*[F.coalesce(c, F.array_repeat(F.lit(None), width)) for c in chosen])
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codepairs.catalog import QUERIES
 from codepairs.operators import vectors
 
 
@@ -53,6 +54,21 @@ def test_pool_concat(spark):
             vectors.pool_concat(bad)
 
 
+def test_pool_concat_keeps_the_place_of_a_missing_vector(spark):
+    df = spark.createDataFrame([([1.0, 2.0], None), (None, None)], "cls array<double>, mean array<double>")
+    assert [r.v for r in df.select(vectors.pool_concat(["mean", "cls"]).alias("v")).collect()] == [[1.0, 2.0, None, None], None]
+
+
+def test_pooled_queries_keep_documents_of_one_and_two_tokens(spark, tmp_path):
+    rows = [(i, [i / 8, -i / 8]) for i in (0, 1, 2, 3, 4, 5, 10, 11)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {tuple(r) for r in QUERIES["pool_vectors"](spark, str(tmp_path)).collect()}
+    assert {r for r in got if r[0]} == {(1, 0, 0.625, None, None), (1, 1, -0.625, None, None), (2, 0, 1.25, None, None), (2, 1, -1.25, None, None)}
+    assert {r for r in got if not r[0]} == {(0, 0, 0.0, 0.375, 0.25), (0, 1, 0.0, -0.125, -0.25)}
+    joined = {tuple(r) for r in QUERIES["pool_concat"](spark, str(tmp_path)).collect()}
+    assert joined == {(d, i, c) for d, i, c, _, _ in got} | {(d, i + 2, m) for d, i, _, _, m in got}
+
+
 def test_cosine(spark):
     a, b = tokens(1, 20), tokens(2, 20)
     rows = [(i, a[i].tolist(), b[i].tolist()) for i in range(20)] + [(20, [0.0] * 5, b[0].tolist()), (21, [0.0] * 5, [0.0] * 5)]
