@@ -1,15 +1,17 @@
 """Principal components of wide vectors, without a matrix of dimension by dimension.
 
-A randomised range finder: a thin random matrix, as wide as the components asked for and
-some more, is multiplied by the centred rows and back, pass after pass, until the
-leading directions stand still. A pass is one job that returns a thin matrix. At the
+Block Lanczos: a thin random matrix, as wide as the components asked for and some more, is
+multiplied by the centred rows and back; what is new in the product is the matrix of the
+next pass. The best directions in all of them together are the axes once their
+residuals are as small as rounding allows. A pass is one job that returns a thin matrix. After
+some passes the best directions stand for all before. At the
 end every partition factors its rows' products with the thin basis (QR), the
 small triangular factors are merged in a tree, and their singular vectors turn the basis into the axes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,13 @@ from pyspark.sql import functions as F
 from codepairs.operators.blocks import matrix
 
 SPARE = 24
-PASSES = 60
-# Leading directions stand still when none moves by more than this.
-STILL = 1e-9
+PASSES = 200
+# Matrices held before the best directions replace them.
+BLOCKS = 4
+# An axis is found when its residual, and so its turn, is this small against the distance to the next one.
+STILL = 1e-13
+# Below this share of the greatest variance there is rounding only.
+ROUNDING = 1e-15
 FAN = 16
 # Numbers of a slice of rows that is multiplied at once.
 CELLS = 1 << 22
@@ -106,10 +112,45 @@ def _tree(partials: DataFrame, tasks: int, width: int | None = None) -> tuple[in
             return row["n"], np.array(row["m"])
 
 
+def _fresh(product: np.ndarray, held: np.ndarray, scale: float) -> np.ndarray:
+    """An orthonormal basis of what the columns have outside of those held; none where that is rounding."""
+    for _ in range(2):
+        product = product - held @ (held.T @ product)
+    turned, sizes, _ = np.linalg.svd(product, full_matrices=False)
+    new = turned[:, sizes > 10 * ROUNDING * scale][:, : held.shape[0] - held.shape[1]]
+    return np.linalg.qr(new - held @ (held.T @ new))[0]
+
+
+def lead_directions(times: Callable[[np.ndarray], np.ndarray], dim: int, k: int, width: int, seed: int, passes: int) -> np.ndarray:
+    """``width`` directions that hold the ``k`` greatest axes of a symmetric matrix, known by its products ``times``."""
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, width)))[0]
+    held, products = np.zeros((dim, 0)), np.zeros((dim, 0))
+    least, stuck = np.inf, 0
+    for _ in range(passes):
+        held = np.concatenate([held, block], axis=1)
+        products = np.concatenate([products, times(block)], axis=1)
+        small = held.T @ products
+        sizes, turn = np.linalg.eigh((small + small.T) / 2)
+        sizes, turn = sizes[::-1], turn[:, ::-1]
+        kept = turn[:, :width]
+        missed = np.linalg.norm(products @ turn[:, :k] - held @ (turn[:, :k] * sizes[:k]), axis=0)
+        gaps = np.array([min(abs(np.delete(sizes, i) - sizes[i]), default=0.0) for i in range(k)])
+        block = _fresh(products[:, -block.shape[1] :], held, sizes[0])
+        # Equal axes have no distance: there, and where sums round, residuals end by getting no smaller.
+        worst = missed.max()
+        stuck = stuck + 1 if worst > least / 2 and worst <= 1e-10 * sizes[0] else 0
+        least = min(least, worst)
+        if (missed <= np.maximum(STILL * gaps, ROUNDING * sizes[0])).all() or stuck == 3 or not block.shape[1]:
+            return held @ kept
+        if held.shape[1] + block.shape[1] > BLOCKS * width:
+            held, products = held @ kept, products @ kept
+    raise RuntimeError(f"the axes are not found after {passes} passes")
+
+
 def principal_axes(df: DataFrame, vec_col: str, k: int = 2, seed: int = 42, spare: int = SPARE, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``mean, axes, deviations`` of the vectors: axes as columns, most varied first, each turned so that its loading of greatest magnitude is positive.
 
-    Null vectors are left out; all others must have one length. The driver holds matrices of that length times ``k + spare``.
+    Null vectors are left out; all others must have one length. The driver holds matrices of that length times ``BLOCKS`` times ``k + spare``.
     """
     rows = df.filter(F.col(vec_col).isNotNull()).select(F.transform(vec_col, lambda x: x.cast("double")).alias("_v"))
     seen = rows.agg(F.min(F.size("_v")).alias("low"), F.max(F.size("_v")).alias("high")).first()
@@ -124,22 +165,14 @@ def principal_axes(df: DataFrame, vec_col: str, k: int = 2, seed: int = 42, spar
     n, total = _tree(rows.mapInArrow(_sums(dim), schema), tasks)
     mean = total / n
     width = min(dim, k + spare)
-    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, width)))[0]
-    lead = None
-    for _ in range(passes if width < dim else 0):
-        shared = spark.sparkContext.broadcast((mean, basis))
+
+    def times(block: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast((mean, block))
         _, product = _tree(rows.mapInArrow(_products(shared, dim), schema), tasks)
         shared.unpersist()
-        # The best axes inside the basis, to see whether they still move.
-        product = product.reshape(dim, width)
-        small = basis.T @ product
-        turn = np.linalg.eigh((small + small.T) / 2)[1][:, ::-1]
-        now = basis @ turn[:, :k]
-        basis = np.linalg.qr(product @ turn)[0]
-        moved = 1.0 if lead is None else np.abs(now - lead @ (lead.T @ now)).max()
-        lead = now
-        if moved < STILL:
-            break
+        return product.reshape(dim, -1)
+
+    basis = np.eye(dim) if width == dim else lead_directions(times, dim, k, width, seed, passes)
     shared = spark.sparkContext.broadcast((mean, basis))
     _, factor = _tree(rows.mapInArrow(_factors(shared, dim), schema), tasks, width)
     _, sizes, turn = np.linalg.svd(factor.reshape(-1, width), full_matrices=False)

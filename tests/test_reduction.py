@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codepairs.operators.reduction import pca_reduce_wide, principal_axes
+from codepairs.operators.reduction import lead_directions, pca_reduce_wide, principal_axes
 from codepairs.operators.vectors import pca_reduce
 
 
@@ -37,6 +37,22 @@ def test_equals_the_other_operator_at_64_dimensions(spark):
     assert a.keys() == b.keys() and max(abs(x - y) for i in a for x, y in zip(a[i], b[i], strict=True)) < 1e-6
 
 
+@pytest.mark.parametrize("n, dim", [(4000, 64), (1500, 150)])
+def test_axes_of_much_alike_strength_are_found(n, dim):
+    x = np.random.default_rng(dim).normal(size=(n, dim))
+    x -= x.mean(axis=0)
+    _, _, axes = np.linalg.svd(x, full_matrices=False)
+    found = lead_directions(lambda block: x.T @ (x @ block), dim, 2, 26, 42, 60)
+    # The axes lie in what the directions span.
+    assert np.abs(axes[:2].T - found @ (found.T @ axes[:2].T)).max() < 1e-9
+
+
+def test_rows_agree_to_rounding_with_the_other_operator(spark):
+    rows = frame(spark, np.random.default_rng(5).normal(size=(3000, 64)))
+    a, b = (f(rows, "vec", 2).orderBy("id").select("pc0", "pc1").toPandas().to_numpy() for f in (pca_reduce_wide, pca_reduce))
+    assert np.abs(a - b).max() < 1e-10
+
+
 def test_20000_dimensions(spark):
     """A square matrix of that size would take 3.2 GB."""
     signal = spark.range(60).repartition(6)
