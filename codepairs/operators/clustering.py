@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from codepairs.operators.blocks import BLOCK_ROWS, Block, block_pairs, in_cells, per_block
+from codepairs.operators.blocks import Block, block_pairs, in_cells, per_block, rows_per_block
 from codepairs.operators.components import connected_components
 from codepairs.operators.records import union_sets
 from codepairs.session import bounded_broadcast, settle
@@ -17,15 +17,19 @@ from codepairs.session import bounded_broadcast, settle
 def _degrees(threshold: float):
     def count(group: pa.Table) -> pa.Table:
         block = Block(group, "_vec")
-        near = block.cosines >= threshold
-        if block.same:
-            np.fill_diagonal(near, False)
-        weights = near @ block.right.column("_weight").to_numpy().astype(np.int64)
-        sides = [(block.left, weights)]
-        if not block.same:
-            sides.append((block.right, near.T @ block.left.column("_weight").to_numpy().astype(np.int64)))
+        sides = [block.left] if block.same else [block.left, block.right]
+        weights = [side.column("_weight").to_numpy().astype(np.float64) for side in sides]
+        near = [np.zeros(len(w)) for w in weights]  # whole numbers
+        for i, j, s in block.tiles():
+            row, col = np.divmod(np.flatnonzero(s >= threshold), s.shape[1])
+            if block.same and i == j:
+                row, col = row[row != col], col[row != col]
+            near[0][i : i + len(s)] += np.bincount(row, weights=weights[-1][col + j], minlength=len(s))
+            if not block.same or i < j:
+                near[-1][j : j + s.shape[1]] += np.bincount(col, weights=weights[0][row + i], minlength=s.shape[1])
         parts = [
-            pa.table([side.column("_id").filter(pa.array(w > 0)), pa.array(w[w > 0])], names=["_id", "_near"]) for side, w in sides
+            pa.table([side.column("_id").filter(pa.array(w > 0)), pa.array(w[w > 0].astype(np.int64))], names=["_id", "_near"])
+            for side, w in zip(sides, near, strict=True)
         ]
         return pa.concat_tables(parts)
 
@@ -57,22 +61,60 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(from_, dtype=np.int64), np.array(to, dtype=np.int64)
 
 
+class Forest:
+    """A spanning forest of links that arrive in bunches: a link is kept if its ends were not yet joined."""
+
+    def __init__(self, nodes: int):
+        self.tree = np.arange(nodes)
+        self.from_: list[np.ndarray] = []
+        self.to: list[np.ndarray] = []
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        while True:
+            apart = self.tree[u] != self.tree[v]
+            u, v = u[apart], v[apart]
+            if not len(u):
+                return
+            low, high = np.minimum(self.tree[u], self.tree[v]), np.maximum(self.tree[u], self.tree[v])
+            # Every tree takes one link to a lower one.
+            trees, first = np.unique(high, return_index=True)
+            self.from_.append(u[first])
+            self.to.append(v[first])
+            root = np.arange(len(self.tree))
+            root[trees] = low[first]
+            while (root[root] != root).any():
+                root = root[root]
+            self.tree = root[self.tree]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        none = [np.zeros(0, dtype=np.int64)]
+        return np.concatenate(none + self.from_), np.concatenate(none + self.to)
+
+
 def _links(threshold: float):
-    """Core-core links thinned to a spanning forest per block; every link of a core with a point that is not."""
+    """Core-core links thinned to a spanning forest per block pair; every link of a core with a point that is not."""
 
     def link(group: pa.Table) -> pa.Table:
         block = Block(group, "_vec")
-        near = block.cosines >= threshold
-        left_core, right_core = (s.column("_core").to_numpy(zero_copy_only=False).astype(bool) for s in (block.left, block.right))
-        left_ids, right_ids = block.left.column("_id"), block.right.column("_id")
-        i, j = _forest(near & left_core[:, None] & right_core[None, :])
-        p, q = np.nonzero(near & ~left_core[:, None] & right_core[None, :])
-        tables = [(left_ids.take(pa.array(i)), right_ids.take(pa.array(j)), True), (left_ids.take(pa.array(p)), right_ids.take(pa.array(q)), False)]
-        if not block.same:
-            r, s = np.nonzero(near & left_core[:, None] & ~right_core[None, :])
-            tables.append((right_ids.take(pa.array(s)), left_ids.take(pa.array(r)), False))
+        # Rows of both sides are numbered through.
+        rows = block.left if block.same else pa.concat_tables([block.left, block.right])
+        start = 0 if block.same else block.left.num_rows
+        ids, core = rows.column("_id"), rows.column("_core").to_numpy(zero_copy_only=False).astype(bool)
+        forest, outer, inner = Forest(len(core)), [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for i, j, s in block.tiles():
+            row, col = np.divmod(np.flatnonzero(s >= threshold), s.shape[1])
+            u, v = row + i, col + j + start
+            both = core[u] & core[v]
+            forest.add(u[both], v[both])
+            one = core[u] != core[v]
+            if block.same and i == j:
+                one &= u < v
+            u, v = u[one], v[one]
+            outer.append(np.where(core[u], v, u))
+            inner.append(np.where(core[u], u, v))
+        tables = [(*forest.links(), True), (np.concatenate(outer), np.concatenate(inner), False)]
         return pa.concat_tables(
-            [pa.table([u, v, pa.array(np.full(len(u), core))], names=["u", "v", "core"]) for u, v, core in tables]
+            [pa.table([ids.take(pa.array(u)), ids.take(pa.array(v)), pa.array(np.full(len(u), kind))], names=["u", "v", "core"]) for u, v, kind in tables]
         )
 
     return link
@@ -96,7 +138,7 @@ def dense_rank_ids(df: DataFrame, col: str) -> DataFrame:
 
 
 def density_cluster(
-    df: DataFrame, id_col: str, vec_col: str, threshold: float, min_pts: int, block_rows: int = BLOCK_ROWS
+    df: DataFrame, id_col: str, vec_col: str, threshold: float, min_pts: int, block_rows: int | None = None
 ) -> DataFrame:
     """``(id, is_core, cluster)``: fixed-radius density clustering, -1 for noise.
 
@@ -124,7 +166,8 @@ def density_cluster(
     )
     id_type = df.schema[id_col].dataType.simpleString()
 
-    n_points = points.count()
+    n_points, width = points.agg(F.count("*"), F.coalesce(F.max(F.size("_vec")), F.lit(0))).first()
+    block_rows = block_rows or rows_per_block(n_points, width)
     celled, cells = in_cells(points, "_id", "_vec", n_points, threshold, block_rows, "_weight", min_pts)
     partial = per_block(
         block_pairs(celled.drop("_digest"), "_id", n_points, block_rows), _degrees(threshold), f"_id {id_type}, _near bigint"

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from test_similarity import clouds, cosines, frame
 
 from codepairs.operators import blocks
-from codepairs.operators.clustering import dense_rank_ids, density_cluster
+from codepairs.operators.clustering import Forest, dense_rank_ids, density_cluster
 from codepairs.operators.components import connected_components
 from codepairs.session import settle
 
@@ -108,3 +108,23 @@ def test_density_cluster_under_other_partitionings(spark, partitions):
     assert first == second
     with pytest.raises(ValueError):
         density_cluster(frame(spark, m), "id", "vec", 0.0, 4)
+
+
+def test_forest_joins_what_links_join_with_the_fewest():
+    rng = np.random.default_rng(4)
+    forest, links = Forest(80), []
+    for _ in range(6):
+        u, v = rng.integers(0, 80, 15), rng.integers(0, 80, 15)
+        links += list(zip(u.tolist(), v.tolist(), strict=True))
+        forest.add(u, v)
+
+    def trees(pairs):
+        root = list(range(80))
+        for a, b in pairs:
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    kept = list(zip(*(x.tolist() for x in forest.links()), strict=True))
+    assert trees(kept) == trees(links) and set(kept) <= set(links)
+    assert len(kept) == 80 - len(set(trees(links)))

@@ -1,8 +1,8 @@
 import numpy as np
 import pytest
 
-from codepairs.operators.blocks import block_pairs, in_cells
-from codepairs.operators.similarity import cosine_all_pairs
+from codepairs.operators.blocks import block_pairs, in_cells, rows_per_block
+from codepairs.operators.similarity import Best, cosine_all_pairs
 from codepairs.session import settle
 
 
@@ -121,3 +121,34 @@ def test_the_exact_cosine_decides(spark):
     assert [got[0, k] for k in (1, 2, 3)] == [3, 2, 1]
     half = spark.createDataFrame([(0, "l", [1.0, 0.0]), (1, "l", [0.4999996, float(np.sqrt(1 - 0.4999996**2))])], df.schema)
     assert cosine_all_pairs(half, "id", "label", "vec", threshold=0.5, top_k=1).collect() == []
+
+
+def test_rows_are_shuffled_a_bounded_number_of_times(spark):
+    """A larger table has larger blocks, not more copies of each row."""
+    for n in (3_000, 60_000):
+        rows = spark.range(n).selectExpr("id", "array(1.0D, id * 1.0D) as vec")
+        assert block_pairs(in_cells(rows, "id", "vec", n, None, rows_per_block(n, 2))[0], "id", n, rows_per_block(n, 2)).count() <= 33 * n
+    assert rows_per_block(10**9, 64) * 64 <= 1 << 21
+
+
+def test_cells_that_spare_nothing_are_left_out(spark):
+    stored = settle(frame(spark, np.random.default_rng(8).normal(size=(3000, 16)).astype(np.float32)), "test-vectors")
+    assert in_cells(stored, "id", "vec", 3000, 0.2, 64)[1] is None
+    near = settle(frame(spark, clouds(3, 3000, dim=3, centres=12, spread=0.02)), "test-vectors")
+    assert in_cells(near, "id", "vec", 3000, 0.999, 64)[1] is not None
+
+
+@pytest.mark.parametrize("threshold", [-np.inf, 0.3])
+def test_best_partners_over_tiles(threshold):
+    s = np.random.default_rng(1).integers(-10, 11, size=(23, 50)) / 10 + 1e-14 * np.random.default_rng(2).normal(size=(23, 50))
+    ids = np.random.default_rng(3).permutation(50)
+    for axis in (0, 1):
+        best = Best(23, 4, threshold)
+        for at in range(0, 23, 7):
+            for col in range(0, 50, 9):
+                tile = s[at : at + 7, col : col + 9]
+                best.add(np.ascontiguousarray(tile if axis == 0 else tile.T), at, col, axis, ids)
+        row, place, score = best.found()
+        for i in range(23):
+            want = sorted((j for j in range(50) if s[i, j] >= threshold), key=lambda j: (-round(s[i, j], 12), ids[j]))[:4]
+            assert place[row == i].tolist() == want and np.array_equal(score[row == i], s[i, want])
