@@ -2,7 +2,9 @@
 
 import json
 import os
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codepairs.sources import readers, schemas
+from codepairs.sources.ranges import CHUNK_BYTES
 from codepairs.sources.tree import TreeReader, TreeWriter, Written, from_name, read_jsonl_tree, to_name, tree_sizes, write_jsonl_files
 
 ITEM = schemas.fields(id=T.LongType(), text=T.StringType())
@@ -176,3 +179,19 @@ def test_bad_lines(spark, tmp_path):
 def test_empty(spark, tmp_path):
     write_jsonl_files(table(spark).filter("id < 0"), str(tmp_path / "t"))
     assert read_jsonl_tree(spark, str(tmp_path / "t"), ITEM).collect() == []
+
+
+def test_large_batches_are_written_in_chunks(tmp_path):
+    """Ten thousand long lines arrive at once; they are not all copied at once."""
+    lines = [f"{i}-" + "x" * 20_000 for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"] * 1000), pa.array(lines)], names=["lang", "line"])
+    writer = TreeWriter(str(tmp_path), ["lang"], None, False)
+    tracemalloc.start()
+    written = writer.write(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(f["rows"] for f in written.files) == 3000 and len(written.files) == 3
+    writer.commit([written])
+    found = [line for f in tmp_path.glob("**/*.json") if f.name[0] != "_" for line in f.read_text().splitlines()]
+    assert sorted(found) == sorted(lines)
+    assert peak < 3 * CHUNK_BYTES + 10_000_000
