@@ -69,6 +69,24 @@ def batch_embed(
     return df.withColumn(out, _once(encode)(F.col(text)))
 
 
+def batch_embed_pairs(df: DataFrame, source: str, target: str, encoders: dict[str, Callable], out: str, batch_size: int = 64) -> DataFrame:
+    """Adds ``out``, a struct with the embeddings ``{encoder}-source`` and ``{encoder}-target`` of two texts, by one Python worker a task."""
+    from pyspark.ml.functions import predict_batch_udf
+
+    def make() -> Callable:
+        loaded = {name: load() for name, load in encoders.items()}
+
+        def encode(sources, targets):
+            sides = {"source": sources, "target": targets}
+            return {f"{name}-{side}": fn(texts) for name, fn in loaded.items() for side, texts in sides.items()}
+
+        return encode
+
+    fields = [T.StructField(f"{name}-{side}", T.ArrayType(T.FloatType())) for name in encoders for side in ("source", "target")]
+    encode_both = _once(predict_batch_udf(make, return_type=T.StructType(fields), batch_size=batch_size))
+    return df.withColumn(out, encode_both(F.col(source), F.col(target)))
+
+
 def digest_token_encoder(dim: int = 8) -> Callable:
     """Default token encoder: the first bytes of a token's md5, scaled to -1..1, between a start and an end marker."""
 

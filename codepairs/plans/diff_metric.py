@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codepairs.functions.text import flatten_ws, report_name
 from codepairs.operators.metrics import fetch_selected_group, first_record_per_group, longest_within_limit
-from codepairs.operators.models import batch_embed, token_counts
+from codepairs.operators.models import batch_embed_pairs, token_counts
 from codepairs.operators.records import explode_edits, length_filter, make_pairs
 from codepairs.operators.sampling import sample_per_group, seeded_shuffle
 from codepairs.operators.vectors import cosine_pairwise
@@ -65,12 +65,8 @@ def inspect_longest(
     flat = chosen.withColumns(
         {"flattened_code": flatten_ws(F.col("cleaned_code")), "flattened_edited_code": flatten_ws(F.col("edited_code"))}
     )
-    sides = {}
-    for pooler, make_fn in encoders.items():
-        flat = batch_embed(flat, "flattened_code", f"_source_{pooler}", make_fn)
-        flat = batch_embed(flat, "flattened_edited_code", f"_target_{pooler}", make_fn)
-        sides[pooler] = (f"_source_{pooler}", f"_target_{pooler}")
-    return cosine_pairwise(flat, sides).drop(*[c for pair in sides.values() for c in pair])
+    both = batch_embed_pairs(flat, "flattened_code", "flattened_edited_code", encoders, "_found")
+    return cosine_pairwise(both, {p: (f"_found.`{p}-source`", f"_found.`{p}-target`") for p in encoders}).drop("_found")
 
 
 def write_inspection(report: DataFrame, root: str, run_label: str, set_names: Sequence[str], poolers: Sequence[str]) -> str:

@@ -98,6 +98,13 @@ def test_inspect_longest(spark):
     assert got[0].flattened_code == "x y z"
 
 
+def test_inspection_takes_one_python_worker_a_task(spark):
+    rows = spark.createDataFrame([("a", 0, "x y", "x")], "file string, line int, cleaned_code string, edited_code string")
+    encoders = {"cls": models.hashed_token_encoder(32), "mean": models.hashed_token_encoder(64)}
+    plan = diff_metric.inspect_longest(rows, "line", encoders)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_training_set(spark):
     pairs = spark.range(200).select("id", F.when(F.col("id") < 150, "back_seq").otherwise("all_point").alias("pruning_type"))
     got = diff_metric.training_set(pairs, ["back_seq", "all_point"], 30, "id", batch=8).collect()
