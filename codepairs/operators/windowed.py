@@ -90,7 +90,8 @@ def _encode(load: Callable, id_col: str, batch_rows: int):
                     raise ValueError("an encoder gives a vector per token")
                 rows = np.repeat(np.arange(len(part)), high - low)
                 positions = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
-                vectors = pa.array([v for m in kept for v in m], pa.list_(pa.float64()))
+                ends = np.concatenate(([0], np.cumsum(np.repeat([m.shape[1] for m in kept], high - low)))).astype(np.int32)
+                vectors = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([m.ravel() for m in kept])))
                 yield pa.RecordBatch.from_arrays([part.column(id_col).take(pa.array(rows)), pa.array(positions), vectors], names=[id_col, "pos", "vec"])
 
     return run
