@@ -12,7 +12,10 @@ size, each with its box. Two cells meet only if their boxes are near enough to
 matter: for core distances, within what a cell needs by itself; in a round,
 within the shortest outward edge that its components are known to have, and not if both
 lie wholly in one component. The cells' pairs are found by products of blocks
-of cells. So work follows the pairs of near cells, not those of points.
+of cells. So work follows the pairs of near cells, not those of points. Points are
+shuffled by blocks of neighbouring cells, once per block with a near cell: in many
+dimensions, where all cells are near, the shuffle so grows with the blocks. Pairs of points are told apart by a
+matrix product and its error bound; the few that this leaves open are computed by coordinate.
 
 The hierarchy is condensed in the same rounds. Inside a new component the old
 ones join a growing one in the order of their edges, the shortest first; a join that is
@@ -43,6 +46,11 @@ from codepairs.session import bounded_broadcast, settle
 
 CELL_ROWS = 512
 CELL_BLOCK = 2048
+# Blocks of cells that a table is cut into, unless these would be smaller than two cells or larger than so many.
+BLOCKS, BLOCK_CELLS = 16, 32
+BLOCK_BITS = 32  # of a cell's number, below that of its block
+# Pairs whose distances are computed by coordinate at once.
+OPEN_PAIRS = 1 << 15
 # Coordinates that order the cells, and bits of each.
 CURVE_DIMS, CURVE_BITS = 3, 20
 # Boxes are widened by this share, far above rounding.
@@ -65,6 +73,27 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def _squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squares of the distances by a product, and how far they may be from those of ``distances``."""
+    centre = x.mean(axis=0)
+    x, y = x - centre, y - centre
+    a, b = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+    found = x @ y.T
+    found *= -2.0
+    found += a[:, None]
+    found += b[None, :]
+    return np.maximum(found, 0.0, out=found), (x.shape[1] + 16) * 2.0**-50 * float(a.max() + b.max()) + 1e-300
+
+
+def _between_rows(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``distances(x, y)[i, j]``, to the bit: squares are added up in the same order."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), OPEN_PAIRS):
+        step = x[i[at : at + OPEN_PAIRS]] - y[j[at : at + OPEN_PAIRS]]
+        out[at : at + OPEN_PAIRS] = np.cumsum(step * step, axis=1)[:, -1]
+    return np.sqrt(out)
+
+
 # -- cells ----------------------------------------------------------------------
 
 
@@ -87,7 +116,7 @@ def _cells(cell_rows: int):
     """Cuts a sorted partition into cells of at least ``cell_rows`` and less than twice as many rows, unless it has fewer."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << BLOCK_BITS
         held = None
 
         def cell(part: pa.Table) -> pa.Table:
@@ -155,32 +184,57 @@ def _near(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _met(points: DataFrame, pairs: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn`` on the points of both cells of every pair."""
-    left = points.join(pairs, F.col("cell") == F.col("a"))
-    right = points.select(*[F.col(c).alias(c) for c in points.columns]).join(pairs.select(F.col("a").alias("a"), F.col("b").alias("b")), F.col("cell") == F.col("b"))
-    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(fn, schema)
+    """``fn`` on the points of two blocks, or of one, and the pairs of cells in them that are to meet."""
+    dealt = pairs.withColumns({"_i": F.shiftright("a", BLOCK_BITS), "_j": F.shiftright("b", BLOCK_BITS)})
+    ends = dealt.select(F.col("_i").alias("_i"), F.col("_j").alias("_j")).distinct().withColumn("_at", F.explode(F.array_distinct(F.array("_i", "_j"))))
+    rows = points.join(ends, F.shiftright("cell", BLOCK_BITS) == F.col("_at")).drop("_at")
+    return rows.groupBy("_i", "_j").cogroup(dealt.groupBy("_i", "_j")).applyInArrow(fn, schema)
+
+
+def _cells_of(points: pa.Table, pairs: pa.Table) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """For every pair of cells whether they are the same one, and the rows of either."""
+    cell = points.column("cell").to_numpy()
+    order = np.argsort(cell, kind="stable")
+    found, first = np.unique(cell[order], return_index=True)
+    rows = dict(zip(found.tolist(), np.split(order, first[1:]), strict=True))
+    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+        yield a == b, rows[a], rows[b]
 
 
 # -- core distances -------------------------------------------------------------
 
 
 def _nearest(min_samples: int):
-    def side(found: np.ndarray, p: np.ndarray, reach: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-        if found.shape[1] > min_samples:
-            at = np.argpartition(found, min_samples - 1, axis=1)[:, :min_samples]
-        else:
-            at = np.broadcast_to(np.arange(found.shape[1]), found.shape)
-        near = np.take_along_axis(found, at, axis=1)
-        good = near <= reach[:, None]
-        return [np.broadcast_to(p[:, None], at.shape)[good], near[good], weight[at][good]]
-
-    def nearest(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = distances(matrix(left.column("vec")), matrix(right.column("vec")))
-        (p_a, r_a, w_a), (p_b, r_b, w_b) = ([t.column(c).to_numpy() for c in ("p", "reach", "weight")] for t in (left, right))
-        parts = [side(found, p_a, r_a, w_b)]
-        if key[0].as_py() != key[1].as_py():
-            parts.append(side(found.T, p_b, r_b, w_a))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["p", "d", "weight"])
+    """Of every point the nearest ones within its reach, as many as may matter."""
+
+    def close(square: np.ndarray, off: float, far: np.ndarray) -> np.ndarray:
+        found = square <= (far * far * (1 + SLACK) + off)[:, None]
+        if square.shape[1] > min_samples and np.count_nonzero(found) > 8 * min_samples * len(square):
+            last = np.partition(square, min_samples - 1, axis=1)[:, min_samples - 1]
+            found &= square <= (last * (1 + SLACK) + 2 * off)[:, None]
+        return found
+
+    def nearest(key: tuple, points: pa.Table, pairs: pa.Table) -> pa.Table:
+        p, reach, weight = (points.column(c).to_numpy() for c in ("p", "reach", "weight"))
+        vec = matrix(points.column("vec"))
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for same, a, b in _cells_of(points, pairs):
+            x, y = vec[a], vec[b]
+            square, off = _squares(x, y)
+            near_a = close(square, off, reach[a])
+            near_b = np.zeros_like(near_a) if same else close(square.T, off, reach[b]).T
+            i, j = np.nonzero(near_a | near_b)
+            d = _between_rows(x, y, i, j)
+            for at, to, of in ((a[i], b[j], near_a[i, j]), (b[j], a[i], near_b[i, j])):
+                of &= d <= reach[at]
+                parts.append((at[of], to[of], d[of]))
+        at, to, d = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((d, at))
+        at, to, d = at[order], to[order], d[order]
+        # Every one weighs 1 at least: the first of a point's are enough.
+        begins = np.searchsorted(at, at, side="left")
+        keep = np.arange(len(at)) - begins < min_samples
+        return pa.table([pa.array(c[keep]) for c in (p[at], d, weight[to])], names=["p", "d", "weight"])
 
     return nearest
 
@@ -191,7 +245,7 @@ def _cored(folded: DataFrame, n: int, min_samples: int, cell_rows: int) -> tuple
     low, span = np.array([r["low"] for r in extents]), np.array([r["high"] - r["low"] for r in extents])  # a number per dimension
     dims = [int(j) for j in np.argsort(-span, kind="stable")[:CURVE_DIMS] if span[j] > 0]
     keyed = folded.select("p", "vec", "weight").mapInArrow(_curve(dims, low[dims], span.max(initial=0.0)), "p long, vec array<double>, weight long, key long")
-    parts = max(1, n // (16 * cell_rows))
+    parts = max(1, n // (BLOCK_CELLS * cell_rows), min(BLOCKS, n // (2 * cell_rows)))
     ranged = keyed.repartitionByRange(parts, "key", "p").sortWithinPartitions("key", "p")
     celled = settle(ranged.mapInArrow(_cells(cell_rows), "p long, vec array<double>, weight long, key long, cell long"), "cluster-cells")
     points = settle(celled.groupBy("cell").applyInArrow(_within(min_samples), POINT), "cluster-points")
@@ -212,40 +266,68 @@ def _cored(folded: DataFrame, n: int, min_samples: int, cell_rows: int) -> tuple
 # -- the tree -------------------------------------------------------------------
 
 
-def _outward(w: np.ndarray, p: np.ndarray, q: np.ndarray, own: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
-    """Of each component of the rows the first foreign edge by weight, smaller and greater point."""
-    least = w.min(axis=1)
-    rows = np.flatnonzero(np.isfinite(least))
-    tied = w[rows] == least[rows, None]
-    low, high = np.minimum(p[rows, None], q[None, :]), np.maximum(p[rows, None], q[None, :])
-    last = np.iinfo(np.int64).max
-    u = np.where(tied, low, last).min(axis=1)
-    tied &= low == u[:, None]
-    v = np.where(tied, high, last).min(axis=1)
-    to = (tied & (high == v[:, None])).argmax(axis=1)
-    order = np.lexsort((v, u, least[rows], own[rows]))
-    first = order[np.concatenate(([True], np.diff(own[rows][order]) != 0))] if len(order) else order
-    return [own[rows][first], other[to[first]], least[rows][first], u[first], v[first]]
-
-
-def _shortest(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    names = ("p", "core", "comp")
-    (p, core_p, comp_p), (q, core_q, comp_q) = ([t.column(c).to_numpy() for c in names] for t in (left, right))
-    w = np.maximum(distances(matrix(left.column("vec")), matrix(right.column("vec"))), np.maximum(core_p[:, None], core_q[None, :]))
-    w[comp_p[:, None] == comp_q[None, :]] = np.inf
-    parts = [_outward(w, p, q, comp_p, comp_q)]
-    if len(key) == 2 and key[0].as_py() != key[1].as_py():
-        parts.append(_outward(w.T, q, p, comp_q, comp_p))
-    return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["comp", "other", "w", "u", "v"])
+def _firsts(comp: np.ndarray, other: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.Table:
+    """Of each component the first edge by weight, smaller and greater point."""
+    order = np.lexsort((v, u, w, comp))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = np.diff(comp[order]) != 0
+    return pa.table([pa.array(c[order[fresh]]) for c in (comp, other, w, u, v)], names=["comp", "other", "w", "u", "v"])
+
+
+def _edges(points: pa.Table, known: np.ndarray | None, cells: Iterator[tuple[bool, np.ndarray, np.ndarray]]) -> pa.Table:
+    """The first edge out of every component by the pairs of cells, but for edges longer than those ``known`` of the points' components."""
+    p, core, comp = (points.column(c).to_numpy() for c in ("p", "core", "comp"))
+    vec = matrix(points.column("vec"))
+    level = core * core
+    comps, own = np.unique(comp, return_inverse=True)
+    best = np.full(len(comps), np.inf)  # squares that the first edges are not above
+    if known is not None:
+        np.minimum.at(best, own, known * known * (1 + SLACK))
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for same, a, b in cells:
+        x, y, own_a, own_b = vec[a], vec[b], own[a], own[b]
+        square, off = _squares(x, y)
+        np.maximum(square, level[a][:, None], out=square)
+        np.maximum(square, level[b][None, :], out=square)
+        square[own_a[:, None] == own_b[None, :]] = np.inf
+        np.minimum.at(best, own_a, square.min(axis=1) * (1 + SLACK) + off)
+        if not same:
+            np.minimum.at(best, own_b, square.min(axis=0) * (1 + SLACK) + off)
+        limit = best * (1 + SLACK) + off
+        if same:
+            open_ = square <= limit[own_a][:, None]
+        else:
+            open_ = square <= np.maximum(limit[own_a][:, None], limit[own_b][None, :])
+        open_ &= np.isfinite(square)
+        i, j = np.nonzero(open_)
+        if not len(i):
+            continue
+        w = np.maximum(_between_rows(x, y, i, j), np.maximum(core[a[i]], core[b[j]]))
+        p_i, p_j = p[a[i]], p[b[j]]
+        low, high = np.minimum(p_i, p_j), np.maximum(p_i, p_j)
+        found = [(comp[a[i]], comp[b[j]], w, low, high), (comp[b[j]], comp[a[i]], w, low, high)]
+        for side in found:
+            parts.append(tuple(c.to_numpy() for c in _firsts(*side).columns))
+    return _firsts(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+
+def _shortest(key: tuple, points: pa.Table, pairs: pa.Table) -> pa.Table:
+    return _edges(points, points.column("known").to_numpy(), _cells_of(points, pairs))
 
 
 def _between(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     """Per component the shortest edge between points that stand for their cells: no shortest edge is longer."""
-    return _shortest(key, left, right).select(["comp", "w"])
+    n, every = len(left), len(left) + len(right)
+    both = pa.table({c: pa.chunked_array([*left.column(c).chunks, *right.column(c).chunks]) for c in ("p", "vec", "core", "comp")})
+    same = key[0].as_py() == key[1].as_py()
+    runs = [[np.arange(i, min(i + CELL_ROWS, end)) for i in range(start, end, CELL_ROWS)] for start, end in ((0, n), (0, n) if same else (n, every))]
+    parts = [(same and i == j, a, b) for i, a in enumerate(runs[0]) for j, b in enumerate(runs[1]) if not same or i <= j]
+    return _edges(both, None, iter(parts)).select(["comp", "w"])
 
 
 def _alone(key: tuple, group: pa.Table) -> pa.Table:
-    return _shortest(key, group, group)
+    rows = np.arange(len(group))
+    return _edges(group, None, iter([(True, rows, rows)]))
 
 
 def _first_edges(points: DataFrame, boxes: DataFrame, n_cells: int) -> DataFrame:
@@ -263,11 +345,19 @@ def _first_edges(points: DataFrame, boxes: DataFrame, n_cells: int) -> DataFrame
         one = F.when(F.col("_least") == F.col("_most"), F.col("_least")).otherwise(F.lit(-1)).alias("one")
         bounds = cells.select("cell", F.col("_s.core").alias("core"), one).join(need, "cell").join(boxes, "cell")
         pairs = settle(_cell_pairs(bounds, n_cells, _near, "a long, b long"), "cluster-pairs")
-        found = found.unionByName(_met(points, pairs, _shortest, EDGE))
+        reached = known.select(F.col("comp").alias("_comp"), F.col("w").alias("known"))
+        marked = points.join(reached, F.col("comp") == F.col("_comp"), "left").drop("_comp").withColumn("known", F.coalesce("known", F.lit(math.inf)))
+        found = found.unionByName(_met(marked, pairs, _shortest, EDGE))
     first = found.groupBy("comp").agg(F.min(F.struct("w", "u", "v", "other")).alias("_e"))
     return settle(first.select("comp", "_e.*"), "cluster-first")
 
 
+def _merged(points: DataFrame, roots: DataFrame) -> DataFrame:
+    """Points with the components that theirs have become part of."""
+    moved = points.join(roots, F.col("comp") == F.col("_node")).select("cell", "p", "vec", "weight", "core", F.col("_root").alias("comp"))
+    return settle(moved, "cluster-points")
+
+
 def _joined(first: DataFrame) -> DataFrame:
     """``_node, _root``: first edges joined up. Each leads to one component, and of every tree two lead to each other: the smaller is its root; ways double."""
     back = first.select(F.col("comp").alias("_c"), F.col("other").alias("_o"))
@@ -282,6 +372,22 @@ def _joined(first: DataFrame) -> DataFrame:
         ways = longer.select("_node", F.col("_to").alias("_root"))
 
 
+def span(folded: DataFrame, n: int, min_samples: int, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct points (``p``, ``core``) and the edges (``u, v, w``) of the tree, without its hierarchy."""
+    points, boxes, n_cells = _cored(folded, n, min_samples, cell_rows)
+    cores = points.select("p", "core")
+    edges = folded.sparkSession.createDataFrame([], "u long, v long, w double")
+    left = n
+    while left > 1:
+        first = _first_edges(points, boxes, n_cells)
+        edges = edges.unionByName(first.select("u", "v", "w").distinct())
+        roots = _joined(first)
+        left = roots.filter("_node = _root").count()
+        if left > 1:
+            points = _merged(points, roots)
+    return cores, settle(edges, "cluster-edges")
+
+
 # -- the condensed hierarchy ----------------------------------------------------
 
 
@@ -421,8 +527,7 @@ def grow(folded: DataFrame, n: int, min_samples: int, min_cluster_size: int, cel
         joining = joining.select(F.col("_root").alias("root"), "w", "u", "v", F.col("comp").alias("piece"), "size", "top", "mass", "below")
         again = waiting.join(roots, F.col("root") == F.col("_node")).select(F.col("_root").alias("root"), *waiting.columns[1:])
         waiting = settle(joining.unionByName(again), "cluster-waiting")
-        points = points.join(roots, F.col("comp") == F.col("_node")).select("cell", "p", "vec", "weight", "core", F.col("_root").alias("comp"))
-        points = settle(points, "cluster-points")
+        points = _merged(points, roots)
         left, first_round = roots.select("_root").distinct().count(), False
     counts = F.col("mass") >= F.col("below") * (1 - SAME_SCORE) if single else F.lit(False)
     top = state.filter("top is not null").select(F.col("top").alias("cluster"), F.lit(None).cast("string").alias("parent"), counts.alias("counts"))
@@ -484,13 +589,13 @@ def reachability_tree(df: DataFrame, id_col: str, vec_col: str, min_samples: int
     rows, folded, scale, n, every = _prepared(df, id_col, vec_col)
     if every < min_samples:
         return df.sparkSession.createDataFrame([], "u long, v long, weight double")
-    grown = grow(folded.drop("_digest", "_first"), n, min_samples, 2, cell_rows, False)
+    points, edges = span(folded.drop("_digest", "_first"), n, min_samples, cell_rows)
     firsts = folded.select(F.col("p").alias("_p"), "_digest", "_first")
     ends = [firsts.select(F.col("_p").alias(f"_{c}"), F.col("_first").alias(f"_id_{c}")) for c in "uv"]
-    named = grown.edges.join(ends[0], F.col("u") == F.col("_u")).join(ends[1], F.col("v") == F.col("_v"))
+    named = edges.join(ends[0], F.col("u") == F.col("_u")).join(ends[1], F.col("v") == F.col("_v"))
     tree = named.select(F.col("_id_u").alias("u"), F.col("_id_v").alias("v"), "w")
     # Every further copy hangs on the first, whose id may be its own.
-    cores = grown.points.select("p", "core").join(firsts, F.col("p") == F.col("_p")).drop("_p")
+    cores = points.join(firsts, F.col("p") == F.col("_p")).drop("_p")
     again = rows.filter("_vec is not null").groupBy("_digest", "_id").agg(F.count("*").alias("_many"))
     extra = F.col("_many") - F.when(F.col("_id") == F.col("_first"), 1).otherwise(0)
     copies = again.join(cores, "_digest").withColumn("_extra", extra).filter("_extra > 0")

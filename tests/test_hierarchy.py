@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codepairs.operators.hierarchy import LEAST_LEVEL, hierarchical_cluster, reachability_tree
@@ -210,3 +211,47 @@ def test_too_few_and_none(spark):
     assert {r.cluster for r in hierarchical_cluster(same, "id", "vec", 5, single=True).collect()} == {0}
     with pytest.raises(ValueError, match="length"):
         hierarchical_cluster(frame(spark, [(1, [1.0], "x", "y"), (2, [1.0, 2.0], "x", "y")]), "id", "vec")
+
+
+def test_tree_where_no_box_parts(spark, monkeypatch):
+    """In 24 dimensions all cells are near: a row is shuffled once per block, and the tree needs no condensed hierarchy."""
+    from codepairs.operators import hierarchy
+
+    rng = np.random.default_rng(12)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(420, 24)).tolist())]
+    ids, x, weights, _, scale = folded(rows)
+    want = [(u, v, round(w * scale, 9)) for w, u, v, _, _ in brute_tree(ids, x, weights, 5)[1]]
+    names, dealt = [], []
+    settle, met = hierarchy.settle, hierarchy._met
+
+    def named(df, name):
+        names.append(name)
+        return settle(df, name)
+
+    def counted(points, pairs, fn, schema):
+        def shuffled(key, left, right):
+            return pa.table({"n": [len(left)]})
+
+        dealt.append(met(points, pairs, shuffled, "n long").groupBy().sum("n").first()[0])
+        return met(points, pairs, fn, schema)
+
+    monkeypatch.setattr(hierarchy, "settle", named)
+    monkeypatch.setattr(hierarchy, "_met", counted)
+    monkeypatch.setattr(hierarchy, "BLOCKS", 3)
+    got = [(r.u, r.v, round(r.weight, 9)) for r in reachability_tree(frame(spark, [(i, v, "x", "y") for i, v in rows]), "id", "vec", 5, 10).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 419
+    assert "cluster-joins" not in names
+    assert max(dealt) <= 420 * 4
+
+
+def test_squares_are_within_their_bound():
+    from codepairs.operators.hierarchy import _between_rows, _squares, distances
+
+    rng = np.random.default_rng(4)
+    for scale, shift in ((1.0, 0.0), (1e-9, 1.0), (1e-160, 0.0), (0.0, 1.0)):
+        x, y = (rng.normal(size=(50, 17)) * scale + shift for _ in range(2))
+        want = distances(x, y)
+        square, off = _squares(x, y)
+        assert (np.abs(square - want**2) <= off).all()
+        i, j = np.nonzero(want >= 0)
+        assert (_between_rows(x, y, i, j) == want[i, j]).all()
