@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codepairs.llm.hashing import PIECE, byte_values, mix, running, spans
+from codepairs.llm.hashing import PIECE, byte_values, mix, running, spans, texts
 from codepairs.llm.registry import query, table
 from codepairs.session import settle
 
@@ -68,6 +69,27 @@ def sampled(n: int) -> np.ndarray:
     return places[places + TUPLE <= n]
 
 
+def sampled_of(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``sampled`` of texts that begin, and end, at ``bounds``: places within their texts, and the numbers of these."""
+    size = np.diff(bounds)
+    blocks = -(-size // MODULUS)
+    text = np.repeat(np.arange(len(size)), blocks)
+    begin = (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * MODULUS
+    places, text = (begin[:, None] + np.array(COVER)).ravel(), np.repeat(text, len(COVER))
+    whole = places + TUPLE <= size[text]
+    return places[whole], text[whole]
+
+
+def _parts(column: pa.Array, size: int = PIECE) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Runs of texts of about ``size`` bytes, or of one longer text: their rows, bytes and bounds."""
+    data, bounds = texts(column)
+    at = 0
+    while at < len(column):
+        upto = max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, side="right")) - 1)
+        yield slice(at, upto), data[bounds[at] : bounds[upto]], bounds[at : upto + 1] - bounds[at]
+        at = upto
+
+
 def names(data: np.ndarray, places: np.ndarray) -> np.ndarray:
     return hashes(data, places, places + TUPLE, NAMES)
 
@@ -125,7 +147,7 @@ def _sample(bits: int, shards: int, most: int):
 
     def flush(found: list[np.ndarray], docs: list[np.ndarray], turn: int) -> Iterator[pa.RecordBatch]:
         value, doc = np.concatenate(found), np.concatenate(docs)
-        order = np.argsort(value, kind="stable")
+        order = np.argsort(value)
         value, doc = value[order], doc[order]
         again = np.zeros(len(value), dtype=bool)
         again[1:] = value[1:] == value[:-1]
@@ -142,17 +164,17 @@ def _sample(bits: int, shards: int, most: int):
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         docs: list[np.ndarray] = []
-        held, turn = 0, 0
+        held, turn = 0, TaskContext.get().partitionId()
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
-                value = names(data, sampled(len(data))) >> shift
-                found.append(value)
-                docs.append(np.full(len(value), doc_id, dtype=np.int64))
-                held += len(value)
+            ids = batch.column("doc_id").to_numpy()
+            for rows, data, bounds in _parts(batch.column("text"), max(1, min(PIECE, most * MODULUS // len(COVER)))):
+                places, text = sampled_of(bounds)
+                found.append(names(data, places + bounds[text]) >> shift)
+                docs.append(ids[rows][text])
+                held += len(places)
                 if held >= most:
-                    turn += 1 + doc_id % 1009
                     yield from flush(found, docs, turn)
+                    turn += 1 + int(ids[rows][-1]) % 1009
                     found, docs, held = [], [], 0
         if held:
             yield from flush(found, docs, turn)
@@ -174,38 +196,62 @@ def _long(data: bytes, width: int) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _name(rows: pa.Table, width: int) -> pa.Table:
-    """The repeated names of a shard, by document, in ``width`` bytes each."""
+def _name(rows: pa.Table, width: int, bunches: int) -> pa.Table:
+    """The repeated names of a shard in ``width`` bytes each, by document, a row per bunch of documents."""
     shard = rows.column("shard")[0].as_py()
     parts = [_shard_of(row) for row in rows.to_pylist()]
     value, doc = (np.concatenate([part[k] for part in parts]) for k in (0, 1))
     if shard >= 0:
-        order = np.argsort(value, kind="stable")
+        order = np.argsort(value)
         value, doc = value[order], doc[order]
         again = value[1:] == value[:-1]
         known = np.zeros(len(value), dtype=bool)
         known[1:] |= again
         known[:-1] |= again
         value, doc = value[known], doc[known]
-    order = np.lexsort((value, doc))
-    value, doc = value[order], doc[order]
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    parts = np.split(value, cuts) if len(value) else []
-    ids = doc[np.concatenate([[0], cuts])] if len(value) else doc
-    return pa.table([pa.array(ids, pa.int64()), pa.array([_short(p, width) for p in parts], pa.binary())], names=["doc_id", "names"])
+    bunch = (mix(doc.view(np.uint64)) % np.uint64(bunches)).view(np.int64)
+    order = np.lexsort((doc, bunch))
+    value, doc, bunch = value[order], doc[order], bunch[order]
+    begins = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1) | np.diff(bunch, prepend=bunch[:1] - 1))
+    many = np.diff(np.append(begins, len(doc)))
+    of = bunch[begins]
+    firsts = np.flatnonzero(np.diff(of, prepend=of[:1] - 1))
+    cuts = [*firsts.tolist(), len(begins)]
+    at = [*begins[firsts].tolist(), len(value)]
+    rows = [
+        (int(of[a]), doc[begins[a:b]].tobytes(), many[a:b].tobytes(), _short(value[low:high], width))
+        for a, b, low, high in zip(cuts[:-1], cuts[1:], at[:-1], at[1:], strict=True)
+    ]
+    return pa.Table.from_pylist([dict(zip(NAMED.names, row, strict=True)) for row in rows], schema=NAMED)
+
+
+NAMED = pa.schema([("bunch", pa.int64()), ("docs", pa.binary()), ("many", pa.binary()), ("names", pa.binary())])
+
+
+def _of_bunch(rows: pa.Table, width: int) -> pa.Table:
+    """The names of a bunch from all shards, a row per document."""
+    docs, many = (np.concatenate([np.frombuffer(c, dtype=np.int64) for c in rows.column(k).to_pylist()]) for k in ("docs", "many"))
+    value = np.frombuffer(b"".join(rows.column("names").to_pylist()), dtype=f"V{width}")
+    doc = np.repeat(docs, many)
+    order = np.argsort(doc, kind="stable")
+    ids, begins = np.unique(doc[order], return_index=True)
+    ends = (np.append(begins, len(doc)) * width).astype(np.int64)
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(value[order].tobytes())])
+    return pa.table([pa.array(ids, pa.int64()), found.cast(pa.binary())], names=["doc_id", "names"])
 
 
 # -- contexts ---------------------------------------------------------------------
 
 
-def reach(places: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def reach(places: np.ndarray, n: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes around sampled places that windows over their tuples may hold, within a text of ``n`` bytes."""
     return np.maximum(places - REACH, 0), np.minimum(places + TUPLE + REACH, n)
 
 
-def _meant(text: pa.Scalar, only: pa.Scalar) -> bool:
+def _meant(data: np.ndarray, bounds: np.ndarray, only: pa.Array) -> np.ndarray:
     """Of several texts under one id, the one that takes part."""
-    return not only.is_valid or hashlib.sha256(text.as_buffer()).hexdigest() == only.as_py()
+    cuts = zip(bounds[:-1].tolist(), bounds[1:].tolist(), only.to_pylist(), strict=True)
+    return np.array([meant is None or hashlib.sha256(data[a:b]).hexdigest() == meant for a, b, meant in cuts], dtype=bool)
 
 
 MEMBERS = "doc_id long, place long, name long, context long"
@@ -217,17 +263,19 @@ def _members(bits: int):
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sampled places with repeated names, each with a hash of its context."""
         for batch in batches:
-            for doc_id, text, only, wanted in zip(batch.column("doc_id").to_pylist(), *(batch.column(c) for c in ("text", "only")), batch.column("names").to_pylist(), strict=True):
-                if not _meant(text, only):
-                    continue
-                data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
-                places = sampled(len(data))
-                value = names(data, places)
-                here = np.isin(value >> shift, _long(b"".join(wanted), _bytes_of(bits)))
-                places, value = places[here], value[here]
-                low, high = reach(places, len(data))
-                context = hashes(data, low, high, CONTEXTS) ^ ((places - low).astype(np.uint64) << np.uint64(1))
-                columns = [np.full(len(places), doc_id), places, value.view(np.int64), context.view(np.int64)]
+            ids = batch.column("doc_id").to_numpy()
+            for rows, data, bounds in _parts(batch.column("text")):
+                # A name is repeated or not, in whichever of the texts it stands.
+                wanted = np.unique(_long(b"".join(batch.column("names")[rows].to_pylist()), _bytes_of(bits)))
+                places, text = sampled_of(bounds)
+                value = names(data, places + bounds[text])
+                short = value >> shift
+                here = wanted[np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)] == short
+                here &= _meant(data, bounds, batch.column("only")[rows])[text]
+                places, text, value = places[here], text[here], value[here]
+                low, high = reach(places, np.diff(bounds)[text])
+                context = hashes(data, low + bounds[text], high + bounds[text], CONTEXTS) ^ ((places - low).astype(np.uint64) << np.uint64(1))
+                columns = [ids[rows][text], places, value.view(np.int64), context.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "place", "name", "context"])
 
     return members
@@ -239,24 +287,33 @@ WINDOWS = "name long, doc_id long, place long, low long, bytes binary"
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of contexts, and where they begin."""
     for batch in batches:
-        for doc_id, text, only, asked in zip(batch.column("doc_id").to_pylist(), *(batch.column(c) for c in ("text", "only")), batch.column("asked").to_pylist(), strict=True):
-            if not _meant(text, only):
-                continue
-            data = text.as_py()
-            asked = sorted(asked, key=lambda a: a["place"])
-            places = np.array([a["place"] for a in asked], dtype=np.int64)
-            low, high = reach(places, len(data))
-            cut = [data[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-            columns = [pa.array([a["name"] for a in asked], pa.int64()), pa.array(np.full(len(places), doc_id)), pa.array(places), pa.array(low), pa.array(cut, pa.binary())]
+        ids = batch.column("doc_id").to_numpy()
+        for rows, data, bounds in _parts(batch.column("text")):
+            text, (name, places) = _listed(batch.column("asked")[rows], "name", "place")
+            here = _meant(data, bounds, batch.column("only")[rows])[text]
+            text, name, places = text[here], name[here], places[here]
+            # Contexts that overlap lie side by side, which packs them well.
+            order = np.lexsort((places, text))
+            text, name, places = text[order], name[order], places[order]
+            low, high = reach(places, np.diff(bounds)[text])
+            data = data.tobytes()
+            cut = [data[a:b] for a, b in zip((low + bounds[text]).tolist(), (high + bounds[text]).tolist(), strict=True)]
+            columns = [pa.array(c, pa.int64()) for c in (name, ids[rows][text], places, low)] + [pa.array(cut, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["name", "doc_id", "place", "low", "bytes"])
 
 
+def _listed(column: pa.Array, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The structs of a list column as arrays, with the row that each is in."""
+    many = column.value_lengths().to_numpy()
+    flat = column.flatten()
+    return np.repeat(np.arange(len(column)), many), [flat.field(f).to_numpy() for f in fields]
+
+
 def _starts(rows) -> tuple[np.ndarray, ...]:
     """For every window of the contexts: the number of its row, its start relative to the sampled place, and two hashes."""
-    texts_ = rows.column("bytes")
-    texts_ = texts_.combine_chunks() if isinstance(texts_, pa.ChunkedArray) else texts_
-    sizes = np.array([len(b) for b in texts_.to_pylist()])
-    data = np.frombuffer(b"".join(texts_.to_pylist()), dtype=np.uint8)
+    column = rows.column("bytes")
+    data, bounds = texts(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+    sizes = np.diff(bounds)
     many = np.maximum(sizes - WINDOW + 1, 0)
     row = np.repeat(np.arange(len(sizes)), many)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
@@ -332,7 +389,8 @@ def repeated_runs(rows: DataFrame, n_bytes: int, only: DataFrame, folded_ids: Da
     bits = min(64, math.ceil(math.log2(tuples + 1)) + 14)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tuples // SHARD))
     sharded = rows.mapInArrow(_sample(bits, shards, FLUSH), SHARDS)
-    named = settle(sharded.groupBy("shard").applyInArrow(lambda t: _name(t, _bytes_of(bits)), "doc_id long, names binary"), "suffix-names")
+    named = sharded.groupBy("shard").applyInArrow(lambda t: _name(t, _bytes_of(bits), shards), "bunch long, docs binary, many binary, names binary")
+    named = settle(named, "suffix-names")
     del sharded
     _release(spark)
 
@@ -342,10 +400,10 @@ def repeated_runs(rows: DataFrame, n_bytes: int, only: DataFrame, folded_ids: Da
         # It grows with the documents, so it is not broadcast while it happens to be small.
         return rows.join(told.hint("merge"), F.col("doc_id") == F.col("_doc")).drop("_doc")
 
-    wanted = named.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("names").alias("names"))
+    wanted = named.groupBy("bunch").applyInArrow(lambda t: _of_bunch(t, _bytes_of(bits)), "doc_id long, names binary").withColumnRenamed("doc_id", "_doc")
     held = of_documents(wanted.join(folded_ids, F.col("_doc") == F.col("_copy"), "left_anti"))
     members = settle(held.mapInArrow(_members(bits), MEMBERS), "suffix-members")
-    del held
+    del held, wanted
     _release(spark)
 
     at = _place(F.col("doc_id"), F.col("place"))
@@ -390,20 +448,26 @@ def repeated_runs(rows: DataFrame, n_bytes: int, only: DataFrame, folded_ids: Da
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each text without its runs."""
     for batch in batches:
-        rows = []
-        for doc_id, text, only, runs in zip(batch.column("doc_id").to_pylist(), *(batch.column(c) for c in ("text", "only")), batch.column("runs").to_pylist(), strict=True):
-            data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
+        ids = batch.column("doc_id").to_numpy()
+        for rows, data, bounds in _parts(batch.column("text")):
+            text, (low, high) = _listed(batch.column("runs")[rows], "low", "high")
+            here = _meant(data, bounds, batch.column("only")[rows])[text]
+            text, low, high = text[here], low[here], high[here]
+            size = np.diff(bounds)
             steps = np.zeros(len(data) + 1, dtype=np.int32)
-            if _meant(text, only):
-                np.add.at(steps, np.clip([r["low"] for r in runs], 0, len(data)), 1)
-                np.add.at(steps, np.clip([r["high"] for r in runs], 0, len(data)), -1)
+            np.add.at(steps, np.clip(low, 0, size[text]) + bounds[text], 1)
+            np.add.at(steps, np.clip(high, 0, size[text]) + bounds[text], -1)
             gone = np.cumsum(steps[:-1]) > 0
             starts = gone.copy()
             starts[1:] &= ~gone[:-1]
-            rows.append((doc_id, len(data), int(gone.sum()), int(starts.sum()), hashlib.sha256(data[~gone].tobytes()).hexdigest()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            # Runs do not go on from text to text.
+            starts[bounds[:-1]] = gone[bounds[:-1]]
+            removed, spans_ = (np.add.reduceat(c, bounds[:-1], dtype=np.int64) for c in (gone, starts))
+            kept = data[~gone].tobytes()
+            ends = np.cumsum(size - removed).tolist()
+            digests = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            columns = [pa.array(c, pa.int64()) for c in (ids[rows], size, removed, spans_)] + [pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -109,3 +109,25 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert got(op3_suffix_dedup(spark, sf)) == brute(rows)
+
+
+def test_sampled_places_of_several_texts():
+    sizes = [0, 43, 44, 100, 57, 1000]
+    places, text = suffix_dedup.sampled_of(np.cumsum([0, *sizes]))
+    for i, n in enumerate(sizes):
+        assert places[text == i].tolist() == sampled(n).tolist()
+
+
+def test_names_make_rows_by_bunch_not_by_document():
+    """A shard of names from 5,000 documents makes a row per bunch; all names come back by document."""
+    rng = np.random.default_rng(3)
+    value = np.sort(rng.integers(0, 1 << 40, 10_000, dtype=np.uint64).repeat(2))
+    doc = rng.integers(-2500, 2500, 20_000)
+    rows = suffix_dedup.pa.Table.from_pylist([suffix_dedup._shard_row(0, value, doc)], schema=suffix_dedup.PACKED)
+    found = suffix_dedup._name(rows, 5, 8)
+    assert len(found) <= 8
+    got_ = set()
+    for row in range(len(found)):
+        for r in suffix_dedup._of_bunch(found.slice(row, 1), 5).to_pylist():
+            got_ |= {(r["doc_id"], int(v)) for v in suffix_dedup._long(r["names"], 5)}
+    assert got_ == set(zip(doc.tolist(), value.tolist(), strict=True))
