@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from codepairs.llm.registry import query, table
-from codepairs.session import settle
+from codepairs.session import release, settle, sieve
 
 MIN_WORDS = 5  # of a line that is compared by edits, of which one word is a fifth: such lines are alike to 0.8 at least
 LINE_BITS = 4294967296  # lines of a document have numbers below this
@@ -90,31 +90,37 @@ def _told(docs: DataFrame) -> DataFrame:
 
 
 def _active(told: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``digest, first, many`` of every distinct line, and ``digest, by_first, by_last`` of those that share an end."""
+    """``digest, first, many`` of every distinct line, and ``digest, first, by_first, by_last`` of those that share an end."""
     lines = told.filter("digest is not null").withColumn("at", _order(F.col("doc_id"), F.col("pos")))
     # The keys are those of the line, whichever row tells them.
     folded = lines.groupBy("digest").agg(F.min("at").alias("first"), F.count("*").alias("many"), *[F.min(f"k{k}").alias(f"k{k}") for k in range(4)])
     folded = settle(folded, "lines")
+    release(told.sparkSession)
     pairs = F.array(*[F.struct(F.col(f"k{k}").alias("key"), F.lit(k % 2 == 1).alias("last")) for k in range(4)])
-    keys = folded.select("digest", F.explode(F.filter(pairs, lambda p: p["key"].isNotNull())).alias("e")).select("digest", "e.key", "e.last")
+    keys = folded.select("digest", "first", F.explode(F.filter(pairs, lambda p: p["key"].isNotNull())).alias("e"))
+    keys = keys.select("digest", "first", "e.key", "e.last")
     common = settle(keys.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).filter("n > 1").select("_key"), "lines-ends")
-    met = keys.join(common, F.col("key") == F.col("_key"))
-    sides = met.groupBy("digest").agg(F.max(~F.col("last")).alias("by_first"), F.max("last").alias("by_last"))
+    release(told.sparkSession)
+    met = sieve(keys, F.col("key"), common, F.col("_key")).join(common, F.col("key") == F.col("_key"))
+    sides = met.groupBy("digest").agg(F.min("first").alias("first"), F.max(~F.col("last")).alias("by_first"), F.max("last").alias("by_last"))
     return folded.select("digest", "first", "many"), settle(sides, "lines-active")
 
 
-def _texts(docs: DataFrame, lines: DataFrame, active: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, active: DataFrame) -> DataFrame:
     """``digest, at, norm, by_first, by_last`` of the active lines, each read where it stands first."""
-    places = active.join(lines, "digest").select("digest", "first", "by_first", "by_last")
     size = F.lit(LINE_BITS).cast("decimal(10,0)")
     pos = F.pmod("first", size)
-    wanted = places.select(((F.col("first") - pos) / size).cast("long").alias("doc_id"), pos.cast("int").alias("pos"), "digest")
+    wanted = active.select(((F.col("first") - pos) / size).cast("long").alias("doc_id"), pos.cast("int").alias("pos"), "digest")
     held = settle(_held(wanted), "lines-wanted")
+    release(docs.sparkSession)
+    # Few documents have such a line, and the texts of the others stay where they are.
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    rows = sieve(rows, F.col("doc_id"), held, F.col("_doc"))
     # The lists grow with the documents, so they are not broadcast while they happen to be small.
     own = _lines(rows.join(held.hint("merge"), F.col("doc_id") == F.col("_doc")), "_gone").filter(_is_gone(F.col("pos"), F.col("digest")))
     own = own.select("digest", "norm", _order(F.col("doc_id"), F.col("pos")).alias("at"))
-    found = own.distinct().join(active.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"))
+    sides = active.select(F.col("digest").alias("_digest"), "by_first", "by_last")
+    found = own.distinct().join(sides, F.col("digest") == F.col("_digest"))
     return settle(found.drop("_digest"), "lines-texts")
 
 
@@ -200,15 +206,19 @@ def _within_one(a: Column, b: Column) -> Column:
 
 def near_lines(docs: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All distinct lines (``digest, first, many``) and those (``digest``) near a line that stands earlier."""
+    spark = docs.sparkSession
     lines, active = _active(told)
-    texts = _texts(docs, lines, active)
+    release(spark)
+    texts = _texts(docs, active)
     variants = settle(_variants(texts), "lines-variants")
+    release(spark)
     whole = F.min(F.when(F.col("place") == 0, F.col("at")))
     less = F.min(F.when(F.col("place") > 0, F.col("at")))
     shared = variants.groupBy(*SUMS).agg(F.count("*").alias("n"), whole.alias("whole"), less.alias("less")).filter("n > 1")
     shared = settle(shared.select(*[F.col(x).alias(f"_{x}") for x in SUMS], "whole", "less"), "lines-shared")
+    release(spark)
     same = (F.col("key") == F.col("_key")) & (F.col("more") == F.col("_more"))
-    met = settle(variants.join(shared, same).drop("_key", "_more"), "lines-met")
+    met = settle(sieve(variants, F.col("key"), shared, F.col("_key")).join(shared, same).drop("_key", "_more"), "lines-met")
     # Of equal length and with the same word left out: one word changed.
     changed = settle(met.filter("place > 0").groupBy(*SUMS, "place").agg(F.min("at").alias("changed")), "lines-changed")
     changed = changed.select(*[F.col(x).alias(f"_{x}") for x in SUMS], F.col("place").alias("_place"), "changed")
@@ -216,19 +226,26 @@ def near_lines(docs: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame]:
     partners = F.when(F.col("place") == 0, F.array("less")).otherwise(F.array("whole", "changed"))
     pairs = met.select("digest", "at", F.explode(partners).alias("earlier")).filter("earlier < at").distinct()
     pairs = settle(pairs, "lines-pairs")
-    own = texts.select(F.col("digest").alias("_digest"), F.split("norm", " ").alias("words"))
-    other = texts.select(F.col("at").alias("_at"), F.split("norm", " ").alias("others"))
+    release(spark)
+    own = sieve(texts.select(F.col("digest").alias("_digest"), F.col("norm").alias("own")), F.col("_digest"), pairs, F.col("digest"))
+    other = sieve(texts.select(F.col("at").alias("_at"), F.col("norm").alias("other")), F.col("_at"), pairs, F.col("earlier"))
     both = settle(pairs.join(own, F.col("digest") == F.col("_digest")).drop("_digest"), "lines-both")
-    both = both.join(other, F.col("earlier") == F.col("_at")).filter(_within_one(F.col("words"), F.col("others")))
-    return lines, settle(both.select("digest").distinct(), "lines-near")
+    both = both.join(other, F.col("earlier") == F.col("_at")).filter(_within_one(F.split("own", " "), F.split("other", " ")))
+    near = settle(both.select("digest").distinct(), "lines-near")
+    release(spark)
+    return lines, near
 
 
 def removed_lines(docs: DataFrame, told: DataFrame) -> DataFrame:
     """``row, doc_id, pos, digest`` of every line that goes, stored."""
     lines, near = near_lines(docs, told)
-    marked = lines.join(near.withColumn("near", F.lit(True)), "digest", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    # Lines that stand once and are near none need not be met.
+    some = lines.filter("many > 1").unionByName(sieve(lines.filter("many = 1"), F.col("digest"), near, F.col("digest")))
+    marked = some.join(near.withColumn("near", F.lit(True)), "digest", "left").withColumn("near", F.coalesce("near", F.lit(False)))
     marked = settle(marked.filter("many > 1 or near").select(F.col("digest").alias("_digest"), "first", "near"), "lines-marked")
+    release(docs.sparkSession)
     every = told.filter("digest is not null").select("row", "doc_id", "pos", "digest")
+    every = sieve(every, F.col("digest"), marked, F.col("_digest"))
     gone = every.join(marked, F.col("digest") == F.col("_digest")).filter(F.col("near") | (_order(F.col("doc_id"), F.col("pos")) > F.col("first")))
     return settle(gone.select("row", "doc_id", "pos", "digest"), "lines-gone")
 

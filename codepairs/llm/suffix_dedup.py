@@ -21,7 +21,6 @@ common names are taken apart into single windows that Spark aggregates.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 import struct
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from codepairs.llm.hashing import PIECE, byte_values, mix, running, spans, texts
 from codepairs.llm.registry import query, table
-from codepairs.session import settle
+from codepairs.session import release, settle
 
 WINDOW, MODULUS = 100, 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)  # every difference modulo 57 between two of these, each once
@@ -370,12 +369,6 @@ def _place(doc_id: Column, place: Column) -> Column:
     return (doc_id.cast("decimal(20,0)") * F.lit(FAR).cast("decimal(10,0)") + place.cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps that are done, by collecting the handles it knows them by."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_runs(rows: DataFrame, n_bytes: int, only: DataFrame, folded_ids: DataFrame) -> DataFrame:
     """``doc_id, low, high``, stored: runs of bytes under windows that begin earlier as well.
 
@@ -392,7 +385,7 @@ def repeated_runs(rows: DataFrame, n_bytes: int, only: DataFrame, folded_ids: Da
     named = sharded.groupBy("shard").applyInArrow(lambda t: _name(t, _bytes_of(bits), shards), "bunch long, docs binary, many binary, names binary")
     named = settle(named, "suffix-names")
     del sharded
-    _release(spark)
+    release(spark)
 
     def of_documents(found: DataFrame) -> DataFrame:
         """The texts with what was found in them under ``_doc``."""
@@ -404,18 +397,18 @@ def repeated_runs(rows: DataFrame, n_bytes: int, only: DataFrame, folded_ids: Da
     held = of_documents(wanted.join(folded_ids, F.col("_doc") == F.col("_copy"), "left_anti"))
     members = settle(held.mapInArrow(_members(bits), MEMBERS), "suffix-members")
     del held, wanted
-    _release(spark)
+    release(spark)
 
     at = _place(F.col("doc_id"), F.col("place"))
     folded = members.groupBy("name", "context").agg(F.min(at).alias("first"), F.count("*").alias("many"))
     folded = settle(folded, "suffix-folded")
-    _release(spark)
+    release(spark)
     # A context that stands earlier as a whole: all windows in it do.
     more = folded.filter("many > 1").select(F.col("name").alias("_name"), F.col("context").alias("_context"), "first")
     later = members.join(more, (F.col("name") == F.col("_name")) & (F.col("context") == F.col("_context"))).filter(at > F.col("first"))
     copies = settle(later.select("doc_id", "place"), "suffix-copies")
     del later
-    _release(spark)
+    release(spark)
 
     # Windows of names with several contexts are compared with each other.
     several = folded.groupBy(F.col("name").alias("_name")).agg(F.count("*").alias("contexts")).filter("contexts > 1")
@@ -427,7 +420,7 @@ def repeated_runs(rows: DataFrame, n_bytes: int, only: DataFrame, folded_ids: Da
     held = of_documents(asked.groupBy("_doc").agg(F.collect_list("ask").alias("asked")))
     contexts = settle(held.mapInArrow(_contexts, WINDOWS), "suffix-contexts")
     del held, asked
-    _release(spark)
+    release(spark)
 
     bunches = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-contexts.count() // BUNCH))
     hot = settle(several.filter(F.col("contexts") > HOT).select("_name"), "suffix-hot")
@@ -502,7 +495,7 @@ def suffix_report(docs: DataFrame) -> DataFrame:
     runs = repeated_runs(usable, long.agg(F.sum("n_bytes")).first()[0] or 0, only, copies.select("_copy"))
     by_doc = runs.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("low", "high")).alias("runs"))  # as the document is long, at most
     by_doc = settle(by_doc.join(only, F.col("_doc") == F.col("_id"), "left").drop("_id"), "suffix-by-document")
-    _release(docs.sparkSession)
+    release(docs.sparkSession)
     cut = usable.join(by_doc.hint("merge"), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "only", "runs").mapInArrow(_cut, REPORT)
 
     # What is not cut is told by its size and digest alone.

@@ -104,3 +104,21 @@ def test_unrelated_line_of_equal_first_sum(spark):
     rows = [(1, f"{other} x"), (2, "v18 v1 p q r"), (3, f"{mine} y"), (4, f"{mine} z")]
     assert brute(rows)[3] == (4, 1, 1, "0")
     assert got(line_report(data(spark, rows))) == brute(rows)
+
+
+def test_texts_without_wanted_lines_are_not_shuffled(spark, monkeypatch):
+    """What is joined by document, by line or by variant goes through a sieve first, and no link is lost by it."""
+    from codepairs.llm import line_dedup
+
+    plans, settle = {}, line_dedup.settle
+
+    def told(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return settle(df, name)
+
+    monkeypatch.setattr(line_dedup, "settle", told)
+    rows = [(i, "\n".join(f"u{i} v{j} w{i} x{j} y{i}" for j in range(3))) for i in range(300)] + [(300, "a b c d e"), (301, "a b c x e")]
+    rows.append((302, rows[7][1]))
+    assert got(line_report(data(spark, rows))) == brute(rows)
+    for name in ("lines-texts", "lines-met", "lines-both", "lines-marked", "lines-gone", "lines-active"):
+        assert "LeftSemi" in plans[name], name

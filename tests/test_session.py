@@ -40,3 +40,14 @@ def test_scratch_of_this_application_can_be_cleared(spark):
     assert stored.count() == 3
     session.clear_scratch(spark)
     assert not os.path.exists(stored.inputFiles()[0].removeprefix("file://"))
+
+
+@pytest.mark.parametrize("bits", [session.SIEVE_MAP, session.SIEVE_BITS])
+def test_sieve_keeps_all_that_is_wanted_and_little_else(spark, monkeypatch, bits):
+    monkeypatch.setattr(session, "SIEVE_BITS", bits)
+    rows = spark.range(-50_000, 50_000).select(F.when(F.col("id") != 7, F.col("id")).alias("key"))
+    wanted = spark.range(-49_000, 50_000, 10).select(F.col("id").alias("of"))
+    kept = [r.key for r in session.sieve(rows, F.col("key"), wanted, F.col("of")).collect()]
+    assert set(range(-49_000, 50_000, 10)) <= set(kept) and len(kept) == len(set(kept)) and None not in kept
+    assert len(kept) < (30_000 if bits > session.SIEVE_MAP else 50_000)
+    assert session.sieve(rows, F.col("key"), wanted.limit(0), F.col("of")).count() == 0
