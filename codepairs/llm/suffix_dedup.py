@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from codepairs.llm.hashing import PIECE, byte_values, mix, running, spans, texts
 from codepairs.llm.registry import query, table
-from codepairs.session import release, settle
+from codepairs.session import release, settle, unsettle
 
 WINDOW, MODULUS = 100, 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)  # every difference modulo 57 between two of these, each once
@@ -396,6 +396,7 @@ def repeated_runs(rows: DataFrame, n_bytes: int, only: DataFrame, folded_ids: Da
     wanted = named.groupBy("bunch").applyInArrow(lambda t: _of_bunch(t, _bytes_of(bits)), "doc_id long, names binary").withColumnRenamed("doc_id", "_doc")
     held = of_documents(wanted.join(folded_ids, F.col("_doc") == F.col("_copy"), "left_anti"))
     members = settle(held.mapInArrow(_members(bits), MEMBERS), "suffix-members")
+    unsettle(named)
     del held, wanted
     release(spark)
 
@@ -407,6 +408,7 @@ def repeated_runs(rows: DataFrame, n_bytes: int, only: DataFrame, folded_ids: Da
     more = folded.filter("many > 1").select(F.col("name").alias("_name"), F.col("context").alias("_context"), "first")
     later = members.join(more, (F.col("name") == F.col("_name")) & (F.col("context") == F.col("_context"))).filter(at > F.col("first"))
     copies = settle(later.select("doc_id", "place"), "suffix-copies")
+    unsettle(members)
     del later
     release(spark)
 
@@ -419,6 +421,7 @@ def repeated_runs(rows: DataFrame, n_bytes: int, only: DataFrame, folded_ids: Da
     asked = asked.select(((F.col("first") - place) / size).cast("long").alias("_doc"), F.struct("name", place.cast("long").alias("place")).alias("ask"))
     held = of_documents(asked.groupBy("_doc").agg(F.collect_list("ask").alias("asked")))
     contexts = settle(held.mapInArrow(_contexts, WINDOWS), "suffix-contexts")
+    unsettle(folded)
     del held, asked
     release(spark)
 
@@ -435,7 +438,9 @@ def repeated_runs(rows: DataFrame, n_bytes: int, only: DataFrame, folded_ids: Da
     again = again.select("doc_id", F.col("start").alias("low"), (F.col("start") + WINDOW).alias("high"))
     # How far a context reaches at the ends of a text is settled when the text is cut.
     whole = copies.select("doc_id", (F.col("place") - REACH).alias("low"), (F.col("place") + TUPLE + REACH).alias("high"))
-    return settle(marked.unionByName(again).unionByName(whole), "suffix-runs")
+    runs = settle(marked.unionByName(again).unionByName(whole), "suffix-runs")
+    unsettle(contexts, copies, single)
+    return runs
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,6 +500,7 @@ def suffix_report(docs: DataFrame) -> DataFrame:
     runs = repeated_runs(usable, long.agg(F.sum("n_bytes")).first()[0] or 0, only, copies.select("_copy"))
     by_doc = runs.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("low", "high")).alias("runs"))  # as the document is long, at most
     by_doc = settle(by_doc.join(only, F.col("_doc") == F.col("_id"), "left").drop("_id"), "suffix-by-document")
+    unsettle(runs)
     release(docs.sparkSession)
     cut = usable.join(by_doc.hint("merge"), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "only", "runs").mapInArrow(_cut, REPORT)
 

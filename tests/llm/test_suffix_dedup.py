@@ -131,3 +131,16 @@ def test_names_make_rows_by_bunch_not_by_document():
         for r in suffix_dedup._of_bunch(found.slice(row, 1), 5).to_pylist():
             got_ |= {(r["doc_id"], int(v)) for v in suffix_dedup._long(r["names"], 5)}
     assert got_ == set(zip(doc.tolist(), value.tolist(), strict=True))
+
+
+def test_steps_that_are_done_leave_nothing_stored(spark, monkeypatch, tmp_path):
+    """Only what the result is read from stays in the scratch folder."""
+    from codepairs import session
+
+    monkeypatch.setattr(session, "scratch_dir", lambda spark: str(tmp_path / "a b"))
+    rows = pieces(4, 40)
+    report = suffix_report(data(spark, rows))
+    stored = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "a b").glob("codepairs/*/*")}
+    assert not stored & {f"suffix-{x}" for x in ("names", "members", "folded", "contexts", "copies", "single", "runs")}
+    assert "suffix-by-document" in stored
+    assert got(report) == brute(rows)
