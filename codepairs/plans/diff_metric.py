@@ -18,6 +18,8 @@ from codepairs.sources.readers import read_nested_json, read_pair_tree
 from codepairs.sources.schemas import AST_PAIR, CHAR_PAIR
 from codepairs.sources.writers import write_pairs, write_report_csv
 
+PROGRAM_BYTES = 16 << 20
+
 
 def prepare(spark, input_root: str, output_root: str, flavour: str = "char") -> None:
     """Corpus tree to stored pair sets, one scan for all directories."""
@@ -28,7 +30,8 @@ def prepare(spark, input_root: str, output_root: str, flavour: str = "char") ->
 def prepare_nested(spark, input_root: str, output_root: str, nested: bool = False) -> None:
     """Nested edits to stored pairs, one row per pair, or one per program with its pairs as an array."""
     edits = explode_edits(read_nested_json(spark, input_root), nested=nested)
-    edits.write.parquet(output_root)
+    # Every pair holds its program: a dictionary of this size holds each program of a row group once.
+    edits.write.option("parquet.dictionary.page.size", PROGRAM_BYTES).parquet(output_root)
 
 
 def training_set(

@@ -103,6 +103,13 @@ class CsvAutomaton:
         return [(place, True, True) for place in breaks.tolist()], (after, 0)
 
 
+# What brackets add to the depth, and the bytes that count outside strings.
+DEPTH = np.zeros(256, dtype=np.int64)
+DEPTH[[91, 123]], DEPTH[[93, 125]] = 1, -1
+MARKS = DEPTH != 0
+MARKS[44] = True
+
+
 class JsonAutomaton:
     """Strings and nesting of JSON: the elements of a top-level array, or the one object of a file.
 
@@ -138,11 +145,13 @@ class JsonAutomaton:
         starts = slashes[first][np.cumsum(first) - 1] if len(slashes) else slashes
         escapes = slashes[(slashes - starts) % 2 == 0]
         quotes = np.flatnonzero(text == 34)
-        hidden = np.isin(quotes, escapes + 1)
+        after = np.zeros(len(text) + 1, dtype=bool)
+        after[escapes + 1] = True
+        hidden = after[quotes]
         if escaped and len(quotes) and quotes[0] == 0:
             hidden[0] = True
         quotes = quotes[~hidden]
-        marks = np.flatnonzero((text == 91) | (text == 93) | (text == 123) | (text == 125) | (text == 44))
+        marks = np.flatnonzero(MARKS[text])
         open_end = bool(len(escapes) and escapes[-1] == len(text) - 1)
         return marks, text[marks], quotes, open_end
 
@@ -151,15 +160,16 @@ class JsonAutomaton:
         return 2 if inside and open_end else int(inside)
 
     def outcomes(self, data: bytes) -> list[tuple[int, int]]:
+        if not data:
+            return [(state, 0) for state in range(self.states)]
         out = []
+        usual = self._scan(data, False)
+        # An open escape changes nothing but a quote or a backslash that comes first.
+        escaped = self._scan(data, True) if data[0] in b'"\\' else usual
         for state in range(self.states):
-            if not data:
-                out.append((state, 0))
-                continue
-            marks, kinds, quotes, open_end = self._scan(data, state == 2)
+            marks, kinds, quotes, open_end = escaped if state == 2 else usual
             outside = (np.searchsorted(quotes, marks) + (state > 0)) % 2 == 0
-            deltas = np.isin(kinds, (91, 123)).astype(np.int64) - np.isin(kinds, (93, 125))
-            out.append((self._state(state, quotes, open_end), int(deltas[outside].sum())))
+            out.append((self._state(state, quotes, open_end), int(DEPTH[kinds[outside]].sum())))
         return out
 
     def separators(self, data: bytes, state: tuple[int, int]) -> tuple[list[tuple[int, bool, bool]], tuple[int, int]]:
@@ -168,8 +178,7 @@ class JsonAutomaton:
         marks, kinds, quotes, open_end = self._scan(data, state[0] == 2)
         outside = (np.searchsorted(quotes, marks) + (state[0] > 0)) % 2 == 0
         marks, kinds = marks[outside], kinds[outside]
-        deltas = np.isin(kinds, (91, 123)).astype(np.int64) - np.isin(kinds, (93, 125))
-        after = state[1] + np.cumsum(deltas)
+        after = state[1] + np.cumsum(DEPTH[kinds])
         depth = int(after[-1]) if len(after) else state[1]
         found = []
         if self.array:

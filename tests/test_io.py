@@ -1,5 +1,6 @@
 import csv
 import json
+import random
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -199,3 +200,15 @@ def test_prepare_labels_a_corpus(spark, tmp_path):
         ("python", "train", "x = 1 ", 0, 0),
         ("python", "train", "x = 1 ", 1, 0),
     ]
+
+
+def test_pairs_of_a_program_hold_it_once_on_disk(spark, tmp_path):
+    rng = random.Random(2)
+    programs = ["".join(rng.choices("abcdefghijklmnop", k=200_000)) for _ in range(8)]
+    items = [{"filename": f"f{i}", "original_code": p, "num_of_nodes": 10, "edited_code": [{"code": f"{i}-{j}", "count": j} for j in range(10)]} for i, p in enumerate(programs)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "all.json").write_text(json.dumps(items))
+    diff_metric.prepare_nested(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    pairs = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.num, r.source, r.target) for r in pairs.collect()) == sorted((j, p, f"{i}-{j}") for i, p in enumerate(programs) for j in range(10))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 2 * sum(map(len, programs))

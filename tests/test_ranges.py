@@ -167,3 +167,16 @@ def test_pieces_of_nothing():
     for kind, empty in itertools.product((CsvAutomaton, JsonAutomaton), (b"",)):
         assert kind().outcomes(empty) == [(s, 0) for s in range(kind.states)]
         assert kind().separators(empty, kind.begin) == ([], kind.begin)
+
+
+def test_json_is_scanned_once_for_all_states(monkeypatch):
+    """A chunk is gone through once, or twice where it may begin behind a backslash; every outcome is that of a scan of its own."""
+    calls, scan = [], JsonAutomaton._scan
+    monkeypatch.setattr(JsonAutomaton, "_scan", lambda self, data, escaped: calls.append(escaped) or scan(self, data, escaped))
+    tool = JsonAutomaton()
+    text = json.dumps([nested(i) for i in range(4)]).encode()
+    for start in range(len(text)):
+        calls.clear()
+        got = tool.outcomes(text[start:])
+        assert len(calls) == (2 if text[start] in b'"\\' else 1)
+        assert got == [tool.separators(text[start:], (state, 0))[1] for state in range(3)]
