@@ -14,16 +14,18 @@ and rank.
 from __future__ import annotations
 
 import bisect
+import codecs
+import json
 import math
 import os
 import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -34,91 +36,133 @@ from codepairs.session import settle
 # The sequence length and the id that ends a document.
 CAPACITY = 4096
 END_ID = 1
-# Words whose ids a worker remembers, and the least rows of a bucket of ranks.
-REMEMBERED = 600_000
+# The text whose words are told apart at a time, the words encoded in one call, and the least rows of a bucket of ranks.
+SLICE_BYTES = 8 << 20
+WORDS_AT_ONCE = 20_000
 BUCKET_ROWS = 500
 
+# The rules of a file, as far as they come before merging, under which words are parted here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+# Words of Latin and Cyrillic signs, all composed, with one small form that is of these signs too, and the classes of the rule in these.
+BETWEEN = "\0"
+PLAIN = r"^[\x{01}-\x{12f}\x{131}-\x{17f}\x{400}-\x{45f}]*$"
+LETTERS, NUMBERS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f\u0430-\u045f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+PART = re.compile(rf"\0|'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}\0\x85\xa0]+")
+# Bytes as the signs that merges are written in; the space stays, as it stands between parts.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+HIDDEN = [b for b in range(256) if b not in SHOWN]
+BYTE_SIGNS = "".join(" " if b == 32 else chr(256 + HIDDEN.index(b)) if b in HIDDEN else chr(b) for b in range(256))
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _joined(words: pa.Array, sign: str) -> str:
+    offsets = pa.array([0, len(words)], pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, words), sign)[0].as_py()
+
+
+def _gather(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The runs of ``ids`` of these codes, one after the other."""
+    each = lengths[codes]
+    ends = np.cumsum(each)
+    return ids[np.repeat(starts[codes] - ends + each, each) + np.arange(each.sum())]
+
+
+def _at_once(encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``encode`` for a bounded number of words at a time, as its tokens take much memory."""
+    found = [encode(words.slice(at, WORDS_AT_ONCE)) for at in range(0, len(words), WORDS_AT_ONCE)]
+    ids, lengths = zip(*found, strict=True) if found else ([np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)])
+    return np.concatenate(ids), np.concatenate(lengths)
+
+
 class WordEncoder:
-    """Encodes texts word by word with a memory of words, as little-endian 32-bit ids.
+    """Encodes texts by their distinct words, as little-endian 32-bit ids; a few MB of text at a time, so its memory is bounded.
 
-    Holds for tokenizers that never join characters across white space or
-    between letters and other signs, ignore case, and mark word ends, as those
+    Holds for tokenizers that never join characters across white space, as those
     do that split before they merge: the ids of a text are then the ids of its
-    words in turn, and a word with a mark after it is the ids of both.
+    words in turn. Where the file's rules are those that are restated above, words of
+    signs whose small and composed forms leave no doubt are parted here, and parts
+    are merged without the file's normalizer and expressions. Other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         ends = {i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")}
         self.ends = np.isin(np.arange(self.tokenizer.get_vocab_size()), list(ends))
-        # Words used since the memory was last full, and those of the time before.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        # Python also splits at the four separators below, which tokenizers do not take for white space.
-        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        return [w for w in re.split(r"[ \t-\r]+", text) if w] if odd else text.split()
-
-    def _whole(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _letters(self, stems: list[str]) -> list[bytes]:
-        """Words of letters alone, joined for one call and parted at the ids that end a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, dtype="<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(stems):
-            return self._whole(stems)
-        data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-        return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-    def _learn(self, words: set[str]) -> None:
-        stems: dict[str, None] = {}
-        odd: list[str] = []
-        made: list[tuple[str, str, str]] = []
-        for word in words:
-            if (ids := self.older.get(word)) is not None:
-                self.known[word] = ids
-                continue
-            mark = word[-1] if word[-1] in ".,;:!?" else ""
-            stem = (word[:-1] if mark else word).lower()
-            if stem.isalpha() and "\u03c3" not in stem and "\u03c2" not in stem:  # but for sigma, letters have one small form
-                made.append((word, stem, mark))
-                for part in (stem, mark):
-                    if part and part not in self.known:
-                        if part in self.older:
-                            self.known[part] = self.older[part]
-                        elif part is mark:
-                            odd.append(part)
-                        else:
-                            stems[part] = None
-            else:
-                odd.append(word)
-        if stems:
-            self.known.update(zip(stems, self._letters(list(stems)), strict=True))
-        if odd:
-            self.known.update(zip(odd, self._whole(odd), strict=True))
-        for word, stem, mark in made:
-            self.known[word] = self.known[stem] + self.known[mark] if mark else self.known[stem]
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = WhitespaceSplit()
+        rules = [json.loads(part.__getstate__()) if part else None for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        self.parted = rules == [NORMALIZER, PRE_TOKENIZER]
+
+    def _plain(self, words: pa.Array) -> np.ndarray:
+        if not self.parted:
+            return np.zeros(len(words), dtype=bool)
+        plain = pc.match_substring_regex(words, PLAIN)
+        for token in self.added:
+            plain = pc.and_not(plain, pc.match_substring(words, token))
+        return plain.to_numpy(zero_copy_only=False)
+
+    def _whole(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
+        each = self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)
+        return np.array([i for e in each for i in e.ids], dtype="<u4"), np.array([len(e.ids) for e in each], dtype=np.int64)
+
+    def _merge(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_whole``, for parts of words; they are joined for one call and told apart at the ids that end one."""
+        signs, _ = codecs.charmap_decode(_joined(parts, " ").encode(), "strict", BYTE_SIGNS)
+        ids = np.array(self.merger.encode_batch_fast([signs], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids])
+        return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(parts) else self._whole(parts)
+
+    def _from_parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_whole``, for words that are plain: every distinct part of them is merged once."""
+        coded = pa.array(PART.findall(_joined(words, BETWEEN).lower() + BETWEEN), pa.string()).dictionary_encode()
+        codes, between = coded.indices.to_numpy(), pc.index(coded.dictionary, BETWEEN).as_py()
+        ids, lengths = _at_once(self._merge, pc.filter(coded.dictionary, pc.not_equal(coded.dictionary, BETWEEN)))
+        lengths = np.insert(lengths, between, 0)
+        return _gather(ids, np.cumsum(lengths) - lengths, lengths, codes), np.diff(np.cumsum(lengths[codes])[codes == between], prepend=0)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words, in any order, where those of a word start, and how many it has."""
+        plain = self._plain(words)
+        some, many = self._from_parts(words.filter(pa.array(plain))) if plain.any() else (np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64))
+        others, of_others = _at_once(self._whole, words.filter(pa.array(~plain)))
+        lengths = np.zeros(len(words), dtype=np.int64)
+        lengths[plain], lengths[~plain] = many, of_others
+        starts = np.zeros(len(words), dtype=np.int64)
+        starts[plain], starts[~plain] = np.cumsum(many) - many, np.cumsum(of_others) - of_others + len(some)
+        return np.concatenate([some, others]), starts, lengths
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [self.words(text) for text in texts]
-        for at in range(0, len(split), 64):
-            part = split[at : at + 64]
-            fresh = set(chain.from_iterable(part)).difference(self.known)
-            if fresh:
-                if len(self.known) > REMEMBERED:
-                    self.known, self.older = {}, self.known
-                    fresh = set(chain.from_iterable(part))
-                self._learn(fresh)
-            for words in part:
-                yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
+        yield from self.encode_column(pa.array(texts, pa.string()))
+
+    def encode_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, null being empty."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            # Splits at the six signs of ASCII alone. Where a text begins or ends with one, there is an empty word.
+            split = pc.ascii_split_whitespace(pc.fill_null(texts.slice(at, upto - at), ""))
+            coded = split.flatten().dictionary_encode()
+            ids, starts, lengths = self._words(coded.dictionary)
+            codes = coded.indices.to_numpy()
+            flat, filled = _gather(ids, starts, lengths, codes), np.append(0, np.cumsum(lengths[codes]))
+            text_ends = filled[np.cumsum(split.value_lengths().to_numpy())].tolist()
+            yield from (flat[a:b] for a, b in zip([0, *text_ends], text_ends, strict=False))
+            at = upto
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -129,8 +173,7 @@ def _cut(path: str, capacity: int, end_id: int) -> Callable[[Iterator[pa.RecordB
         encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
         for batch in batches:
             rows: list[tuple] = []
-            texts = batch.column("text").to_pylist()
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode([t or "" for t in texts]), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_column(batch.column("text")), strict=True):
                 ids = np.append(ids, np.array([end_id], dtype="<u4"))
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]

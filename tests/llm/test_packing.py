@@ -1,6 +1,7 @@
 """Packing: ids against whole-text encoding, gapless sequences, and the number of sequences."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -23,6 +24,43 @@ def test_words_encode_as_whole_texts():
     assert [list(ids) for ids in encoder.encode(texts)] == whole
 
 
+def test_signs_in_words_encode_as_whole_texts():
+    encoder = WordEncoder(tokenizer_file())
+    signs = [chr(c) for c in range(0x3100)]
+    texts = [*signs, *(f"a{c}b {c}{c} x.{c} '{c} {c}'s 1{c}" for c in signs)]
+    rng = random.Random(11)
+    some = [*"abXY'sStTrRvVeEmMlLdD01’.,;!?-*#|<>_\x00\x1c\x85\xa0 \n\x0bÉéßÑŸÀªµº×÷²½ıİȺŉſЙйё́", "<|endoftext|>", "<|ENDOFTEXT|>", "'re", "'LL"]
+    texts += ["".join(rng.choice(some) for _ in range(rng.randrange(1, 30))) for _ in range(5000)]
+    whole = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [list(ids) for ids in encoder.encode(texts)] == whole
+
+
+def test_plain_words_do_not_go_through_the_whole_tokenizer(monkeypatch):
+    encoder = WordEncoder(tokenizer_file())
+    seen = []
+    whole = encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda words: (seen.extend(map(str, words)), whole(words))[1])
+    assert [len(ids) > 8 for ids in encoder.encode(["Stantion&&& word, don't été*** 12ab Word! #"])] == [True]
+    assert seen == []
+    list(encoder.encode(["word 中文 word"]))
+    assert seen == ["中文"]
+
+
+def test_memory_does_not_grow_with_the_texts_or_their_words():
+    encoder = WordEncoder(tokenizer_file())
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(100)) + " same words" * 2000 for _ in range(1000)]
+    list(encoder.encode(texts[:3]))
+    tracemalloc.start()
+    try:
+        for _ in encoder.encode(texts):
+            pass
+        kept, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert kept < 8e6 and most < 180e6  # the four million words alone take over 200 MB as a list
+
+
 def first_bins(lengths, capacity):
     """Best-fit decreasing one piece at a time."""
     gaps = []
