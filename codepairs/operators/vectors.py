@@ -78,7 +78,16 @@ def pool_vectors(df: DataFrame, id_col: str, pos_col: str, vec_col: str, run: in
             _fold(closed, _greater).alias("max_cut"),
         ).alias("_part"),
     )
-    merged = partial.groupBy(id_col).agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
+    return pool_parts(partial, id_col)
+
+
+def pool_parts(df: DataFrame, id_col: str) -> DataFrame:
+    """``(id, cls, max, mean)`` of rows ``id, _part``, a part for each run of tokens of a text.
+
+    A part is ``run, cls, n_all, sum_all, max_all, sum_cut, max_cut``, in the order of which parts come: the run's number, the text's first
+    vector, and of the others number, sum and maximum, then the latter two without the last. Between ``run`` and ``cls`` may stand more.
+    """
+    merged = df.groupBy(id_col).agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
     parts = F.col("_parts")
     last = F.element_at(parts, -1)
     head = F.slice(parts, 1, F.size(parts) - 1)
@@ -87,11 +96,13 @@ def pool_vectors(df: DataFrame, id_col: str, pos_col: str, vec_col: str, run: in
         vectors = F.array_append(F.transform(head, lambda p: p[whole]), last[cut])
         return _fold(F.filter(vectors, lambda v: v.isNotNull()), merge)
 
-    n_inner = F.aggregate(parts, F.lit(0), lambda acc, p: acc + p["n_all"]) - 1
+    n_inner = F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: acc + p["n_all"]) - 1
     total = across("sum_all", "sum_cut", _add)
+    # Of the first run; where texts share an id, it may have several parts.
+    first = F.array_min(F.transform(F.filter(parts, lambda p: p["run"].eqNullSafe(F.get(parts, F.lit(0))["run"])), lambda p: p["cls"]))
     return merged.select(
         id_col,
-        F.get(parts, F.lit(0))["cls"].alias("cls"),
+        first.alias("cls"),
         across("max_all", "max_cut", _greater).alias("max"),
         F.transform(total, lambda x: x / n_inner).alias("mean"),
     )

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codepairs.operators.vectors import pool_vectors
 from codepairs.operators.windowed import embed_long, embed_long_pooled, hashed_context_encoder, text_tokens, token_windows
 
 SCHEMA = "id long, text string, pos string, vec string, window string"
@@ -65,3 +66,49 @@ def test_faults(spark):
     short = lambda: lambda windows: [np.ones((1, 2)) for _ in windows]
     with pytest.raises(Exception, match="vector per token"):
         embed_long(frame(spark, TEXTS), "id", make_fn=short).collect()
+
+
+def test_pooled_by_runs(spark, monkeypatch):
+    """Runs that end inside a window, against the rows of all tokens; texts that share an id, or have none, count as one."""
+    monkeypatch.setattr("codepairs.operators.windowed.TOKEN_RUN", 30)
+    encoder = hashed_context_encoder(4, 2)
+    texts = [*enumerate(TEXTS), (4, "x y z"), (6, TEXTS[6]), (None, "p q r s"), (None, "t u"), (7, " ".join(f"v{i}" for i in range(61)))]
+    df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in texts], SCHEMA)
+    want = {r.id: r for r in pool_vectors(embed_long(df, "id", "text", encoder, 16, 4), "id", "pos", "vec", run=30).collect()}
+    got = {r.id: r for r in embed_long_pooled(df, "id", "text", encoder, 16, 4).collect()}
+    assert set(got) == set(want) == {2, 3, 4, 5, 6, 7, None}
+    for i, row in want.items():
+        for name in ("cls", "max", "mean"):
+            assert (got[i][name] is None) == (row[name] is None)
+            assert row[name] is None or np.allclose(got[i][name], row[name])
+        assert i in (4, 6, None) or got[i] == row  # to the last digit
+
+
+def test_pooled_shuffles_no_token_rows(spark):
+    """Of a text of many tokens a row per run is shuffled."""
+    df = spark.range(3).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: i.cast("string")), " ").alias("text"))
+    rows = embed_long(df, "id", "text", hashed_context_encoder(4, 2), 128, 8, tasks=3, run=4096)
+    assert rows.count() == 3 * 5
+    plan = embed_long_pooled(df, "id", "text", hashed_context_encoder(4, 2), 128, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "pos#" not in plan and "last_vec" in plan
+
+
+def test_a_run_holds_few_vectors(spark):
+    """Calls stay within the batch, and a run's windows are those of the whole text."""
+
+    def make():
+        def encode(windows):
+            assert len(windows) <= 5 and max(map(len, windows)) <= 16
+            return [np.array([[float(w[0][1:]), float(t[1:])] for t in w]) for w in windows]
+
+        return encode
+
+    df = frame(spark, [" ".join(f"t{i}" for i in range(n)) for n in (1, 15, 16, 17, 100, 333)])
+    want = {(r.id, r.pos): r.vec for r in embed_long(df, "id", "text", make, 16, 6, batch_rows=5).collect()}
+    for r in embed_long(df, "id", "text", make, 16, 6, batch_rows=5, run=40).collect():
+        vectors = [want[r.id, p] for p in range(r.run * 40, r["last"] + 1)]
+        assert r["last"] == (r.run + 1) * 40 - 1 or (r.id, r["last"] + 1) not in want
+        body = np.array(vectors[1:] if r.run == 0 else vectors)
+        assert r.cls == (vectors[0] if r.run == 0 else None) and r.last_vec == vectors[-1] and r.n_all == len(body)
+        assert r.sum_all == (body.sum(axis=0).tolist() if len(body) else None)
+        assert r.max_cut == (body[:-1].max(axis=0).tolist() if len(body) > 1 else None)
