@@ -1,5 +1,8 @@
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codepairs.operators.blocks import block_pairs, in_cells, rows_per_block
 from codepairs.operators.similarity import Best, cosine_all_pairs
@@ -152,3 +155,18 @@ def test_best_partners_over_tiles(threshold):
         for i in range(23):
             want = sorted((j for j in range(50) if s[i, j] >= threshold), key=lambda j: (-round(s[i, j], 12), ids[j]))[:4]
             assert place[row == i].tolist() == want and np.array_equal(score[row == i], s[i, want])
+
+
+def test_all_pairs_shuffles_each_row_once(spark):
+    """Blocks are stored once and read by the tasks that pair them; no row is repeated on its way, also where ids repeat."""
+    m = np.random.default_rng(5).normal(size=(90, 3))
+    df = frame(spark, m).withColumn("id", F.col("id") % 80)
+    pairs = cosine_all_pairs(df, "id", "label", "vec", block_rows=8)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    got = Counter((r.source_id, r.target_id, r.cosSim) for r in pairs.collect())
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = Counter((i % 80, j % 80, float(np.round(unit[i] @ unit[j], 6) + 0.0)) for i in range(90) for j in range(90))
+    assert sum(got.values()) == 90 * 90 and Counter(k[:2] for k in got.elements()) == Counter(k[:2] for k in want.elements())
+    assert np.allclose(sorted(got.elements()), sorted(want.elements()), atol=2e-6)
+    assert cosine_all_pairs(df.limit(0), "id", "label", "vec").collect() == []
