@@ -193,7 +193,7 @@ def read_jsonl_partitions(spark: SparkSession, sf: str) -> DataFrame:
 def read_pair_tree(spark: SparkSession, sf: str) -> DataFrame:
     pairs = document_pairs(spark, sf).withColumn("partition", F.lit("train"))
     root = scratch_path(spark, "pair-tree")
-    tree.write_jsonl_files(pairs.drop("source", "cos_sim_diff_node"), root, ("lang", "partition", "pruning_type"), leaf="programs")
+    tree.write_jsonl_files(pairs.drop("source", "cos_sim_diff_node"), root, ("lang", "partition", "pruning_type"), leaf="programs", gzipped=True)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *schemas.CHAR_PAIR.fields])
     return readers.read_pair_tree(spark, root, schema)
 
@@ -263,7 +263,7 @@ def read_pair_tree_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """One language and the pruning types that run over sequences, of a tree of three levels."""
     pairs = document_pairs(spark, sf).withColumn("partition", F.lit("train"))
     root, levels = scratch_path(spark, "pair-tree"), ("lang", "partition", "pruning_type")
-    tree.write_jsonl_files(pairs.select("doc_id", "cleaned_code", "edited_code", "cos_sim_diff_char", *levels), root, levels)
+    tree.write_jsonl_files(pairs.select("doc_id", "cleaned_code", "edited_code", "cos_sim_diff_char", *levels), root, levels, gzipped=True)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *schemas.CHAR_PAIR.fields])
     return tree.read_jsonl_tree(spark, root, schema, levels).filter("lang = 'en' AND pruning_type LIKE '%_seq'")
 
