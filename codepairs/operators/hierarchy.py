@@ -17,6 +17,10 @@ shuffled by blocks of neighbouring cells, once per block with a near cell: in ma
 dimensions, where all cells are near, the shuffle so grows with the blocks. Pairs of points are told apart by a
 matrix product and its error bound; the few that this leaves open are computed by coordinate.
 
+Where the tree alone is wanted, every point keeps the edges to its nearest points, and no edge that is kept at neither end is
+shorter than the last that is kept at either. Rounds are settled by these lists; only points that may have a shorter edge than
+the shortest listed one of their component meet in cells. Of components that lie in their own lists, these are all points.
+
 The hierarchy is condensed in the same rounds. Inside a new component the old
 ones join a growing one in the order of their edges, the shortest first; a join that is
 longer than the component's own edge outward waits for the round in which it
@@ -51,6 +55,10 @@ BLOCKS, BLOCK_CELLS = 16, 32
 BLOCK_BITS = 32  # of a cell's number, below that of its block
 # Pairs whose distances are computed by coordinate at once.
 OPEN_PAIRS = 1 << 15
+# Nearest points whose edges are kept with a point.
+LISTED = 8
+# Near pairs of points that are held before all but the nearest of each are dropped.
+NEAR_PAIRS = 1 << 20
 # Coordinates that order the cells, and bits of each.
 CURVE_DIMS, CURVE_BITS = 3, 20
 # Boxes are widened by this share, far above rounding.
@@ -214,10 +222,20 @@ def _nearest(min_samples: int):
             found &= square <= (last * (1 + SLACK) + 2 * off)[:, None]
         return found
 
+    def least(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``at, to, d`` of the nearest of every point, and which of these is the last that is wanted."""
+        at, to, d = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((d, at))
+        at, to, d = at[order], to[order], d[order]
+        # Every one weighs 1 at least: the first of a point's are enough.
+        place = np.arange(len(at)) - np.searchsorted(at, at, side="left")
+        keep = place < min_samples
+        return at[keep], to[keep], d[keep], place[keep] == min_samples - 1
+
     def nearest(key: tuple, points: pa.Table, pairs: pa.Table) -> pa.Table:
         p, reach, weight = (points.column(c).to_numpy() for c in ("p", "reach", "weight"))
-        vec = matrix(points.column("vec"))
-        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        vec, reach = matrix(points.column("vec")), reach.copy()
+        parts, more = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
         for same, a, b in _cells_of(points, pairs):
             x, y = vec[a], vec[b]
             square, off = _squares(x, y)
@@ -228,19 +246,24 @@ def _nearest(min_samples: int):
             for at, to, of in ((a[i], b[j], near_a[i, j]), (b[j], a[i], near_b[i, j])):
                 of &= d <= reach[at]
                 parts.append((at[of], to[of], d[of]))
-        at, to, d = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((d, at))
-        at, to, d = at[order], to[order], d[order]
-        # Every one weighs 1 at least: the first of a point's are enough.
-        begins = np.searchsorted(at, at, side="left")
-        keep = np.arange(len(at)) - begins < min_samples
-        return pa.table([pa.array(c[keep]) for c in (p[at], d, weight[to])], names=["p", "d", "weight"])
+                more += len(parts[-1][0])
+            if more > NEAR_PAIRS:
+                at, to, d, last = least(parts)
+                reach[at[last]] = np.minimum(reach[at[last]], d[last])
+                parts, more = [(at, to, d)], 0
+        at, to, d, _ = least(parts)
+        return pa.table([pa.array(c) for c in (p[at], d, weight[to], p[to])], names=["p", "d", "weight", "q"])
 
     return nearest
 
 
-def _cored(folded: DataFrame, n: int, min_samples: int, cell_rows: int) -> tuple[DataFrame, DataFrame, int]:
-    """Points with their cells and core distances, the cells with their boxes, and the number of cells."""
+def _cored(folded: DataFrame, n: int, min_samples: int, cell_rows: int, listed: int = 0) -> tuple[DataFrame, DataFrame, int, DataFrame | None]:
+    """Points with their cells and core distances, the cells with their boxes, and the number of cells.
+
+    With ``listed``, also the edges ``cu, cv, w, u, v`` from every point to so many that are nearest to it, and with the points
+    ``beyond``: no edge of a point that is not among them is shorter.
+    """
+    most = max(min_samples, listed)
     extents = folded.select(F.posexplode("vec").alias("dim", "x")).groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high")).orderBy("dim").collect()
     low, span = np.array([r["low"] for r in extents]), np.array([r["high"] - r["low"] for r in extents])  # a number per dimension
     dims = [int(j) for j in np.argsort(-span, kind="stable")[:CURVE_DIMS] if span[j] > 0]
@@ -248,7 +271,7 @@ def _cored(folded: DataFrame, n: int, min_samples: int, cell_rows: int) -> tuple
     parts = max(1, n // (BLOCK_CELLS * cell_rows), min(BLOCKS, n // (2 * cell_rows)))
     ranged = keyed.repartitionByRange(parts, "key", "p").sortWithinPartitions("key", "p")
     celled = settle(ranged.mapInArrow(_cells(cell_rows), "p long, vec array<double>, weight long, key long, cell long"), "cluster-cells")
-    points = settle(celled.groupBy("cell").applyInArrow(_within(min_samples), POINT), "cluster-points")
+    points = settle(celled.groupBy("cell").applyInArrow(_within(most), POINT), "cluster-points")
     boxes = settle(points.filter("lo is not null").select("cell", "lo", "hi"), "cluster-boxes")
     n_cells = boxes.count()
     need = points.groupBy("cell").agg(F.max("reach").alias("need"))
@@ -256,11 +279,24 @@ def _cored(folded: DataFrame, n: int, min_samples: int, cell_rows: int) -> tuple
     same = boxes.select(F.col("cell").alias("a"), F.col("cell").alias("b"))
     pairs = settle(_cell_pairs(cells, n_cells, _near, "a long, b long").unionByName(same), "cluster-pairs")
     bare = points.drop("lo", "hi")
-    found = _met(bare, pairs, _nearest(min_samples), "p long, d double, weight long")
-    sums = F.sum("weight").over(W.partitionBy("p").orderBy("d").rowsBetween(W.unboundedPreceding, 0))
-    cores = found.withColumn("_sum", sums).filter(F.col("_sum") >= min_samples).groupBy("p").agg(F.min("d").alias("core"))
-    cored = bare.drop("reach").join(cores.withColumnRenamed("p", "_p"), F.col("p") == F.col("_p")).drop("_p")
-    return settle(cored.withColumn("comp", F.col("p")), "cluster-cored"), boxes, n_cells
+    found = _met(bare, pairs, _nearest(most), "p long, d double, weight long, q long")
+    nearest = W.partitionBy("p").orderBy("d", "q").rowsBetween(W.unboundedPreceding, 0)
+    found = found.withColumn("_sum", F.sum("weight").over(nearest))
+    if listed:
+        rank = F.row_number().over(W.partitionBy("p").orderBy("d", "q"))
+        found = settle(found.withColumn("_rank", rank).filter(F.col("_rank") <= most), "cluster-nearest")
+    cores = found.filter(F.col("_sum") >= min_samples).groupBy("p").agg(F.min("d").alias("core"))
+    cored = bare.join(cores.withColumnRenamed("p", "_p"), F.col("p") == F.col("_p")).drop("_p")
+    if not listed:
+        return settle(cored.drop("reach").withColumn("comp", F.col("p")), "cluster-cored"), boxes, n_cells, None
+    last = found.groupBy(F.col("p").alias("_p")).agg(F.count("*").alias("_n"), F.max("d").alias("_d"))
+    beyond = F.when(F.col("_n") >= most, F.col("_d")).otherwise(F.col("reach")).alias("beyond")
+    cored = cored.join(last, F.col("p") == F.col("_p")).select("cell", "p", "vec", "weight", "core", beyond, F.col("p").alias("comp"))
+    cored = settle(cored, "cluster-cored")
+    ends = [cored.select(F.col("p").alias(c), F.col("core").alias(f"_core_{c}")) for c in "uv"]
+    edges = found.filter("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"), "d").distinct()
+    edges = edges.join(ends[0], "u").join(ends[1], "v").withColumn("w", F.greatest("d", "_core_u", "_core_v"))
+    return cored, boxes, n_cells, settle(edges.select(F.col("u").alias("cu"), F.col("v").alias("cv"), "w", "u", "v"), "cluster-listed")
 
 
 # -- the tree -------------------------------------------------------------------
@@ -330,9 +366,34 @@ def _alone(key: tuple, group: pa.Table) -> pa.Table:
     return _edges(group, None, iter([(True, rows, rows)]))
 
 
-def _first_edges(points: DataFrame, boxes: DataFrame, n_cells: int) -> DataFrame:
-    """``comp, other, w, u, v``: the first edge out of every component."""
+def _first(edges: DataFrame) -> DataFrame:
+    first = edges.groupBy("comp").agg(F.min(F.struct("w", "u", "v", "other")).alias("_e"))
+    return settle(first.select("comp", "_e.*"), "cluster-first")
+
+
+def _open(points: DataFrame, known: DataFrame) -> DataFrame:
+    """Points that may have an edge which is not listed and no longer than the one ``known`` of their component."""
+    bounds = known.select(F.col("comp").alias("_comp"), F.col("w").alias("known"))
+    marked = points.join(bounds, F.col("comp") == F.col("_comp"), "left").drop("_comp").withColumn("known", F.coalesce("known", F.lit(math.inf)))
+    return marked.filter(F.col("beyond") * (1 - SLACK) <= F.col("known"))
+
+
+def _first_edges(points: DataFrame, boxes: DataFrame, n_cells: int, edges: DataFrame | None = None) -> DataFrame:
+    """``comp, w, u, v, other``: the first edge out of every component.
+
+    With ``edges``, the listed ones between components: an edge that is not listed is no shorter than what is ``beyond`` the
+    lists of both its ends. Where none can be as short as the one that its component has, the lists are enough; else
+    those points alone meet that such an edge may join.
+    """
+    listed = None
+    if edges is not None:
+        ways = [edges.select(F.col(a).alias("comp"), F.col(b).alias("other"), "w", "u", "v") for a, b in (("cu", "cv"), ("cv", "cu"))]
+        listed = _first(ways[0].unionByName(ways[1]))
+        if _open(points, listed).isEmpty():
+            return listed
     found = points.groupBy("cell").applyInArrow(_alone, EDGE)
+    if listed is not None:
+        found = found.unionByName(listed)
     if n_cells > 1:
         found = settle(found, "cluster-own")
         stand = F.min_by(F.struct("p", "vec", "core", "comp"), F.struct("core", "p"))
@@ -341,23 +402,38 @@ def _first_edges(points: DataFrame, boxes: DataFrame, n_cells: int) -> DataFrame
         stands = cells.select("cell", "_s.*")
         known = _cell_pairs(stands, n_cells, _between, "comp long, w double").unionByName(found.select("comp", "w"))
         known = settle(known.groupBy("comp").agg(F.min("w").alias("w")), "cluster-known")
+        reached = known.select(F.col("comp").alias("_comp"), F.col("w").alias("known"))
+        marked = points.join(reached, F.col("comp") == F.col("_comp"), "left").drop("_comp").withColumn("known", F.coalesce("known", F.lit(math.inf)))
         need = points.select("cell", "comp").distinct().join(known, "comp").groupBy("cell").agg(F.max("w").alias("need"))
+        if listed is not None:
+            need = settle(_open(points, known).groupBy("cell").agg(F.max("known").alias("need")), "cluster-need")
+            most = need.agg(F.max("need")).first()[0]
+            if most is None:
+                return _first(found)
+            marked = settle(marked.filter(F.col("beyond") * (1 - SLACK) <= most).drop("beyond"), "cluster-open")
+            # A cell without such points needs nothing by itself.
+            need = marked.select("cell").distinct().join(need, "cell", "left").withColumn("need", F.coalesce("need", F.lit(-1.0)))
         one = F.when(F.col("_least") == F.col("_most"), F.col("_least")).otherwise(F.lit(-1)).alias("one")
         bounds = cells.select("cell", F.col("_s.core").alias("core"), one).join(need, "cell").join(boxes, "cell")
         pairs = settle(_cell_pairs(bounds, n_cells, _near, "a long, b long"), "cluster-pairs")
-        reached = known.select(F.col("comp").alias("_comp"), F.col("w").alias("known"))
-        marked = points.join(reached, F.col("comp") == F.col("_comp"), "left").drop("_comp").withColumn("known", F.coalesce("known", F.lit(math.inf)))
         found = found.unionByName(_met(marked, pairs, _shortest, EDGE))
-    first = found.groupBy("comp").agg(F.min(F.struct("w", "u", "v", "other")).alias("_e"))
-    return settle(first.select("comp", "_e.*"), "cluster-first")
+    return _first(found)
 
 
 def _merged(points: DataFrame, roots: DataFrame) -> DataFrame:
     """Points with the components that theirs have become part of."""
-    moved = points.join(roots, F.col("comp") == F.col("_node")).select("cell", "p", "vec", "weight", "core", F.col("_root").alias("comp"))
+    kept = [c for c in points.columns if c != "comp"]
+    moved = points.join(roots, F.col("comp") == F.col("_node")).select(*kept, F.col("_root").alias("comp"))
     return settle(moved, "cluster-points")
 
 
+def _still_out(listed: DataFrame, roots: DataFrame) -> DataFrame:
+    """Listed edges between the components that theirs have become part of."""
+    ends = [roots.select(F.col("_node").alias(c), F.col("_root").alias(f"_{c}")) for c in ("cu", "cv")]
+    moved = listed.join(ends[0], "cu").join(ends[1], "cv").filter("_cu <> _cv")
+    return settle(moved.select(F.col("_cu").alias("cu"), F.col("_cv").alias("cv"), "w", "u", "v"), "cluster-listed")
+
+
 def _joined(first: DataFrame) -> DataFrame:
     """``_node, _root``: first edges joined up. Each leads to one component, and of every tree two lead to each other: the smaller is its root; ways double."""
     back = first.select(F.col("comp").alias("_c"), F.col("other").alias("_o"))
@@ -374,17 +450,17 @@ def _joined(first: DataFrame) -> DataFrame:
 
 def span(folded: DataFrame, n: int, min_samples: int, cell_rows: int) -> tuple[DataFrame, DataFrame]:
     """Distinct points (``p``, ``core``) and the edges (``u, v, w``) of the tree, without its hierarchy."""
-    points, boxes, n_cells = _cored(folded, n, min_samples, cell_rows)
+    points, boxes, n_cells, listed = _cored(folded, n, min_samples, cell_rows, LISTED)
     cores = points.select("p", "core")
     edges = folded.sparkSession.createDataFrame([], "u long, v long, w double")
     left = n
     while left > 1:
-        first = _first_edges(points, boxes, n_cells)
+        first = _first_edges(points, boxes, n_cells, listed)
         edges = edges.unionByName(first.select("u", "v", "w").distinct())
         roots = _joined(first)
         left = roots.filter("_node = _root").count()
         if left > 1:
-            points = _merged(points, roots)
+            points, listed = _merged(points, roots), _still_out(listed, roots)
     return cores, settle(edges, "cluster-edges")
 
 
@@ -483,7 +559,7 @@ class Hierarchy:
 def grow(folded: DataFrame, n: int, min_samples: int, min_cluster_size: int, cell_rows: int, single: bool) -> Hierarchy:
     """The rounds over distinct points ``p, vec, weight`` whose coordinates are at most 1; together they weigh ``min_samples`` at least."""
     spark = folded.sparkSession
-    points, boxes, n_cells = _cored(folded, n, min_samples, cell_rows)
+    points, boxes, n_cells, listed = _cored(folded, n, min_samples, cell_rows, LISTED)
     cores = points.select("p", "core")
     large = F.col("weight") >= min_cluster_size
     name = F.col("p").cast("string")

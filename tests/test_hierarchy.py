@@ -255,3 +255,56 @@ def test_squares_are_within_their_bound():
         assert (np.abs(square - want**2) <= off).all()
         i, j = np.nonzero(want >= 0)
         assert (_between_rows(x, y, i, j) == want[i, j]).all()
+
+
+def test_listed_edges_spare_rounds(spark, monkeypatch):
+    """Where lists of the nearest points hold the first edge of every component, no round compares all points once more."""
+    from codepairs.operators import hierarchy
+
+    rng = np.random.default_rng(13)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(400, 24)).tolist())]
+    ids, x, weights, _, scale = folded(rows)
+    want = [(u, v, round(w * scale, 9)) for w, u, v, _, _ in brute_tree(ids, x, weights, 5)[1]]
+    met, plain = [], hierarchy._met
+
+    def counted(points, pairs, fn, schema):
+        met.append(points.count())
+        return plain(points, pairs, fn, schema)
+
+    monkeypatch.setattr(hierarchy, "_met", counted)
+    got = [(r.u, r.v, round(r.weight, 9)) for r in reachability_tree(frame(spark, [(i, v, "x", "y") for i, v in rows]), "id", "vec", 5, 25).collect()]
+    assert sorted(got) == sorted(want)
+    assert met[0] == 400 and sum(met[1:]) < 400
+
+
+@pytest.mark.parametrize("kind", ["clumps", "grid"])
+def test_lists_that_hold_one_component_only(spark, kind):
+    """Clumps of more points than are listed, and equal distances without end, against brute force."""
+    rng = np.random.default_rng(14)
+    if kind == "clumps":
+        places = [c * 40.0 + 0.01 * v for c in rng.normal(size=(8, 3)) for v in rng.normal(size=(25, 3))]
+        places += [*rng.normal(size=(40, 3)) * 40]
+        places += places[:7]
+    else:
+        places = [np.array([i, j, (i * j) % 2], dtype=float) for i in range(13) for j in range(13)]
+    rows = list(enumerate(np.array(places).tolist()))
+    ids, x, weights, members, scale = folded(rows)
+    want = [(u, v, round(w * scale, 9)) for w, u, v, _, _ in brute_tree(ids, x, weights, 4)[1]]
+    got = [(r.u, r.v, round(r.weight, 9)) for r in reachability_tree(frame(spark, [(i, v, "x", "y") for i, v in rows]), "id", "vec", 4, 20).collect()]
+    again = {i for m in members for i in m[1:]}
+    assert len(got) == len(rows) - 1 and sorted(e for e in got if e[1] not in again) == sorted(want)
+
+
+def test_near_pairs_are_dropped_on_the_way(monkeypatch):
+    from codepairs.operators import hierarchy
+
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(90, 5))
+    points = pa.table({"cell": np.repeat(np.arange(6), 15), "p": np.arange(90), "vec": pa.array(x.tolist()), "weight": np.ones(90, np.int64), "reach": np.full(90, np.inf)})
+    pairs = pa.table({"a": [a for a in range(6) for b in range(a, 6)], "b": [b for a in range(6) for b in range(a, 6)]})
+    apart = hierarchy.distances(x, x)
+    for held in (1, 1 << 20):
+        monkeypatch.setattr(hierarchy, "NEAR_PAIRS", held)
+        got = hierarchy._nearest(4)(None, points, pairs).to_pydict()
+        assert got["p"] == np.repeat(np.arange(90), 4).tolist()
+        assert got["d"] == np.sort(apart, axis=1)[:, :4].ravel().tolist() and (apart[got["p"], got["q"]] == got["d"]).all()
